@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, quality
+from corpusloom.llm import codec, exact_dedup, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op10_bpe": codec.op10_bpe,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 SQL = quality.SQL | exact_dedup.SQL
