@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import rank_encoder
 from corpusloom.llm.common import table
+from corpusloom.session import ship
 
 
 def vocabulary(path: str) -> bytes:
@@ -24,6 +25,7 @@ def vocabulary(path: str) -> bytes:
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the ids of every whole text by the rank file at `path`."""
+    ship(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,6 +39,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, bytes): the pieces of the ids, joined."""
+    ship(encoded.sparkSession)
     raw = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,6 +53,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """Digests of the ids of every whole text and of what they decode to, without moving either."""
+    ship(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import json_encoder
 from corpusloom.llm.common import partitions, table
+from corpusloom.session import ship
 
 SEQUENCE_TOKENS = 2048
 SEPARATOR = 0
@@ -38,6 +39,7 @@ PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32
 
 def pieces(docs: DataFrame, path: str, max_tokens: int = SEQUENCE_TOKENS) -> DataFrame:
     """One row for each piece, with a checksum of its ids, by the tokenizers JSON file at `path`."""
+    ship(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +127,7 @@ def pack(
         if count:
             yield packed(pd.concat(held, ignore_index=True))
 
+    ship(found.sparkSession)
     key = F.xxhash64("doc_id", "piece")
     return (
         found.repartition(partitions(found.sparkSession), key)
