@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import codec, exact_dedup, packing, quality
+from corpusloom.llm import codec, exact_dedup, jaccard_join, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op10_bpe": codec.op10_bpe,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 SQL = quality.SQL | exact_dedup.SQL
