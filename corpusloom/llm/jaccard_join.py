@@ -13,7 +13,8 @@ from the start. The join is a recursion over regions around pivots:
     belongs to its own band and, as a boundary document, to the band below if a linked set can lie there.
 3.  Inside a region the member that shares most cells with others is the pivot. Every member is compared with it exactly;
     those within r form its ring and are one component. Members of regions that still span several components are joined
-    recursively: small regions directly, large ones around further pivots, which leave the region afterwards.
+    recursively: small regions directly, large ones around further pivots, which leave the region afterwards, until what
+    is left of them is small or one component.
 4.  Before sets are compared, pairs that cannot link are dropped by two exact bounds: sizes, and the L1 distance of
     the counts in SKETCH hash ranges, which never exceeds the number of differing n-grams.
 
@@ -30,6 +31,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ from corpusloom.session import ship
 
 SLACK = 2
 SKETCH = 64
-SMALL_REGION = 24
+SMALL_REGION, MIDDLE_REGION = 8, 1024
 BROADCAST_IDS = 1_000_000
 BLOCK_BYTES = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -293,22 +295,58 @@ class _Join:
             .select("a", "b")
         )
 
-    def links(self) -> DataFrame:
-        """Links (a, b) of classes that give every component."""
+    def _within(self, open_: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components in regions of up to MIDDLE_REGION members, less those that the bounds on
+        sizes and sketches rule out: one region at a time is compared in memory, and only what is left is emitted."""
+        p = self.percent
+
+        def near(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            sizes, labels, ids = (frame[c].to_numpy() for c in ("size", "label", "class"))
+            sketches = np.stack(frame["sketch"].to_numpy())
+            for i in range(len(frame) - 1):
+                rest = slice(i + 1, None)
+                ok = (labels[rest] != labels[i]) & (
+                    100 * np.minimum(sizes[rest], sizes[i]) >= p * np.maximum(sizes[rest], sizes[i])
+                )
+                j = np.flatnonzero(ok) + i + 1
+                apart = np.abs(sketches[j] - sketches[i]).sum(1)
+                j = j[(100 + p) * apart <= (100 - p) * (sizes[j] + sizes[i])]
+                if len(j):
+                    other = ids[j]
+                    yield pd.DataFrame({"a": np.minimum(other, ids[i]), "b": np.maximum(other, ids[i])})
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for frame in frames:
+                if not len(frame):
+                    continue
+                frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+                last = frame["region"].to_numpy() == frame["region"].iloc[-1]  # it may go on in the next batch
+                held = frame[last]
+                for _, group in frame[~last].groupby("region", sort=False):
+                    yield from near(group)
+            if held is not None:
+                yield from near(held)
+
+        rows = open_.select("region", "class", "label").join(self.facts.select("class", "size", "sketch"), "class")
+        return rows.repartition("region").sortWithinPartitions("region", "class").mapInPandas(run, "a bigint, b bigint")
+
+    def labels(self) -> DataFrame | None:
+        """(class, label) of the classes that link with others; None if there are none."""
         members = self.regions()
-        spark = self.docs.sparkSession
-        links = stage(spark.createDataFrame([], "a bigint, b bigint"), "no-links")
-        labels: DataFrame | None = None
         if members.isEmpty():
-            return links
+            return None
         self.prepare(members)
         weight = members.groupBy("region").agg(F.count(F.lit(1)).alias("w"))
         score = stage(members.join(weight, "region").groupBy("class").agg(F.sum("w").alias("score")), "scores")
+        links = labels = None
         while True:
             m = members.join(score, "class")
             if labels is not None:
-                m = m.join(labels, "class", "left")
-            m = stage(m.withColumn("label", F.coalesce("label", "class") if labels is not None else F.col("class")), "labelled")
+                m = m.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+            else:
+                m = m.withColumn("label", F.col("class"))
+            m = stage(m, "labelled")
             best = F.max(F.struct(F.col("score"), (-F.col("class")).alias("neg")))
             regions = (
                 m.groupBy("region")
@@ -325,40 +363,46 @@ class _Join:
             )
             regions = stage(regions.select("region", "n", "pivot"), "regions")
             if regions.isEmpty():
-                return links
+                return labels
             open_ = stage(m.join(regions, "region"), "open")
-            small = F.col("n") <= SMALL_REGION
-            drawn = F.pmod(F.xxhash64("region", "class"), F.col("n")) < F.sqrt("n").cast("bigint")
-            first_round = labels is None
-            is_pivot = (F.col("class") == F.col("pivot")) | (F.lit(not first_round) & (small | drawn))
-            pivots = open_.where(is_pivot).select("region", F.col("class").alias("p"), F.col("label").alias("p_label"))
-            x, y = F.col("class"), F.col("p")
+            n, x, y = F.col("n"), F.col("class"), F.col("p")
+            if links is None:  # the rings around the best pivots first: they settle most of the components
+                is_pivot, later = x == F.col("pivot"), F.lit(True)
+            else:
+                drawn = F.pmod(F.xxhash64("region", "class"), n) < F.sqrt("n").cast("bigint")
+                is_pivot = (n <= SMALL_REGION) | ((n > MIDDLE_REGION) & ((x == F.col("pivot")) | drawn))
+                later = n > MIDDLE_REGION
+            pivots = open_.where(is_pivot).select("region", x.alias("p"), F.col("label").alias("p_label"))
             pairs = (
                 open_.select("region", "class", "label")
                 .join(pivots, "region")
                 .where((x != y) & (F.col("label") != F.col("p_label")))
                 .select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-                .distinct()
             )
-            links = stage(links.unionByName(self.verified(pairs)), "links")
+            if links is not None:
+                pairs = pairs.unionByName(self._within(open_.where((n > SMALL_REGION) & (n <= MIDDLE_REGION))))
+            found = self.verified(pairs.distinct())
+            links = stage(found if links is None else links.unionByName(found), "links")
             labels = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
             labels = stage(labels, "labels")
-            # pairs with pivots are settled; so are regions that had every member as pivot
-            members = open_.where(~is_pivot).select("region", "class")
+            # pairs with pivots are settled; so are the regions that were compared as a whole
+            members = open_.where(~is_pivot & later).select("region", "class")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: documents link when 100 * intersection >= percent * union."""
     join = _Join(docs, n, percent, fold)
     nodes = join.profiles.select("doc_id", "size", "class")
-    links = join.links()
+    labels = join.labels()
     first = nodes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
-    labels = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
     # one row for each class with its component's smallest document
-    named = first.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    if labels is None:
+        named = first.withColumn("label", F.col("class"))
+    else:
+        named = first.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     named = stage(named, "classes")
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n_classes"))
-    of_class = stage(named.join(smallest, "label").select("class", "component_id", "n_classes"), "class-components")
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_class = stage(named.join(smallest, "label").select("class", "component_id"), "class-components")
     return nodes.join(of_class, "class", "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
