@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import codec, exact_dedup, jaccard_join, packing, quality
+from corpusloom.llm import (
+    codec,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    licenses,
+    line_dedup,
+    packing,
+    quality,
+    quotations,
+    secrets,
+)
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
-    "op10_bpe": codec.op10_bpe,
-    "op7_best_fit_packing": packing.op7_best_fit_packing,
-    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op2_license_scans": licenses.op2_license_scans,
+    "op3_chat_formatting": quotations.op3_chat_formatting,
+    "op4_secret_scans": secrets.op4_secret_scans,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_substring_dedup": line_dedup.op8_substring_dedup,
+    "op9_html_extraction": html_text.op9_html_extraction,
+    "op10_bpe": codec.op10_bpe,
 }
-SQL = quality.SQL | exact_dedup.SQL
+SQL = quality.SQL | exact_dedup.SQL | quotations.SQL
