@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stage
+from corpusloom.session import ship
+
+#: Up to so many links are joined in one task, in memory of a few MB; more of them by rounds over the cluster.
+FEW_LINKS = 100_000
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield pd.DataFrame({"node": pd.array(nodes, "int64"), "component": pd.array(list(map(find, nodes)), "int64")})
+
+    ship(links.sparkSession)
+    return links.coalesce(1).mapInPandas(run, "node bigint, component bigint")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(node, component) for the ends of links (a, b): component is the smallest node that can be reached.
 
-    Each round hangs every node's larger neighbours, then its smaller ones, on its smallest neighbour, until nothing
+    A small table of links, by its checked size, is joined in one task. Otherwise each round hangs every node's larger neighbours, then its smaller ones, on its smallest neighbour, until nothing
     changes; minima are combined before each shuffle and the joins' skewed keys can be split. No links, no rows.
     """
     a, b = F.col("a"), F.col("b")
+    if links.limit(few + 1).count() <= few:
+        return _in_one_task(links)
     edges = stage(
         links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links"
     )

@@ -11,10 +11,11 @@ from the start. The join is a recursion over regions around pivots:
     parts, which then count as cells too. So no link is lost.
 2.  Windows. m depends on the size, by bands; d >= 1 - |x|/|y| is the triangle inequality with the empty set, so a set
     belongs to its own band and, as a boundary document, to the band below if a linked set can lie there.
-3.  Inside a region the member that shares most cells with others is the pivot. Every member is compared with it exactly;
-    those within r form its ring and are one component. Members of regions that still span several components are joined
-    recursively: small regions directly, large ones around further pivots, which leave the region afterwards, until what
-    is left of them is small or one component.
+3.  Inside a region the member that shares most cells with others is the pivot. First every member is compared exactly
+    with one pivot, the best of its regions, then with one of another region; those within r form rings and are one
+    component. In regions that still span several components, every member outside the largest is compared with the
+    members of other components under the bounds of 4, block by block, and its nearest candidates exactly; regions with
+    candidates left recur with eight times as many, until none is left or one component remains.
 4.  Before sets are compared, pairs that cannot link are dropped by two exact bounds: sizes, and the L1 distance of
     the counts in SKETCH hash ranges, which never exceeds the number of differing n-grams.
 
@@ -42,7 +43,7 @@ from corpusloom.session import ship
 
 SLACK = 2
 SKETCH = 64
-SMALL_REGION, MIDDLE_REGION = 8, 1024
+SMALL_REGION, BLOCK, NEAREST = 4, 1024, 32
 BROADCAST_IDS = 1_000_000
 BLOCK_BYTES = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -295,25 +296,35 @@ class _Join:
             .select("a", "b")
         )
 
-    def _within(self, open_: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components in regions of up to MIDDLE_REGION members, less those that the bounds on
-        sizes and sketches rule out: one region at a time is compared in memory, and only what is left is emitted."""
+    def _within(self, open_: DataFrame, most: int) -> DataFrame:
+        """For each member outside its region's largest component its `most` nearest candidates (a, b) in others.
+
+        Regions are cut into blocks of about BLOCK members, and the outsiders are replicated to each: what a task holds
+        does not grow with the region, and bounds are compared without emitting pairs. A row (region, null) says that
+        candidates were left for a later round.
+        """
         p = self.percent
 
         def near(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            sizes, labels, ids = (frame[c].to_numpy() for c in ("size", "label", "class"))
+            sizes, labels, ids, asks = (frame[c].to_numpy() for c in ("size", "label", "class", "asks"))
             sketches = np.stack(frame["sketch"].to_numpy())
-            for i in range(len(frame) - 1):
-                rest = slice(i + 1, None)
-                ok = (labels[rest] != labels[i]) & (
-                    100 * np.minimum(sizes[rest], sizes[i]) >= p * np.maximum(sizes[rest], sizes[i])
+            held = np.flatnonzero(~asks)
+            left = False
+            for i in np.flatnonzero(asks):
+                ok = (labels[held] != labels[i]) & (
+                    100 * np.minimum(sizes[held], sizes[i]) >= p * np.maximum(sizes[held], sizes[i])
                 )
-                j = np.flatnonzero(ok) + i + 1
+                j = held[ok]
                 apart = np.abs(sketches[j] - sketches[i]).sum(1)
-                j = j[(100 + p) * apart <= (100 - p) * (sizes[j] + sizes[i])]
+                ok = (100 + p) * apart <= (100 - p) * (sizes[j] + sizes[i])
+                j, apart = j[ok], apart[ok]
+                if len(j) > most:
+                    left = True
+                    j = j[np.argsort(apart, kind="stable")[:most]]
                 if len(j):
-                    other = ids[j]
-                    yield pd.DataFrame({"a": np.minimum(other, ids[i]), "b": np.maximum(other, ids[i])})
+                    yield pd.DataFrame({"a": np.minimum(ids[j], ids[i]), "b": np.maximum(ids[j], ids[i])})
+            if left:
+                yield pd.DataFrame({"a": frame["region"].iloc[:1], "b": pd.array([None], "Int64")})
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = None
@@ -321,15 +332,32 @@ class _Join:
                 if not len(frame):
                     continue
                 frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-                last = frame["region"].to_numpy() == frame["region"].iloc[-1]  # it may go on in the next batch
+                keys = frame[["region", "block"]].to_numpy()
+                last = (keys == keys[-1]).all(1)  # it may go on in the next batch
                 held = frame[last]
-                for _, group in frame[~last].groupby("region", sort=False):
+                for _, group in frame[~last].groupby(["region", "block"], sort=False):
                     yield from near(group)
             if held is not None:
                 yield from near(held)
 
-        rows = open_.select("region", "class", "label").join(self.facts.select("class", "size", "sketch"), "class")
-        return rows.repartition("region").sortWithinPartitions("region", "class").mapInPandas(run, "a bigint, b bigint")
+        largest = (
+            open_.groupBy("region", "label")
+            .agg(F.count(F.lit(1)).alias("k"))
+            .groupBy("region")
+            .agg(F.max(F.struct("k", "label"))["label"].alias("largest"))
+        )
+        blocks = F.ceil(F.col("n") / BLOCK)
+        rows = open_.join(largest, "region").join(self.facts.select("class", "size", "sketch"), "class")
+        columns = ["region", "class", "label", "size", "sketch"]
+        inside = rows.select(*columns, F.pmod(F.xxhash64("class"), blocks).alias("block"), F.lit(False).alias("asks"))
+        outside = rows.where("label != largest").select(
+            *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(True).alias("asks")
+        )
+        key = ["region", "block"]
+        return (
+            inside.unionByName(outside).repartition(*key).sortWithinPartitions(*key, "class", "asks")
+            .mapInPandas(run, "a bigint, b bigint")
+        )
 
     def labels(self) -> DataFrame | None:
         """(class, label) of the classes that link with others; None if there are none."""
@@ -340,6 +368,7 @@ class _Join:
         weight = members.groupBy("region").agg(F.count(F.lit(1)).alias("w"))
         score = stage(members.join(weight, "region").groupBy("class").agg(F.sum("w").alias("score")), "scores")
         links = labels = None
+        turn = 0
         while True:
             m = members.join(score, "class")
             if labels is not None:
@@ -347,7 +376,6 @@ class _Join:
             else:
                 m = m.withColumn("label", F.col("class"))
             m = stage(m, "labelled")
-            best = F.max(F.struct(F.col("score"), (-F.col("class")).alias("neg")))
             regions = (
                 m.groupBy("region")
                 .agg(
@@ -355,38 +383,42 @@ class _Join:
                     F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"),
                     F.min("label").alias("lo"),
                     F.max("label").alias("hi"),
-                    (-best["neg"]).alias("pivot"),
+                    F.max(F.struct(F.col("score"), (-F.col("class")).alias("pivot"))).alias("best"),
                 )
                 .where("lo < hi")
                 .groupBy("n", "print")
-                .agg(F.min("region").alias("region"), F.first("pivot").alias("pivot"))
+                .agg(F.min("region").alias("region"), F.first("best").alias("best"))
             )
-            regions = stage(regions.select("region", "n", "pivot"), "regions")
+            regions = stage(regions.select("region", "n", "best.score", -F.col("best.pivot").alias("pivot")).toDF("region", "n", "pivot_score", "pivot"), "regions")
             if regions.isEmpty():
                 return labels
-            open_ = stage(m.join(regions, "region"), "open")
+            open_ = stage(m.drop("score").join(regions, "region"), "open")
             n, x, y = F.col("n"), F.col("class"), F.col("p")
-            if links is None:  # the rings around the best pivots first: they settle most of the components
-                is_pivot, later = x == F.col("pivot"), F.lit(True)
+            more: DataFrame | None = None
+            if turn < 2:
+                # rings first: every member meets one pivot, the best of all its regions, then one of a region drawn by hash
+                rank = F.col("pivot_score") if turn == 0 else F.xxhash64("region", "class")
+                drawn = open_.where("class != pivot").groupBy("class").agg(F.max(F.struct(rank, -F.col("pivot")))["col2"].alias("neg"))
+                pairs = drawn.select(x, (-F.col("neg")).alias("p")).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
             else:
-                drawn = F.pmod(F.xxhash64("region", "class"), n) < F.sqrt("n").cast("bigint")
-                is_pivot = (n <= SMALL_REGION) | ((n > MIDDLE_REGION) & ((x == F.col("pivot")) | drawn))
-                later = n > MIDDLE_REGION
-            pivots = open_.where(is_pivot).select("region", x.alias("p"), F.col("label").alias("p_label"))
-            pairs = (
-                open_.select("region", "class", "label")
-                .join(pivots, "region")
-                .where((x != y) & (F.col("label") != F.col("p_label")))
-                .select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+                small = open_.where(n <= SMALL_REGION)
+                other = small.select("region", x.alias("p"), F.col("label").alias("p_label"))
+                pairs = (
+                    small.join(other, "region").where((x < y) & (F.col("label") != F.col("p_label")))
+                    .select(x.alias("a"), y.alias("b"))
+                )
+                found = stage(self._within(open_.where(n > SMALL_REGION), NEAREST << (3 * (turn - 2))), "candidates")
+                pairs = pairs.unionByName(found.where("b IS NOT NULL"))
+                more = found.where("b IS NULL").select(F.col("a").alias("region")).distinct()
+            near = self.verified(pairs.distinct())
+            links = stage(near if links is None else links.unionByName(near), "links")
+            labels = stage(
+                connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label")), "labels"
             )
-            if links is not None:
-                pairs = pairs.unionByName(self._within(open_.where((n > SMALL_REGION) & (n <= MIDDLE_REGION))))
-            found = self.verified(pairs.distinct())
-            links = stage(found if links is None else links.unionByName(found), "links")
-            labels = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
-            labels = stage(labels, "labels")
-            # pairs with pivots are settled; so are the regions that were compared as a whole
-            members = open_.where(~is_pivot & later).select("region", "class")
+            members = open_.select("region", "class")
+            if more is not None:  # regions without candidates left are settled
+                members = members.join(more, "region", "left_semi")
+            turn += 1
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
