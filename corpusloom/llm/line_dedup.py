@@ -52,7 +52,8 @@ def _occurrences(docs: DataFrame, by: str, min_words: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for a, b in units(text or "", by):
+                text = text or ""
+                for a, b in units(text, by):
                     words = text[a:b].lower().split()
                     if len(words) >= min_words:
                         rows.append((doc, a, b, len(words), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
@@ -92,7 +93,7 @@ def without_repeats(docs: DataFrame, by: str = "line", min_words: int = MIN_WORD
     begin = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(r, lambda x: x["end"]))
     stop = F.concat(F.transform(r, lambda x: x["start"]), F.array(F.length("text").cast("bigint")))
     kept = F.zip_with(begin, stop, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    return joined.select(*[c for c in docs.columns if c != "text"], F.array_join(kept, "").alias("text"), "removed")
+    return joined.select(*[c for c in docs.columns if c != "text"], F.when(F.col("text").isNotNull(), F.array_join(kept, "")).alias("text"), "removed")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
