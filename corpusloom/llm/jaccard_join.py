@@ -6,9 +6,10 @@ from the start. The join is a recursion over regions around pivots:
 1.  Root regions. Unrelated texts all lie at a distance of about 1 from each other, so that around whole documents as
     pivots every window would take in every region. The root pivots are therefore taken in sub-universes: the hash range
     is cut into m parts, and a set restricted to one part is its own pivot, with the cell of all sets that are equal to
-    it there. d(x, y) <= r bounds the number of differing n-grams by K; with m = K + 1 + SLACK parts a linked pair lies in
-    the same cell in SLACK + 1 parts at least, of which no more than SLACK are empty unless both sets have more empty
-    parts, which then count as cells too. So no link is lost.
+    it there. d(x, y) <= r bounds the number of differing n-grams by K; with m = K + 1 + S parts a linked pair lies in the
+    same cell in S + 1 parts at least. Each set leaves out its S smallest cells, by (n-grams inside, part): the largest
+    cell that the pair shares is left out by neither, as it would go only after the S others. So no link is lost, and
+    cells of one or no n-gram, which unrelated texts share by chance, go first. S is SLACK per cent of K, 2 at least.
 2.  Windows. m depends on the size, by bands; d >= 1 - |x|/|y| is the triangle inequality with the empty set, so a set
     belongs to its own band and, as a boundary document, to the band below if a linked set can lie there.
 3.  Inside a region the member that shares most cells with others is the pivot. First every member is compared exactly
@@ -37,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stage, table
+from corpusloom.llm.common import partitions, stage, table
 from corpusloom.llm.graph import connected_components
 from corpusloom.session import ship
 
-SLACK = 2
+SLACK = 25
 SKETCH = 64
 SMALL_REGION, BLOCK, NEAREST = 4, 1024, 32
 BROADCAST_IDS = 1_000_000
 BLOCK_BYTES = 1 << 20
+SENT_CLASSES = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -173,22 +175,27 @@ class Bands:
         for k in self.of(len(grams)):
             if k == 0:
                 continue  # equal sets are one class already
-            m = self.differ(self.tops[k]) + 1 + SLACK
+            kept = self.differ(self.tops[k]) + 1
+            m = kept + max(2, kept * SLACK // 100)
             cuts = np.searchsorted(grams, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
             bounds = np.concatenate([[0], cuts, [len(grams)]])
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + _M[1]))])
             inside = np.diff(bounds)
             own = (total[bounds[1:]] - total[bounds[:-1]]) + np.arange(1, m + 1, dtype=np.uint64) * _M[0]
             cell = mix(own + np.uint64(k) * _M[2])
-            found.append(cell if (inside == 0).sum() > SLACK else cell[inside > 0])
+            found.append(cell[np.argsort(inside, kind="stable")[m - kept :]])
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def _profiles(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
-    """(doc_id, size, class, sketch, cells) of every document; class is null for an empty set."""
+    """(doc_id, size, class, sketch, cells) of every document; class is null for an empty set.
+
+    A task gives a class its cells once, so that a class of many copies isn't sent as often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
+        sent: set[int] = set()
         for batch in batches:
             size, group, sketch, cells = [], [], [], []
             for grams in gram_sets(batch.column("text").to_pylist(), n, fold):
@@ -198,7 +205,10 @@ def _profiles(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
                     group.append(int.from_bytes(digest, "little", signed=True))
                     counts = np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                     sketch.append(counts.astype(np.int32))
-                    cells.append(bands.cells(grams).view(np.int64))
+                    cells.append(None if group[-1] in sent else bands.cells(grams).view(np.int64))
+                    if len(sent) >= SENT_CLASSES:
+                        sent.clear()
+                    sent.add(group[-1])
                 else:
                     group.append(None)
                     sketch.append(None)
@@ -241,16 +251,20 @@ class _Join:
         self.sets: DataFrame | None = None
 
     def regions(self) -> DataFrame:
-        """(region, class) for the cells that hold more than one class; of regions with equal members one stays."""
-        cells = self.profiles.where("class IS NOT NULL").select("class", F.explode("cells").alias("region"))
-        shared = stage(
+        """(region, class) for the cells that hold more than one class.
+
+        Cells travel once: both sides of the join read the same exchange.
+        """
+        cells = self.profiles.where("cells IS NOT NULL").select("class", F.explode("cells").alias("region"))
+        cells = cells.repartition(partitions(self.docs.sparkSession), "region")
+        shared = (
             cells.groupBy("region")
             .agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
             .where("lo < hi")
-            .select("region"),
-            "shared-cells",
+            .select(F.col("region").alias("shared"))
         )
-        return stage(cells.join(shared, "region").distinct(), "members")
+        found = cells.join(shared.hint("shuffle_hash"), F.col("region") == F.col("shared"), "left_semi")
+        return stage(found.dropDuplicates(["region", "class"]), "members")
 
     def prepare(self, members: DataFrame) -> None:
         """Size, sketch and set of each class in a region, from its first document."""
