@@ -54,6 +54,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """One row for each key, written once to the shared folder, bucketed and sorted: joins on the key don't shuffle it."""
+    spark = df.sparkSession
+    n, path = partitions(spark), new_path(spark, name)
+    held = f"{name}_{uuid.uuid4().hex}"
+    one = df.repartition(n, key).dropDuplicates([key])
+    one.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(held)
+    found = spark.table(held)
+    spark.sql(f"DROP TABLE {held}")  # the entry only: an external table's files stay
+    return found
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, stage, table
+from corpusloom.llm.common import bucketed, stage, table
 from corpusloom.llm.graph import connected_components
 from corpusloom.session import ship
 
@@ -251,20 +251,11 @@ class _Join:
         self.sets: DataFrame | None = None
 
     def regions(self) -> DataFrame:
-        """(region, class) for the cells that hold more than one class.
-
-        Cells travel once: both sides of the join read the same exchange.
-        """
+        """(region, class) for the cells that hold more than one class. Cells travel once; a large region spills."""
         cells = self.profiles.where("cells IS NOT NULL").select("class", F.explode("cells").alias("region"))
-        cells = cells.repartition(partitions(self.docs.sparkSession), "region")
-        shared = (
-            cells.groupBy("region")
-            .agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-            .where("lo < hi")
-            .select(F.col("region").alias("shared"))
-        )
-        found = cells.join(shared.hint("shuffle_hash"), F.col("region") == F.col("shared"), "left_semi")
-        return stage(found.dropDuplicates(["region", "class"]), "members")
+        cell = Window.partitionBy("region")
+        found = cells.withColumn("lo", F.min("class").over(cell)).withColumn("hi", F.max("class").over(cell)).where("lo < hi")
+        return stage(found.dropDuplicates(["region", "class"]).select("region", "class"), "members")
 
     def prepare(self, members: DataFrame) -> None:
         """Size, sketch and set of each class in a region, from its first document."""
@@ -277,12 +268,11 @@ class _Join:
             .dropDuplicates(["class"]),
             "facts",
         )
-        ids = chosen.select("doc_id")
-        if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
+        ids = _broadcast_if_few(chosen.select("doc_id"))
         wanted = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        self.sets = stage(
-            _sets(wanted, self.n, self.fold).join(chosen, "doc_id").select("class", "grams").dropDuplicates(["class"]), "sets"
+        # bucketed: sets are sent once, not in every round
+        self.sets = bucketed(
+            _sets(wanted, self.n, self.fold).join(chosen, "doc_id").select("class", "grams"), "sets", "class"
         )
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -459,8 +449,13 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool
 def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The input rows without the documents that have a smaller one in their component."""
     found = similar_documents(docs, n, percent)
-    dropped = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = stage(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"), "dropped")
+    return docs.join(_broadcast_if_few(dropped), "doc_id", "left_anti").select(docs.columns)
+
+
+def _broadcast_if_few(ids: DataFrame) -> DataFrame:
+    """Up to BROADCAST_IDS ids, by their count in a written table, are sent to every task; more are shuffled."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
