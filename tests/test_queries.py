@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import acronym, sentences, tokens
 from corpusloom.operators import learning, ordering, retrieval
-from corpusloom.plans import registry
+from corpusloom.plans import registry, study  # noqa: F401
 from corpusloom.streaming.mastery import fold_assessments_stream
 
 FOLDER = "/root/testdata/sf0.001"
@@ -105,3 +105,25 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([], "query_id bigint, text string")
     assert retrieval.bm25(none, asked).count() == 0
     assert learning.fold_chat(spark.createDataFrame([], "learner int, concept string, seq int, op string")).count() == 0
+
+
+def test_replies_grades_and_statements_by_hand(spark):
+    said = [("I'm lost", True, 5), ("I'm lost", True, 0), ("can you rephrase", True, 0), ("so it is 4, right?", False, 0), ("ok", True, 0), (None, False, 0)]
+    m = spark.createDataFrame(said, "text string, has_history boolean, turns_since_progress int")
+    got = [(r.intent, r.mode) for r in study.S.reply_mode(m).collect()]
+    assert got == [("confusion", "explain"), ("confusion", "guide"), ("clarification", "explain"), ("confirmation", "quiz_back"), ("follow_up", "explain"), ("new_question", "explain")]
+    g = spark.createDataFrame(
+        [("mcq", "2", "2"), ("mcq", "x", "2"), ("true_false", " YES", "true"), ("true_false", "perhaps", "true"), ("fill_blank", "The-Cell!", "the cell"), ("fill_blank", None, "a")],
+        "kind string, answer string, expected string",
+    )
+    assert [r[0] for r in g.select(study.S.grade(F.col("kind"), F.col("answer"), F.col("expected"))).collect()] == [1, 0, 1, 0, 1, 0]
+    long = "word " * 60
+    d = spark.createDataFrame([(1, f"1.2 Cells divide in two equal parts. Do all cells divide this way too? cells divide in two equal parts. {long}"), (2, None), (3, "")], "doc_id int, text string")
+    got = {(r.doc_id, r.pos): r.statement for r in study.S.statements(d).collect()}
+    assert got[1, 0] == "Cells divide in two equal parts." and set(got) == {(1, 0), (1, 3)} and len(got[1, 3]) <= 180
+
+
+def test_distractors_fall_back_outside_the_band(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "doc_id int, embedding array<double>")
+    asked = v.where("doc_id = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    assert [(r.doc_id, r["rank"]) for r in study.S.distractors(v, asked, 2).orderBy("rank").collect()] == [(2, 1), (3, 2)]
