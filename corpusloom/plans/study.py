@@ -58,13 +58,13 @@ def jaccard_pairs(spark, sf):
 
 
 @query(f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
-n AS (SELECT p_partkey AS node_id, CASE WHEN p_size < 25 THEN 'concept' ELSE 'document' END AS type, {TOKENS.replace('text', "concat(p_name, ' ', p_type)")} AS w FROM part),
+n AS (SELECT conv_id * 1000 + turn AS node_id, CASE WHEN role = 'assistant' THEN 'concept' ELSE 'document' END AS type, {TOKENS} AS w FROM conversations),
 s AS (SELECT query_id, node_id, type, sum(CASE WHEN list_contains(w, term) THEN 3 ELSE 0 END
   + CASE WHEN length(term) >= 5 AND len(list_filter(w, lambda x: contains(x, term))) > 0 THEN 1 ELSE 0 END) AS hits FROM q, n GROUP BY ALL)
 SELECT query_id, node_id, CAST(hits AS DOUBLE) + CASE WHEN type = 'concept' THEN 0.5 ELSE 0 END AS score FROM s WHERE hits > 0""")
 def node_scoring(spark, sf):
-    kind = F.when(F.col("p_size") < 25, "concept").otherwise("document")
-    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), kind.alias("type"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    kind = F.when(F.col("role") == "assistant", "concept").otherwise("document")
+    nodes = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node_id"), kind.alias("type"), "text")
     terms = _questions(spark, sf).select("query_id", F.explode(S.tokens(F.col("text"))).alias("term"))
     return S.node_scores(nodes, terms)
 
@@ -130,9 +130,9 @@ def short_answer_score(spark, sf):
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations)
-SELECT conv_id, turn FROM t WHERE length(t) >= 4 AND t NOT IN {S.GREETINGS} AND (contains(t, '?') OR {' OR '.join(f"starts_with(t, '{s}')" for s in S.STARTERS)})""")
+SELECT conv_id, turn, length(t) >= 4 AND t NOT IN {S.GREETINGS} AND (contains(t, '?') OR {' OR '.join(f"starts_with(t, '{s}')" for s in S.STARTERS)}) AS asks FROM t""")
 def learning_question_filter(spark, sf):
-    return table(spark, sf, "conversations").where(S.is_learning_question(F.col("text"))).select("conv_id", "turn")
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.is_learning_question(F.col("text")).alias("asks"))
 
 
 def _has(phrases: tuple[str, ...]) -> str:
