@@ -45,7 +45,8 @@ from corpusloom.session import ship
 SLACK = 25
 SKETCH = 64
 SMALL_REGION, BLOCK, NEAREST = 4, 1024, 32
-BROADCAST_IDS = 1_000_000
+#: Tables of up to so many rows, by their count, are sent to every task: ids; regions; classes, with sketches of 256 bytes.
+BROADCAST_IDS, BROADCAST_REGIONS, BROADCAST_CLASSES = 1_000_000, 250_000, 50_000
 BLOCK_BYTES = 1 << 20
 SENT_CLASSES = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -260,21 +261,22 @@ class _Join:
     def prepare(self, members: DataFrame) -> None:
         """Size, sketch and set of each class in a region, from its first document."""
         inside = members.select("class").distinct()
-        first = self.profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-        chosen = stage(first.join(inside, "class", "left_semi"), "chosen")
-        self.facts = stage(
-            self.profiles.select("doc_id", "class", "size", "sketch")
-            .join(chosen.hint("shuffle_hash"), ["doc_id", "class"], "left_semi")
-            .dropDuplicates(["class"]),
-            "facts",
-        )
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "size", "sketch"))
+        found = self.profiles.join(inside, "class", "left_semi").groupBy("class").agg(first.alias("f"))
+        self.facts = stage(found.select("class", "f.doc_id", "f.size", "f.sketch"), "facts")
+        self.few = self.facts.count() <= BROADCAST_CLASSES
+        chosen = self.facts.select("class", "doc_id")
         ids = _broadcast_if_few(chosen.select("doc_id"))
         wanted = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
         # bucketed: sets are sent once, not in every round
         self.sets = bucketed(
-            _sets(wanted, self.n, self.fold).join(chosen, "doc_id").select("class", "grams"), "sets", "class"
+            _sets(wanted, self.n, self.fold).join(self._sent(chosen), "doc_id").select("class", "grams"), "sets", "class"
         )
 
+    def _sent(self, classes: DataFrame) -> DataFrame:
+        """A table with a row for each class in a region, or fewer; sent to every task if there are few classes."""
+        return F.broadcast(classes) if self.few else classes
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes those that link. Sketches travel first, sets only for pairs that may link."""
         p = self.percent
@@ -284,8 +286,8 @@ class _Join:
         apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
         sizes = F.col("n_a") + F.col("n_b")
         near = stage(
-            pairs.join(side("a"), "a")
-            .join(side("b"), "b")
+            pairs.join(self._sent(side("a")), "a")
+            .join(self._sent(side("b")), "b")
             .where(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
             .where((100 + p) * apart <= (100 - p) * sizes)
             .select("a", "b", "n_a", "n_b"),
@@ -351,7 +353,7 @@ class _Join:
             .agg(F.max(F.struct("k", "label"))["label"].alias("largest"))
         )
         blocks = F.ceil(F.col("n") / BLOCK)
-        rows = open_.join(largest, "region").join(self.facts.select("class", "size", "sketch"), "class")
+        rows = open_.join(largest, "region").join(self._sent(self.facts.select("class", "size", "sketch")), "class")
         columns = ["region", "class", "label", "size", "sketch"]
         inside = rows.select(*columns, F.pmod(F.xxhash64("class"), blocks).alias("block"), F.lit(False).alias("asks"))
         outside = rows.where("label != largest").select(
@@ -374,9 +376,9 @@ class _Join:
         links = labels = None
         turn = 0
         while True:
-            m = members.join(score, "class")
+            m = members.join(self._sent(score), "class")
             if labels is not None:
-                m = m.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+                m = m.join(self._sent(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
             else:
                 m = m.withColumn("label", F.col("class"))
             m = stage(m, "labelled")
@@ -396,7 +398,7 @@ class _Join:
             regions = stage(regions.select("region", "n", "best.score", -F.col("best.pivot").alias("pivot")).toDF("region", "n", "pivot_score", "pivot"), "regions")
             if regions.isEmpty():
                 return labels
-            open_ = stage(m.drop("score").join(regions, "region"), "open")
+            open_ = stage(m.drop("score").join(_broadcast_if_few(regions, BROADCAST_REGIONS), "region"), "open")
             n, x, y = F.col("n"), F.col("class"), F.col("p")
             more: DataFrame | None = None
             if turn < 2:
@@ -453,9 +455,9 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> Da
     return docs.join(_broadcast_if_few(dropped), "doc_id", "left_anti").select(docs.columns)
 
 
-def _broadcast_if_few(ids: DataFrame) -> DataFrame:
-    """Up to BROADCAST_IDS ids, by their count in a written table, are sent to every task; more are shuffled."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+def _broadcast_if_few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Up to `most` rows, by their count in a written table, are sent to every task; more are shuffled."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
