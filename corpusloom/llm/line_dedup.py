@@ -1,14 +1,17 @@
 """Substring dedup by hashing lines or paragraphs.
 
-A unit is a line (or a paragraph between empty lines) of at least `min_words` words; its digest is taken over the text in
-lower case with single blanks. Digests are grouped over the whole corpus, the occurrence with the smallest (doc_id,
-start) stays, and every other one is a span to remove, with its offsets in the original text.
+A unit is a line, a paragraph between empty lines, or, by "both", every line and every paragraph that has words on two
+lines or more; its digest is taken over the text in lower case with single blanks, so that a passage is found however it
+is wrapped. A unit has a word at least; a larger minimum is an option. Digests are grouped over the whole corpus, the
+occurrence with the smallest (doc_id, start) stays, and every other one is a span to remove, with its offsets in the
+original text. By "both", spans of a paragraph and of its lines may overlap; every removal points to an earlier place of
+the same words, so each word keeps a place that no span covers.
 
 Only (digest, doc_id, start, end) rows leave the tasks that read the texts. Groups are counted with map-side combining;
 the join back to the occurrences has no operator above it that needs a key's rows together, so that Spark may split the
 occurrences of a digest that is everywhere.
 
-Defined results: a null or empty text has no units; shorter units are never touched; repeated rows with one doc_id repeat
+Defined results: a null or empty text has no units; units below the minimum are never touched; repeated rows with one doc_id repeat
 its units at equal positions, of which each beyond the first row is a copy only if it stands elsewhere; a null doc_id
 ranks last; an empty table gives no rows; other columns are ignored.
 """
@@ -20,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stage, table
@@ -32,6 +35,13 @@ _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 
 def units(text: str, by: str = "line") -> Iterator[tuple[int, int]]:
     """(start, end) of each unit, code points, end exclusive."""
+    if by == "both":
+        yield from units(text)
+        if "\n" in text.strip():  # else there is one line with words, given above
+            for a, b in units(text, "paragraph"):
+                if "\n" in text[a:b].strip():
+                    yield a, b
+        return
     start = 0
     if by == "paragraph":
         for m in _PARAGRAPH.finditer(text):
@@ -84,8 +94,12 @@ def repeated_units(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS
 
 
 def without_repeats(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """The input rows with repeated units cut out of the text, and `removed`: their (start, end) in the original."""
-    spans = repeated_units(docs, by, min_words).groupBy("doc_id").agg(
+    """The input rows with repeated units cut out of the text, and `removed`: their (start, end) in the original, what
+    overlaps an earlier span taken off."""
+    earlier = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    apart = repeated_units(docs, by, min_words).where("doc_id IS NOT NULL").select("doc_id", "start", "end").distinct()
+    apart = apart.withColumn("start", F.greatest("start", F.max("end").over(earlier))).where("start < end")
+    spans = apart.groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")
     )
     joined = docs.join(spans, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
@@ -97,4 +111,4 @@ def without_repeats(docs: DataFrame, by: str = "line", min_words: int = MIN_WORD
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"))
+    return repeated_units(table(spark, sf_dir, "documents"), by="both", min_words=1)

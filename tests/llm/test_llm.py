@@ -264,6 +264,21 @@ def test_line_dedup(spark, edge):
     assert line_dedup.repeated_units(edge).count() >= 0
 
 
+def test_substring_dedup_takes_short_lines_and_wrapped_passages(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    wrap = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
+    rows = [(1, f"Read more here\n\n{wrap(12)}\n\nown"), (2, f"other\n\n{wrap(15)}\n \nread  more here"), (3, " ".join(words).upper()), (4, "\n \n"), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.start, r.end, r.keep_doc_id, r.keep_start) for r in line_dedup.op8_substring_dedup(spark, str(tmp_path)).collect()}
+    n = len(wrap(12))
+    assert got == {(2, 7, 7 + n, 1, 16), (2, 10 + n, 25 + n, 1, 0), (3, 0, n, 1, 16)}
+    left = {r.doc_id: r.text for r in line_dedup.without_repeats(d, "both", 1).collect()}
+    assert left == {1: rows[0][1], 2: "other\n\n\n \n", 3: "", 4: "\n \n", 5: None}
+    twice = spark.createDataFrame([(1, rows[0][1]), (2, rows[0][1] + "!")], d.schema)  # lines inside a paragraph
+    assert [r.text for r in line_dedup.without_repeats(twice, "both", 1).where("doc_id = 2").collect()] == ["\n\n\n\nown!"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body>
 <header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id=content><h1>Big&nbsp;title &amp; more</h1><p>First <b>bold</b> paragraph
