@@ -80,6 +80,17 @@ def test_certified_cutoffs_hold_on_simulated_labels(spark):
     assert all(got[r[0]] for r in good) and not any(got[r[0]] for r in junk)
 
 
+def test_joint_cutoffs_hold_on_few_labels(spark):
+    good = [(i, " ".join(f"w{i}x{j}" for j in range(60)), ["de", "en", "es", "fr"][i % 4]) for i in range(400)]
+    junk = [(i + 2000, " ".join(f"j{i}x{j}#" for j in range(60)), ["de", "en", "es", "fr"][i % 4]) for i in range(20)]
+    loud = [(i + 3000, " ".join(f"l{i}x{j}#" for j in range(60)), "it") for i in range(200)]  # what good documents do here
+    few = [(i + 4000, " ".join(f"f{i}x{j}#" for j in range(60)), "nl") for i in range(20)]
+    d = spark.createDataFrame(good + junk + loud + few, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r not in junk), 0) for r in good + junk + loud + few], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id for r in quality.keep_good_documents(d, labels).collect()}
+    assert got == {r[0] for r in good + loud + few}
+
+
 def test_exact_dedup(spark, edge, docs):
     for d in (edge, docs):
         rows = d.select("doc_id", "text").collect()
