@@ -6,9 +6,9 @@ quotes and each of its lines. Within a conversation the hashes join: a message r
 best - whole passages before single lines, then the larger number of them, then the later message - and without a
 match to the turn before it. Replies are followed to the roots by doubling.
 
-Everything is DataFrame operations. Joins go by (conversation, hash) and (conversation, turn), and the messages that hold
-a hash are reduced to the first of them before, so that neither a long conversation nor a phrase that all use meets in one
-task.
+Everything is DataFrame operations. Joins go by (conversation, hash) and (conversation, turn). Every earlier message that
+holds a quoted hash is counted; a hash that more than HOLDERS messages of a conversation hold is salted, so that a phrase
+that all use meets in no one task. The pairs of quoting and holding messages of such a phrase are all counted.
 
 Defined results: a null text is empty; a message of quotes only has an empty text; a null role passes through; rows that
 repeat conv_id and turn are one message, the smallest text standing for it; a turn whose predecessor is missing is a root;
@@ -17,13 +17,15 @@ rows with a null conv_id or turn are roots; other columns are ignored; an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import let, stage, table
 
 QUOTE = r"^((?:[ \t]{0,3}>)+)[ ]?"
 MIN_UNIT_CHARS = 8
+#: Messages that hold a hash, to a salt.
+HOLDERS = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -92,19 +94,31 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     quotes = stage(quotes.select("conv_id", "turn", "passage", "u.hash", "u.whole"), "quoted-units")
     asked = quotes.select("conv_id", "hash").distinct()
     held = (
-        m.select("conv_id", "turn", F.explode(_units(F.col("text"))).alias("u"))
-        .select("conv_id", "turn", "u.hash")
-        .groupBy("conv_id", "hash")
-        .agg(F.min("turn").alias("origin"))
+        m.select("conv_id", F.col("turn").alias("origin"), F.explode(_units(F.col("text"))).alias("u"))
+        .select("conv_id", "origin", "u.hash")
+        .join(asked, ["conv_id", "hash"], "left_semi")
+        .distinct()
+    )
+    held = stage(held, "holders")
+    sizes = held.groupBy("conv_id", "hash").agg(
+        F.min("origin").alias("first"), F.ceil(F.count(F.lit(1)) / HOLDERS).cast("int").alias("salts")
+    )
+    sizes = stage(sizes, "holder-counts")
+    found = quotes.join(sizes, ["conv_id", "hash"]).where("first < turn")
+    n_linked = found.groupBy("conv_id", "turn").agg(F.size(F.collect_set("passage")).cast("bigint").alias("n_linked"))
+    salted = held.join(sizes, ["conv_id", "hash"]).withColumn("salt", F.pmod(F.xxhash64("origin"), F.col("salts")).cast("int"))
+    hits = (
+        found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .select("conv_id", "hash", "salt", "turn", "whole")
+        .join(salted.select("conv_id", "hash", "salt", "origin"), ["conv_id", "hash", "salt"])
+        .where("origin < turn")
     )
-    hits = quotes.join(held.join(asked, ["conv_id", "hash"], "left_semi"), ["conv_id", "hash"]).where("origin < turn")
     per_origin = hits.groupBy("conv_id", "turn", "origin").agg(
-        F.count_if("whole").alias("n_whole"), F.count(F.lit(1)).alias("n_units"), F.collect_set("passage").alias("found")
+        F.count_if("whole").alias("n_whole"), F.count(F.lit(1)).alias("n_units")
     )
     linked = per_origin.groupBy("conv_id", "turn").agg(
-        F.max(F.struct("n_whole", "n_units", "origin"))["origin"].alias("quoted_turn"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("bigint").alias("n_linked"),
-    )
+        F.max(F.struct("n_whole", "n_units", "origin"))["origin"].alias("quoted_turn")
+    ).join(n_linked, ["conv_id", "turn"])
     before = m.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     replies = stage(
         m.join(linked, ["conv_id", "turn"], "left")
@@ -146,8 +160,40 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
 
 def ordered_conversations(linked: DataFrame) -> DataFrame:
-    """Messages in reply order: by root, depth, and turn, numbered within the conversation by their sort key."""
-    return linked.withColumn("reply_order", F.struct("root_turn", "depth", "turn")).sort("conv_id", "reply_order")
+    """Adds `position`: 0, 1, ... within the conversation in depth-first reply order, replies to one message and roots by
+    turn; null where conv_id or turn is null.
+
+    The walk enters and leaves every message; each of these steps knows the next one, and the messages entered from a step
+    to the end are counted by doubling.
+    """
+    m = stage(linked.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "reply_to"), "tree")
+    first = m.where("reply_to IS NOT NULL").groupBy("conv_id", "reply_to").agg(F.min("turn").alias("child"))
+    beside = F.lead("turn").over(Window.partitionBy("conv_id", "reply_to").orderBy("turn"))
+    t = m.withColumn("beside", beside).join(first.withColumnRenamed("reply_to", "turn"), ["conv_id", "turn"], "left")
+    into = t.select(
+        "conv_id", "turn", F.lit(False).alias("up"), F.coalesce("child", "turn").alias("next"),
+        F.col("child").isNull().alias("next_up"), F.lit(1).cast("bigint").alias("n"),
+    )
+    out = t.select(
+        "conv_id", "turn", F.lit(True).alias("up"), F.coalesce("beside", "reply_to").alias("next"),
+        F.col("beside").isNull().alias("next_up"), F.lit(0).cast("bigint").alias("n"),
+    )
+    walk = stage(into.unionByName(out), "walk")
+    while not walk.where("next IS NOT NULL").isEmpty():
+        jump = walk.select(
+            "conv_id", F.col("turn").alias("next"), F.col("up").alias("next_up"), F.col("next").alias("after"),
+            F.col("next_up").alias("after_up"), F.col("n").alias("more"),
+        )
+        walk = stage(
+            walk.join(jump, ["conv_id", "next", "next_up"], "left").select(
+                "conv_id", "turn", "up", F.col("after").alias("next"), F.col("after_up").alias("next_up"),
+                (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
+            ),
+            "walk",
+        )
+    total = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total"))
+    place = walk.where("NOT up").join(total, "conv_id").select("conv_id", "turn", (F.col("total") - F.col("n")).alias("position"))
+    return linked.join(place, ["conv_id", "turn"], "left").select(*linked.columns, "position")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

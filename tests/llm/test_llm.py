@@ -358,6 +358,22 @@ def test_quotations(spark):
     assert (got[2, 5].reply_to, got[2, 5].text, got[2, 5].depth) == (None, "", 0)
 
 
+def test_quotations_weigh_every_holder(spark, monkeypatch):
+    a, b, c = "the first of these lines", "the second of these lines", "the third of these lines"
+    rows = [(1, 0, "hello everyone"), (1, 1, "a text that stands twice"), (1, 3, f"{a}\nby one\n{b}"), (1, 5, "a text that stands twice"),
+            (1, 6, "> a text that stands twice\nyes"), (1, 8, f"{a}\nby two\n{b}\nand\n{c}"), (1, 9, f"> {a}\n> {b}\n> {c}\nno"),
+            (1, 10, "> a text that stands twice\nmore"), (2, 0, None), (None, 1, "x"), (2, None, "y")]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").withColumn("role", F.lit("user"))
+    for holders in (1000, 1):  # with one holder to a salt, every shared text is salted
+        monkeypatch.setattr(quotations, "HOLDERS", holders)
+        linked = quotations.link_quotations(d)
+        got = {(r.conv_id, r.turn): r.reply_to for r in linked.collect()}
+        assert (got[1, 6], got[1, 9], got[1, 10]) == (5, 8, 5)
+    placed = {(r.conv_id, r.turn): r.position for r in quotations.ordered_conversations(linked).collect()}
+    assert len(placed) == len(rows) and placed[2, 0] == 0 and placed[None, 1] is None and placed[2, None] is None
+    assert [t for _, t in sorted((p, k[1]) for k, p in placed.items() if k[0] == 1)] == [0, 1, 3, 5, 6, 10, 8, 9]
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_match_sql(spark, name):
     c = duckdb.connect()
