@@ -5,7 +5,8 @@ characters a tag, adjusted for links against the page's own share of link text;
 densities. The node with the largest sum is the core; the least density on the path from it to the body is the threshold.
 The result is the core, widened to the article or main element that it stands in, or else joined by those siblings of the
 path that reach the threshold. Elements that by their tag, role, or class are no part of an article (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out before anything is counted.
+footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out before anything is counted; inside an
+article or main element a class does so only on a container and only as a whole, and an id never. Formulas are text.
 
 Pages are parsed whole where they are read, one at a time; nothing is shuffled.
 
@@ -29,7 +30,8 @@ from corpusloom.session import ship
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object|select|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>"  # closes itself
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|object|select|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?(?P<odd>[a-zA-Z][^\s/>]*)[^>]*+(?:>|\Z)",
     re.S | re.I,
@@ -38,9 +40,13 @@ ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))|(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr img br".split()
+    "strike strong sub sup time tt u var wbr img br math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder "
+    "mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose mspace semantics annotation "
+    "annotation-xml".split()
+)
+OUT = frozenset(
+    "nav footer aside form head button dialog menu audio video canvas input annotation annotation-xml mphantom".split()
 )
-OUT = frozenset("nav footer aside form head button dialog menu audio video canvas input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|nav|navbar|"
@@ -50,6 +56,12 @@ NAMES = re.compile(
     r"(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article only these are left out by a class, and only if one of its names is of NAMES, all else of it being PARTS.
+CONTAINERS = frozenset("div section ul ol dl table figure center".split())
+PARTS = frozenset(
+    "area articles bar block box buttons container content icons inner items links list outer panel posts section slot "
+    "stories unit wrap wrapper".split()
+)
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header|topbar)(?:$|[\s_-])", re.I)
 KEPT_WHOLE = frozenset("html body article main".split())
 #: Start tag: open elements that it closes, and where the search for them ends.
@@ -62,6 +74,18 @@ ENDS = LIST_ENDS | TABLE_ENDS
 SCOPES = frozenset("html body div article section main td th table li blockquote figure button".split())
 
 
+def _named_out(tag: str, name: str, value: str, inside_article: bool) -> bool:
+    if not inside_article:
+        return bool(NAMES.search(value) or HEADERS.search(value))
+    if name == "id" or tag not in CONTAINERS:  # ids are made of headings there
+        return False
+    for token in value.split():
+        own = [p for p in re.split("[_-]", token.lower()) if p and p not in PARTS]
+        if own and all(map(NAMES.fullmatch, own)):
+            return True
+    return False
+
+
 def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
     if tag in OUT or (tag == "header" and not inside_article):
         return True
@@ -70,7 +94,7 @@ def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
     for m in ATTR.finditer(attrs):
         name = (m[1] or m[5]).lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and (NAMES.search(value) or (not inside_article and HEADERS.search(value))):
+        if name in ("class", "id") and _named_out(tag, name, value, inside_article):
             return True
         if name == "role" and value.lower() in ROLES:
             return True

@@ -331,6 +331,16 @@ def test_html(spark):
         assert r.text == "\n\n".join(filter(None, blocks))
 
 
+def test_html_keeps_all_of_an_article():
+    page = """<body><nav>Menu</nav><article><h1>Results</h1><svg class="icon" viewBox='0 > 1'/><p>After the icon.</p>
+<h2 id="side-effects">Side effects</h2><p>Few were seen.</p><section id="related-work"><p>Others did this.</p></section>
+<div id="social-impact" class="legal-analysis"><p>It matters.</p></div><p>So <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn>
+<annotation>x=2</annotation></math> holds.</p><object data="a.swf" /><svg><text>drawn</text></svg><p>The end.</p>
+<div class="ad">Buy</div><ul class="box related-posts"><li>Read more</li></ul></article><footer>f</footer></body>"""
+    want = "Results|After the icon.|Side effects|Few were seen.|Others did this.|It matters.|So x=2 holds.|The end."
+    assert html_text.main_text(page).split("\n\n") == want.split("|")
+
+
 def test_licenses(spark, docs, edge):
     body = " ".join(f"noise{i}" for i in range(300))
     rows = [(1, f"{body} {licenses.TEMPLATES['MIT-grant']} {body}"), (2, "Released under the MIT License."), (3, body), (4, None), (5, f"{body}\nAll rights reserved.")]
