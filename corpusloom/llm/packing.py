@@ -6,8 +6,10 @@ lengths). Pieces are placed longest first into the open sequence that is feasibl
 smallest weighted norm of what remains, or the largest weighted dot product of demand and residual.
 
 Texts are tokenised where they are read; only (id, length, checksum) rows are shuffled, by a hash of document and piece,
-so that every partition holds the same mix of lengths and no document's pieces meet in one task. A partition packs
-blocks of at most BLOCK pieces, so a task's memory does not grow with the corpus.
+so that every partition holds the same mix of lengths and no document's pieces meet in one task. The pieces are counted
+and dealt to one task for each BLOCK of them, so a task's memory does not grow with the corpus and the result does not
+depend on the session's partitions. Sequences that are not full are then packed again, as items, in rounds over fewer
+blocks until one block holds them all or a round joins none.
 
 Defined results: a null or empty text is the separator alone; a null doc_id is carried along; repeated rows are packed
 each; an empty table gives no rows; ties in length go by the order of hash, doc_id and piece, so a retried task packs the
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import json_encoder
-from corpusloom.llm.common import partitions, table
+from corpusloom.llm.common import stage, table
 from corpusloom.session import ship
 
 SEQUENCE_TOKENS = 2048
@@ -62,9 +64,11 @@ def pieces(docs: DataFrame, path: str, max_tokens: int = SEQUENCE_TOKENS) -> Dat
 
 
 def best_fit(
-    lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float], score: str = "norm"
+    lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float], score: str = "norm",
+    counts: np.ndarray | None = None, attention: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length, placed longest first; ties in the order given."""
+    """(bin, offset) of each length, placed longest first; ties in the order given. Items of several pieces bring their
+    numbers of pieces and attention costs."""
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     cap, w = np.array(capacity, float), np.array(weights, float)
@@ -73,7 +77,7 @@ def best_fit(
     m = made = 0
     for i in np.argsort(-lengths, kind="stable").tolist():
         size = float(lengths[i])
-        need = np.array([size, 1.0, size * size])
+        need = np.array([size, 1.0 if counts is None else counts[i], size * size if attention is None else attention[i]])
         best = -1
         if m:
             rest = left[:m] - need
@@ -107,12 +111,15 @@ def pack(
     """Adds sequence_id and offset to pieces."""
     capacity = (max_tokens, max_pieces, max_attention or max_tokens**2)
 
+    spark = found.sparkSession
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, held, count = TaskContext.get().partitionId() << 33, [], 0
 
         def packed(frame: pd.DataFrame) -> pd.DataFrame:
             nonlocal base
-            bins, offsets = best_fit(frame["length"].to_numpy(), capacity, weights, score)
+            more = (frame["n"].to_numpy(), frame["attention"].to_numpy()) if "n" in frame else ()
+            bins, offsets = best_fit(frame["length"].to_numpy(), capacity, weights, score, *more)
             out = frame.assign(sequence_id=bins + base, offset=offsets)
             base += int(bins.max()) + 1
             return out
@@ -120,20 +127,48 @@ def pack(
         for frame in frames:
             held.append(frame)
             count += len(frame)
-            while count >= BLOCK:
+            while count >= 2 * BLOCK:  # hashing deals somewhat more than BLOCK to some tasks
                 whole = pd.concat(held, ignore_index=True)
                 yield packed(whole.iloc[:BLOCK].reset_index(drop=True))
                 held, count = [whole.iloc[BLOCK:]], count - BLOCK
         if count:
             yield packed(pd.concat(held, ignore_index=True))
 
-    ship(found.sparkSession)
+    ship(spark)
+    found = stage(found, "pieces")
+    blocks = max(1, -(-found.count() // BLOCK))
     key = F.xxhash64("doc_id", "piece")
-    return (
-        found.repartition(partitions(found.sparkSession), key)
+    placed = (
+        found.repartition(blocks, key)
         .sortWithinPartitions(key, "doc_id", "piece")
         .mapInPandas(run, PIECE_SCHEMA + ", sequence_id bigint, offset bigint")
     )
+    while blocks > 1:
+        placed = stage(placed, "placed")
+        square = F.col("length").cast("double") * F.col("length")
+        items = placed.groupBy(F.col("sequence_id").alias("item")).agg(
+            F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.sum(square).alias("attention")
+        )
+        items = stage(items.where((F.col("length") < max_tokens) & (F.col("n") < capacity[1])), "unfilled")
+        n = items.count()
+        blocks = min(blocks - 1, max(1, -(-n // BLOCK)))
+        mixed = F.xxhash64("item")
+        again = stage(
+            items.repartition(blocks, mixed).sortWithinPartitions(mixed, "item").mapInPandas(
+                run, "item bigint, length bigint, n bigint, attention double, sequence_id bigint, offset bigint"
+            ),
+            "repacked",
+        )
+        if again.select("sequence_id").distinct().count() == n:
+            break
+        to = again.select(F.col("item").alias("sequence_id"), F.col("sequence_id").alias("to"), F.col("offset").alias("shift"))
+        # sequences that stay as they are take odd ids, the new ones even ids
+        placed = placed.join(to, "sequence_id", "left").select(
+            "doc_id", "piece", "start", "length", "ids_crc32",
+            F.when(F.col("to").isNull(), F.col("sequence_id") * 2 + 1).otherwise(F.col("to") * 2).alias("sequence_id"),
+            (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
+        )
+    return placed
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, **limits) -> DataFrame:

@@ -220,6 +220,23 @@ def test_packing(spark, edge, docs):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [32_768, 40])
+def test_packing_needs_few_sequences_at_any_partitions(spark, monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    rng, made = random.Random(2), []
+    rows = [(i, 0, 0, rng.randint(20, 900), 0) for i in range(300)]
+    lower = -(-sum(r[3] for r in rows) // 1000)
+    for n in ("4", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = packing.pack(spark.createDataFrame(rows, packing.PIECE_SCHEMA), 1000).toPandas()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        placed = got.sort_values(["sequence_id", "offset"])
+        sums = placed.groupby("sequence_id").length
+        assert len(got) == 300 and (sums.cumsum() - placed.length == placed.offset).all() and sums.sum().max() <= 1000
+        made.append(got.sequence_id.nunique())
+    assert made[0] == made[1] <= lower * (1.06 if block > 300 else 1.12)
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     lengths = np.random.default_rng(0).integers(1, 100, 500)
