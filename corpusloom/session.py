@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -20,3 +22,67 @@ def ship(spark: SparkSession) -> None:
         copy = shutil.copytree(root, Path(folder, "src", root.name), ignore=shutil.ignore_patterns("__pycache__"))
         sc.addPyFile(shutil.make_archive(str(Path(folder, root.name)), "zip", copy.parent))
         _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not folder:
+        if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
+            return held.get()
+        folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    elif not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: later steps and retries start from that table."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_few(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Up to `most` rows, by their count in a written table, are sent to every task; more are shuffled."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+class Scratch:
+    """Tables written on the way to a result, deleted when nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.spark: SparkSession | None = None
+        self.paths: list[str] = []
+
+    def _path(self, df: DataFrame, name: str) -> str:
+        self.spark = df.sparkSession
+        self.paths.append(new_path(self.spark, name))
+        return self.paths[-1]
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._path(df, name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """One row for each key, bucketed and sorted: joins on the key don't shuffle it."""
+        spark, held = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        one = df.repartition(n, key).dropDuplicates([key])
+        one.write.bucketBy(n, key).sortBy(key).option("path", self._path(df, name)).saveAsTable(held)
+        found = spark.table(held)
+        spark.sql(f"DROP TABLE {held}")  # the entry only: an external table's files stay
+        return found
+
+    def clear(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
