@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import broadcast_if_few, new_path, stage  # noqa: F401  for the other modules
+
 #: White space that separates words: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,41 +30,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not folder:
-        if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
-            return held.get()
-        folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps and retries start from that table."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """One row for each key, written once to the shared folder, bucketed and sorted: joins on the key don't shuffle it."""
-    spark = df.sparkSession
-    n, path = partitions(spark), new_path(spark, name)
-    held = f"{name}_{uuid.uuid4().hex}"
-    one = df.repartition(n, key).dropDuplicates([key])
-    one.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(held)
-    found = spark.table(held)
-    spark.sql(f"DROP TABLE {held}")  # the entry only: an external table's files stay
-    return found
+def without(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, key) has no verdict `keep` = false; where `keep` is true one row of (doc_id, key) stays.
+
+    verdicts (doc_id, key, keep) has a row for each (doc_id, key) to drop, or of which one row of several is to stay, so
+    that rows which repeat everything don't both go or both stay. doc_id may be null.
+    """
+    names = [f"{n}_{uuid.uuid4().hex}" for n in ("id", "unknown", "key", "keep")]
+    asked = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.col("doc_id").isNull(), key]
+    marked = docs.withColumns(dict(zip(names, asked)))
+    known = verdicts.select(
+        F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), F.col("key").alias(names[2]), F.col("keep").alias(names[3])
+    )
+    on = names[:3]
+    left = marked.join(broadcast_if_few(known), on, "left_anti").select(docs.columns)
+    again = known.where(F.col(names[3]))
+    if again.isEmpty():
+        return left
+    return left.unionByName(marked.join(broadcast_if_few(again), on).dropDuplicates(on).select(docs.columns))
 
 
 def partitions(spark: SparkSession) -> int:

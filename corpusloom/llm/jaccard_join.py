@@ -12,19 +12,27 @@ from the start. The join is a recursion over regions around pivots:
     cells of one or no n-gram, which unrelated texts share by chance, go first. S is SLACK per cent of K, 2 at least.
 2.  Windows. m depends on the size, by bands; d >= 1 - |x|/|y| is the triangle inequality with the empty set, so a set
     belongs to its own band and, as a boundary document, to the band below if a linked set can lie there.
-3.  Inside a region the member that shares most cells with others is the pivot. First every member is compared exactly
-    with one pivot, the best of its regions, then with one of another region; those within r form rings and are one
-    component. In regions that still span several components, every member outside the largest is compared with the
-    members of other components under the bounds of 4, block by block, and its nearest candidates exactly; regions with
-    candidates left recur with eight times as many, until none is left or one component remains.
-4.  Before sets are compared, pairs that cannot link are dropped by two exact bounds: sizes, and the L1 distance of
-    the counts in SKETCH hash ranges, which never exceeds the number of differing n-grams.
+3.  Rings. Every member is compared exactly with one pivot, the member of its regions that shares most cells, then with
+    the pivot of another region. Those within r are one component, and regions inside one component are settled.
+4.  Voronoi regions. A region of several components that is too large for a task gets PIVOTS pivots, farthest first. Its
+    distance is the L1 distance of SKETCH counts of n-grams by hash: a metric, and never more than the number of
+    differing n-grams, so that linked sets lie within rho(x) = |x| (100 - p) / p. A member within rho of its nearest pivot
+    belongs to that pivot's region; whoever is within 2 rho of a pivot is in the window and replicated there. A linked
+    pair of which one belongs to a pivot meets in that pivot's region, by the triangle inequality; the others stay together as the
+    rest, which recurs with other pivots. Where members are equally far from all pivots, so that hardly any leaves the rest,
+    the rest is cut by a second sub-universe instead: linked sets share S more cells, each smaller than the last.
+5.  Leaves. A region that fits a task, by its members and their n-grams, is joined there in two steps: the bounds of size and L1
+    distance leave only members that may link with another component; these alone get their sets, are compared
+    exactly, and each region emits a spanning forest of its links, one less than its members at most. A large
+    region with few members outside its largest component meets them block by block. What can't be cut any more (all
+    near one pivot and still of many components) is compared in blocks, exactly.
 
 Links are between classes; components come from graph.py. Only n-gram hashes of 64 bits are compared.
 
 Defined results: a null text and one without words have no n-grams, link with nothing and are their own component; a text
 with fewer words than n is one n-gram; repeated rows are a class; a null doc_id is carried along with the component of its
-class; ties between pivots go to the smaller id; an empty table gives no rows; other columns are ignored.
+class, and links as others do; one doc_id on several texts is a node for each text, and component_id is the smallest doc_id of a component;
+ties between pivots go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +43,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bucketed, stage, table
-from corpusloom.llm.graph import connected_components
-from corpusloom.session import ship
+from corpusloom.llm.common import stage, table, without
+from corpusloom.operators.components import connected_components
+from corpusloom.session import Scratch, ship
+from corpusloom.session import broadcast_if_few as _broadcast_if_few
 
 SLACK = 25
-SKETCH = 64
-SMALL_REGION, BLOCK, NEAREST = 4, 1024, 32
-#: Tables of up to so many rows, by their count, are sent to every task: ids; regions; classes, with sketches of 256 bytes.
-BROADCAST_IDS, BROADCAST_REGIONS, BROADCAST_CLASSES = 1_000_000, 250_000, 50_000
+SKETCH = 128
+#: A leaf has so many members at most, and so many n-grams unless LEAST members have more.
+LEAF, LEAF_GRAMS, LEAST = 2048, 1 << 22, 16
+PIVOTS, SAMPLE = 16, 256
+#: Tables of up to so many rows, by their count, are sent to every task: regions; classes with sketches; pivots of a region (2 kB).
+BROADCAST_REGIONS, BROADCAST_CLASSES, BROADCAST_PIVOTS = 250_000, 50_000, 5_000
 BLOCK_BYTES = 1 << 20
 SENT_CLASSES = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -113,10 +124,10 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < n:
-        h = np.uint64(len(words))
-        for w in words:
-            h = mix(np.array([h * _M[0] + w], np.uint64))[0]
-        return np.array([h], np.uint64)
+        h = np.array([len(words)], np.uint64)
+        for k in range(len(words)):
+            h = mix(h * _M[0] + words[k : k + 1])
+        return h
     count = len(words) - n + 1
     h = np.zeros(count, np.uint64)
     for k in range(n):
@@ -170,26 +181,50 @@ class Bands:
         below = k - 1
         return [k, below] if below >= 0 and size * self.percent <= 100 * self.tops[below] else [k]
 
+    def _parts(self, grams: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        """The cells of a set of sorted hashes in band k, largest first, and how many of them are root regions."""
+        kept = self.differ(self.tops[k]) + 1
+        m = kept + max(2, kept * SLACK // 100)
+        cuts = np.searchsorted(grams, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
+        bounds = np.concatenate([[0], cuts, [len(grams)]])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + _M[1]))])
+        inside = np.diff(bounds)
+        own = (total[bounds[1:]] - total[bounds[:-1]]) + np.arange(1, m + 1, dtype=np.uint64) * _M[0]
+        cell = mix(own + np.array([k], np.uint64) * _M[2])
+        return cell[np.argsort(inside, kind="stable")[::-1]], kept
+
     def cells(self, grams: np.ndarray) -> np.ndarray:
-        """The cells of a set of sorted hashes."""
+        """The root regions of a set."""
         found = []
         for k in self.of(len(grams)):
-            if k == 0:
-                continue  # equal sets are one class already
-            kept = self.differ(self.tops[k]) + 1
-            m = kept + max(2, kept * SLACK // 100)
-            cuts = np.searchsorted(grams, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
-            bounds = np.concatenate([[0], cuts, [len(grams)]])
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + _M[1]))])
-            inside = np.diff(bounds)
-            own = (total[bounds[1:]] - total[bounds[:-1]]) + np.arange(1, m + 1, dtype=np.uint64) * _M[0]
-            cell = mix(own + np.uint64(k) * _M[2])
-            found.append(cell[np.argsort(inside, kind="stable")[m - kept :]])
+            if k:  # in band 0 only equal sets link, and they are one class already
+                cell, kept = self._parts(grams, k)
+                found.append(cell[:kept])
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
+    def after(self, grams: np.ndarray, cell: int, depth: int) -> np.ndarray | None:
+        """The cells that may follow this one at a depth: linked sets share a path of S + 1 cells, each smaller than the
+        last, of which those at this depth are among the first K + 1 + depth. None beyond S."""
+        for k in self.of(len(grams)):
+            if k:
+                cells, kept = self._parts(grams, k)
+                at = np.flatnonzero(cells.view(np.int64) == cell)
+                if len(at):
+                    return cells[at[0] + 1 : kept + depth].view(np.int64) if kept + depth <= len(cells) else None
+        return None
+
+
+def _counts(grams: np.ndarray) -> np.ndarray:
+    """N-grams by SKETCH hash ranges, up to 255: what is cut off can only make sets look nearer."""
+    return np.minimum(np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+
+
+def _class(grams: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+
 
 def _profiles(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
-    """(doc_id, size, class, sketch, cells) of every document; class is null for an empty set.
+    """(doc_id, key, size, class, sketch, cells) of every document; class is null for an empty set.
 
     A task gives a class its cells once, so that a class of many copies isn't sent as often.
     """
@@ -202,10 +237,8 @@ def _profiles(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
             for grams in gram_sets(batch.column("text").to_pylist(), n, fold):
                 size.append(len(grams))
                 if len(grams):
-                    digest = hashlib.blake2b(grams.tobytes(), digest_size=8).digest()
-                    group.append(int.from_bytes(digest, "little", signed=True))
-                    counts = np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                    sketch.append(counts.astype(np.int32))
+                    group.append(_class(grams))
+                    sketch.append(_counts(grams).tobytes())
                     cells.append(None if group[-1] in sent else bands.cells(grams).view(np.int64))
                     if len(sent) >= SENT_CLASSES:
                         sent.clear()
@@ -217,30 +250,167 @@ def _profiles(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array(size, pa.int64()),
                     pa.array(group, pa.int64()),
-                    pa.array(sketch, pa.list_(pa.int32())),
+                    pa.array(sketch, pa.binary()),
                     pa.array(cells, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "size", "class", "sketch", "cells"],
+                ["doc_id", "key", "size", "class", "sketch", "cells"],
             )
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, size bigint, class bigint, sketch array<int>, cells array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(
+        run, "doc_id bigint, key bigint, size bigint, class bigint, sketch binary, cells array<bigint>"
     )
 
 
 def _sets(docs: DataFrame, n: int, fold: bool) -> DataFrame:
+    """(class, grams) of every document that has n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [g.view(np.int64) for g in gram_sets(batch.column("text").to_pylist(), n, fold)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "grams"]
-            )
+            found = [g for g in gram_sets(batch.column("text").to_pylist(), n, fold) if len(g)]
+            grams = pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), grams], ["class", "grams"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, grams array<bigint>")
+    return docs.select("text").mapInArrow(run, "class bigint, grams array<bigint>")
+
+
+def _rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        found = np.zeros(t.num_rows, bool)
+        found[:1] = True
+        for k in keys:
+            v = t.column(k).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(k).to_numpy()
+            found[1:] |= v[1:] != v[:-1]
+        return found
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = np.flatnonzero(starts(batch))
+        if held and all(held[-1].column(k)[held[-1].num_rows - 1] == batch.column(k)[0] for k in keys):
+            if len(first) == 1:  # one group, which goes on
+                held.append(batch)
+                continue
+            cut = int(first[1])
+        else:
+            cut = 0
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        last = int(first[-1])
+        if last > cut:
+            yield pa.Table.from_batches([batch.slice(cut, last - cut)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _groups(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    change = np.zeros(max(table.num_rows - 1, 0), bool)
+    for k in keys:
+        v = table.column(k).to_numpy()
+        change |= v[1:] != v[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+
+
+class Bounds:
+    """What two linked sets keep: sizes within the similarity, sketches within the differing n-grams that it allows."""
+
+    def __init__(self, percent: int):
+        self.p = percent
+
+    def near(self, n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray) -> np.ndarray:
+        ok = 100 * np.minimum(n_a, n_b) >= self.p * np.maximum(n_a, n_b)
+        at = np.flatnonzero(ok)
+        apart = np.abs((s_a[at] if s_a.ndim > 1 else s_a) - s_b[at]).sum(1, dtype=np.int64)
+        ok[at] = (100 + self.p) * apart <= (100 - self.p) * ((n_a[at] if np.ndim(n_a) else n_a) + n_b[at])
+        return ok
+
+    def may_link(self, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, asks: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Members with another of another component within the bounds, at least one of the two asking."""
+        found = np.zeros(len(labels), bool)
+        at = np.flatnonzero(held)
+        for i in np.flatnonzero(asks):
+            j = at[labels[at] != labels[i]]
+            j = j[self.near(sizes[i], sketches[i], sizes[j], sketches[j])]
+            if len(j):
+                found[i] = True
+                found[j] = True
+        return found
+
+    def may_link_in_small(self, groups: list[tuple[int, int]], labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+        """The same for many small groups at once, by their pairs."""
+        found = np.zeros(len(labels), bool)
+        first, second = [], []
+
+        def flush() -> None:
+            if not first:
+                return
+            i, j = np.concatenate(first), np.concatenate(second)
+            other = labels[i] != labels[j]
+            i, j = i[other], j[other]
+            ok = self.near(sizes[i], sketches[i], sizes[j], sketches[j])
+            found[i[ok]] = True
+            found[j[ok]] = True
+            first.clear()
+            second.clear()
+
+        pairs = 0
+        for a, b in groups:
+            i, j = np.triu_indices(b - a, 1) if b - a > len(_PAIRS) else _PAIRS[b - a - 1]
+            first.append(i + a)
+            second.append(j + a)
+            pairs += len(i)
+            if pairs > 100_000:
+                flush()
+                pairs = 0
+        flush()
+        return found
+
+    def forest(self, labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links (i, j) that join components, by exact comparison; pairs of one component aren't compared."""
+        n = len(sets)
+        sizes = np.array([len(x) for x in sets])
+        _, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        hashed = np.stack([_counts(x.view(np.uint64)) for x in sets]).astype(np.int16)
+        names, label = np.unique(labels, return_inverse=True)
+        mark = np.zeros(int(ranks.max()) + 1, np.int64)
+        found = []
+        for i in range(n - 1):
+            j = np.arange(i + 1, n)
+            j = j[label[i + 1 :] != label[i]]
+            j = j[self.near(sizes[i], hashed[i], sizes[j], hashed[j])]
+            if not len(j):
+                continue
+            own = ranks[starts[i] : ends[i]]
+            mark[own] = 1
+            for part in np.array_split(j, max(1, int(sizes[j].sum()) >> 22)):
+                lengths = sizes[part]
+                offsets = np.cumsum(lengths) - lengths
+                take = np.arange(int(lengths.sum())) - np.repeat(offsets - starts[part], lengths)
+                common = np.add.reduceat(mark[ranks[take]], offsets)
+                for k in part[100 * common >= self.p * (lengths + sizes[i] - common)]:
+                    if label[k] != label[i]:
+                        found.append((i, int(k)))
+                        label[label == label[k]] = label[i]
+            mark[own] = 0
+        return found
+
+
+_PAIRS = [np.triu_indices(k, 1) for k in range(1, 33)]
 
 
 class _Join:
@@ -248,122 +418,254 @@ class _Join:
 
     def __init__(self, docs: DataFrame, n: int, percent: int, fold: bool):
         self.docs, self.n, self.percent, self.fold = docs, n, percent, fold
-        self.profiles = stage(_profiles(docs, n, percent, fold), "profiles")
-        self.sets: DataFrame | None = None
+        self.scratch = Scratch()
+        self.profiles = self._stage(_profiles(docs, n, percent, fold), "profiles")
+
+    def _stage(self, rows: DataFrame, name: str) -> DataFrame:
+        return self.scratch.stage(rows, name)
 
     def regions(self) -> DataFrame:
-        """(region, class) for the cells that hold more than one class. Cells travel once; a large region spills."""
+        """(region, class) for the cells that hold more than one class; a frequent cell is combined before it travels."""
         cells = self.profiles.where("cells IS NOT NULL").select("class", F.explode("cells").alias("region"))
-        cell = Window.partitionBy("region")
-        found = cells.withColumn("lo", F.min("class").over(cell)).withColumn("hi", F.max("class").over(cell)).where("lo < hi")
-        return stage(found.dropDuplicates(["region", "class"]).select("region", "class"), "members")
+        shared = cells.groupBy("region").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("region")
+        shared = _broadcast_if_few(self._stage(shared, "shared-cells"))
+        return self._stage(cells.join(shared, "region").distinct(), "members")
 
     def prepare(self, members: DataFrame) -> None:
-        """Size, sketch and set of each class in a region, from its first document."""
+        """Size, sketch and set of each class in a region."""
         inside = members.select("class").distinct()
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "size", "sketch"))
         found = self.profiles.join(inside, "class", "left_semi").groupBy("class").agg(first.alias("f"))
-        self.facts = stage(found.select("class", "f.doc_id", "f.size", "f.sketch"), "facts")
+        self.facts = self._stage(found.select("class", "f.doc_id", "f.size", "f.sketch"), "facts")
         self.few = self.facts.count() <= BROADCAST_CLASSES
-        chosen = self.facts.select("class", "doc_id")
-        ids = _broadcast_if_few(chosen.select("doc_id"))
-        wanted = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        # bucketed: sets are sent once, not in every round
-        self.sets = bucketed(
-            _sets(wanted, self.n, self.fold).join(self._sent(chosen), "doc_id").select("class", "grams"), "sets", "class"
-        )
+        ids = _broadcast_if_few(self.facts.where("doc_id IS NOT NULL").select("doc_id"))
+        docs = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        wanted = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+        # an id may stand on several texts, so sets are chosen by class; bucketed: sets are sent once, not in every round
+        chosen = self._sent(self.facts.select("class"))
+        self.sets = self.scratch.bucketed(_sets(wanted, self.n, self.fold).join(chosen, "class", "left_semi"), "sets", "class")
 
     def _sent(self, classes: DataFrame) -> DataFrame:
         """A table with a row for each class in a region, or fewer; sent to every task if there are few classes."""
         return F.broadcast(classes) if self.few else classes
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of classes those that link. Sketches travel first, sets only for pairs that may link."""
-        p = self.percent
-        side = lambda x: self.facts.select(
-            F.col("class").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")
-        )
-        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-        sizes = F.col("n_a") + F.col("n_b")
-        near = stage(
-            pairs.join(self._sent(side("a")), "a")
-            .join(self._sent(side("b")), "b")
-            .where(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-            .where((100 + p) * apart <= (100 - p) * sizes)
-            .select("a", "b", "n_a", "n_b"),
-            "near-pairs",
-        )
+        """Of pairs (a, b) of classes, one for each class at most, those that link. Sets travel only within the bounds."""
+        p, bounds = self.percent, Bounds(self.percent)
+        side = lambda x: self._sent(self.facts.select(F.col("class").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")))
         one = lambda x: self.sets.select(F.col("class").alias(x), F.col("grams").alias(f"g_{x}"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+                ok = bounds.near(n_a, _sketches(batch.column("s_a")), n_b, _sketches(batch.column("s_b")))
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+        near = self._stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint"), "near-pairs")
         common = F.size(F.array_intersect("g_a", "g_b"))
         return (
-            near.join(one("a"), "a")
-            .join(one("b"), "b")
-            .where(100 * common >= p * (sizes - common))
+            near.join(one("a"), "a").join(one("b"), "b")
+            .where(100 * common >= p * (F.size("g_a") + F.size("g_b") - common))
             .select("a", "b")
-        )
+        )
+
+    def labelled(self, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return members.withColumn("label", F.col("class"))
+        return members.join(self._sent(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+    def components(self, links: DataFrame) -> DataFrame:
+        found = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
+        return self._stage(found, "labels")
+
+    def ring(self, members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+        """Links of every class in an open region with one pivot: the best of its regions, then one of a region drawn by hash."""
+        m = self.labelled(members, labels)
+        best = F.max(F.struct(F.col("score"), (-F.col("class")).alias("pivot")))
+        regions = (
+            m.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), best.alias("best")).where("lo < hi")
+            .select("region", F.col("best.score").alias("pivot_score"), (-F.col("best.pivot")).alias("pivot"))
+        )
+        regions = _broadcast_if_few(self._stage(regions, "regions"), BROADCAST_REGIONS)
+        rank = F.col("pivot_score") if turn == 0 else F.xxhash64("region", "class")
+        drawn = (
+            members.join(regions, "region").where("class != pivot")
+            .groupBy("class").agg(F.max(F.struct(rank, -F.col("pivot")))["col2"].alias("neg"))
+        )
+        x, y = F.col("class"), -F.col("neg")
+        pairs = drawn.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        return self._stage(self.verified(pairs), "ring")
 
-    def _within(self, open_: DataFrame, most: int) -> DataFrame:
-        """For each member outside its region's largest component its `most` nearest candidates (a, b) in others.
+    def sized(self, members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(members with label, open regions with their kind). Regions of one component are left out.
 
-        Regions are cut into blocks of about BLOCK members, and the outsiders are replicated to each: what a task holds
-        does not grow with the region, and bounds are compared without emitting pairs. A row (region, null) says that
-        candidates were left for a later round.
+        kind "leaf": the region is cut into `blocks` and those outside its largest component meet each of them; this never
+        makes more than twice its rows, unless it can't be cut any more (force). kind "split": too large for that.
         """
-        p = self.percent
-
-        def near(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            sizes, labels, ids, asks = (frame[c].to_numpy() for c in ("size", "label", "class", "asks"))
-            sketches = np.stack(frame["sketch"].to_numpy())
-            held = np.flatnonzero(~asks)
-            left = False
-            for i in np.flatnonzero(asks):
-                ok = (labels[held] != labels[i]) & (
-                    100 * np.minimum(sizes[held], sizes[i]) >= p * np.maximum(sizes[held], sizes[i])
-                )
-                j = held[ok]
-                apart = np.abs(sketches[j] - sketches[i]).sum(1)
-                ok = (100 + p) * apart <= (100 - p) * (sizes[j] + sizes[i])
-                j, apart = j[ok], apart[ok]
-                if len(j) > most:
-                    left = True
-                    j = j[np.argsort(apart, kind="stable")[:most]]
-                if len(j):
-                    yield pd.DataFrame({"a": np.minimum(ids[j], ids[i]), "b": np.maximum(ids[j], ids[i])})
-            if left:
-                yield pd.DataFrame({"a": frame["region"].iloc[:1], "b": pd.array([None], "Int64")})
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
-            for frame in frames:
-                if not len(frame):
-                    continue
-                frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-                keys = frame[["region", "block"]].to_numpy()
-                last = (keys == keys[-1]).all(1)  # it may go on in the next batch
-                held = frame[last]
-                for _, group in frame[~last].groupby(["region", "block"], sort=False):
-                    yield from near(group)
-            if held is not None:
-                yield from near(held)
-
-        largest = (
-            open_.groupBy("region", "label")
-            .agg(F.count(F.lit(1)).alias("k"))
+        m = self._stage(self.labelled(members, labels).join(self._sent(self.facts.select("class", "size", "sketch")), "class"), "labelled")
+        regions = (
+            m.groupBy("region", "label")
+            .agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"),
+                 F.max("size").alias("top"), F.max("force").alias("force"))
             .groupBy("region")
-            .agg(F.max(F.struct("k", "label"))["label"].alias("largest"))
-        )
-        blocks = F.ceil(F.col("n") / BLOCK)
-        rows = open_.join(largest, "region").join(self._sent(self.facts.select("class", "size", "sketch")), "class")
+            .agg(F.sum("k").alias("n"), F.sum("print").alias("print"), F.max("top").alias("top"), F.max("force").alias("force"),
+                 F.max(F.struct("k", "label")).alias("l"), F.count(F.lit(1)).alias("parts"))
+            .where("parts > 1")
+        )
+        cap = F.greatest(F.lit(LEAST), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_GRAMS) / F.col("top"))))
+        blocks = F.ceil(F.col("n") / cap)
+        fits = (blocks == 1) | F.col("force") | ((F.col("n") - F.col("l.k")) * blocks <= F.col("n"))
+        regions = regions.select("region", "n", "print", F.col("l.label").alias("largest"), blocks.alias("blocks"), fits.alias("fits"))
+        # regions with the same members are one; those to be split stay, as each is cut by another cell
+        same = F.when(F.col("fits"), F.lit(0)).otherwise(F.col("region"))
+        first = F.min(F.struct("region", "largest", "blocks", "fits")).alias("r")
+        return m, self._stage(regions.groupBy("n", "print", same.alias("same")).agg(first).select("r.*", "n"), "sized")
+
+    def leaves(self, m: DataFrame, regions: DataFrame) -> DataFrame:
+        """(region, block, class, label): members of leaves that may link with another component of their leaf."""
+        bounds = Bounds(self.percent)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _rows(batches, ["region", "block"]):
+                labels, sizes = t.column("label").to_numpy(), t.column("size").to_numpy()
+                sketches, asks, held = _sketches(t.column("sketch")), t.column("asks").to_numpy(), t.column("held").to_numpy()
+                groups = _groups(t, ["region", "block"])
+                small = [(a, b) for a, b in groups if b - a <= len(_PAIRS) and held[a:b].all()]
+                ok = bounds.may_link_in_small(small, labels, sizes, sketches)
+                done = set(small)
+                for a, b in groups:
+                    if (a, b) not in done:
+                        ok[a:b] = bounds.may_link(labels[a:b], sizes[a:b], sketches[a:b], asks[a:b], held[a:b])
+                for out in t.filter(pa.array(ok)).select(["region", "block", "class", "label"]).combine_chunks().to_batches():
+                    yield out
+
+        rows = m.join(_broadcast_if_few(regions.where("fits").drop("n", "fits"), BROADCAST_REGIONS), "region")
         columns = ["region", "class", "label", "size", "sketch"]
-        inside = rows.select(*columns, F.pmod(F.xxhash64("class"), blocks).alias("block"), F.lit(False).alias("asks"))
-        outside = rows.where("label != largest").select(
-            *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(True).alias("asks")
-        )
+        outside = F.col("label") != F.col("largest")
+        inside = rows.select(
+            *columns, F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"),
+            ((F.col("blocks") == 1) & outside).alias("asks"), F.lit(True).alias("held"),
+        )
+        asking = rows.where(outside & (F.col("blocks") > 1)).select(
+            *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
+            F.lit(True).alias("asks"), F.lit(False).alias("held"),
+        )
         key = ["region", "block"]
-        return (
-            inside.unionByName(outside).repartition(*key).sortWithinPartitions(*key, "class", "asks")
-            .mapInPandas(run, "a bigint, b bigint")
+        ship(m.sparkSession)
+        found = (
+            inside.unionByName(asking).repartition(*key).sortWithinPartitions(*key)
+            .mapInArrow(run, "region bigint, block bigint, class bigint, label bigint")
+        )
+        return self._stage(found.distinct(), "may-link")
+
+    def leaf_links(self, m: DataFrame, regions: DataFrame) -> DataFrame:
+        """Spanning links (a, b) of the leaves."""
+        near = self.leaves(m, regions)
+        key = ["region", "block"]
+        prints = near.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"))
+        one = prints.groupBy("n", "print").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+        bounds = Bounds(self.percent)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _rows(batches, key):
+                ids, labels, grams = t.column("class").to_numpy(), t.column("label").to_numpy(), t.column("grams").combine_chunks()
+                flat, ends = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+                found = []
+                for a, b in _groups(t, key):
+                    sets = [flat[ends[k] : ends[k + 1]] for k in range(a, b)]
+                    found += [(ids[a + i], ids[a + j]) for i, j in bounds.forest(labels[a:b], sets)]
+                lo, hi = [min(x) for x in found], [max(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
+
+        rows = near.join(_broadcast_if_few(self._stage(one, "leaves"), BROADCAST_REGIONS), key).join(self.sets, "class")
+        found = rows.select(*key, "class", "label", "grams").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint")
+        return self._stage(found.distinct(), "leaf-links")
+
+    def split(self, m: DataFrame, regions: DataFrame, turn: int) -> DataFrame:
+        """(region, class, cell, depth, force) of the regions into which large ones are cut."""
+        p, seed = self.percent, turn
+        wide = regions.where("not fits").select("region", "n")
+        rows = m.join(_broadcast_if_few(wide, BROADCAST_REGIONS), "region")
+        schema = "region bigint, pivots array<binary>, reach array<bigint>"
+
+        def choose(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["draw", "class"]).head(SAMPLE)
+            held = np.stack([np.frombuffer(x, np.uint8) for x in frame["sketch"]]).astype(np.int16)
+            chosen = [0]
+            apart = np.abs(held - held[0]).sum(1)
+            while len(chosen) < PIVOTS and apart.max() > 0:
+                chosen.append(int(apart.argmax()))
+                apart = np.minimum(apart, np.abs(held - held[chosen[-1]]).sum(1))
+            reach = [int(frame["size"].iloc[k]) * (100 - p) // p for k in chosen]
+            return pd.DataFrame({"region": frame["region"].iloc[:1], "pivots": [[frame["sketch"].iloc[k] for k in chosen]], "reach": [reach]})
+
+        # a sample of about SAMPLE members by hash; which members are pivots decides speed only, not the result
+        draw = F.pmod(F.xxhash64("region", "class", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        sample = rows.withColumn("draw", draw).where(F.col("draw") * F.col("n") < SAMPLE)
+        ship(m.sparkSession)
+        pivots = self._stage(sample.select("region", "class", "size", "sketch", "draw").groupBy("region").applyInPandas(choose, schema), "pivots")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[list[np.ndarray]] = [[], []]  # row, pivot (-1: rest)
+                t = pa.Table.from_batches([batch])
+                held, region = _sketches(t.column("sketch")), t.column("region").to_numpy()
+                rho = t.column("size").to_numpy() * (100 - p) // p
+                for r in np.unique(region):
+                    at = np.flatnonzero(region == r)
+                    centres = batch.column("pivots")[int(at[0])].as_py()
+                    if centres is None:  # no member was drawn
+                        out[0].append(at)
+                        out[1].append(np.full(len(at), -1))
+                        continue
+                    reach = np.array(batch.column("reach")[int(at[0])].as_py())
+                    apart = np.stack([np.abs(held[at] - np.frombuffer(c, np.uint8).astype(np.int16)).sum(1) for c in centres], 1)
+                    nearest = apart.argmin(1)
+                    owned = apart[np.arange(len(at)), nearest] <= reach[nearest]
+                    i, k = np.nonzero(apart <= reach[None, :] + rho[at][:, None])
+                    out[0] += [at[i], at[~owned]]
+                    out[1] += [k, np.full(int((~owned).sum()), -1)]
+                rows_, which = np.concatenate(out[0]), np.concatenate(out[1])
+                taken = batch.select(["region", "class", "cell", "depth", "force", "n"]).take(pa.array(rows_))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(which, pa.int64())], [*taken.schema.names, "pivot"])
+
+        columns = "region bigint, class bigint, cell bigint, depth int, force boolean, n bigint, pivot bigint"
+        cut = self._stage(
+            rows.join(_broadcast_if_few(pivots, BROADCAST_PIVOTS), "region", "left")
+            .select("region", "class", "cell", "depth", "force", "n", "size", "sketch", "pivots", "reach").mapInArrow(assign, columns),
+            "cut",
+        )
+        counts = cut.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("k"))
+        cut = cut.join(_broadcast_if_few(self._stage(counts, "counts"), BROADCAST_REGIONS), ["region", "pivot"])
+        same = F.col("k") * 4 > F.col("n") * 3  # hardly smaller than before
+        named = F.xxhash64("region", "pivot", F.lit(seed)).alias("region")
+        rest = F.col("pivot") < 0
+        kept = cut.where(~(rest & same)).select(named, "class", "cell", "depth", (F.col("force") | same).alias("force"))
+        percent = self.percent
+
+        def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bands = Bands(percent)
+            for batch in batches:
+                row, cell, end = [], [], []
+                cells, depths = batch.column("cell").to_pylist(), batch.column("depth").to_pylist()
+                for i, grams in enumerate(batch.column("grams")):
+                    after = bands.after(grams.values.to_numpy().view(np.uint64), cells[i], depths[i] + 1)
+                    found = [cells[i]] if after is None else after.tolist()
+                    row += [i] * len(found)
+                    cell += found
+                    end += [after is None] * len(found)
+                taken = batch.select(["region", "class", "depth"]).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(cell, pa.int64()), pa.array(end, pa.bool_())], ["region", "class", "depth", "cell", "force"]
+                )
+
+        finer = (
+            cut.where(rest & same).select("region", "class", "cell", "depth").join(self.sets, "class")
+            .select("region", "class", "cell", "depth", "grams")
+            .mapInArrow(refine, "region bigint, class bigint, depth int, cell bigint, force boolean")
+            .select(F.xxhash64("region", "cell").alias("region"), "class", "cell", (F.col("depth") + 1).alias("depth"), "force")
         )
+        return self._stage(kept.unionByName(finer), "split")
 
     def labels(self) -> DataFrame | None:
         """(class, label) of the classes that link with others; None if there are none."""
@@ -372,76 +674,49 @@ class _Join:
             return None
         self.prepare(members)
         weight = members.groupBy("region").agg(F.count(F.lit(1)).alias("w"))
-        score = stage(members.join(weight, "region").groupBy("class").agg(F.sum("w").alias("score")), "scores")
-        links = labels = None
+        score = self._stage(members.join(weight, "region").groupBy("class").agg(F.sum("w").alias("score")), "scores")
+        scored = self._stage(members.join(self._sent(score), "class"), "scored")
+        links = self.ring(scored, None, 0)
+        links = self._stage(links.unionByName(self.ring(scored, self.components(links), 1)), "links")
+        open_ = members.select("region", "class", F.col("region").alias("cell"), F.lit(0).alias("depth"), F.lit(False).alias("force"))
         turn = 0
         while True:
-            m = members.join(self._sent(score), "class")
-            if labels is not None:
-                m = m.join(self._sent(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
-            else:
-                m = m.withColumn("label", F.col("class"))
-            m = stage(m, "labelled")
-            regions = (
-                m.groupBy("region")
-                .agg(
-                    F.count(F.lit(1)).alias("n"),
-                    F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"),
-                    F.min("label").alias("lo"),
-                    F.max("label").alias("hi"),
-                    F.max(F.struct(F.col("score"), (-F.col("class")).alias("pivot"))).alias("best"),
-                )
-                .where("lo < hi")
-                .groupBy("n", "print")
-                .agg(F.min("region").alias("region"), F.first("best").alias("best"))
-            )
-            regions = stage(regions.select("region", "n", "best.score", -F.col("best.pivot").alias("pivot")).toDF("region", "n", "pivot_score", "pivot"), "regions")
+            labels = self.components(links)
+            m, regions = self.sized(open_, labels)
             if regions.isEmpty():
                 return labels
-            open_ = stage(m.drop("score").join(_broadcast_if_few(regions, BROADCAST_REGIONS), "region"), "open")
-            n, x, y = F.col("n"), F.col("class"), F.col("p")
-            more: DataFrame | None = None
-            if turn < 2:
-                # rings first: every member meets one pivot, the best of all its regions, then one of a region drawn by hash
-                rank = F.col("pivot_score") if turn == 0 else F.xxhash64("region", "class")
-                drawn = open_.where("class != pivot").groupBy("class").agg(F.max(F.struct(rank, -F.col("pivot")))["col2"].alias("neg"))
-                pairs = drawn.select(x, (-F.col("neg")).alias("p")).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-            else:
-                small = open_.where(n <= SMALL_REGION)
-                other = small.select("region", x.alias("p"), F.col("label").alias("p_label"))
-                pairs = (
-                    small.join(other, "region").where((x < y) & (F.col("label") != F.col("p_label")))
-                    .select(x.alias("a"), y.alias("b"))
-                )
-                found = stage(self._within(open_.where(n > SMALL_REGION), NEAREST << (3 * (turn - 2))), "candidates")
-                pairs = pairs.unionByName(found.where("b IS NOT NULL"))
-                more = found.where("b IS NULL").select(F.col("a").alias("region")).distinct()
-            near = self.verified(pairs.distinct())
-            links = stage(near if links is None else links.unionByName(near), "links")
-            labels = stage(
-                connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label")), "labels"
-            )
-            members = open_.select("region", "class")
-            if more is not None:  # regions without candidates left are settled
-                members = members.join(more, "region", "left_semi")
+            if not regions.where("fits").isEmpty():
+                links = self._stage(links.unionByName(self.leaf_links(m, regions)), "links")
+            if regions.where("not fits").isEmpty():
+                return self.components(links)
+            open_ = self.split(m, regions, turn)
             turn += 1
 
 
-def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: documents link when 100 * intersection >= percent * union."""
+def _nodes(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
+    """(doc_id, key, size, class, label), written: label is one for each component, null for documents without n-grams."""
     join = _Join(docs, n, percent, fold)
-    nodes = join.profiles.select("doc_id", "size", "class")
     labels = join.labels()
-    first = nodes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
-    # one row for each class with its component's smallest document
+    nodes = join.profiles.select("doc_id", "key", "size", "class")
     if labels is None:
-        named = first.withColumn("label", F.col("class"))
+        found = nodes.withColumn("label", F.col("class"))
     else:
-        named = first.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    named = stage(named, "classes")
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_class = stage(named.join(smallest, "label").select("class", "component_id"), "class-components")
-    return nodes.join(of_class, "class", "left").select(
+        found = nodes.join(_broadcast_if_few(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    found = stage(found.select("doc_id", "key", "size", "class", "label"), "nodes")
+    join.scratch.clear()
+    return found
+
+
+def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: documents link when 100 * intersection >= percent * union."""
+    nodes = _nodes(docs, n, percent, fold)
+    # only components of several rows are looked up: every other document is its own
+    shared = (
+        nodes.where("label IS NOT NULL").groupBy("label")
+        .agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    )
+    shared = stage(shared, "components")
+    return nodes.join(_broadcast_if_few(shared), "label", "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -449,15 +724,15 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool
 
 
 def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The input rows without the documents that have a smaller one in their component."""
-    found = similar_documents(docs, n, percent)
-    dropped = stage(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"), "dropped")
-    return docs.join(_broadcast_if_few(dropped), "doc_id", "left_anti").select(docs.columns)
-
-
-def _broadcast_if_few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """Up to `most` rows, by their count in a written table, are sent to every task; more are shuffled."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    """The input rows without those that have a smaller one, by doc_id, in their component. A row is known by doc_id and text; of
+    rows that repeat both one stays, and a null doc_id stays only where its component has no other."""
+    nodes = _nodes(docs, n, percent, True).where("label IS NOT NULL")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    groups = nodes.groupBy("label").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    groups = stage(groups.select("label", "first"), "groups")
+    found = nodes.join(_broadcast_if_few(groups), "label").withColumn("keep", row == F.col("first"))
+    verdicts = found.groupBy("doc_id", "key", "keep").agg(F.count(F.lit(1)).alias("rows")).where("not keep or rows > 1")
+    return without(docs, F.xxhash64("text"), stage(verdicts.select("doc_id", "key", "keep"), "dropped"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, codec, exact_dedup, graph, html_text, jaccard_join, licenses, line_dedup, packing, quality, quotations, registry, secrets
+from corpusloom.llm import bpe, codec, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing, quality, quotations, registry, secrets
 from corpusloom.llm.common import binomial_tail_log
+from corpusloom.operators import components
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,11 +154,65 @@ def test_jaccard_join(spark, edge, docs, n, percent):
     assert jaccard_join.similar_documents(edge.limit(0), n, percent).count() == 0
 
 
+def shared_passages(rng, groups, each):
+    """Documents that share passages without linking, and near copies of some of them."""
+    passages = [[f"p{k}x{j}" for j in range(60)] for k in range(3)]
+    made = []
+    for g in range(groups):
+        words = [rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(60)] + passages[g % 3] + passages[(g + 1) % 3][:40]
+        for k in range(each if g % 4 == 0 else 1):
+            copy = list(words)
+            for _ in range(rng.randint(0, 8)):
+                copy[rng.randrange(len(copy))] = f"e{g}x{k}x{rng.randint(0, 99)}"
+            made.append((len(made), " ".join(copy)))
+    return made
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_regions_split_without_losing_links(spark, monkeypatch, n, percent):
+    monkeypatch.setattr(jaccard_join, "LEAF", 3)
+    monkeypatch.setattr(jaccard_join, "LEAST", 3)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 8)
+    turns = []
+    split = jaccard_join._Join.split
+    monkeypatch.setattr(jaccard_join._Join, "split", lambda self, m, r, turn: turns.append(turn) or split(self, m, r, turn))
+    rows = shared_passages(random.Random(n), 60, 6)
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), n, percent).collect()
+    assert {tuple(r) for r in got} == brute_components(rows, n, percent)
+    assert turns
+
+
+def test_forest_of_a_leaf_links_what_brute_force_links():
+    rows = shared_passages(random.Random(9), 30, 8)
+    sets = [next(jaccard_join.gram_sets([t], 5)).view(np.int64) for _, t in rows]
+    links = jaccard_join.Bounds(80).forest(np.arange(len(rows)), sets)
+    root = list(range(len(rows)))
+    for i, j in links:
+        a, b = root[i], root[j]
+        assert a != b  # a forest
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert {(i, r) for i, r in enumerate(root)} == {(i, c) for i, _, c in brute_components(rows, 5, 80)}
+
+
+def test_near_copies_by_rows(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (None, a + " y"), (None, "c " * 3 + b[:0]), (7, a + " x"), (2, a + " x"), (9, None), (9, "")]
+    d = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id bigint, text string, key string, class int")
+    got = sorted(str((r.doc_id, r.component_id)) for r in jaccard_join.similar_documents(d).collect())
+    want = [(None, None), (None, 1), (1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (7, 1), (9, 9), (9, 9)]
+    assert got == sorted(map(str, want))
+    left = [tuple(r) for r in jaccard_join.keep_one_of_each_group(d).collect()]
+    assert sorted(map(repr, left)) == sorted(map(repr, [(i, t, "k", 1) for i, t in [rows[0], rows[1], rows[5], rows[8], rows[9]]]))
+    twice = spark.createDataFrame([(4, a), (4, a), (None, a)], "doc_id bigint, text string")
+    assert [tuple(r) for r in jaccard_join.keep_one_of_each_group(twice).collect()] == [(4, a)]
+
+
 def test_components_both_ways(spark):
     rng = random.Random(3)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 430)]
     d = spark.createDataFrame(pairs, "a bigint, b bigint").where("a != b")
-    few, many = (set(map(tuple, graph.connected_components(d, few=k).collect())) for k in (10_000, 0))
+    few, many = (set(map(tuple, components.connected_components(d, few=k).collect())) for k in (10_000, 0))
     assert few == many and (430, 400) in few
 
 
