@@ -440,6 +440,98 @@ def test_quotations(spark):
     assert (got[2, 5].reply_to, got[2, 5].text, got[2, 5].depth) == (None, "", 0)
 
 
+def brute_quotations(rows):
+    """(conv_id, turn) -> (role, reply_to, root_turn, depth, position, n_passages, n_linked, text) of unique, known keys."""
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip(" ")
+    mark = re.compile(r"^((?:[ \t]{0,3}>)+)[ ]?")
+    convs, out = {}, {}
+    for c, t, role, text in rows:
+        lines = []
+        for x in (text or "").split("\n"):
+            m = mark.match(x)
+            lines.append((m[1].count(">"), x[m.end() :]) if m else (0, x))
+        runs = []
+        for d, x in lines:
+            if runs and runs[-1][0] == d:
+                runs[-1][1].append(x)
+            else:
+                runs.append((d, [x]))
+        own = "\n".join(x for d, x in lines if d == 0).strip(" \t\r\n")
+        convs.setdefault(c, {})[t] = (role, own, ["\n".join(x) for d, x in runs if d])
+    units = lambda x: [(norm(x), True)] * (norm(x) != "") + [(norm(y), False) for y in x.split("\n") if len(norm(y)) >= 8]
+    for c, held in convs.items():
+        holds = {t: {u for u, _ in units(own)} for t, (_, own, _) in held.items()}
+        reply, linked = {}, {}
+        for t, (_, _, passages) in held.items():
+            hits, found = {}, set()
+            for k, p in enumerate(passages):
+                for u, whole in units(p):
+                    for o in (o for o in held if o < t and u in holds[o]):
+                        n = hits.setdefault(o, [0, 0])
+                        n[0] += whole
+                        n[1] += 1
+                        found.add(k)
+            linked[t] = len(found)
+            reply[t] = max((*n, o) for o, n in hits.items())[2] if hits else (t - 1 if t - 1 in held else None)
+        depth, root, order = {}, {}, []
+
+        def walk(t, d, r):
+            depth[t], root[t] = d, r
+            order.append(t)
+            for k in sorted(k for k in held if reply[k] == t):
+                walk(k, d + 1, r)
+
+        for t in sorted(k for k in held if reply[k] is None):
+            walk(t, 0, t)
+        for t, (role, own, passages) in held.items():
+            out[c, t] = (role, reply[t], root[t], depth[t], order.index(t), len(passages), linked[t], own)
+    return out
+
+
+def quoting_conversations(rng):
+    """Conversations whose messages quote earlier ones, nested, in parts, twice and wrapped otherwise; with gaps between turns."""
+    rows = []
+    for c in range(25):
+        said = []
+        for t in sorted(rng.sample(range(40), rng.randint(1, 24))):
+            parts = []
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                if said:
+                    lines = rng.choice(said).split("\n")
+                    lines = lines[: rng.randint(1, len(lines))] if rng.random() < 0.5 else lines
+                    parts += [rng.choice(["> ", ">> ", " >"]) + x.replace(" ", rng.choice([" ", "  "])) for x in lines]
+            parts += [" ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 3))]
+            rows.append((c, t, rng.choice(["user", "assistant", None]), "\n".join(parts) + rng.choice(["", "\x01", "\x02 é"])))
+            said.append(rows[-1][3])
+    return rows
+
+
+def test_quotations_equal_brute_force_and_sql(spark, monkeypatch, tmp_path):
+    rows = quoting_conversations(random.Random(4))
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    d.write.parquet(str(tmp_path / "conversations.parquet"))
+    want = brute_quotations(rows)
+    assert sum(v[6] > 0 for v in want.values()) > 50 and any(v[3] > 5 for v in want.values())
+    columns = ["role", "reply_to", "root_turn", "depth", "position", "n_passages", "n_linked", "text"]
+    for span in (4096, 3):  # small spans of turns: order and threads cross them
+        monkeypatch.setattr(quotations, "SPAN", span)
+        assert {(r.conv_id, r.turn): tuple(r[c] for c in columns) for r in quotations.op3_chat_formatting(spark, str(tmp_path)).collect()} == want
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = c.sql(f"SELECT conv_id, turn, {', '.join(columns)} FROM ({registry.SQL['op3_chat_formatting']})").fetchall()
+    assert {r[:2]: r[2:] for r in found} == want
+
+
+def test_quotations_edge_cases(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, head int, position string"
+    rows = [(None, 1, "a", "x\x01y", 1, "p"), (None, 1, "b", None, 1, "p"), (3, None, None, "> x\nz", 1, "p"), (4, 0, "u", "w " * 40_000, 1, "p"), (4, 0, "u", "w " * 40_000, 1, "p")]
+    got = quotations.link_quotations(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(str((r.conv_id, r.turn, r.text[:4], r.reply_to, r.root_turn, r.position, r.n_passages)) for r in got) == sorted(
+        map(str, [(None, 1, "x\x01y", None, 1, None, 0), (None, 1, "", None, 1, None, 0), (3, None, "z", None, None, None, 1), (4, 0, "w w ", None, 0, 0, 0)])
+    )
+    assert quotations.link_quotations(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_quotations_weigh_every_holder(spark, monkeypatch):
     a, b, c = "the first of these lines", "the second of these lines", "the third of these lines"
     rows = [(1, 0, "hello everyone"), (1, 1, "a text that stands twice"), (1, 3, f"{a}\nby one\n{b}"), (1, 5, "a text that stands twice"),
@@ -451,7 +543,7 @@ def test_quotations_weigh_every_holder(spark, monkeypatch):
         linked = quotations.link_quotations(d)
         got = {(r.conv_id, r.turn): r.reply_to for r in linked.collect()}
         assert (got[1, 6], got[1, 9], got[1, 10]) == (5, 8, 5)
-    placed = {(r.conv_id, r.turn): r.position for r in quotations.ordered_conversations(linked).collect()}
+    placed = {(r.conv_id, r.turn): r.position for r in linked.collect()}
     assert len(placed) == len(rows) and placed[2, 0] == 0 and placed[None, 1] is None and placed[2, None] is None
     assert [t for _, t in sorted((p, k[1]) for k, p in placed.items() if k[0] == 1)] == [0, 1, 3, 5, 6, 10, 8, 9]
 
