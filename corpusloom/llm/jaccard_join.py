@@ -22,10 +22,10 @@ from the start. The join is a recursion over regions around pivots:
     rest, which recurs with other pivots. Where members are equally far from all pivots, so that hardly any leaves the rest,
     the rest is cut by a second sub-universe instead: linked sets share S more cells, each smaller than the last.
 5.  Leaves. A region that fits a task, by its members and their n-grams, is joined there in two steps: the bounds of size and L1
-    distance leave only members that may link with another component; these alone get their sets, are compared
-    exactly, and each region emits a spanning forest of its links, one less than its members at most. A large
-    region with few members outside its largest component meets them block by block. What can't be cut any more (all
-    near one pivot and still of many components) is compared in blocks, exactly.
+    distance leave candidates between two components, of which each region emits a spanning forest. Clusters of
+    candidates get their sets, once each, are compared exactly, and emit a spanning forest of their links. Neither has
+    more rows than members. A large region with few members outside its largest component meets them block by
+    block. What can't be cut any more (all near one pivot and still of many components) is compared in blocks, exactly.
 
 Links are between classes; components come from graph.py. Only n-gram hashes of 64 bits are compared.
 
@@ -337,45 +337,53 @@ class Bounds:
         ok[at] = (100 + self.p) * apart <= (100 - self.p) * ((n_a[at] if np.ndim(n_a) else n_a) + n_b[at])
         return ok
 
-    def may_link(self, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, asks: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """Members with another of another component within the bounds, at least one of the two asking."""
-        found = np.zeros(len(labels), bool)
+    def may_link(self, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, asks: np.ndarray, held: np.ndarray) -> list[tuple[int, int]]:
+        """A spanning forest of the pairs of two components within the bounds of which one asks."""
+        found, part = [], np.arange(len(labels))
         at = np.flatnonzero(held)
         for i in np.flatnonzero(asks):
-            j = at[labels[at] != labels[i]]
-            j = j[self.near(sizes[i], sketches[i], sizes[j], sketches[j])]
-            if len(j):
-                found[i] = True
-                found[j] = True
+            j = at[(labels[at] != labels[i]) & (part[at] != part[i])]
+            for k in j[self.near(sizes[i], sketches[i], sizes[j], sketches[j])]:
+                if part[k] != part[i]:
+                    found.append((int(i), int(k)))
+                    part[part == part[k]] = part[i]
         return found
 
-    def may_link_in_small(self, groups: list[tuple[int, int]], labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    def may_link_in_small(self, groups: list[tuple[int, int]], labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
         """The same for many small groups at once, by their pairs."""
-        found = np.zeros(len(labels), bool)
-        first, second = [], []
+        found: list[tuple[int, int]] = []
+        first, second, root = [], [], {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
 
         def flush() -> None:
-            if not first:
-                return
             i, j = np.concatenate(first), np.concatenate(second)
             other = labels[i] != labels[j]
             i, j = i[other], j[other]
             ok = self.near(sizes[i], sketches[i], sizes[j], sketches[j])
-            found[i[ok]] = True
-            found[j[ok]] = True
+            for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((a, b))
             first.clear()
             second.clear()
+            root.clear()
 
         pairs = 0
         for a, b in groups:
-            i, j = np.triu_indices(b - a, 1) if b - a > len(_PAIRS) else _PAIRS[b - a - 1]
+            i, j = _PAIRS[b - a - 1]
             first.append(i + a)
             second.append(j + a)
             pairs += len(i)
             if pairs > 100_000:
                 flush()
                 pairs = 0
-        flush()
+        if first:
+            flush()
         return found
 
     def forest(self, labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -521,8 +529,8 @@ class _Join:
         first = F.min(F.struct("region", "largest", "blocks", "fits")).alias("r")
         return m, self._stage(regions.groupBy("n", "print", same.alias("same")).agg(first).select("r.*", "n"), "sized")
 
-    def leaves(self, m: DataFrame, regions: DataFrame) -> DataFrame:
-        """(region, block, class, label): members of leaves that may link with another component of their leaf."""
+    def candidates(self, m: DataFrame, regions: DataFrame) -> DataFrame:
+        """(region, block, a, b): for each leaf a spanning forest of its pairs of two components within the bounds."""
         bounds = Bounds(self.percent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,13 +539,17 @@ class _Join:
                 sketches, asks, held = _sketches(t.column("sketch")), t.column("asks").to_numpy(), t.column("held").to_numpy()
                 groups = _groups(t, ["region", "block"])
                 small = [(a, b) for a, b in groups if b - a <= len(_PAIRS) and held[a:b].all()]
-                ok = bounds.may_link_in_small(small, labels, sizes, sketches)
+                pairs = bounds.may_link_in_small(small, labels, sizes, sketches)
                 done = set(small)
                 for a, b in groups:
                     if (a, b) not in done:
-                        ok[a:b] = bounds.may_link(labels[a:b], sizes[a:b], sketches[a:b], asks[a:b], held[a:b])
-                for out in t.filter(pa.array(ok)).select(["region", "block", "class", "label"]).combine_chunks().to_batches():
-                    yield out
+                        found = bounds.may_link(labels[a:b], sizes[a:b], sketches[a:b], asks[a:b], held[a:b])
+                        pairs += [(a + i, a + j) for i, j in found]
+                at = np.array(pairs, np.int64).reshape(-1, 2)
+                ids = t.column("class").to_numpy()
+                lo, hi = np.minimum(ids[at[:, 0]], ids[at[:, 1]]), np.maximum(ids[at[:, 0]], ids[at[:, 1]])
+                own = [t.column(c).to_numpy()[at[:, 0]] for c in ("region", "block")]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*own, lo, hi)], ["region", "block", "a", "b"])
 
         rows = m.join(_broadcast_if_few(regions.where("fits").drop("n", "fits"), BROADCAST_REGIONS), "region")
         columns = ["region", "class", "label", "size", "sketch"]
@@ -554,16 +566,33 @@ class _Join:
         ship(m.sparkSession)
         found = (
             inside.unionByName(asking).repartition(*key).sortWithinPartitions(*key)
-            .mapInArrow(run, "region bigint, block bigint, class bigint, label bigint")
+            .mapInArrow(run, "region bigint, block bigint, a bigint, b bigint")
         )
-        return self._stage(found.distinct(), "may-link")
+        return self._stage(found.where("a != b"), "candidates")
+
+    def leaf_links(self, m: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
+        """Spanning links (a, b) of the leaves.
 
-    def leaf_links(self, m: DataFrame, regions: DataFrame) -> DataFrame:
-        """Spanning links (a, b) of the leaves."""
-        near = self.leaves(m, regions)
+        One pair may be a candidate in many regions. So candidates are first joined to clusters, in which all of a
+        cluster's pairs lie, and every set goes to its cluster once; only clusters too large for a task are
+        compared region by region.
+        """
+        near = self.candidates(m, regions)
+        clusters = connected_components(near.select("a", "b").distinct()).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+        clusters = self._stage(self.labelled(clusters, labels).join(self._sent(self.facts.select("class", "size")), "class"), "clusters")
+        totals = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+        small = ((F.col("n") <= LEAF) & (F.col("grams") <= LEAF_GRAMS)) | (F.col("n") <= LEAST)
+        sized = self._stage(totals.select("cluster", small.alias("small")), "cluster-sizes")
+        clusters = clusters.join(_broadcast_if_few(sized, BROADCAST_REGIONS), "cluster")
         key = ["region", "block"]
-        prints = near.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"))
-        one = prints.groupBy("n", "print").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+        leaves = clusters.where("small").select(F.col("cluster").alias("region"), F.lit(-1).cast("bigint").alias("block"), "class", "label")
+        if not sized.where("not small").isEmpty():
+            ends = near.select(*key, F.col("a").alias("class")).unionByName(near.select(*key, F.col("b").alias("class"))).distinct()
+            wide = self._stage(ends.join(clusters.where("not small").select("class", "label"), "class"), "wide")
+            prints = wide.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"))
+            one = prints.groupBy("n", "print").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+            wide = wide.join(_broadcast_if_few(self._stage(one, "leaves"), BROADCAST_REGIONS), key)
+            leaves = leaves.unionByName(wide.select(leaves.columns))
         bounds = Bounds(self.percent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -577,9 +606,8 @@ class _Join:
                 lo, hi = [min(x) for x in found], [max(x) for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
 
-        rows = near.join(_broadcast_if_few(self._stage(one, "leaves"), BROADCAST_REGIONS), key).join(self.sets, "class")
-        found = rows.select(*key, "class", "label", "grams").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint")
-        return self._stage(found.distinct(), "leaf-links")
+        rows = leaves.join(self.sets, "class").select(*key, "class", "label", "grams")
+        return self._stage(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint"), "leaf-links")
 
     def split(self, m: DataFrame, regions: DataFrame, turn: int) -> DataFrame:
         """(region, class, cell, depth, force) of the regions into which large ones are cut."""
@@ -686,7 +714,7 @@ class _Join:
             if regions.isEmpty():
                 return labels
             if not regions.where("fits").isEmpty():
-                links = self._stage(links.unionByName(self.leaf_links(m, regions)), "links")
+                links = self._stage(links.unionByName(self.leaf_links(m, regions, labels)), "links")
             if regions.where("not fits").isEmpty():
                 return self.components(links)
             open_ = self.split(m, regions, turn)
