@@ -27,4 +27,4 @@ QUERIES = {
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_bpe": codec.op10_bpe,
 }
-SQL = quality.SQL | exact_dedup.SQL | quotations.SQL
+SQL = quality.SQL | exact_dedup.SQL | quotations.SQL | line_dedup.SQL

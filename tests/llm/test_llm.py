@@ -355,32 +355,121 @@ def test_long_secrets_of_small_alphabets():
     assert secrets.spans(f"private key: {key[:40]}\nThanks")[1] == [(13, 3, 53)]
 
 
-def test_line_dedup(spark, edge):
-    long = " ".join(f"w{i}" for i in range(30))
-    rows = [(1, f"intro\n{long}\nend"), (2, f"{long.upper()}\nown line"), (3, f"{long}\nx\n{long}"), (4, "intro"), (5, None)]
+def brute_passages(rows, min_piece=4):
+    """(doc_id, start, end, n_words, keep_doc_id, keep_start) of rows (doc_id, text) with unique, known ids."""
+    blank = "[ \\t\\n\\x0b\\f\\r]"
+    found, place = [], {}
+    for doc, text in rows:
+        text = text or ""
+        words = [m.span() for m in WORD.finditer(text)]
+        lines, pieces = [], []
+        for m in re.finditer(r"[^\n]+", text):
+            inside = [w for w in words if m.start() <= w[0] < m.end()]
+            if inside:
+                ends = [m.start() + c.end() for c in re.finditer(r"[.!?](?=[ \t\x0b\f\r])", m[0])]
+                groups = {}
+                for w in inside:
+                    groups.setdefault(sum(e <= w[0] for e in ends), []).append(w)
+                lines.append((inside, text.count("\n", 0, m.start())))
+                pieces += [(g, len(groups) > 1) for _, g in sorted(groups.items())]
+        paragraphs, run = [], []
+        for inside, i in [*lines, (None, -9)]:
+            if run and i != run[-1][1] + 1:
+                if len(run) > 1:
+                    paragraphs.append([w for x, _ in run for w in x])
+                run = []
+            run.append((inside, i))
+        order = {w: k for k, (g, _) in enumerate(pieces) for w in g}
+        for group in [x for x, _ in lines] + paragraphs + [g for g, several in pieces if several and len(g) >= min_piece]:
+            a, b = group[0][0], group[-1][1]
+            plain = " ".join(text[x:y].translate(LOWER) for x, y in group)
+            found.append((doc, a, b, order[group[0]], order[group[-1]], words.index(group[0]), words.index(group[-1]) + 1, plain))
+            place[plain] = min(place.get(plain, (doc, a)), (doc, a))
+    out = []
+    for doc, _ in rows:
+        at = sorted({(f[3], -f[4], f[1], -f[2], f[5], f[6], place[f[7]]) for f in found if f[0] == doc and place[f[7]] != (doc, f[1])})
+        runs, top = [], None
+        for f in at:
+            if top is None or f[0] > top + 1:
+                runs.append([])
+                top = -1
+            runs[-1].append(f)
+            top = max(top, -f[1])
+        for run in runs:
+            keep = min((f[0], f[1], *f[6]) for f in run)[2:]
+            out.append((doc, min(f[2] for f in run), max(-f[3] for f in run), max(f[5] for f in run) - min(f[4] for f in run), *keep))
+    return out
+
+
+def test_line_dedup(spark, edge, docs):
+    rng = random.Random(8)
+    sentence = lambda: " ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.randint(1, 6))) + rng.choice([". ", "! ", "?", ".\t", " ", "é. "])
+    pool = [sentence() for _ in range(25)]
+    made = [(i, "".join(rng.choice(pool) if rng.random() < 0.8 else rng.choice(["\n", "\n\n", " \n", "\r\n", "\x1c"]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    for rows in (made, list(enumerate(EDGE)), [tuple(r) for r in docs.select("doc_id", "text").collect()]):
+        d = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = line_dedup.repeated_passages(d).drop("key").collect()
+        assert sorted(map(tuple, got)) == sorted(brute_passages(rows))
+        cut = {}
+        for r in got:
+            cut.setdefault(r.doc_id, []).append((r.start, r.end))
+        for r in line_dedup.without_repeats(d).collect():
+            text = dict(rows)[r.doc_id]
+            for a, b in sorted(cut.get(r.doc_id, []), reverse=True):
+                text = text[:a] + text[b:]
+            assert r.text == text and [tuple(x) for x in r.removed] == sorted(cut.get(r.doc_id, []))
+    assert line_dedup.repeated_passages(edge.limit(0)).count() == 0
+    left = line_dedup.without_repeats(edge)  # a null id ranks last; the repeated row is one document
+    assert left.columns == [c for c in edge.columns if c != "text"] + ["text", "removed"] and left.count() == edge.count()
+    assert [r.text for r in left.where("doc_id IS NULL").collect()] == [""]
+    assert sorted(r.text for r in left.where("doc_id >= 10").collect()) == ["", "", "", "same text"]
+
+
+def test_long_passages_are_found(spark):
+    """Of runs of 50 words or more that another document holds too, nine of ten hold a copy; brute force over word windows."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    whole = {}
+    for i, t in rows:
+        whole.setdefault((t or "").translate(LOWER), []).append(i)
+    rows = [(i[0], t) for t, i in whole.items()]
+    at = {}
+    for doc, t in rows:
+        words = WORD.findall(t)
+        for k in range(len(words) - 49):
+            at.setdefault(hash(tuple(words[k : k + 50])), set()).add((doc, k))
+    seen = {}
+    for places in at.values():
+        if len({d for d, _ in places}) > 1:
+            for doc, k in places:
+                seen.setdefault(doc, set()).update(range(k, k + 50))
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {(r.doc_id, r.start, r.end, r.keep_doc_id, r.keep_start) for r in line_dedup.repeated_units(d).collect()}
-    n = len(long)
-    assert got == {(2, 0, n, 1, 6), (3, 0, n, 1, 6), (3, n + 3, 2 * n + 3, 1, 6)}
-    left = {r.doc_id: r.text for r in line_dedup.without_repeats(d).collect()}
-    assert left == {1: rows[0][1], 2: "\nown line", 3: "\nx\n", 4: "intro", 5: None}
-    assert line_dedup.repeated_units(edge.limit(0)).count() == 0
-    assert line_dedup.repeated_units(edge).count() >= 0
+    text, runs, cut = dict(rows), [], {}
+    first = {d for places in at.values() if len({x for x, _ in places}) > 1 for d in [min(places)[0]]}
+    for r in line_dedup.repeated_passages(d).collect():
+        cut.setdefault(r.doc_id, []).append((r.start, r.end))
+    for doc, words in seen.items():
+        if doc in first:
+            continue  # it may hold the occurrence that stays
+        spans = [m.span() for m in WORD.finditer(text[doc])]
+        runs.append(any(a < spans[k][1] and spans[k][0] < b for k in words for a, b in cut.get(doc, [])))
+    assert len(runs) > 30 and sum(runs) >= 0.9 * len(runs)
 
 
 def test_substring_dedup_takes_short_lines_and_wrapped_passages(spark, tmp_path):
     words = [f"w{i}" for i in range(60)]
     wrap = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
-    rows = [(1, f"Read more here\n\n{wrap(12)}\n\nown"), (2, f"other\n\n{wrap(15)}\n \nread  more here"), (3, " ".join(words).upper()), (4, "\n \n"), (5, None)]
+    inside = "This passage stands in the middle of a line. It goes on here for some words!"
+    rows = [(1, f"Read more here\n\n{wrap(12)}\n\nown"), (2, f"other\n\n{wrap(15)}\n \nread  more here"), (3, " ".join(words).upper()), (4, "\n \n"), (5, None),
+            (6, f"A start. {inside} An end."), (7, f"Something else? {inside} Then more.")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.start, r.end, r.keep_doc_id, r.keep_start) for r in line_dedup.op8_substring_dedup(spark, str(tmp_path)).collect()}
     n = len(wrap(12))
-    assert got == {(2, 7, 7 + n, 1, 16), (2, 10 + n, 25 + n, 1, 0), (3, 0, n, 1, 16)}
-    left = {r.doc_id: r.text for r in line_dedup.without_repeats(d, "both", 1).collect()}
-    assert left == {1: rows[0][1], 2: "other\n\n\n \n", 3: "", 4: "\n \n", 5: None}
+    assert got == {(2, 7, 10 + n + 15, 1, 16), (3, 0, n, 1, 16), (7, 16, 16 + len(inside), 6, 9)}
+    left = {r.doc_id: r.text for r in line_dedup.without_repeats(d).collect()}
+    assert left == {1: rows[0][1], 2: "other\n\n", 3: "", 4: "\n \n", 5: None, 6: rows[5][1], 7: "Something else?  Then more."}
     twice = spark.createDataFrame([(1, rows[0][1]), (2, rows[0][1] + "!")], d.schema)  # lines inside a paragraph
-    assert [r.text for r in line_dedup.without_repeats(twice, "both", 1).where("doc_id = 2").collect()] == ["\n\n\n\nown!"]
+    assert [r.text for r in line_dedup.without_repeats(twice).where("doc_id = 2").collect()] == ["\n\nown!"]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body>
