@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, new_path, partitions, stage, table
+from corpusloom.llm.common import ascii_lower, new_path, partitions, stage, table, without
 
 #: Groups with at least this share of all rows are joined by broadcast: there can be no more than its inverse of them.
 HOT_SHARE = 1 / 200
@@ -94,10 +94,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The input rows that stay, with all their columns. Whole rows stay where they are: the ids to drop, a copy's only,
-    are anti-joined with them."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of equal texts, with all its columns. Rows are known by doc_id and digest: what is to go is
+    anti-joined with the rows, broadcast where it is few by its count; of rows that repeat both one stays."""
+    found = exact_dedup(docs).where("group_size > 1")
+    counted = found.groupBy("doc_id", F.unhex("text_sha256").alias("key"), F.col("kept").alias("keep")).agg(F.count(F.lit(1)).alias("rows"))
+    verdicts = stage(counted.where("not keep or rows > 1").select("doc_id", "key", "keep"), "copies")
+    return without(docs, text_digest(F.col("text")), verdicts)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

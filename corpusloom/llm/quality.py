@@ -241,11 +241,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 
 
 def keep_good_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk: float) -> DataFrame:
-    """The input rows that the base and the jointly certified rules keep, with all their columns. Counts are computed once
-    for the cutoffs and once for the verdicts, so that no text needs to be shuffled or written here."""
-    cutoffs = joint_cutoffs(stage(measured(docs, _keyed(stratum)), "quality-counts"), labels, **risk)
+    """The input rows that the base and the jointly certified rules keep, with all their columns. Rows are written once with
+    their counts, which cost far more than that; the cutoffs read the counts alone."""
     row = {"_row": F.struct(*[docs[c] for c in docs.columns])}
-    return _verdicts(measured(docs, row | _keyed(stratum)), cutoffs, ["_row"]).where("kept").select("_row.*")
+    counted = stage(measured(docs, row | _keyed(stratum)), "quality-counts")
+    return _verdicts(counted, joint_cutoffs(counted, labels, **risk), ["_row"]).where("kept").select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

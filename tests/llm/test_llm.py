@@ -107,6 +107,24 @@ def test_exact_dedup(spark, edge, docs):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_copies_by_rows(spark):
+    rows = [(1, "x"), (1, "y"), (5, "x"), (7, "Z"), (7, "z"), (None, "z"), (None, "n"), (None, "N"), (8, None), (9, ""), (3, "alone"), (4, "twice"), (4, "twice")]
+    d = spark.createDataFrame([(i, t, "k", True, 1) for i, t in rows], "doc_id bigint, text string, key string, keep boolean, rows int")
+    got = exact_dedup.drop_exact_copies(d)
+    assert got.columns == d.columns
+    left = sorted((str(r.doc_id), (r.text or "").lower()) for r in got.collect())
+    assert left == [("1", "y"), ("3", "alone"), ("4", "twice"), ("5", "x"), ("7", "z"), ("9", ""), ("None", "n")]
+
+
+def test_digest_index_is_opened_again(spark):
+    one = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string"), one).count()
+    again = exact_dedup.DigestIndex(spark.newSession(), path=one.path, buckets=4)
+    assert again.table().count() == 2
+    d = spark.createDataFrame([(3, "A"), (4, "c")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(d, exact_dedup.DigestIndex(spark, path=one.path, buckets=4)).collect()} == {(3, 1, False), (4, 4, True)}
+
+
 def test_digest_index_meets_new_batches(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     one = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id bigint, text string")
