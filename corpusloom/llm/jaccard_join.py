@@ -52,12 +52,14 @@ from corpusloom.session import Scratch, ship
 from corpusloom.session import broadcast_if_few as _broadcast_if_few
 
 SLACK = 25
-SKETCH = 128
+#: A sketch counts a set's n-grams in so many hash ranges at least, one for each four n-grams, and at most.
+SKETCH, SKETCH_MOST = 128, 1 << 16
 #: A leaf has so many members at most, and so many n-grams unless LEAST members have more.
 LEAF, LEAF_GRAMS, LEAST = 2048, 1 << 22, 16
 PIVOTS, SAMPLE = 16, 256
-#: Tables of up to so many rows, by their count, are sent to every task: regions; classes with sketches; pivots of a region (2 kB).
-BROADCAST_REGIONS, BROADCAST_CLASSES, BROADCAST_PIVOTS = 250_000, 50_000, 5_000
+#: Tables of up to so many rows, by their count, are sent to every task: regions; classes; pivots of
+#: a region. Sketches are sent by their bytes.
+BROADCAST_REGIONS, BROADCAST_CLASSES, BROADCAST_SKETCHES = 250_000, 50_000, 32 << 20
 BLOCK_BYTES = 1 << 20
 SENT_CLASSES = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -214,9 +216,25 @@ class Bands:
         return None
 
 
+def sketch_width(size: int) -> int:
+    """A power of two."""
+    return min(max(SKETCH, 1 << (max(size, 4) // 4 - 1).bit_length()), SKETCH_MOST)
+
+
 def _counts(grams: np.ndarray) -> np.ndarray:
-    """N-grams by SKETCH hash ranges, up to 255: what is cut off can only make sets look nearer."""
-    return np.minimum(np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+    """N-grams by hash ranges, up to 255: what is cut off can only make sets look nearer."""
+    width = sketch_width(len(grams))
+    return np.minimum(np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8)
+
+
+def _matrix(sketches: list[bytes], width: int = 0) -> np.ndarray:
+    """Sketches as rows of one width, the least of theirs if none is given; wider ones are folded."""
+    width = width or min(map(len, sketches), default=SKETCH)
+    out = np.empty((len(sketches), width), np.int16)
+    for i, x in enumerate(sketches):
+        v = np.frombuffer(x, np.uint8)
+        out[i] = v if len(v) == width else v.reshape(-1, width).sum(0, dtype=np.int64).clip(0, 32_000)
+    return out
 
 
 def _class(grams: np.ndarray) -> int:
@@ -320,10 +338,6 @@ def _groups(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def _sketches(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-
-
 class Bounds:
     """What two linked sets keep: sizes within the similarity, sketches within the differing n-grams that it allows."""
 
@@ -337,19 +351,33 @@ class Bounds:
         ok[at] = (100 + self.p) * apart <= (100 - self.p) * ((n_a[at] if np.ndim(n_a) else n_a) + n_b[at])
         return ok
 
-    def may_link(self, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, asks: np.ndarray, held: np.ndarray) -> list[tuple[int, int]]:
+    def near_pairs(self, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+        """The same for pairs of rows, each at the lesser width of its two sketches."""
+        ok = np.zeros(len(i), bool)
+        width = np.array([len(x) for x in sketches])
+        least = np.minimum(width[i], width[j]) if len(i) else width[:0]
+        for w in np.unique(least):
+            at = np.flatnonzero(least == w)
+            rows = np.unique(np.concatenate([i[at], j[at]]))
+            m = _matrix([sketches[r] for r in rows], int(w))
+            for part in np.array_split(at, max(1, len(at) * int(w) >> 24)):
+                a, b = np.searchsorted(rows, i[part]), np.searchsorted(rows, j[part])
+                ok[part] = self.near(sizes[i[part]], m[a], sizes[j[part]], m[b])
+        return ok
+
+    def may_link(self, labels: np.ndarray, sizes: np.ndarray, sketches: list[bytes], asks: np.ndarray, held: np.ndarray) -> list[tuple[int, int]]:
         """A spanning forest of the pairs of two components within the bounds of which one asks."""
-        found, part = [], np.arange(len(labels))
+        found, part, m = [], np.arange(len(labels)), _matrix(sketches)
         at = np.flatnonzero(held)
         for i in np.flatnonzero(asks):
             j = at[(labels[at] != labels[i]) & (part[at] != part[i])]
-            for k in j[self.near(sizes[i], sketches[i], sizes[j], sketches[j])]:
+            for k in j[self.near(sizes[i], m[i], sizes[j], m[j])]:
                 if part[k] != part[i]:
                     found.append((int(i), int(k)))
                     part[part == part[k]] = part[i]
         return found
 
-    def may_link_in_small(self, groups: list[tuple[int, int]], labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    def may_link_in_small(self, groups: list[tuple[int, int]], labels: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
         """The same for many small groups at once, by their pairs."""
         found: list[tuple[int, int]] = []
         first, second, root = [], [], {}
@@ -363,7 +391,9 @@ class Bounds:
             i, j = np.concatenate(first), np.concatenate(second)
             other = labels[i] != labels[j]
             i, j = i[other], j[other]
-            ok = self.near(sizes[i], sketches[i], sizes[j], sketches[j])
+            low = min(map(int, i), default=0)
+            high = max(map(int, j), default=-1) + 1
+            ok = self.near_pairs(i - low, j - low, sizes[low:high], sketches[low:high])
             for a, b in zip(i[ok].tolist(), j[ok].tolist()):
                 x, y = find(a), find(b)
                 if x != y:
@@ -379,7 +409,7 @@ class Bounds:
             first.append(i + a)
             second.append(j + a)
             pairs += len(i)
-            if pairs > 100_000:
+            if pairs > 20_000:
                 flush()
                 pairs = 0
         if first:
@@ -393,7 +423,7 @@ class Bounds:
         _, ranks = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        hashed = np.stack([_counts(x.view(np.uint64)) for x in sets]).astype(np.int16)
+        hashed = _matrix([_counts(x.view(np.uint64)).tobytes() for x in sets])
         names, label = np.unique(labels, return_inverse=True)
         mark = np.zeros(int(ranks.max()) + 1, np.int64)
         found = []
@@ -433,11 +463,14 @@ class _Join:
         return self.scratch.stage(rows, name)
 
     def regions(self) -> DataFrame:
-        """(region, class) for the cells that hold more than one class; a frequent cell is combined before it travels."""
+        """(region, class) for the cells that hold more than one class. Cells are counted first, with a frequent one combined before
+        it travels; a class that several tasks have sent is told from two classes among the few cells left."""
         cells = self.profiles.where("cells IS NOT NULL").select("class", F.explode("cells").alias("region"))
-        shared = cells.groupBy("region").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("region")
-        shared = _broadcast_if_few(self._stage(shared, "shared-cells"))
-        return self._stage(cells.join(shared, "region").distinct(), "members")
+        several = cells.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region")
+        several = _broadcast_if_few(self._stage(several, "several"))
+        found = self._stage(cells.join(several, "region").distinct(), "found")
+        shared = found.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region")
+        return self._stage(found.join(_broadcast_if_few(self._stage(shared, "shared")), "region"), "members")
 
     def prepare(self, members: DataFrame) -> None:
         """Size, sketch and set of each class in a region."""
@@ -445,7 +478,8 @@ class _Join:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "size", "sketch"))
         found = self.profiles.join(inside, "class", "left_semi").groupBy("class").agg(first.alias("f"))
         self.facts = self._stage(found.select("class", "f.doc_id", "f.size", "f.sketch"), "facts")
-        self.few = self.facts.count() <= BROADCAST_CLASSES
+        n, held = self.facts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("sketch")), F.lit(0))).first()
+        self.few, self.few_sketches = n <= BROADCAST_CLASSES, held <= BROADCAST_SKETCHES
         ids = _broadcast_if_few(self.facts.where("doc_id IS NOT NULL").select("doc_id"))
         docs = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         wanted = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
@@ -457,16 +491,23 @@ class _Join:
         """A table with a row for each class in a region, or fewer; sent to every task if there are few classes."""
         return F.broadcast(classes) if self.few else classes
 
+    def _sketched(self, rows: DataFrame) -> DataFrame:
+        """rows with a class, and its sketch."""
+        s = self.facts.select("class", "sketch")
+        return rows.join(F.broadcast(s) if self.few_sketches else s, "class")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, one for each class at most, those that link. Sets travel only within the bounds."""
         p, bounds = self.percent, Bounds(self.percent)
-        side = lambda x: self._sent(self.facts.select(F.col("class").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")))
+        sent = lambda d: F.broadcast(d) if self.few_sketches else d
+        side = lambda x: sent(self.facts.select(F.col("class").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")))
         one = lambda x: self.sets.select(F.col("class").alias(x), F.col("grams").alias(f"g_{x}"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-                ok = bounds.near(n_a, _sketches(batch.column("s_a")), n_b, _sketches(batch.column("s_b")))
+                k = np.arange(batch.num_rows)
+                sizes = np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+                ok = bounds.near_pairs(k, k + len(k), sizes, batch.column("s_a").to_pylist() + batch.column("s_b").to_pylist())
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
         near = self._stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint"), "near-pairs")
@@ -510,23 +551,23 @@ class _Join:
         kind "leaf": the region is cut into `blocks` and those outside its largest component meet each of them; this never
         makes more than twice its rows, unless it can't be cut any more (force). kind "split": too large for that.
         """
-        m = self._stage(self.labelled(members, labels).join(self._sent(self.facts.select("class", "size", "sketch")), "class"), "labelled")
+        m = self._stage(self.labelled(members, labels).join(self._sent(self.facts.select("class", "size")), "class"), "labelled")
         regions = (
             m.groupBy("region", "label")
             .agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"),
-                 F.max("size").alias("top"), F.max("force").alias("force"))
+                 F.max("size").alias("top"), F.min("size").alias("low"), F.max("force").alias("force"))
             .groupBy("region")
-            .agg(F.sum("k").alias("n"), F.sum("print").alias("print"), F.max("top").alias("top"), F.max("force").alias("force"),
+            .agg(F.sum("k").alias("n"), F.sum("print").alias("print"), F.max("top").alias("top"), F.min("low").alias("low"), F.max("force").alias("force"),
                  F.max(F.struct("k", "label")).alias("l"), F.count(F.lit(1)).alias("parts"))
             .where("parts > 1")
         )
         cap = F.greatest(F.lit(LEAST), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_GRAMS) / F.col("top"))))
         blocks = F.ceil(F.col("n") / cap)
         fits = (blocks == 1) | F.col("force") | ((F.col("n") - F.col("l.k")) * blocks <= F.col("n"))
-        regions = regions.select("region", "n", "print", F.col("l.label").alias("largest"), blocks.alias("blocks"), fits.alias("fits"))
+        regions = regions.select("region", "n", "low", "print", F.col("l.label").alias("largest"), blocks.alias("blocks"), fits.alias("fits"))
         # regions with the same members are one; those to be split stay, as each is cut by another cell
         same = F.when(F.col("fits"), F.lit(0)).otherwise(F.col("region"))
-        first = F.min(F.struct("region", "largest", "blocks", "fits")).alias("r")
+        first = F.min(F.struct("region", "largest", "blocks", "fits", "low")).alias("r")
         return m, self._stage(regions.groupBy("n", "print", same.alias("same")).agg(first).select("r.*", "n"), "sized")
 
     def candidates(self, m: DataFrame, regions: DataFrame) -> DataFrame:
@@ -536,7 +577,7 @@ class _Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _rows(batches, ["region", "block"]):
                 labels, sizes = t.column("label").to_numpy(), t.column("size").to_numpy()
-                sketches, asks, held = _sketches(t.column("sketch")), t.column("asks").to_numpy(), t.column("held").to_numpy()
+                sketches, asks, held = t.column("sketch").to_pylist(), t.column("asks").to_numpy(), t.column("held").to_numpy()
                 groups = _groups(t, ["region", "block"])
                 small = [(a, b) for a, b in groups if b - a <= len(_PAIRS) and held[a:b].all()]
                 pairs = bounds.may_link_in_small(small, labels, sizes, sketches)
@@ -551,7 +592,8 @@ class _Join:
                 own = [t.column(c).to_numpy()[at[:, 0]] for c in ("region", "block")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*own, lo, hi)], ["region", "block", "a", "b"])
 
-        rows = m.join(_broadcast_if_few(regions.where("fits").drop("n", "fits"), BROADCAST_REGIONS), "region")
+        rows = m.join(_broadcast_if_few(regions.where("fits").drop("n", "fits", "low"), BROADCAST_REGIONS), "region")
+        rows = self._sketched(rows)
         columns = ["region", "class", "label", "size", "sketch"]
         outside = F.col("label") != F.col("largest")
         inside = rows.select(
@@ -612,32 +654,32 @@ class _Join:
     def split(self, m: DataFrame, regions: DataFrame, turn: int) -> DataFrame:
         """(region, class, cell, depth, force) of the regions into which large ones are cut."""
         p, seed = self.percent, turn
-        wide = regions.where("not fits").select("region", "n")
-        rows = m.join(_broadcast_if_few(wide, BROADCAST_REGIONS), "region")
+        wide = regions.where("not fits").select("region", "n", "low")
+        rows = self._sketched(m.join(_broadcast_if_few(wide, BROADCAST_REGIONS), "region"))
         schema = "region bigint, pivots array<binary>, reach array<bigint>"
 
         def choose(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["draw", "class"]).head(SAMPLE)
-            held = np.stack([np.frombuffer(x, np.uint8) for x in frame["sketch"]]).astype(np.int16)
+            held = _matrix(list(frame["sketch"]), sketch_width(int(frame["low"].iloc[0])))
             chosen = [0]
-            apart = np.abs(held - held[0]).sum(1)
+            apart = np.abs(held - held[0]).sum(1, dtype=np.int64)
             while len(chosen) < PIVOTS and apart.max() > 0:
                 chosen.append(int(apart.argmax()))
-                apart = np.minimum(apart, np.abs(held - held[chosen[-1]]).sum(1))
+                apart = np.minimum(apart, np.abs(held - held[chosen[-1]]).sum(1, dtype=np.int64))
             reach = [int(frame["size"].iloc[k]) * (100 - p) // p for k in chosen]
-            return pd.DataFrame({"region": frame["region"].iloc[:1], "pivots": [[frame["sketch"].iloc[k] for k in chosen]], "reach": [reach]})
+            return pd.DataFrame({"region": frame["region"].iloc[:1], "pivots": [[held[k].astype("<i2").tobytes() for k in chosen]], "reach": [reach]})
 
         # a sample of about SAMPLE members by hash; which members are pivots decides speed only, not the result
         draw = F.pmod(F.xxhash64("region", "class", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         sample = rows.withColumn("draw", draw).where(F.col("draw") * F.col("n") < SAMPLE)
         ship(m.sparkSession)
-        pivots = self._stage(sample.select("region", "class", "size", "sketch", "draw").groupBy("region").applyInPandas(choose, schema), "pivots")
+        pivots = self._stage(sample.select("region", "class", "size", "low", "sketch", "draw").groupBy("region").applyInPandas(choose, schema), "pivots")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[list[np.ndarray]] = [[], []]  # row, pivot (-1: rest)
                 t = pa.Table.from_batches([batch])
-                held, region = _sketches(t.column("sketch")), t.column("region").to_numpy()
+                sketches, region, low = t.column("sketch").to_pylist(), t.column("region").to_numpy(), t.column("low").to_numpy()
                 rho = t.column("size").to_numpy() * (100 - p) // p
                 for r in np.unique(region):
                     at = np.flatnonzero(region == r)
@@ -647,7 +689,8 @@ class _Join:
                         out[1].append(np.full(len(at), -1))
                         continue
                     reach = np.array(batch.column("reach")[int(at[0])].as_py())
-                    apart = np.stack([np.abs(held[at] - np.frombuffer(c, np.uint8).astype(np.int16)).sum(1) for c in centres], 1)
+                    held = _matrix([sketches[k] for k in at], sketch_width(int(low[at[0]])))  # one width in all of a region
+                    apart = np.stack([np.abs(held - np.frombuffer(c, "<i2")).sum(1, dtype=np.int64) for c in centres], 1)
                     nearest = apart.argmin(1)
                     owned = apart[np.arange(len(at)), nearest] <= reach[nearest]
                     i, k = np.nonzero(apart <= reach[None, :] + rho[at][:, None])
@@ -658,9 +701,11 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(which, pa.int64())], [*taken.schema.names, "pivot"])
 
         columns = "region bigint, class bigint, cell bigint, depth int, force boolean, n bigint, pivot bigint"
+        held = pivots.agg(F.coalesce(F.sum(F.aggregate("pivots", F.lit(0), lambda t, x: t + F.length(x))), F.lit(0))).first()[0]
+        sent = F.broadcast(pivots) if held <= BROADCAST_SKETCHES else pivots
         cut = self._stage(
-            rows.join(_broadcast_if_few(pivots, BROADCAST_PIVOTS), "region", "left")
-            .select("region", "class", "cell", "depth", "force", "n", "size", "sketch", "pivots", "reach").mapInArrow(assign, columns),
+            rows.join(sent, "region", "left")
+            .select("region", "class", "cell", "depth", "force", "n", "low", "size", "sketch", "pivots", "reach").mapInArrow(assign, columns),
             "cut",
         )
         counts = cut.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("k"))
