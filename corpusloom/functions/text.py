@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no topic, as the confidence scores leave them out.
-STOPWORDS = (
-    "a an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
-)
+STOPWORDS = """
+a an the and or but if then else when while of to in on at by for with from as is are was were be been being do does did
+have has had i you he she it we they them me my your his her our their this that these those not no yes so too very can
+could should would may might will shall just than into over under about above below out up down off again further here
+there where which who whom what why how all any both each few more most other some such own same also only s t d ll ve re m
+""".split()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row; a plain reuse could be inlined into every lambda call."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -16,14 +26,48 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def term_counts(words: Column) -> Column:
+    """Array of (term, n, first place) of an array's distinct values: sorted once, runs counted, so long texts stay cheap."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+        return let(
+            starts,
+            lambda b: F.transform(
+                b,
+                lambda i, k: F.struct(
+                    F.get(s, i)["term"].alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("bigint").alias("n"), F.get(s, i)["at"].alias("at")
+                ),
+            ),
+        )
+
+    return let(placed, runs)
+
+
 def content_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: ~t.isin(STOPWORDS))
 
 
+#: Letters with marks and the plain ones for them.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def without_marks(text: Column) -> Column:
+    """Latin letters without their accents; œ and æ become two letters."""
+    return F.replace(F.replace(F.translate(text, MARKED, PLAIN), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
+
+
+def concept_key(text: Column) -> Column:
+    """Runs of plain letters and digits in lower case, single blanks between them."""
+    return F.array_join(F.regexp_extract_all(without_marks(F.lower(text)), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+
+
 def sentences(text: Column) -> Column:
-    """Split after . ! ? before white space."""
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+    """Split after . ! ? before white space and a capital or digit."""
+    parts = F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def acronym(text: Column) -> Column:

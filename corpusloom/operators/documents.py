@@ -2,65 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import tokens
+from corpusloom.functions.text import let, term_counts, tokens
+
+
+#: Phrases of slide furniture; patterns of line parts to cut, and of lines to drop.
+NOISE_PHRASES = (
+    "navigation controls", "navigation icons", "footer icons", "footer navigation", "page number icon", "presentation controls",
+    "slide navigation", "seal or stamp", "stamp/seal", "logo",
+)
+MONTH_DATE = (
+    r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december|janvier|février|fevrier|mars|avril|"
+    r"mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre)\s+\d{1,2},?\s+\d{4}\b"
+)
+COUNTER, DOT_LEADER = r"\b\d{1,3}\s*/\s*\d{1,3}\b", r"\.{5,}\s*\d{1,4}\s*$"
+IMAGE_FILE = r"(?i)\bpage_\d+_[\w_]+\.(?:png|jpg|jpeg|webp)\b"
+LEADING_FOOTER = (
+    r"(?i)^\s*(?:prof(?:essor)?|pr\.?|dr\.?|teacher|enseignant|universit(?:y|e)|facult(?:y|e)|school|college|institute|department|"
+    r"dept\.?|master|course|cours|lecture|chapter)\b.{0,240}?(?:\d{1,3}\s*/\s*\d{1,3}|\b\d{4}\b)\s+"
+)
+FOOTER_WORD = (
+    r"(?i)\b(?:university|universit[eé]|faculty|facult[eé]|school|college|institute|department|dept\.?|professor|enseignant|copyright|"
+    r"all rights reserved)\b"
+)
+#: (pattern, replacement) in the order in which a line is cleaned.
+LINE_RULES = (
+    (LEADING_FOOTER, ""), (r"\(\s*[,;|]?\s*\)", " "), (MONTH_DATE, " "), (COUNTER, " "), (IMAGE_FILE, " "), (r"(?:\s*\.\s*){5,}", " "),
+)
+
+
+def _cleaned(text: Column) -> Column:
+    """Array of (at, line, norm) of the lines that stay."""
+    whole = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?s)<!--.*?-->", " ")
+    whole = F.regexp_replace(whole, r"!\[[^\]]*\]\([^)]*\)|(?i:<img\b[^>]*>)", " ")
+
+    def clean(line: Column) -> Column:
+        line = F.trim(line)
+        for pattern, by in LINE_RULES:
+            line = F.regexp_replace(line, pattern, by)
+        return F.btrim(F.regexp_replace(F.trim(line), r"[ \t]{2,}", " "), F.lit(" |•\t"))
+
+    def stays(line: Column, norm: Column) -> Column:
+        noise = F.lit(False)
+        for p in NOISE_PHRASES:
+            noise = noise | norm.contains(p)
+        count = lambda mark: (F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))) / len(mark)
+        footer = (F.length(line) <= 180) & line.rlike(FOOTER_WORD) & (
+            line.rlike(COUNTER) | line.rlike(MONTH_DATE) | (count("|") + count(" - ") + count(" / ") >= 2) | (F.size(F.split(norm, " ")) <= 10)
+        )
+        thin = (F.length(line) >= 8) & (F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]", "")) < 0.25 * F.length(line))
+        return (norm != "") & ~noise & ~line.rlike(DOT_LEADER) & ~line.rlike(IMAGE_FILE) & ~footer & ~thin
+
+    lines = F.transform(F.split(whole, "\n"), lambda x, i: F.struct(i.alias("at"), clean(x).alias("line")))
+    lines = F.transform(lines, lambda x: F.struct(x["at"], x["line"], F.trim(F.regexp_replace(F.lower(x["line"]), r"\s+", " ")).alias("norm")))
+    kept = F.filter(lines, lambda x: stays(x["line"], x["norm"]))
+    return let(kept, lambda k: F.filter(k, lambda x, i: (i == 0) | (F.get(k, i - 1)["norm"] != x["norm"])))
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): trimmed lines without empty ones, page counters, lines of hardly any letters, and lines
-    that repeat the kept line before them."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    line = F.trim(F.regexp_replace("raw", r"[ \t\r]+", " "))
-    lines = lines.select("doc_id", "line_no", line.alias("line"), F.lower(line).alias("norm"))
-    solid = F.length(F.regexp_replace("norm", r"[^\p{L}\p{N}]", ""))
-    kept = lines.where(
-        (F.col("norm") != "")
-        & ~F.col("norm").rlike(r"^(page|slide)?\s*\d+(\s*(/|of)\s*\d+)?$")
-        & ~((F.length("norm") >= 8) & (solid < 0.25 * F.length("norm")))
-    )
-    before = F.lag("norm").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return kept.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("norm"))).select("doc_id", "line_no", "line")
+    """(doc_id, line_no, line): cleaned lines without empty ones, slide furniture, footers, counters, dates, image names, lines of hardly
+    any letters, and lines that repeat the kept line before them. A document's lines are cleaned within its row."""
+    d = docs.select("doc_id", F.explode(_cleaned(F.col("text"))).alias("x"))
+    return d.select("doc_id", F.col("x.at").alias("line_no"), "x.line")
 
 
 def clean_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_kept, n_removed)."""
-    kept = clean_lines(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
-    n = F.size(F.split("text", "\n")).cast("bigint")
-    joined = docs.select("doc_id", n.alias("n_lines")).join(kept, "doc_id", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
-    return joined.select("doc_id", "n_lines", "n_kept", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"))
+    n, kept = F.size(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).cast("bigint"), F.size(_cleaned(F.col("text"))).cast("bigint")
+    return docs.select("doc_id", n.alias("n_lines"), kept.alias("n_kept")).withColumn("n_removed", F.col("n_lines") - F.col("n_kept"))
 
 
 def key_terms(docs: DataFrame, n: int = 8, least: int = 5) -> DataFrame:
-    """(doc_id, term, n_uses, rank): the most frequent words of at least `least` characters, ties by first position."""
-    words = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("at", "term")).where(F.length("term") >= least)
-    counts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n_uses"), F.min("at").alias("at"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n_uses").desc(), "at"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= n).select("doc_id", "term", "n_uses", "rank")
-
-
-def token_chunks(docs: DataFrame, budget: int = 512) -> DataFrame:
-    """(doc_id, chunk, n_units, n_tokens): lines gathered up to a budget of words; one longer than the budget stands alone.
-
-    The greedy fold runs over the line lengths of one document in a single pass; texts are not moved.
-    """
-    sizes = F.filter(F.transform(F.split("text", "\n"), lambda x: F.size(tokens(x))), lambda n: n > 0)
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<chunk:int,n:int>>").alias("out"))
-
-    def step(acc, n):
-        fits = (acc["used"] > 0) & (acc["used"] + n > budget)
-        chunk = F.when(fits, acc["chunk"] + 1).otherwise(acc["chunk"])
-        used = F.when(fits, n).otherwise(acc["used"] + n)
-        return F.struct(
-            chunk.alias("chunk"), used.alias("used"),
-            F.concat(acc["out"], F.array(F.struct(chunk.alias("chunk"), n.alias("n")))).alias("out"),
-        )
-
-    placed = docs.select("doc_id", F.explode(F.aggregate(sizes, start, step, lambda a: a["out"])).alias("u"))
-    return placed.groupBy("doc_id", F.col("u.chunk").alias("chunk")).agg(
-        F.count(F.lit(1)).alias("n_units"), F.sum("u.n").alias("n_tokens")
-    )
+    """(doc_id, term, n_uses, rank): the most frequent words of at least `least` characters, ties by first position; within a row."""
+    counted = term_counts(F.filter(tokens(F.col("text")), lambda w: F.length(w) >= least))
+    ranked = F.slice(F.array_sort(F.transform(counted, lambda c: F.struct((-c["n"]).alias("back"), c["at"].alias("at"), c["term"].alias("term")))), 1, n)
+    each = docs.select("doc_id", F.posexplode(ranked).alias("rank", "c"))
+    return each.select("doc_id", "c.term", (-F.col("c.back")).alias("n_uses"), (F.col("rank") + 1).alias("rank"))
 
 
 def timeline(docs: DataFrame) -> DataFrame:

@@ -19,33 +19,49 @@ def assessment_step(mastery: Column, score: Column, applied: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved))
 
 
-def chat_step(mastery: Column, op: Column) -> Column:
-    return (
-        F.when(op == "demonstrated", mastery + 0.2 * (1 - mastery)).when(op == "struggled", mastery * 0.7).otherwise(mastery)
-    )
+#: Events of a learner and concept that are folded in one task: sequence numbers of one span.
+SPAN = 4096
+
+
+def _folded(events: DataFrame, factor: Column, add: Column, extra: dict[str, Column]) -> DataFrame:
+    """(learner, concept, mastery, n_events and extra sums): mastery goes from 0 to m * factor + add at each event, in order of seq.
 
+    Such steps compose to one of their kind. Spans of a history are composed apart, each in a task, then these few in order, so
+    that a learner with a large share of all events meets in no one task. Mastery is rounded to nine digits, as orders of
+    composition differ in the last ones.
+    """
+    pair = F.struct(factor.alias("f"), add.alias("a"))
 
-def _history(events: DataFrame, *fields: str) -> DataFrame:
-    """One row for each learner and concept with its events in order; a learner's history of a concept is bounded by use."""
-    return events.groupBy("learner", "concept").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("events"))
+    def compose(steps: Column) -> Column:
+        start = F.struct(F.lit(1.0).alias("f"), F.lit(0.0).alias("a"))
+        return F.aggregate(
+            F.array_sort(steps), start, lambda t, e: F.struct((t["f"] * e["s"]["f"]).alias("f"), (t["a"] * e["s"]["f"] + e["s"]["a"]).alias("a"))
+        )
+
+    sums = [F.count(F.lit(1)).alias("n_events"), *[v.alias(k) for k, v in extra.items()]]
+    spans = events.groupBy("learner", "concept", F.floor(F.col("seq") / SPAN).alias("span")).agg(
+        F.collect_list(F.struct("seq", pair.alias("s"))).alias("steps"), *sums
+    )
+    spans = spans.select("learner", "concept", "span", compose(F.col("steps")).alias("s"), "n_events", *extra)
+    whole = spans.groupBy("learner", "concept").agg(
+        compose(F.collect_list(F.struct("span", "s"))).alias("s"), *[F.sum(c).alias(c) for c in ("n_events", *extra)]
+    )
+    return whole.select("learner", "concept", F.round("s.a", 9).alias("mastery"), *extra, "n_events")
 
 
 def fold_assessments(events: DataFrame) -> DataFrame:
     """(learner, concept, mastery, n_events) from events (learner, concept, seq, score, applied); order matters."""
-    fold = F.aggregate("events", F.lit(0.0), lambda m, e: assessment_step(m, e["score"], e["applied"]))
-    return _history(events, "score", "applied").select(
-        "learner", "concept", fold.alias("mastery"), F.size("events").cast("bigint").alias("n_events")
-    )
+    score, applied = F.col("score"), F.col("applied")
+    gain = F.when(score >= 0.85, F.when(applied, 0.25).otherwise(0.16)).when(score >= 0.6, 0.10).otherwise(0.0)
+    factor = F.when(gain > 0, 1 - gain).when(score >= 0.25, 0.75).otherwise(0.60)
+    return _folded(events, factor, gain, {})
 
 
 def fold_chat(events: DataFrame) -> DataFrame:
     """(learner, concept, mastery, n_struggled, n_events) from events (learner, concept, seq, op)."""
-    fold = F.aggregate("events", F.lit(0.0), lambda m, e: chat_step(m, e["op"]))
-    struggled = F.size(F.filter("events", lambda e: e["op"] == "struggled"))
-    return _history(events, "op").select(
-        "learner", "concept", fold.alias("mastery"), struggled.cast("bigint").alias("n_struggled"),
-        F.size("events").cast("bigint").alias("n_events"),
-    )
+    op = F.col("op")
+    factor = F.when(op == "demonstrated", 0.8).when(op == "struggled", 0.7).otherwise(1.0)
+    return _folded(events, factor, F.when(op == "demonstrated", 0.2).otherwise(0.0), {"n_struggled": F.count_if(op == "struggled")})
 
 
 def understood_and_struggling(state: DataFrame) -> DataFrame:
@@ -59,13 +75,12 @@ def understood_and_struggling(state: DataFrame) -> DataFrame:
 
 def progress(state: DataFrame, concepts: DataFrame) -> DataFrame:
     """Per learner: mean mastery over all concepts, a missing one counting 0; how many are mastered; struggles."""
-    n = concepts.select("concept").distinct().count()
-    return state.groupBy("learner").agg(
-        F.round(F.sum("mastery") / n, 6).alias("mean_mastery"),
-        F.count_if(F.col("mastery") >= MASTERED).alias("n_mastered"),
-        F.lit(n).cast("bigint").alias("n_concepts"),
-        F.sum("n_struggled").alias("n_struggled"),
+    n = concepts.agg(F.countDistinct("concept").alias("n_concepts"))  # one row of one number
+    g = state.groupBy("learner").agg(
+        F.sum("mastery").alias("m"), F.count_if(F.col("mastery") >= MASTERED).alias("n_mastered"), F.sum("n_struggled").alias("n_struggled")
     )
+    mean = F.round(F.col("m") / F.col("n_concepts"), 6).alias("mean_mastery")
+    return g.crossJoin(F.broadcast(n)).select("learner", mean, "n_mastered", "n_concepts", "n_struggled")
 
 
 def weakest(state: DataFrame, n: int) -> DataFrame:
@@ -100,15 +115,14 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def one_hop(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
-    """(node, strength, rank): undirected neighbours of the seed nodes, without these, strongest first."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "confidence").unionByName(
-        edges.select(F.col("target").alias("a"), F.col("source").alias("b"), "confidence")
+def one_hop(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """(seed, node, strength, rank): each seed's undirected neighbours, strongest first, `most` at most."""
+    both = edges.select(F.col("source").alias("seed"), F.col("target").alias("node"), "confidence").unionByName(
+        edges.select(F.col("target").alias("seed"), F.col("source").alias("node"), "confidence")
     )
-    s = seeds.select(F.col("node").alias("a"))
-    near = both.join(s, "a", "left_semi").join(s.withColumnRenamed("a", "b"), "b", "left_anti")
-    found = near.groupBy(F.col("b").alias("node")).agg(F.max("confidence").alias("strength"))
-    return found.orderBy(F.col("strength").desc(), "node").limit(limit)
+    near = both.join(seeds.select(F.col("node").alias("seed")), "seed", "left_semi").groupBy("seed", "node").agg(F.max("confidence").alias("strength"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("strength"), "node"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def prerequisites(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

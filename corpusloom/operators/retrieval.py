@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_tokens, cosine, sentences, tokens
-from corpusloom.session import ship
+from corpusloom.functions.text import content_tokens, sentences, term_counts, tokens
+from corpusloom.session import broadcast_if_few, ship, stage
 
 
 def top_k(scored: DataFrame, k: int, per: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
@@ -16,55 +20,104 @@ def top_k(scored: DataFrame, k: int, per: str = "query_id", item: str = "doc_id"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def postings(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf) of documents (doc_id, text): a text's terms are counted within its row, nothing is shuffled."""
+    bag = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"), F.explode(term_counts(tokens(F.col("text")))).alias("c"))
+    return bag.select("doc_id", "dl", F.col("c.term").alias("term"), F.col("c.n").alias("tf"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf)."""
+    each = queries.select("query_id", F.explode(term_counts(tokens(F.col("text")))).alias("c"))
+    return each.select("query_id", F.col("c.term").alias("term"), F.col("c.n").alias("qtf"))
+
+
 def bm25(
-    docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25
+    found: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25
 ) -> DataFrame:
-    """(query_id, doc_id, score) of documents (doc_id, text) that share a term with queries (query_id, text).
+    """(query_id, doc_id, score) of documents (doc_id, text), with their postings, that share a term with queries (query_id, text).
 
     Repeated query terms add up; a term in more than half of the documents, whose idf is negative, takes `epsilon` times
-    the mean idf. Postings are filtered by the query terms before they are joined; lengths travel with them.
+    the mean idf. Postings meet the asked terms, sent to every task where they are few by count, before anything is scored.
     """
-    bags = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    lengths = bags.select("doc_id", F.size("t").alias("dl"), "t")
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = lengths.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "avgdl", raw.alias("raw"))
-    mean = terms.agg(F.avg("raw").alias("mean"))
-    idf = terms.crossJoin(F.broadcast(mean)).select(
+    terms = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "avgdl", raw.alias("raw"))
+    terms = stage(terms, "terms")
+    mean = terms.agg(F.avg("raw").alias("mean"))  # one row of one number
+    idf = terms.join(_asked(queries).select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select(
         "term", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(
-        F.count(F.lit(1)).alias("qtf")
-    )
+    wanted = broadcast_if_few(stage(_asked(queries).join(idf, "term"), "asked"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    wanted = asked.join(idf, "term")
-    return postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("qtf") * weight), 6).alias("score")
-    )
+    return found.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
 
 
-def overlap_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def overlap_scores(found: DataFrame, queries: DataFrame) -> DataFrame:
     """Fallback without idf: the sum of the lesser frequencies over the root of the document's length."""
-    bag = lambda d, key, out: d.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias(out))
-    sizes = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"))
-    common = bag(docs, "doc_id", "tf").join(bag(queries, "query_id", "qtf"), "term").groupBy("query_id", "doc_id").agg(
-        F.sum(F.least("tf", "qtf")).alias("common")
-    )
-    return common.join(sizes, "doc_id").select(
-        "query_id", "doc_id", F.round(F.col("common") / F.sqrt(F.greatest("dl", F.lit(1))), 6).alias("score")
+    common = found.join(broadcast_if_few(stage(_asked(queries), "asked")), "term").groupBy("query_id", "doc_id").agg(
+        F.sum(F.least("tf", "qtf")).alias("common"), F.max("dl").alias("dl")
     )
+    return common.select("query_id", "doc_id", F.round(F.col("common") / F.sqrt(F.greatest("dl", F.lit(1))), 6).alias("score"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, positive: bool = False) -> DataFrame:
-    """(query_id, doc_id, score): exact cosine of a stated set of query vectors against all vectors."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(q), F.lit(True)).select(
-        "query_id", "doc_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score")
-    )
-    return scored.where("score > 0") if positive else scored
+#: Vectors that are compared as one matrix; query blocks of up to so many bytes are sent to every task.
+VECTOR_BLOCK, BROADCAST_BYTES = 2048, 64 << 20
+
+
+def _blocks(vectors: DataFrame, key: str) -> DataFrame:
+    """(key array, values binary, dim) of blocks of VECTOR_BLOCK vectors or less, scaled to length one; a zero vector stays zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.asarray(v, np.float64) for v in batch.column("embedding").to_pylist() if v is not None]
+            ids = [i for i, v in zip(batch.column(key).to_pylist(), batch.column("embedding").to_pylist()) if v is not None]
+            for dim in sorted({len(v) for v in values}):
+                at = [k for k, v in enumerate(values) if len(v) == dim]
+                for low in range(0, len(at), VECTOR_BLOCK):
+                    part = at[low : low + VECTOR_BLOCK]
+                    m = np.stack([values[k] for k in part]).reshape(len(part), dim)
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([[ids[k] for k in part]], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary()), pa.array([dim], pa.int32())],
+                        ["ids", "m", "dim"],
+                    )
+
+    ship(vectors.sparkSession)
+    return vectors.select(F.col(key).cast("bigint").alias(key), "embedding").mapInArrow(run, "ids array<bigint>, m binary, dim int")
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, low: float = -2.0, high: float = 2.0, others: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): of each query's vectors with a cosine above `low` and up to `high` the k best; ties go to the smaller id.
+
+    Exact: a stated set of query vectors against all others, block by block as matrix products, of which each pair of blocks gives k rows a
+    query at most. Vectors of another length don't meet; with `others` a vector doesn't meet itself.
+    """
+    q = stage(_blocks(queries, "query_id"), "query-blocks").toDF("q_ids", "q_m", "q_dim")
+    held = q.agg(F.coalesce(F.sum(F.length("q_m")), F.lit(0))).first()[0]
+    pairs = _blocks(vectors, "doc_id").join(F.broadcast(q) if held <= BROADCAST_BYTES else q, F.col("dim") == F.col("q_dim"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim = batch.column("dim")[r].as_py()
+                a = np.frombuffer(batch.column("q_m")[r].as_py(), np.float64).reshape(-1, dim)
+                b = np.frombuffer(batch.column("m")[r].as_py(), np.float64).reshape(-1, dim)
+                q_ids, ids = np.array(batch.column("q_ids")[r].as_py()), np.array(batch.column("ids")[r].as_py())
+                score = np.round(a @ b.T, 6)
+                ok = (score > low) & (score <= high)
+                if others:
+                    ok &= q_ids[:, None] != ids[None, :]
+                score = np.where(ok, score, -np.inf)
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, 1)
+                i, j = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q_ids[i]), pa.array(ids[order[i, j]]), pa.array(best[i, j] + 0.0)], ["query_id", "doc_id", "score"]
+                )
+
+    return top_k(pairs.mapInArrow(run, "query_id bigint, doc_id bigint, score double"), k).drop("rank")
 
 
 def reciprocal_rank_fusion(*rankings: DataFrame, k: int = 60) -> DataFrame:
@@ -81,26 +134,30 @@ def reciprocal_rank_fusion(*rankings: DataFrame, k: int = 60) -> DataFrame:
     )
 
 
-def marginal_relevance(pool: DataFrame, k: int, balance: float = 0.7) -> DataFrame:
-    """Greedy maximal marginal relevance of each query's bounded pool (query_id, doc_id, score, text): (query_id, doc_id, pos)."""
+def marginal_relevance(pool: DataFrame, queries: DataFrame, k: int, balance: float = 0.7) -> DataFrame:
+    """Greedy maximal marginal relevance of each query's bounded, ranked pool (query_id, doc_id, rank, text): (query_id, doc_id, pos).
+
+    Relevance is the Jaccard similarity of the token sets of query and text; likeness the largest one to a text chosen before. Ties go to
+    the better rank.
+    """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "doc_id"], ascending=[False, True])
-        rest = [(d, s, set(w)) for d, s, w in zip(frame.doc_id, frame.score, frame.words)]
-        top = max([s for _, s, _ in rest] + [1e-12])
-        chosen: list[tuple] = []
-        while rest and len(chosen) < k:
-            def value(x: tuple) -> float:
-                like = max((len(x[2] & c[2]) / len(x[2] | c[2]) if x[2] and c[2] else 0.0 for c in chosen), default=0.0)
-                return balance * x[1] / top - (1 - balance) * like
-
-            best = max(range(len(rest)), key=lambda i: (value(rest[i]), -i))
-            chosen.append(rest.pop(best))
-        return pd.DataFrame({"query_id": frame.query_id.iloc[0], "doc_id": [c[0] for c in chosen], "pos": range(len(chosen))})
+        rest = [(d, set(w), set(q)) for d, w, q in zip(*(frame.sort_values("rank")[c] for c in ("doc_id", "words", "asked")))]
+        like = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+        scores = [balance * like(q, w) for _, w, q in rest]
+        nearest = [0.0] * len(rest)
+        chosen: list[int] = []
+        while len(chosen) < min(k, len(rest)):
+            best = max((i for i in range(len(rest)) if i not in chosen), key=lambda i: (scores[i] - (1 - balance) * nearest[i], -i))
+            chosen.append(best)
+            nearest = [max(n, like(w, rest[best][1])) for n, (_, w, _) in zip(nearest, rest)]
+        return pd.DataFrame({"query_id": frame.query_id.iloc[0], "doc_id": [rest[i][0] for i in chosen], "pos": range(len(chosen))})
 
     ship(pool.sparkSession)
-    words = pool.select("query_id", "doc_id", "score", F.array_distinct(tokens(F.col("text"))).alias("words"))
-    return words.groupBy("query_id").applyInPandas(pick, "query_id bigint, doc_id bigint, pos int")
+    words = lambda c: F.array_distinct(tokens(F.col(c)))
+    asked = queries.select("query_id", words("text").alias("asked"))
+    both = pool.select("query_id", "doc_id", "rank", words("text").alias("words")).join(asked, "query_id")
+    return both.groupBy("query_id").applyInPandas(pick, "query_id bigint, doc_id bigint, pos int")
 
 
 def groundedness(answers: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import cosine, sentences, tokens
+from corpusloom.functions.text import sentences, tokens
+from corpusloom.operators.retrieval import dense
 
 #: Phrases of a message that show its intent, in the order in which they are looked for.
 CONFUSED = ("i don't understand", "i dont understand", "i don't get", "i dont get", "i'm lost", "im lost", "confused", "huh",
@@ -118,14 +119,11 @@ def best_statements(found: DataFrame, concepts: DataFrame) -> DataFrame:
 def distractors(vectors: DataFrame, asked: DataFrame, n: int = 3, low: float = 0.4, high: float = 0.7) -> DataFrame:
     """(query_id, doc_id, score, rank): the n most similar vectors within the band; if it holds fewer, the n most similar
     of all below 0.999. `asked` is a stated set of vectors, compared with all others."""
-    q = asked.select("query_id", F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(q), F.col("query_id") != F.col("doc_id")).select(
-        "query_id", "doc_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score")
-    )
+    step = 0.0000005  # scores have six digits
+    band = dense(vectors, asked, n, low - step, high, others=True).withColumn("inside", F.lit(True))
+    rest = dense(vectors, asked, n, high=0.999 - step, others=True).withColumn("inside", F.lit(False))
     order = Window.partitionBy("query_id", "inside").orderBy(F.col("score").desc(), "doc_id")
-    band = scored.where(F.col("score").between(low, high)).withColumn("inside", F.lit(True))
-    rest = scored.where("score < 0.999").withColumn("inside", F.lit(False))
-    best = band.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    best = band.unionByName(rest).withColumn("rank", F.row_number().over(order))
     full = F.count_if("inside").over(Window.partitionBy("query_id")) >= n
     return best.withColumn("full", full).where("inside = full").select("query_id", "doc_id", "score", "rank")
 

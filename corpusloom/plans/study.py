@@ -14,7 +14,7 @@ from corpusloom.operators import learning as L
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import study as S
 from corpusloom.plans.registry import (
-    BM25, EDGES, OVERLAP, QUERIES, TOKENS, _asked, _bm25_top, _docs, _edges, _overlap_top, _questions, _seeds, _vectors, query, table,
+    BM25, EDGES, OVERLAP, QUERIES, TOKENS, _asked, _bm25, _bm25_top, _docs, _edges, _overlap_top, _questions, _seeds, _vectors, query, table,
 )
 
 
@@ -43,7 +43,7 @@ z AS (SELECT query_id, doc_id, round((len(regexp_extract_all(array_to_string(lis
   + len(list_filter({TOKENS}, lambda w: regexp_matches(w, '.(ed|ing|es)$'))))::DOUBLE / len({TOKENS}), 6) AS score FROM pool JOIN documents USING (doc_id) WHERE len({TOKENS}) > 0)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM z QUALIFY rank <= 10""")
 def relationship_dense(spark, sf):
-    pool = R.top_k(R.bm25(_docs(spark, sf), _questions(spark, sf)), 30).select("query_id", "doc_id")
+    pool = R.top_k(_bm25(spark, sf), 30).select("query_id", "doc_id")
     texts = _docs(spark, sf).select("doc_id", S.relationship_density(F.col("text")).alias("score")).where("score IS NOT NULL")
     return R.top_k(pool.join(texts, "doc_id").select("query_id", "doc_id", "score"), 10)
 
@@ -71,7 +71,7 @@ def node_scoring(spark, sf):
 
 STATEMENTS = """
 c0 AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(list_transform(
-  string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM documents)),
+  string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM documents)),
 c1 AS (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(s, '\\s+', ' ', 'g'), ' -*#:;'), '^\\d+(\\.\\d+)*\\s+', '') AS s FROM c0),
 c2 AS (SELECT doc_id, pos, CASE WHEN length(s) > 180 THEN rtrim(regexp_replace(substr(s, 1, 177), ' [^ ]*$', ''), ',;:') ELSE s END AS s
   FROM c1 WHERE length(s) >= 24 AND NOT ends_with(s, '?')),
@@ -95,7 +95,7 @@ def best_statement(spark, sf):
     return S.best_statements(S.statements(docs), D.key_terms(docs).groupBy("doc_id").agg(F.collect_list("term").alias("terms")))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM embeddings, q WHERE vec_id <> query_id),
 b AS (SELECT *, true AS i FROM s WHERE score BETWEEN 0.4 AND 0.7 UNION ALL SELECT *, false FROM s WHERE score < 0.999),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, i ORDER BY score DESC, doc_id) AS INT) AS rank FROM b QUALIFY rank <= 3)
@@ -177,13 +177,13 @@ def chapter_progress(spark, sf):
 
 
 @query(f"""WITH {EDGES}, r AS (SELECT DISTINCT source, target FROM e WHERE relation = 'requires'),
-d1 AS (SELECT source AS seed, target AS node, 1 AS depth FROM r WHERE source < 3),
+d1 AS (SELECT source AS seed, target AS node, 1 AS depth FROM r WHERE source % 20 = 0),
 d2 AS (SELECT DISTINCT d1.seed, r.target AS node, 2 AS depth FROM d1 JOIN r ON r.source = d1.node),
 d AS (SELECT seed, node, CAST(min(depth) AS INT) AS depth FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) WHERE seed <> node GROUP BY ALL),
-m AS (SELECT user_id % 89 AS node, avg(value) / 100 AS mastery FROM events GROUP BY ALL)
+m AS (SELECT event_id AS node, avg(value) / 100 AS mastery FROM events GROUP BY ALL)
 SELECT seed, node, depth, CAST(row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS INT) AS rank FROM d LEFT JOIN m USING (node) WHERE coalesce(mastery, 0) < 0.7 QUALIFY rank <= 4""")
 def remediation(spark, sf):
-    mastery = table(spark, sf, "events").groupBy((F.col("user_id") % 89).alias("node")).agg((F.avg("value") / 100).alias("mastery"))
+    mastery = table(spark, sf, "events").groupBy(F.col("event_id").alias("node")).agg((F.avg("value") / 100).alias("mastery"))
     return S.remediation(L.prerequisites(_edges(spark, sf), _seeds(spark, sf), 2), mastery)
 
 
