@@ -224,3 +224,19 @@ def ranking_metrics(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (
         ]
     return per.select(*columns)
 
+
+
+def resolved_metrics(ranking: DataFrame, gold: DataFrame, needle: str, k: int) -> DataFrame:
+    """(query_id, n_relevant, recall_k, source_hit, failed): relevant are the gold documents (query_id, doc_id) and what was retrieved
+    (query_id, doc_id, rank, source) from sources that hold the needle."""
+    named = F.contains("source", F.lit(needle))
+    relevant = gold.select("query_id", "doc_id").unionByName(ranking.where(named).select("query_id", "doc_id")).distinct().withColumn("hit", F.lit(1))
+    n = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+    h = ranking.join(relevant, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
+        F.count(F.when(F.col("rank") <= k, F.col("hit"))).alias("h"), F.max(named.cast("int")).alias("named")
+    )
+    h_ = F.coalesce("h", F.lit(0))
+    return n.join(h, "query_id", "left").select(
+        "query_id", "n_relevant", F.round(h_ / F.col("n_relevant"), 6).alias(f"recall_{k}"),
+        F.coalesce("named", F.lit(0)).cast("double").alias("source_hit"), (h_ == 0).alias("failed"),
+    )

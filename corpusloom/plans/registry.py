@@ -171,14 +171,6 @@ def eval_summary(spark, sf):
     return per.agg(*[F.round(F.avg(c), 4).alias(c) for c in per.columns if c != "case_id"])
 
 
-@query()
-def groundedness_confidence(spark, sf):
-    c = table(spark, sf, "conversations")
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("evidence"))
-    rows = c.where("role = 'assistant'").join(before, ["conv_id", "turn"])
-    return R.groundedness(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.col("text").alias("response"), "evidence", F.col("evidence").alias("query")))
-
-
 @query(f"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents)
 SELECT doc_id FROM t WHERE NOT (length(text) < 18 OR len({TOKENS}) <= 3
   OR regexp_matches(lower(text), '^(page|slide)?\\s*\\d+(\\s*(/|of)\\s*\\d+)?$|^(thank you|questions)[.!?]*$')
