@@ -43,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ LEAF, LEAF_GRAMS, LEAST = 2048, 1 << 22, 16
 PIVOTS, SAMPLE = 16, 256
 #: Tables of up to so many rows, by their count, are sent to every task: regions; classes; pivots of
 #: a region. Sketches are sent by their bytes.
-BROADCAST_REGIONS, BROADCAST_CLASSES, BROADCAST_SKETCHES = 250_000, 50_000, 32 << 20
+BROADCAST_REGIONS, BROADCAST_CLASSES, BROADCAST_SKETCHES = 250_000, 500_000, 64 << 20
 BLOCK_BYTES = 1 << 20
 SENT_CLASSES = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -329,6 +330,30 @@ def _rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+#: Bits of a bit map, at least and at most; it has 32 for each mark as long as that is less.
+BITS = 20, 29
+
+
+def _bit_map(ids: DataFrame) -> tuple[Broadcast, int]:
+    """A bit map of the low bits of `region`, sent to every task, and the mask of these bits. It has 64 MB at most; beyond that it is denser, so
+    that more pass by chance."""
+    n = ids.count()
+    width = min(max((32 * n).bit_length(), BITS[0]), BITS[1])
+    mask, part = (1 << width) - 1, 1 << BITS[0]
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(part, bool)
+        bits[frame["at"].to_numpy()] = True
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    at = F.col("region").bitwiseAND(F.lit(mask))
+    places = ids.select(F.shiftright(at, BITS[0]).cast("int").alias("part"), at.bitwiseAND(F.lit(part - 1)).cast("int").alias("at"))
+    ship(ids.sparkSession)
+    found = {r.part: r.bits for r in places.groupBy("part").applyInPandas(pack, "part int, bits binary").collect()}  # 512 rows at most
+    empty = bytes(part >> 3)
+    return ids.sparkSession.sparkContext.broadcast(b"".join(bytes(found.get(i, empty)) for i in range(1 << (width - BITS[0])))), mask
+
+
 def _groups(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
     change = np.zeros(max(table.num_rows - 1, 0), bool)
     for k in keys:
@@ -463,14 +488,29 @@ class _Join:
         return self.scratch.stage(rows, name)
 
     def regions(self) -> DataFrame:
-        """(region, class) for the cells that hold more than one class. Cells are counted first, with a frequent one combined before
-        it travels; a class that several tasks have sent is told from two classes among the few cells left."""
-        cells = self.profiles.where("cells IS NOT NULL").select("class", F.explode("cells").alias("region"))
-        several = cells.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region")
-        several = _broadcast_if_few(self._stage(several, "several"))
-        found = self._stage(cells.join(several, "region").distinct(), "found")
-        shared = found.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region")
-        return self._stage(found.join(_broadcast_if_few(self._stage(shared, "shared")), "region"), "members")
+        """(region, class, w) for the cells that hold more than one class, w classes each.
+
+        Cells are counted first, a frequent one being combined before it travels. Those that stand twice mark their places in a bit map of
+        bounded size, and only cells at marked places travel again; what is alone there by chance, or a class that several tasks have sent,
+        goes when classes are counted."""
+        cells = self.profiles.where("cells IS NOT NULL").select(F.explode("cells").alias("region"))
+        several = self._stage(cells.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region"), "several")
+        marks, mask = _bit_map(several)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(marks.value, np.uint8)
+            for batch in batches:
+                lists = batch.column("cells")
+                flat = lists.flatten().to_numpy()
+                at = flat & mask
+                kept = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                ids = np.repeat(batch.column("class").to_numpy(), lists.value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(ids[kept])], ["region", "class"])
+
+        marked = self.profiles.where("cells IS NOT NULL").select("class", "cells").mapInArrow(run, "region bigint, class bigint")
+        found = self._stage(marked.distinct(), "found")
+        shared = self._stage(found.groupBy("region").agg(F.count(F.lit(1)).alias("w")).where("w > 1"), "shared")
+        return self._stage(found.join(_broadcast_if_few(shared, BROADCAST_REGIONS), "region"), "members")
 
     def prepare(self, members: DataFrame) -> None:
         """Size, sketch and set of each class in a region."""
@@ -746,16 +786,15 @@ class _Join:
         if members.isEmpty():
             return None
         self.prepare(members)
-        weight = members.groupBy("region").agg(F.count(F.lit(1)).alias("w"))
-        score = self._stage(members.join(weight, "region").groupBy("class").agg(F.sum("w").alias("score")), "scores")
-        scored = self._stage(members.join(self._sent(score), "class"), "scored")
+        score = self._stage(members.groupBy("class").agg(F.sum("w").alias("score")), "scores")
+        scored = self._stage(members.drop("w").join(self._sent(score), "class"), "scored")
         links = self.ring(scored, None, 0)
         links = self._stage(links.unionByName(self.ring(scored, self.components(links), 1)), "links")
         open_ = members.select("region", "class", F.col("region").alias("cell"), F.lit(0).alias("depth"), F.lit(False).alias("force"))
         turn = 0
         while True:
             labels = self.components(links)
-            m, regions = self.sized(open_, labels)
+            m, regions = self.sized(open_, labels)  # of ids and sizes; sketches and sets join what is left
             if regions.isEmpty():
                 return labels
             if not regions.where("fits").isEmpty():
