@@ -76,10 +76,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(raw: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each run of bytes other than white space, A-Z taken as a-z."""
+def word_hashes(raw: bytes, fold: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each run of bytes other than gaps, by default white space; A-Z are taken as a-z."""
     data = np.frombuffer(raw, np.uint8)
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     starts, stops = edge[::2], edge[1::2]
     if not len(starts):
