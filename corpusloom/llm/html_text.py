@@ -3,8 +3,8 @@
 A page becomes a tree; each node has the characters and tags below it, and those of links. Its composite density is
 characters a tag, adjusted for links against the page's own share of link text; its density sum adds up its children's
 densities. The node with the largest sum is the core; the least density on the path from it to the body is the threshold.
-The result is the core, widened to the article or main element that it stands in, or else joined by those siblings of the
-path that reach the threshold. Elements that by their tag, role, or class are no part of an article (menus, headers,
+The result is the core, widened to the article or main element that it stands in and joined by other articles that reach the threshold, or
+else joined by those siblings of the path that reach it. Elements that by their tag, role, or class are no part of an article (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out before anything is counted; inside an
 article or main element a class does so only on a container and only as a whole, and an id never. Formulas are text.
 
@@ -241,7 +241,14 @@ class _Page:
         threshold = min(density[i] for i in path)
         whole = [i for i in path if self.tags[i] in ("article", "main")]
         keep = [whole[-1]] if whole else [core]
-        if not whole:
+        if whole:  # a page may hold several articles
+            kept, end = whole[-1], 0
+            for i in range(body + 1, self.end[body]):
+                beside = self.tags[i] == "article" and i >= end and self.chars[i] and not (kept <= i < self.end[kept] or i < kept < self.end[i])
+                if beside and density[i] >= threshold:
+                    keep.append(i)
+                    end = self.end[i]
+        else:
             on_path = set(path)
             keep += [
                 i for i in range(body + 1, self.end[body])
