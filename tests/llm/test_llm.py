@@ -268,6 +268,30 @@ def test_long_texts_are_cut_at_word_borders(monkeypatch):
     assert next(iter(mine.encode([text]))).tolist() == whole
 
 
+def test_words_fold_in_higher_order_functions(spark, texts):
+    p = tokenizer_files()
+    path = p.path("byte_bpe_multi_50k.tiktoken")
+    mine = bpe.rank_encoder(open(path, "rb").read())
+    import regex
+
+    words = {w for t in list(texts.values())[:25] for w in regex.findall(p.PATTERN, t)} | {"a", "é", "漢字", "x" * 70, " 😀", "="}
+    d = spark.createDataFrame([(w,) for w in [*sorted(words), None, "", "a"]], "word string")
+    got = {r.word: r.ids for r in codec.fold_words(d, path).collect()}
+    assert got == {w: mine.fold(w.encode()) for w in words}
+    assert codec.fold_words(d.limit(0), path).count() == 0
+
+
+def test_other_patterns_are_matched(texts):
+    import tiktoken
+
+    p, pattern = tokenizer_files(), r"\p{L}+|\p{N}{1,3}|\s+|[^\s\p{L}\p{N}]+"
+    raw = open(p.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=bpe.parse_ranks(raw), special_tokens={})
+    for t in ["", None, "it's 12345 x", *list(texts.values())[:20]]:
+        assert next(iter(bpe.rank_encoder(raw, pattern).encode([t]))).tolist() == enc.encode_ordinary(t or "")
+    assert bpe.GPT2_PATTERN == p.PATTERN
+
+
 def test_codec_round_trip(spark, edge):
     path = tokenizer_files().path("byte_bpe_multi_50k.tiktoken")
     back = codec.decode_ids(codec.encode_texts(edge, path), path).collect()
@@ -510,6 +534,26 @@ def test_html(spark):
         assert r.text == "\n\n".join(filter(None, blocks))
 
 
+def test_density_finds_the_text_without_article_tags():
+    say = lambda k: " ".join(f"Sentence {i} of part {k} says a little more than the one before." for i in range(6))
+    page = f"""<html><body><div class="top"><a href="/">Home</a> <a href="/b">News</a></div><div id="x"><div><p>{say(1)}</p><p>{say(2)}</p>
+<blockquote>{say(3)}</blockquote></div></div><div><a href="/1">One</a><a href="/2">Two</a><a href="/3">Three</a></div></body></html>"""
+    assert html_text.main_text(page).split("\n\n") == [say(1), say(2), say(3)]
+    two = f"<body><main><p>{say(1)}</p></main></body>"
+    assert html_text.main_text(two) == say(1)
+    apart = f"""<body><div><article><h2>First</h2><p>{say(1)}</p></article><article><h2>Second</h2><p>{say(2)}</p></article></div>
+<section class="comments"><article><p>{say(3)}</p></article></section></body>"""
+    assert html_text.main_text(apart).split("\n\n") == ["First", say(1), "Second", say(2)]
+    assert html_text.main_text("<body>" + "<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def test_pages_repeated_and_empty(spark):
+    d = spark.createDataFrame([(1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, None, "<p>a", None)], "page_id bigint, url string, html string, n_chars int")
+    got = html_text.extract(d).collect()
+    assert len(got) == 3 and len({r.text for r in got if r.page_id == 1}) == 1
+    assert html_text.extract(d.limit(0)).count() == 0
+
+
 def test_html_keeps_all_of_an_article():
     page = """<body><nav>Menu</nav><article><h1>Results</h1><svg class="icon" viewBox='0 > 1'/><p>After the icon.</p>
 <h2 id="side-effects">Side effects</h2><p>Few were seen.</p><section id="related-work"><p>Others did this.</p></section>
@@ -522,15 +566,54 @@ def test_html_keeps_all_of_an_article():
 
 def test_licenses(spark, docs, edge):
     body = " ".join(f"noise{i}" for i in range(300))
-    rows = [(1, f"{body} {licenses.TEMPLATES['MIT-grant']} {body}"), (2, "Released under the MIT License."), (3, body), (4, None), (5, f"{body}\nAll rights reserved.")]
-    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {(1, "MIT-grant"), (2, "MIT"), (5, "Proprietary")}
+    rows = [(1, f"{body} {licenses.TEMPLATES['MIT-grant']} {body}"), (2, "Released under the MIT License."), (3, body), (4, None), (5, f"é{body}\nAll rights reserved.")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.license) for r in found} == {(1, "MIT-grant"), (2, "MIT"), (5, "Proprietary")}
+    place = {r.doc_id: rows[r.doc_id - 1][1][r.start : r.end] for r in found}
+    assert place == {1: licenses.TEMPLATES["MIT-grant"].rstrip(":."), 2: rows[1][1][:-1], 5: "All rights reserved"}
     found = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
     for r in docs.collect():
         for name in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "Proprietary"):
             if licenses.TEMPLATES[name] in r.text:
                 assert (r.doc_id, name) in found
-    assert licenses.scan(edge).count() == 0
+    assert licenses.scan(edge).count() == 0 and licenses.scan(edge.limit(0)).count() == 0
+    assert licenses.scan(docs, {"none": "", "dots": "..."}).count() == 0
+
+
+def brute_licenses(text, templates):
+    """(name, containment) of windows cut as the operator says, every template against every window."""
+    held = licenses.Templates(templates)
+    words = jaccard_join.word_hashes(licenses.plain(text).encode(), gaps=licenses._GAPS)[0]
+    best = {}
+    for (n, step, width), bands in held.classes.items():
+        g = licenses.grams(words, n)
+        for name in {t for band in bands for held_ in band.values() for t in held_}:
+            own = set(held.sets[name].tolist())
+            for a in range(0, len(g), step):
+                share = len(own & set(g[a : a + width].tolist())) / len(own)
+                if share >= licenses.CONTAINMENT:
+                    best[name] = max(best.get(name, 0), share)
+    return best
+
+
+def test_licenses_equal_brute_force_on_edited_notices():
+    rng, held = random.Random(6), licenses.Templates(licenses.TEMPLATES)
+    assert 1 - (1 - held.similarity) ** licenses.BANDS > 0.9999
+    near = 0
+    for k in range(150):
+        words = licenses.TEMPLATES[rng.choice(list(licenses.TEMPLATES))].split()
+        for _ in range(rng.randint(0, max(1, len(words) // 12))):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["other"], [words[at], "more"], [words[at].upper() + ","]])
+        pad = [f"w{rng.randint(0, 50)}" for _ in range(rng.randint(0, 120))]
+        text = " ".join([*pad, "“" + " ".join(words) + "”", *reversed(pad)])
+        hashes = jaccard_join.word_hashes(licenses.plain(text).encode(), gaps=licenses._GAPS)[0]
+        want = brute_licenses(text, licenses.TEMPLATES)
+        assert {m[0]: m[1] for m in licenses.matches(hashes, held)} == pytest.approx(want)
+        near += bool(want)
+    assert near > 75
+    long = " ".join(f"v{i}" for i in range(600_000))  # more distinct words than any cache holds
+    assert licenses.matches(jaccard_join.word_hashes(long.encode(), gaps=licenses._GAPS)[0], held) == []
 
 
 def test_quotations(spark):
