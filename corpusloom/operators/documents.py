@@ -33,10 +33,14 @@ LINE_RULES = (
 )
 
 
+def _bare(text: Column) -> Column:
+    """Without comments and images, with plain line ends."""
+    whole = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?s)<!--.*?-->", " ")
+    return F.regexp_replace(whole, r"!\[[^\]]*\]\([^)]*\)|(?i:<img\b[^>]*>)", " ")
+
+
 def _cleaned(text: Column) -> Column:
     """Array of (at, line, norm) of the lines that stay."""
-    whole = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?s)<!--.*?-->", " ")
-    whole = F.regexp_replace(whole, r"!\[[^\]]*\]\([^)]*\)|(?i:<img\b[^>]*>)", " ")
 
     def clean(line: Column) -> Column:
         line = F.trim(line)
@@ -55,7 +59,7 @@ def _cleaned(text: Column) -> Column:
         thin = (F.length(line) >= 8) & (F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]", "")) < 0.25 * F.length(line))
         return (norm != "") & ~noise & ~line.rlike(DOT_LEADER) & ~line.rlike(IMAGE_FILE) & ~footer & ~thin
 
-    lines = F.transform(F.split(whole, "\n"), lambda x, i: F.struct(i.alias("at"), clean(x).alias("line")))
+    lines = F.transform(F.split(_bare(text), "\n"), lambda x, i: F.struct(i.alias("at"), clean(x).alias("line")))
     lines = F.transform(lines, lambda x: F.struct(x["at"], x["line"], F.trim(F.regexp_replace(F.lower(x["line"]), r"\s+", " ")).alias("norm")))
     kept = F.filter(lines, lambda x: stays(x["line"], x["norm"]))
     return let(kept, lambda k: F.filter(k, lambda x, i: (i == 0) | (F.get(k, i - 1)["norm"] != x["norm"])))
@@ -70,7 +74,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
 def clean_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_kept, n_removed)."""
-    n, kept = F.size(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).cast("bigint"), F.size(_cleaned(F.col("text"))).cast("bigint")
+    n, kept = F.size(F.split(_bare(F.col("text")), "\n")).cast("bigint"), F.size(_cleaned(F.col("text"))).cast("bigint")
     return docs.select("doc_id", n.alias("n_lines"), kept.alias("n_kept")).withColumn("n_removed", F.col("n_lines") - F.col("n_kept"))
 
 
