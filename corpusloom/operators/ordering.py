@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import broadcast_if_few, stage
+
 
 def last_n(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The last n rows of each key with their position from 1, oldest first."""
@@ -28,28 +30,50 @@ def count_windows(rows: DataFrame, key: str, order: str, size: int = 10) -> Data
     return found.withColumn("pending", pending).where(F.col("n") == size)
 
 
+def placed(rows: DataFrame, key: str, order: str, size: str | None = None) -> DataFrame:
+    """rows with _at, the place of each in its key's order from 0, _n, the rows of its key, and, for a size, _used, the sum of sizes up to it.
+
+    Rows are dealt by ranges of (key, order); a range counts its own, and counts of the ranges before are added. So no task orders a
+    whole key, however large a share of the rows it has.
+    """
+    ranged = stage(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    amount = F.sum(size) if size else F.lit(0).cast("bigint")
+    totals = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("rows"), amount.alias("size"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    before = totals.select(
+        F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_rows"),
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_size"), F.sum("rows").over(Window.partitionBy(key)).alias("_n"),
+    )
+    inside = Window.partitionBy(key, "_part").orderBy(order)
+    own = ranged.withColumn("_at", F.row_number().over(inside) - 1)
+    if size:
+        own = own.withColumn("_used", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    both = own.join(broadcast_if_few(before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    both = both.withColumn("_at", F.col("_at") + F.col("_rows"))
+    if size:
+        both = both.withColumn("_used", F.col("_used") + F.col("_size"))
+    return both.select(*rows.columns, "_at", "_n", *(["_used"] if size else []))
+
+
 def spread_pick(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
     """Of each key the rows at round(i * (n - 1) / (k - 1)), i from 0 to k - 1, halves to the even number."""
-    w = Window.partitionBy(key)
-    r = rows.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    r = placed(rows, key, order)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (k - 1)).cast("bigint"))
     return r.where((F.col("_n") <= k) | F.array_contains(wanted, F.col("_at").cast("bigint"))).drop("_at", "_n")
 
 
 def stride_sample(rows: DataFrame, key: str, order: str, target: int) -> DataFrame:
     """Every max(1, n // target)-th row of each key, `target` at most."""
-    w = Window.partitionBy(key)
-    r = rows.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    r = placed(rows, key, order)
     stride = F.greatest(F.lit(1), F.floor(F.col("_n") / target))
     return r.where((F.col("_at") % stride == 0) & (F.col("_at") / stride < target)).drop("_at", "_n")
 
 
 def even_groups(rows: DataFrame, key: str, order: str, groups: int) -> DataFrame:
     """Contiguous groups: row i of n goes to the group g with floor(g * n / groups) <= i."""
-    w = Window.partitionBy(key)
-    r = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    group = F.floor(((F.col("_i") + 1) * groups - 1) / F.col("_n"))
-    return r.withColumn("group", group.cast("bigint")).drop("_i", "_n")
+    r = placed(rows, key, order)
+    group = F.floor(((F.col("_at") + 1) * groups - 1) / F.col("_n"))
+    return r.withColumn("group", group.cast("bigint")).drop("_at", "_n")
 
 
 def round_robin(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:
@@ -61,8 +85,8 @@ def round_robin(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:
 
 def char_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """Rows of each key while their sizes add up to no more than the budget; the first that does not ends it."""
-    running = F.sum(size).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", running).where(F.col("used") <= budget)
+    r = placed(rows, key, order, size).withColumnRenamed("_used", "used")
+    return r.where(F.col("used") <= budget).drop("_at", "_n")
 
 
 def largest_remainder(totals: DataFrame, key: str, total: str, shares: dict[str, float]) -> DataFrame:

@@ -40,15 +40,15 @@ def narrative_arc(docs: DataFrame, middle: DataFrame, key: str, each: int = 2) -
 
     First and last are `each` of the leading and trailing tenth of a key's documents, one at least.
     """
-    asc, desc = (Window.partitionBy(key).orderBy(o) for o in (F.col("doc_id"), F.col("doc_id").desc()))
-    rows = docs.select(key, "doc_id", F.row_number().over(asc).alias("i"), F.row_number().over(desc).alias("j"))
+    def ends(order: Column, part: int, sign: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
+        found = docs.select(key, "doc_id", rank.alias("i")).where(F.col("i") <= each)  # ranked and cut before rows are shuffled
+        return found.join(tenths, key).where(F.col("i") <= F.least("most", F.lit(each))).select(key, "doc_id", F.lit(part).alias("part"), (sign * F.col("i")).alias("at"))
+
     tenths = docs.groupBy(key).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 10)).alias("most"))
-    most = F.least("most", F.lit(each))
-    ends = rows.where(f"i <= {each} OR j <= {each}").join(tenths, key)
     parts = (
-        ends.where(F.col("i") <= most).select(key, "doc_id", F.lit(0).alias("part"), F.col("i").alias("at"))
-        .unionByName(middle.select(key, "doc_id", F.lit(1).alias("part"), F.col("rank").alias("at")))
-        .unionByName(ends.where(F.col("j") <= most).select(key, "doc_id", F.lit(2).alias("part"), (-F.col("j")).alias("at")))
+        ends(F.col("doc_id"), 0, 1).unionByName(middle.select(key, "doc_id", F.lit(1).alias("part"), F.col("rank").alias("at")))
+        .unionByName(ends(F.col("doc_id").desc(), 2, -1))
     )
     first = parts.groupBy(key, "doc_id").agg(F.min(F.struct("part", "at")).alias("first"))
     pos = F.row_number().over(Window.partitionBy(key).orderBy("first", "doc_id"))

@@ -177,3 +177,10 @@ def course_outline(spark, sf):
 @query(f"WITH {TEXTS}, {clean_sql('ct')} SELECT doc_id, line_no, line FROM k7")
 def clean_markdown(spark, sf):
     return D.clean_lines(course_texts(spark, sf))
+
+
+@query(f"""WITH {TEXTS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM ct)
+SELECT doc_id, CAST(n AS INT) AS line_no, regexp_extract(line, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) AS year, substr(trim(line), 1, 240) AS line
+FROM l WHERE regexp_matches(line, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)')""")
+def timeline_lines(spark, sf):
+    return D.timeline(course_texts(spark, sf))

@@ -221,13 +221,6 @@ def key_terms_top8(spark, sf):
     return D.key_terms(_docs(spark, sf))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)
-SELECT doc_id, CAST(n AS INT) AS line_no, regexp_extract(line, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1) AS year, substr(trim(line), 1, 240) AS line
-FROM l WHERE regexp_matches(line, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)')""")
-def timeline_lines(spark, sf):
-    return D.timeline(_docs(spark, sf))
-
-
 @query("""SELECT p_partkey, a AS acronym FROM (
   SELECT p_partkey, upper(array_to_string(list_transform(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+'), lambda w: w[1]), '')) AS a FROM part)
 WHERE length(a) BETWEEN 2 AND 8""")
