@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +44,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_TRACKED: list[list[str]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths of tables that are written meanwhile, for one who knows when they are spent."""
+    paths: list[str] = []
+    _TRACKED.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKED.remove(paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later steps and retries start from that table."""
     path = new_path(df.sparkSession, name)
+    for paths in _TRACKED:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -82,7 +106,5 @@ class Scratch:
         return found
 
     def clear(self) -> None:
-        for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, self.paths) if self.paths else None
         self.paths = []
