@@ -747,6 +747,35 @@ def test_queries_match_sql(spark, name):
     assert plain(registry.QUERIES[name](spark, FOLDER).toPandas()) == plain(c.sql(registry.SQL[name]).df())
 
 
+def test_pipeline_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words), (1, words), (2, words.upper()), (3, words + " x"), (None, words + " y"), (None, None), (4, ""), (5, " ".join(f"v{i}" for i in range(90))), (5, " ".join(f"u{i}" for i in range(90))),
+            (6, "z" * 40_000 + " " + " ".join(f"t{i}" for i in range(60))), (7, "few words")]
+    d = spark.createDataFrame([(i, t, None if i == 3 else "en", "s", None, "k", 1, True) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size int, keep boolean")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (5, None, None), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for docs_, marks in ((d, labels), (d.limit(0), labels.limit(0))):
+        folder = str(tmp_path / f"in-{docs_.limit(1).count()}")
+        docs_.write.parquet(f"{folder}/documents.parquet")
+        marks.write.parquet(f"{folder}/labels.parquet")
+        step, left = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for i, (_, function) in enumerate(corpus_pipeline.STAGES):
+            step = function(spark, step, folder)
+            step.write.parquet(f"{folder}/{i}")
+            step = spark.read.parquet(f"{folder}/{i}")
+            if i < 4:
+                assert step.columns == d.columns
+                left.append(sorted(str(r.doc_id) for r in step.select("doc_id").collect()))
+        if docs_ is d:
+            assert left[0] == sorted(map(str, [1, 1, 2, 3, None, 5, 5, 6])) and left[1] == sorted(map(str, [2, 3, None, 5, 5, 6]))
+            assert left[2] == left[3] == sorted(map(str, [2, 5, 5, 6]))
+            assert step.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+        else:
+            assert left == [[]] * 4 and step.count() == 0
+        assert sorted(corpus_pipeline.run(spark, folder).columns) == sorted(step.columns)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
