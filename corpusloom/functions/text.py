@@ -97,3 +97,63 @@ def low_information(text: Column) -> Column:
         | ((letters < 8) & (n < 80))
         | ((F.size(F.array_distinct(tokens(trimmed))) <= 2) & (n < 80))
     )
+
+
+def flat(text: Column) -> Column:
+    """Single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """Up to `most` characters, cut at a blank."""
+    return F.when(F.length(text) > most, F.regexp_replace(F.substring(text, 1, most), r" [^ ]*$", "")).otherwise(text)
+
+
+def distinct_by(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The first of values with equal keys, in their order; those with an empty key go."""
+    keys = F.transform(values, lambda v: key(v))
+    return let(keys, lambda k: F.filter(values, lambda v, i: (F.get(k, i) != "") & (F.array_position(k, F.get(k, i)) == i + 1)))
+
+
+def normalised_vector(v: Column) -> Column:
+    """A vector of length one; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+
+
+def overlap_coefficient(a: Column, b: Column) -> Column:
+    """Common elements over those of the smaller set; 0 if either is empty."""
+    x, y = F.array_distinct(a), F.array_distinct(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)), 6))
+
+
+def unit_number(value: Column) -> Column:
+    """A number held between 0 and 1; text that is none counts 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_to_number(value, F.lit("999999.999999")).cast("double"), F.lit(0.0))))
+
+
+def json_part(text: Column) -> Column:
+    """What stands from the first to the last brace of a text, also between fences; empty without braces."""
+    return F.regexp_extract(text, r"(?s)\{.*\}", 0)
+
+
+def table_cells(line: Column, n: int) -> Column:
+    """n cells of a Markdown table's line: bars that are not escaped part them, missing ones are empty, surplus ones go."""
+    inner = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"(?<!\\)\|$", "")
+    cells = F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
+    return F.slice(F.concat(cells, F.array_repeat(F.lit(""), n)), 1, n)
+
+
+#: Frequent words by which a language is guessed.
+MARKERS = {
+    "de": "der die das und ist nicht ein eine mit auf".split(), "en": "the and is of to in that it with for".split(),
+    "es": "el los las y es una con por que del".split(), "fr": "le les des et est une dans pour que du".split(),
+}
+
+
+def language_guess(text: Column) -> Column:
+    """The language of which most marker words stand in a text, the first by name on ties; "en" without any."""
+    words = tokens(text)
+    scores = F.array(*[F.struct((-F.size(F.filter(words, lambda w: w.isin(*known)))).alias("n"), F.lit(code).alias("code")) for code, known in MARKERS.items()])
+    best = F.array_min(scores)
+    return F.when(best["n"] == 0, "en").otherwise(best["code"])

@@ -217,3 +217,58 @@ def graph_chunks(scores: DataFrame, nodes: DataFrame, edges: DataFrame, most: in
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "chunk"))
     ranked = first.select("query_id", "chunk", pos.alias("pos"))
     return ranked.withColumn("score", F.round(F.greatest(F.lit(0.65), 1 - 0.03 * (F.col("pos") - 1)), 6))
+
+
+def evidence(question_terms: Column, text: Column) -> Column:
+    """Whether a text holds two of a question's terms as words, or its only one."""
+    terms = F.array_distinct(question_terms)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return (F.size(terms) > 0) & (F.size(F.array_intersect(terms, words)) >= F.least(F.lit(2), F.size(terms)))
+
+
+def off_topic(score: Column, has_evidence: Column) -> Column:
+    return (score < -2.0) & ~has_evidence
+
+
+def usable(text: Column) -> Column:
+    """24 characters that aren't white space, ten of them letters."""
+    return (F.length(F.regexp_replace(text, r"\s", "")) >= 24) & (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= 10)
+
+
+def one_of(value: Column, known: tuple[str, ...], default: str) -> Column:
+    """A name in lower case with single underscores if it is known, else the default."""
+    name = F.regexp_replace(F.trim(F.lower(value)), r"[\s-]+", "_")
+    return F.when(name.isin(*known), name).otherwise(F.lit(default))
+
+
+def lesson_rank(chunks: DataFrame, terms: Column, unit: Column, title: Column, most: int = 12) -> DataFrame:
+    """chunks with their score for a lesson and rank: six for the unit's name, eight for the title's, one a term, up to three for length."""
+    low, words = F.lower("text"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
+    score = (
+        F.when(F.contains(low, F.lower(unit)), 6.0).otherwise(0.0) + F.when(F.contains(low, F.lower(title)), 8.0).otherwise(0.0)
+        + F.size(F.filter(terms, lambda t: F.contains(low, t))) + F.least(F.lit(3.0), words / 90.0)
+    )
+    scored = chunks.withColumn("score", F.round(score, 6))
+    rank = F.row_number().over(Window.partitionBy("lesson").orderBy(F.desc("score"), "chunk"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def examples_first(chunks: DataFrame, scope: str, order: str) -> DataFrame:
+    """Adds pos: chunks that show an example come first, then the others, both in their order."""
+    shows = F.lower("text").rlike(r"\b(example|for instance|e\.g\.|case study|exemple|par exemple)")
+    return chunks.withColumn("pos", F.row_number().over(Window.partitionBy(scope).orderBy(F.when(shows, 0).otherwise(1), order)))
+
+
+def without_near_copies(rows: DataFrame, scope: str, order: str, words: str, most: float = 0.55) -> DataFrame:
+    """Rows in order, without those whose words overlap with an earlier row that stays by `most` of the smaller set or more. The fold runs over one
+    scope's bounded list within its row."""
+    lists = rows.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(order, F.array_distinct(words).alias("w")))).alias("l"))
+
+    def step(kept: Column, x: Column) -> Column:
+        near = F.exists(
+            kept, lambda k: (F.least(F.size(k["w"]), F.size(x["w"])) > 0) & (F.size(F.array_intersect(k["w"], x["w"])) >= most * F.least(F.size(k["w"]), F.size(x["w"])))
+        )
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate("l", F.slice("l", 1, 0), step)
+    return lists.select(scope, F.explode(F.transform(kept, lambda k: k[order])).alias(order))

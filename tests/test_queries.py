@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import acronym, sentences, tokens
 from corpusloom.operators import learning, ordering, retrieval
-from corpusloom.plans import concepts, course, generate, learn, registry, retrieve, sinks, study  # noqa: F401
+from corpusloom.plans import concepts, course, generate, learn, registry, retrieve, scalars, sinks, study  # noqa: F401
 from corpusloom.streaming.mastery import fold_assessments_stream
 
 FOLDER = "/root/testdata/sf0.001"
