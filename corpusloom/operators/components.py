@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ FEW_LINKS = 100_000
 
 
 def _in_one_task(links: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -23,15 +23,15 @@ def _in_one_task(links: DataFrame) -> DataFrame:
                 root[x] = x = root[up]
             return x
 
-        for frame in frames:
-            for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 a, b = find(a), find(b)
                 root[max(a, b)] = min(a, b)
         nodes = list(root)
-        yield pd.DataFrame({"node": pd.array(nodes, "int64"), "component": pd.array(list(map(find, nodes)), "int64")})
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], ["node", "component"])
 
     ship(links.sparkSession)
-    return links.coalesce(1).mapInPandas(run, "node bigint, component bigint")
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node bigint, component bigint")
 
 
 def connected_components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
