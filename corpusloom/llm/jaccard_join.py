@@ -41,7 +41,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +60,7 @@ PIVOTS, SAMPLE = 16, 256
 #: Tables of up to so many rows, by their count, are sent to every task: regions; classes; pivots of
 #: a region. Sketches are sent by their bytes.
 BROADCAST_REGIONS, BROADCAST_CLASSES, BROADCAST_SKETCHES = 250_000, 500_000, 64 << 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SENT_CLASSES = 100_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -341,15 +340,19 @@ def _bit_map(ids: DataFrame) -> tuple[Broadcast, int]:
     width = min(max((32 * n).bit_length(), BITS[0]), BITS[1])
     mask, part = (1 << width) - 1, 1 << BITS[0]
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(part, bool)
-        bits[frame["at"].to_numpy()] = True
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _rows(batches, ["part"]):
+            own, at = t.column("part").to_numpy(), t.column("at").to_numpy()
+            for a, b in _groups(t, ["part"]):
+                bits = np.zeros(part, bool)
+                bits[at[a:b]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 1]), pa.array([np.packbits(bits).tobytes()])], ["part", "bits"])
 
     at = F.col("region").bitwiseAND(F.lit(mask))
     places = ids.select(F.shiftright(at, BITS[0]).cast("int").alias("part"), at.bitwiseAND(F.lit(part - 1)).cast("int").alias("at"))
     ship(ids.sparkSession)
-    found = {r.part: r.bits for r in places.groupBy("part").applyInPandas(pack, "part int, bits binary").collect()}  # 512 rows at most
+    packed = places.repartition("part").sortWithinPartitions("part").mapInArrow(pack, "part int, bits binary")
+    found = {r.part: r.bits for r in packed.collect()}  # 512 rows at most
     empty = bytes(part >> 3)
     return ids.sparkSession.sparkContext.broadcast(b"".join(bytes(found.get(i, empty)) for i in range(1 << (width - BITS[0])))), mask
 
@@ -698,7 +701,9 @@ class _Join:
         rows = self._sketched(m.join(_broadcast_if_few(wide, BROADCAST_REGIONS), "region"))
         schema = "region bigint, pivots array<binary>, reach array<bigint>"
 
-        def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        def choose(frame):
+            import pandas as pd  # here, as few tasks need it
+
             frame = frame.sort_values(["draw", "class"]).head(SAMPLE)
             held = _matrix(list(frame["sketch"]), sketch_width(int(frame["low"].iloc[0])))
             chosen = [0]
