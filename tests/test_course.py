@@ -235,3 +235,17 @@ def test_readers_and_writers(spark, tmp_path):
     assert made.n_bytes == 2 and spark.read.json(made.path).count() == 1
     tables.write_report(spark.createDataFrame([("bm25", 0.5), ("dense", 0.7)], "variant string, recall double"), str(tmp_path / "rep"), "variant", "recall")
     assert 'x-axis ["bm25", "dense"]' in "\n".join(r.value for r in spark.read.text(str(tmp_path / "rep" / "mermaid")).collect())
+
+
+def test_course_building_by_hand(spark):
+    from corpusloom.operators import build
+
+    s = spark.createDataFrame([(1, 0, "A cell is a small unit of life. It divides because it grows large."), (1, 1, "A cell is a small unit of life. Plants are greener than animals are."), (2, 0, None)], "doc_id int, section int, text string")
+    got = {(r.kind, r.answer): r.section for r in build.knowledge_items(s).collect()}
+    assert got == {("definition", "A cell is a small unit of life."): 0, ("cause", "It divides because it grows large."): 0, ("definition", "Plants are greener than animals are."): 1}
+    u = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.9, 0.2, 0.8, 0.1, 0.1, None])], "k int, i int, s double")
+    assert [r.chunk for r in build.valleys(u, "k", "i", "s", 0.3).orderBy("i").collect()] == [0, 0, 1, 1, 2, 3]
+    t = spark.createDataFrame([(1, 1, "Linear maps"), (1, 2, "maps, linear!"), (1, 3, "Other"), (2, 4, "Linear maps")], "scope int, k int, title string")
+    assert [(r.a, r.b) for r in build.similar_titles(t, "scope", "k", "title").collect()] == [(1, 2)]
+    old = spark.createDataFrame([("SVD",)], "name string")
+    assert sorted(r.name for r in build.keep_names(spark.createDataFrame([("svd",), ("PCA",)], "name string"), old, "name", "name").collect()) == ["PCA", "SVD"]
