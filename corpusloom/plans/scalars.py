@@ -80,7 +80,7 @@ def prose_and_kinds(spark, sf):
     )
 
 
-@query(f"""WITH q AS (SELECT conv_id, turn, list_distinct(list_filter({TOKENS}, lambda w: length(w) >= 5))[1:4] AS q FROM conversations), c AS (SELECT conv_id, turn, {TOKENS} AS w, length(text) % 9 - 6 AS s FROM conversations),
+@query(f"""WITH q0 AS (SELECT conv_id, turn, list_filter({TOKENS}, lambda w: length(w) >= 5) AS l FROM conversations), q AS (SELECT conv_id, turn, list_filter(l, lambda w, i: list_position(l, w) = i)[1:4] AS q FROM q0), c AS (SELECT conv_id, turn, {TOKENS} AS w, length(text) % 9 - 6 AS s FROM conversations),
 e AS (SELECT q.conv_id, q.turn, len(q) > 0 AND len(list_intersect(q, w)) >= least(2, len(q)) AS e, s FROM q JOIN c ON c.conv_id = q.conv_id AND c.turn = q.turn + 1) SELECT conv_id, turn, e AS evidence, s < -2.0 AND NOT e AS refused FROM e""")
 def context_evidence(spark, sf):
     terms = F.slice(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 5)), 1, 4)
