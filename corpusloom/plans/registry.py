@@ -165,7 +165,10 @@ def eval_case_metrics(spark, sf):
     return R.ranking_metrics(ranking, gold)
 
 
-@query()
+_METRICS = [f"{name}_{k}" for k in (1, 3, 5) for name in ("hit_rate", "precision", "recall", "mrr", "ndcg")]
+
+
+@query(f"SELECT {', '.join(f'round(avg({c}), 4) AS {c}' for c in _METRICS)} FROM ({SQL['eval_case_metrics']})")
 def eval_summary(spark, sf):
     per = QUERIES["eval_case_metrics"](spark, sf)
     return per.agg(*[F.round(F.avg(c), 4).alias(c) for c in per.columns if c != "case_id"])
