@@ -28,7 +28,7 @@ def tokens(text: Column) -> Column:
 
 def term_counts(words: Column) -> Column:
     """Array of (term, n, first place) of an array's distinct values: sorted once, runs counted, so long texts stay cheap."""
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
 
     def runs(s: Column) -> Column:
         starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_tokens, sentences, term_counts, tokens
+from corpusloom.functions.text import content_tokens, let, sentences, term_counts, tokens
 from corpusloom.session import broadcast_if_few, ship, stage
 
 
@@ -22,8 +22,12 @@ def top_k(scored: DataFrame, k: int, per: str = "query_id", item: str = "doc_id"
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, dl, term, tf) of documents (doc_id, text): a text's terms are counted within its row, nothing is shuffled."""
-    bag = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"), F.explode(term_counts(tokens(F.col("text")))).alias("c"))
-    return bag.select("doc_id", "dl", F.col("c.term").alias("term"), F.col("c.n").alias("tf"))
+    # the length goes into each count, as a column beside an explode is worked out anew for each row that it gives
+    counted = let(
+        tokens(F.col("text")),
+        lambda t: F.transform(term_counts(t), lambda c: F.struct(F.size(t).alias("dl"), c["term"].alias("term"), c["n"].alias("tf"))),
+    )
+    return docs.select("doc_id", F.explode(counted).alias("c")).select("doc_id", "c.dl", "c.term", "c.tf")
 
 
 def _asked(queries: DataFrame) -> DataFrame:
