@@ -27,7 +27,7 @@ from the start. The join is a recursion over regions around pivots:
     more rows than members. A large region with few members outside its largest component meets them block by
     block. What can't be cut any more (all near one pivot and still of many components) is compared in blocks, exactly.
 
-Links are between classes; components come from graph.py. Only n-gram hashes of 64 bits are compared.
+Links are between classes; components come from operators/components.py. Only n-gram hashes of 64 bits are compared.
 
 Defined results: a null text and one without words have no n-grams, link with nothing and are their own component; a text
 with fewer words than n is one n-gram; repeated rows are a class; a null doc_id is carried along with the component of its
@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stage, table, without
-from corpusloom.operators.components import connected_components
+from corpusloom.operators.components import FEW_LINKS, connected_components
 from corpusloom.session import Scratch, ship
 from corpusloom.session import broadcast_if_few as _broadcast_if_few
 
@@ -237,7 +237,7 @@ def _matrix(sketches: list[bytes], width: int = 0) -> np.ndarray:
     return out
 
 
-def _class(grams: np.ndarray) -> int:
+def class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -255,7 +255,7 @@ def _profiles(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
             for grams in gram_sets(batch.column("text").to_pylist(), n, fold):
                 size.append(len(grams))
                 if len(grams):
-                    group.append(_class(grams))
+                    group.append(class_of(grams))
                     sketch.append(_counts(grams).tobytes())
                     cells.append(None if group[-1] in sent else bands.cells(grams).view(np.int64))
                     if len(sent) >= SENT_CLASSES:
@@ -290,7 +290,7 @@ def _sets(docs: DataFrame, n: int, fold: bool) -> DataFrame:
         for batch in batches:
             found = [g for g in gram_sets(batch.column("text").to_pylist(), n, fold) if len(g)]
             grams = pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), grams], ["class", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, found), pa.int64()), grams], ["class", "grams"])
 
     ship(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "class bigint, grams array<bigint>")
@@ -369,6 +369,8 @@ def _groups(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
 class Bounds:
     """What two linked sets keep: sizes within the similarity, sketches within the differing n-grams that it allows."""
 
+    matrix = staticmethod(_matrix)
+
     def __init__(self, percent: int):
         self.p = percent
 
@@ -395,7 +397,7 @@ class Bounds:
 
     def may_link(self, labels: np.ndarray, sizes: np.ndarray, sketches: list[bytes], asks: np.ndarray, held: np.ndarray) -> list[tuple[int, int]]:
         """A spanning forest of the pairs of two components within the bounds of which one asks."""
-        found, part, m = [], np.arange(len(labels)), _matrix(sketches)
+        found, part, m = [], np.arange(len(labels)), self.matrix(sketches)
         at = np.flatnonzero(held)
         for i in np.flatnonzero(asks):
             j = at[(labels[at] != labels[i]) & (part[at] != part[i])]
@@ -479,13 +481,24 @@ class Bounds:
 _PAIRS = [np.triu_indices(k, 1) for k in range(1, 33)]
 
 
-class _Join:
-    """State of one join: regions still open, links found."""
+class Join:
+    """State of one join: regions still open, links found. Another choice of regions gives its own profiled() and tests()."""
+
+    #: Whether large regions are compared in blocks instead of being cut; links up to which components are joined in one task.
+    in_blocks, few_links = False, FEW_LINKS
 
     def __init__(self, docs: DataFrame, n: int, percent: int, fold: bool):
         self.docs, self.n, self.percent, self.fold = docs, n, percent, fold
         self.scratch = Scratch()
-        self.profiles = self._stage(_profiles(docs, n, percent, fold), "profiles")
+        self.bounds = self.tests()
+        self.profiles = self._stage(self.profiled(), "profiles")
+
+    def profiled(self) -> DataFrame:
+        """(doc_id, key, size, class, sketch, cells) of every document."""
+        return _profiles(self.docs, self.n, self.percent, self.fold)
+
+    def tests(self) -> Bounds:
+        return Bounds(self.percent)
 
     def _stage(self, rows: DataFrame, name: str) -> DataFrame:
         return self.scratch.stage(rows, name)
@@ -519,7 +532,7 @@ class _Join:
         """Size, sketch and set of each class in a region."""
         inside = members.select("class").distinct()
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "size", "sketch"))
-        found = self.profiles.join(inside, "class", "left_semi").groupBy("class").agg(first.alias("f"))
+        found = self.profiles.where("sketch IS NOT NULL").join(inside, "class", "left_semi").groupBy("class").agg(first.alias("f"))
         self.facts = self._stage(found.select("class", "f.doc_id", "f.size", "f.sketch"), "facts")
         n, held = self.facts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("sketch")), F.lit(0))).first()
         self.few, self.few_sketches = n <= BROADCAST_CLASSES, held <= BROADCAST_SKETCHES
@@ -541,7 +554,7 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, one for each class at most, those that link. Sets travel only within the bounds."""
-        p, bounds = self.percent, Bounds(self.percent)
+        p, bounds = self.percent, self.bounds
         sent = lambda d: F.broadcast(d) if self.few_sketches else d
         side = lambda x: sent(self.facts.select(F.col("class").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")))
         one = lambda x: self.sets.select(F.col("class").alias(x), F.col("grams").alias(f"g_{x}"))
@@ -567,7 +580,7 @@ class _Join:
         return members.join(self._sent(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
 
     def components(self, links: DataFrame) -> DataFrame:
-        found = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
+        found = connected_components(links, self.few_links).select(F.col("node").alias("class"), F.col("component").alias("label"))
         return self._stage(found, "labels")
 
     def ring(self, members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -615,7 +628,7 @@ class _Join:
 
     def candidates(self, m: DataFrame, regions: DataFrame) -> DataFrame:
         """(region, block, a, b): for each leaf a spanning forest of its pairs of two components within the bounds."""
-        bounds = Bounds(self.percent)
+        bounds = self.bounds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _rows(batches, ["region", "block"]):
@@ -663,7 +676,7 @@ class _Join:
         compared region by region.
         """
         near = self.candidates(m, regions)
-        clusters = connected_components(near.select("a", "b").distinct()).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+        clusters = connected_components(near.select("a", "b").distinct(), self.few_links).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
         clusters = self._stage(self.labelled(clusters, labels).join(self._sent(self.facts.select("class", "size")), "class"), "clusters")
         totals = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
         small = ((F.col("n") <= LEAF) & (F.col("grams") <= LEAF_GRAMS)) | (F.col("n") <= LEAST)
@@ -678,7 +691,7 @@ class _Join:
             one = prints.groupBy("n", "print").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
             wide = wide.join(_broadcast_if_few(self._stage(one, "leaves"), BROADCAST_REGIONS), key)
             leaves = leaves.unionByName(wide.select(leaves.columns))
-        bounds = Bounds(self.percent)
+        bounds = self.bounds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _rows(batches, key):
@@ -795,7 +808,7 @@ class _Join:
         scored = self._stage(members.drop("w").join(self._sent(score), "class"), "scored")
         links = self.ring(scored, None, 0)
         links = self._stage(links.unionByName(self.ring(scored, self.components(links), 1)), "links")
-        open_ = members.select("region", "class", F.col("region").alias("cell"), F.lit(0).alias("depth"), F.lit(False).alias("force"))
+        open_ = members.select("region", "class", F.col("region").alias("cell"), F.lit(0).alias("depth"), F.lit(self.in_blocks).alias("force"))
         turn = 0
         while True:
             labels = self.components(links)
@@ -810,9 +823,8 @@ class _Join:
             turn += 1
 
 
-def _nodes(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
+def _nodes(join: Join) -> DataFrame:
     """(doc_id, key, size, class, label), written: label is one for each component, null for documents without n-grams."""
-    join = _Join(docs, n, percent, fold)
     labels = join.labels()
     nodes = join.profiles.select("doc_id", "key", "size", "class")
     if labels is None:
@@ -826,7 +838,12 @@ def _nodes(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: documents link when 100 * intersection >= percent * union."""
-    nodes = _nodes(docs, n, percent, fold)
+    return components_of(Join(docs, n, percent, fold))
+
+
+def components_of(join: Join) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of a join's documents."""
+    nodes = _nodes(join)
     # only components of several rows are looked up: every other document is its own
     shared = (
         nodes.where("label IS NOT NULL").groupBy("label")
@@ -843,7 +860,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, fold: bool
 def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The input rows without those that have a smaller one, by doc_id, in their component. A row is known by doc_id and text; of
     rows that repeat both one stays, and a null doc_id stays only where its component has no other."""
-    nodes = _nodes(docs, n, percent, True).where("label IS NOT NULL")
+    nodes = _nodes(Join(docs, n, percent, True)).where("label IS NOT NULL")
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     groups = nodes.groupBy("label").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     groups = stage(groups.select("label", "first"), "groups")

@@ -9,6 +9,7 @@ from corpusloom.llm import (
     jaccard_join,
     licenses,
     line_dedup,
+    minhash,
     packing,
     quality,
     quotations,
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_substring_dedup": line_dedup.op8_substring_dedup,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_bpe": codec.op10_bpe,
+    "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 SQL = quality.SQL | exact_dedup.SQL | quotations.SQL | line_dedup.SQL

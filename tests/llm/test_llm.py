@@ -193,8 +193,8 @@ def test_regions_split_without_losing_links(spark, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
     monkeypatch.setattr(jaccard_join, "SAMPLE", 8)
     turns = []
-    split = jaccard_join._Join.split
-    monkeypatch.setattr(jaccard_join._Join, "split", lambda self, m, r, turn: turns.append(turn) or split(self, m, r, turn))
+    split = jaccard_join.Join.split
+    monkeypatch.setattr(jaccard_join.Join, "split", lambda self, m, r, turn: turns.append(turn) or split(self, m, r, turn))
     rows = shared_passages(random.Random(n), 60, 6)
     got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), n, percent).collect()
     assert {tuple(r) for r in got} == brute_components(rows, n, percent)
