@@ -10,6 +10,7 @@ from corpusloom.llm import (
     licenses,
     line_dedup,
     minhash,
+    negatives,
     packing,
     quality,
     quotations,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_substring_dedup": line_dedup.op8_substring_dedup,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_bpe": codec.op10_bpe,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
-SQL = quality.SQL | exact_dedup.SQL | quotations.SQL | line_dedup.SQL
+SQL = quality.SQL | exact_dedup.SQL | quotations.SQL | line_dedup.SQL | negatives.SQL
