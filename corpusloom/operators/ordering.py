@@ -30,13 +30,14 @@ def count_windows(rows: DataFrame, key: str, order: str, size: int = 10) -> Data
     return found.withColumn("pending", pending).where(F.col("n") == size)
 
 
-def placed(rows: DataFrame, key: str, order: str, size: str | None = None) -> DataFrame:
-    """rows with _at, the place of each in its key's order from 0, _n, the rows of its key, and, for a size, _used, the sum of sizes up to it.
+def placed(rows: DataFrame, key: str, order: str | list[str], size: str | None = None) -> DataFrame:
+    """rows with _at, the place of each in its key's order (by one column or several) from 0, _n, the rows of its key, and, for a size, _used, the sum of sizes up to it.
 
     Rows are dealt by ranges of (key, order); a range counts its own, and counts of the ranges before are added. So no task orders a
     whole key, however large a share of the rows it has.
     """
-    ranged = stage(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    order = [order] if isinstance(order, str) else order
+    ranged = stage(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     amount = F.sum(size) if size else F.lit(0).cast("bigint")
     totals = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("rows"), amount.alias("size"))
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
@@ -44,7 +45,7 @@ def placed(rows: DataFrame, key: str, order: str, size: str | None = None) -> Da
         F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_rows"),
         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_size"), F.sum("rows").over(Window.partitionBy(key)).alias("_n"),
     )
-    inside = Window.partitionBy(key, "_part").orderBy(order)
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
     own = ranged.withColumn("_at", F.row_number().over(inside) - 1)
     if size:
         own = own.withColumn("_used", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
