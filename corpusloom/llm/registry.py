@@ -14,6 +14,7 @@ from corpusloom.llm import (
     packing,
     quality,
     quotations,
+    repair,
     secrets,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_bpe": codec.op10_bpe,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 SQL = quality.SQL | exact_dedup.SQL | quotations.SQL | line_dedup.SQL | negatives.SQL
