@@ -111,7 +111,7 @@ def test_repaired_rows(spark):
     rows = [(1, 0, "system", "Be brief."), (1, 1, "assistant", "Hello."), (1, 2, "assistant", "Hello."), (1, 3, "user", "Why?"), (1, 4, "user", "Because.")]
     found, after = repair.repair_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
     first = found.collect()[0]
-    assert (first.audit, first.cost, first.duplicate, first.illegal) == ("KDDKR", 5, 1, 3)
+    assert (first.audit, first.cost, first.duplicate, first.illegal) == ("RKDKR", 4, 1, 3)
     roles = [r.role for r in after.orderBy("at", "part").collect()]
     assert re.fullmatch("s?(ua)+", "".join(r[0] for r in roles))
 
