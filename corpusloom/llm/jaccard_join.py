@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stage, table, without
-from corpusloom.operators.components import FEW_LINKS, connected_components
+from corpusloom.operators.components import connected_components
 from corpusloom.session import Scratch, ship
 from corpusloom.session import broadcast_if_few as _broadcast_if_few
 
@@ -484,8 +484,8 @@ _PAIRS = [np.triu_indices(k, 1) for k in range(1, 33)]
 class Join:
     """State of one join: regions still open, links found. Another choice of regions gives its own profiled() and tests()."""
 
-    #: Whether large regions are compared in blocks instead of being cut; links up to which components are joined in one task.
-    in_blocks, few_links = False, FEW_LINKS
+    #: Whether large regions are compared in blocks instead of being cut.
+    in_blocks = False
 
     def __init__(self, docs: DataFrame, n: int, percent: int, fold: bool):
         self.docs, self.n, self.percent, self.fold = docs, n, percent, fold
@@ -580,7 +580,7 @@ class Join:
         return members.join(self._sent(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
 
     def components(self, links: DataFrame) -> DataFrame:
-        found = connected_components(links, self.few_links).select(F.col("node").alias("class"), F.col("component").alias("label"))
+        found = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
         return self._stage(found, "labels")
 
     def ring(self, members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -676,7 +676,7 @@ class Join:
         compared region by region.
         """
         near = self.candidates(m, regions)
-        clusters = connected_components(near.select("a", "b").distinct(), self.few_links).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+        clusters = connected_components(near.select("a", "b").distinct()).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
         clusters = self._stage(self.labelled(clusters, labels).join(self._sent(self.facts.select("class", "size")), "class"), "clusters")
         totals = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
         small = ((F.col("n") <= LEAF) & (F.col("grams") <= LEAF_GRAMS)) | (F.col("n") <= LEAST)
@@ -811,6 +811,7 @@ class Join:
         open_ = members.select("region", "class", F.col("region").alias("cell"), F.lit(0).alias("depth"), F.lit(self.in_blocks).alias("force"))
         turn = 0
         while True:
+            self.links = links
             labels = self.components(links)
             m, regions = self.sized(open_, labels)  # of ids and sizes; sketches and sets join what is left
             if regions.isEmpty():
@@ -818,6 +819,7 @@ class Join:
             if not regions.where("fits").isEmpty():
                 links = self._stage(links.unionByName(self.leaf_links(m, regions, labels)), "links")
             if regions.where("not fits").isEmpty():
+                self.links = links
                 return self.components(links)
             open_ = self.split(m, regions, turn)
             turn += 1
@@ -871,3 +873,29 @@ def keep_one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> Da
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def near_sql(n: int, percent: int, kept: str = "") -> str:
+    """DuckDB SQL for the components of documents: every pair with a common n-gram is counted, so it is for small tables."""
+    return rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams
+  FROM split),
+sized AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sized a JOIN sized b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.b, s.doc_id)) AS component_id{kept}
+FROM sets s LEFT JOIN least l ON l.a = s.doc_id
+"""
+
+
+SQL = {"op6_ngram_jaccard_join": near_sql(3, 90)}

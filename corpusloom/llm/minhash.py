@@ -10,7 +10,7 @@
 4.  Signature verification. Pairs need sizes within the similarity and as many equal minima as a linked pair has, but for a chance
     of MISS_BY_SIGNATURE.
 5.  Full sets. What is left is confirmed by intersection and union of the whole sets.
-6.  Components by alternating large-star and small-star rounds, at every size.
+6.  Components of all confirmed links by alternating large-star and small-star rounds, at every size.
 
 Two sets of exactly the asked similarity s miss all bands with a chance of (1 - s^ROWS)^(HASHES / ROWS): 7e-10 at 0.8. Nothing else
 loses a link: neither buckets nor candidates are capped.
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
-from corpusloom.llm.jaccard_join import SENT_CLASSES, Bounds, Join, class_of, components_of, gram_sets, mix
+from corpusloom.llm.jaccard_join import SENT_CLASSES, Bounds, Join, class_of, components_of, gram_sets, mix, near_sql
+from corpusloom.operators.components import connected_components
 from corpusloom.session import ship
 
 HASHES, ROWS = 160, 4
@@ -124,7 +125,14 @@ class Signatures(Bounds):
 class BandJoin(Join):
     """The join whose regions are the buckets of bands, and whose sketches are signatures of 16 bits for each minimum."""
 
-    in_blocks, few_links = True, 0
+    in_blocks = True
+
+    def labels(self) -> DataFrame | None:
+        """As of the join, which settles regions by components as it goes; those of all its confirmed links are made by stars."""
+        if super().labels() is None:
+            return None
+        found = connected_components(self.links, few=0)
+        return self.scratch.stage(found.select(F.col("node").alias("class"), F.col("component").alias("label")), "labels")
 
     def tests(self) -> Bounds:
         return Signatures(self.percent)
@@ -174,3 +182,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+SQL = {"op13_minhash_dedup": near_sql(2, 80, ", s.doc_id = least(s.doc_id, coalesce(l.b, s.doc_id)) AS kept")}

@@ -33,4 +33,4 @@ QUERIES = {
     "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
-SQL = quality.SQL | exact_dedup.SQL | quotations.SQL | line_dedup.SQL | negatives.SQL
+SQL = quality.SQL | exact_dedup.SQL | quotations.SQL | line_dedup.SQL | negatives.SQL | repair.SQL | jaccard_join.SQL | minhash.SQL

@@ -375,3 +375,65 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     empty = hashlib.sha256().hexdigest()
     return both.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+SQL = {
+    "op12_conversation_repair": r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+coded AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295::BIGINT) % 20 AS code
+  FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded JOIN (VALUES (1), (2)) t(copy) ON code <> 0 AND (copy = 1 OR code = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM damaged),
+faulty AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, E' \t\n\x0B\f\r') AS said,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS seen,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY place), 1) || left(role, 1) AS pair
+  FROM placed),
+judged AS (
+  SELECT *, CASE WHEN said = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM faulty),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS place, {c: 0, a: '', r: ''} AS s0, {c: 1000000, a: '', r: ''} AS s1, {c: 1000000, a: '', r: ''} AS s2, {c: 1000000, a: '', r: ''} AS s3
+  FROM (SELECT DISTINCT conv_id FROM judged)
+  UNION ALL
+  SELECT conv_id, place,
+    {c: s0.c + 2, a: s0.a || 'D', r: s0.r},
+    least({c: s1.c + 2, a: s1.a || 'D', r: s1.r}, {c: s0.c + CASE WHEN initial = 's' THEN own ELSE 1000000 END, a: s0.a || 'K', r: s0.r || kept}),
+    least({c: u.c + 2, a: u.a || 'D', r: u.r},
+          {c: s0.c + keep_u, a: s0.a || 'K', r: s0.r || kept}, {c: s1.c + keep_u, a: s1.a || 'K', r: s1.r || kept}, {c: b.c + keep_u, a: b.a || 'K', r: b.r || kept},
+          {c: s0.c + own + 1, a: s0.a || 'R', r: s0.r || as_user}, {c: s1.c + own + 1, a: s1.a || 'R', r: s1.r || as_user}, {c: b.c + own + 1, a: b.a || 'R', r: b.r || as_user}),
+    least({c: b.c + 2, a: b.a || 'D', r: b.r}, {c: u.c + CASE WHEN initial = 'a' THEN own ELSE 1000000 END, a: u.a || 'K', r: u.r || kept},
+          {c: u.c + own + 1, a: u.a || 'R', r: u.r || as_assistant})
+  FROM (SELECT j.*, s.s0, s.s1, s.u, least(s.s3, {c: s.u.c + 5, a: s.u.a || 'I', r: s.u.r || E'\nassistant:'}) AS b,
+               CASE WHEN fault IN (1, 2) THEN 1000000 WHEN fault = 3 THEN 5 ELSE 0 END AS own,
+               CASE WHEN initial = 'u' THEN CASE WHEN fault IN (1, 2) THEN 1000000 WHEN fault = 3 THEN 5 ELSE 0 END ELSE 1000000 END AS keep_u,
+               E'\n' || role || ':' || text AS kept, E'\nuser:' || text AS as_user, E'\nassistant:' || text AS as_assistant
+        FROM (SELECT *, least(s2, {c: s0.c + 5, a: s0.a || 'I', r: s0.r || E'\nuser:'}, {c: s1.c + 5, a: s1.a || 'I', r: s1.r || E'\nuser:'},
+                              {c: s3.c + 5, a: s3.a || 'I', r: s3.r || E'\nuser:'}) AS u FROM steps) s
+        JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.place = s.place + 1)),
+ends AS (
+  SELECT conv_id, least(s0, s3, {c: least(s2, {c: s1.c + 5, a: s1.a || 'I', r: s1.r || E'\nuser:'}).c + 5,
+                                 a: least(s2, {c: s1.c + 5, a: s1.a || 'I', r: s1.r || E'\nuser:'}).a || 'I',
+                                 r: least(s2, {c: s1.c + 5, a: s1.a || 'I', r: s1.r || E'\nuser:'}).r || E'\nassistant:'}) AS best
+  FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate,
+         count_if(fault = 3) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT g.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(e.best.c, 0)::BIGINT AS cost,
+       coalesce(e.best.a, '') AS audit, sha256(substr(coalesce(e.best.r, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+}
