@@ -30,6 +30,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def without(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
     """The rows of docs whose (doc_id, key) has no verdict `keep` = false; where `keep` is true one row of (doc_id, key) stays.
 
@@ -43,11 +48,11 @@ def without(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
         F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), F.col("key").alias(names[2]), F.col("keep").alias(names[3])
     )
     on = names[:3]
-    left = marked.join(broadcast_if_few(known), on, "left_anti").select(docs.columns)
+    left = marked.join(broadcast_if_few(known), on, "left_anti").select(columns(docs))
     again = known.where(F.col(names[3]))
     if again.isEmpty():
         return left
-    return left.unionByName(marked.join(broadcast_if_few(again), on).dropDuplicates(on).select(docs.columns))
+    return left.unionByName(marked.join(broadcast_if_few(again), on).dropDuplicates(on).select(columns(docs)))
 
 
 def partitions(spark: SparkSession) -> int:

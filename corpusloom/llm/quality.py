@@ -1,23 +1,19 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
-Each rule scores a document by one ratio and rejects it above a cutoff. For every stratum (language) and rule, a fixed
-grid of cutoffs is tested on the labelled good documents: the hypothesis "this cutoff rejects more than `rate` of the
-good documents of this stratum" is refuted when the exact binomial probability of so few rejections falls below `delta`
-divided by the number of hypotheses of all strata, rules and cutoffs (Bonferroni). The lowest refuted cutoff is taken; a
-stratum and rule without one rejects nothing. The rates of the rules add up to `alpha`, so with probability 1 - delta no
-stratum loses more than `alpha` of its good documents to the rules.
-
-That is what op1 and its SQL state. `joint_cutoffs`, which the pipeline uses, spends the same bound better: all rules are
-tightened along one fixed path of nested cutoffs, from loose to strict, and each step is tested on the documents that its
-rules reject together, against `alpha` itself. The steps of a stratum are tested in order until one is not refuted, so the
-first true hypothesis alone can be refuted wrongly and `delta` is divided by the number of strata only. 86 good documents
-are then enough for four strata, instead of 753.
+Each rule scores a document by one ratio and rejects it above a cutoff. All rules are tightened along one fixed path of nested
+cutoffs, from loose to strict. For every stratum (language) and step, the hypothesis "the rules at this step reject more than
+`alpha` of the good documents of this stratum" is tested on the labelled good documents that the base keeps: it is refuted
+when the exact binomial probability of so few rejections is at most `delta` divided by the number of strata. The steps of
+a stratum are tested in order until one is not refuted, so that the first true hypothesis alone can be refuted wrongly
+(fixed-sequence testing), and only the strata need a correction. With probability 1 - delta no stratum loses more than
+`alpha` of its good documents to the rules; 86 good documents are enough for four strata. The strictest refuted step is
+taken; a stratum whose first step holds no proof rejects nothing.
 
 Everything is DataFrame operations; no text is shuffled.
 
 Defined results: a null text has no words and fails the base; a null language is a stratum of its own; labels with null
-or unknown values, or without a document, are ignored; of repeated rows each is judged; no labels, no rejections beyond
-the base.
+or unknown values, or without a document, are ignored, and a document of which one label says 0 is not good; of
+repeated rows each is judged; no labels, no rejections beyond the base.
 """
 
 from __future__ import annotations
@@ -25,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE_CLASS, binomial_tail_log, let, stage, table
+from corpusloom.llm.common import SPACE_CLASS, binomial_tail_log, columns, let, stage, table
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\f\r"
 #: Rule: grid of cutoffs, lowest (strictest) first. Fixed before any label is seen, as the bound asks for.
@@ -134,52 +130,14 @@ def base_failed() -> Column:
     return (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATS_PERCENT * n)
 
 
-def certified_cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the lowest cutoff of each rule that holds, for strata that have one.
-
-    `scored` has _doc_id, _stratum and the counts. Good documents that the base keeps form the holdout. Per stratum, rule
-    and cutoff only two counts leave the executors' partial aggregation.
-    """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_doc_id"))
-    scored = scored.withColumnRenamed("_stratum", "stratum").where(~base_failed()).join(good, "_doc_id", "left_semi")
-    per_rule = scores()
-    counts = scored.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.count_if(per_rule[rule] > c).alias(f"{rule}|{i}")
-            for rule, grid in GRIDS.items()
-            for i, c in enumerate(grid)
-        ],
-    )
-    tests = counts.select(
-        "stratum",
-        "n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"`{rule}|{i}`").alias("k"))
-                    for rule, grid in GRIDS.items()
-                    for i, c in enumerate(grid)
-                ]
-            )
-        ).alias("t"),
-    ).select("stratum", "n", "t.*")
-    strata = counts.agg(F.count(F.lit(1)).alias("n_strata"))
-    grid_size = sum(map(len, GRIDS.values()))
-    level = F.log(F.lit(delta) / (F.col("n_strata") * grid_size))
-    passed = tests.crossJoin(F.broadcast(strata)).where(  # one row of one number
-        binomial_tail_log(F.col("n"), F.col("k"), alpha / len(GRIDS)) <= level
-    )
-    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-
-
 def joint_cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff): what the last step of PATH that holds asks for, for strata whose first step holds.
 
-    A step rejects all that the steps before it reject, so its tail is no smaller than theirs: the steps refuted in order
-    are those refuted at all. Takes the same holdout as certified_cutoffs.
+    `scored` has _doc_id, _stratum and the counts. Documents that the base keeps and whose labels all say good form the holdout; only one
+    count for each stratum and step leaves the executors' partial aggregation. A step rejects all that the steps before it reject, so its
+    tail is no smaller than theirs: the steps refuted in order are those refuted at all.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_doc_id"))
+    good = labels.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("_doc_id")
     scored = scored.withColumnRenamed("_stratum", "stratum").where(~base_failed()).join(good, "_doc_id", "left_semi")
     per_rule = scores()
     rejected_at = F.least(*[F.when(per_rule[rule] > c, F.lit(i)) for i, (rule, c) in enumerate(PATH)])
@@ -236,14 +194,14 @@ def _verdicts(base: DataFrame, cutoffs: DataFrame, keep: list[str]) -> DataFrame
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk: float) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the rules that rejected. The counts are computed once."""
     base = stage(measured(docs, _keyed(stratum)), "quality-counts")
-    found = _verdicts(base, certified_cutoffs(base, labels, **risk), ["_doc_id"])
+    found = _verdicts(base, joint_cutoffs(base, labels, **risk), ["_doc_id"])
     return found.withColumnRenamed("_doc_id", "doc_id")
 
 
 def keep_good_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk: float) -> DataFrame:
     """The input rows that the base and the jointly certified rules keep, with all their columns. Rows are written once with
     their counts, which cost far more than that; the cutoffs read the counts alone."""
-    row = {"_row": F.struct(*[docs[c] for c in docs.columns])}
+    row = {"_row": F.struct(*columns(docs))}
     counted = stage(measured(docs, row | _keyed(stratum)), "quality-counts")
     return _verdicts(counted, joint_cutoffs(counted, labels, **risk), ["_row"]).where("kept").select("_row.*")
 
@@ -260,9 +218,7 @@ def _sql() -> str:
         "word_length": "word_chars / n_words",
         "sameness": "1.0 - n_distinct / n_words",
     }
-    grid = ", ".join(f"('{r}', {c})" for r, g in GRIDS.items() for c in g)
-    size = sum(map(len, GRIDS.values()))
-    rate = ALPHA / len(GRIDS)
+    path = ", ".join(f"({i}, '{r}', {c})" for i, (r, c) in enumerate(PATH))
     case = "CASE rule " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in score.items()) + " END"
     rules = " ".join(
         f"|| CASE WHEN {s} > (SELECT cutoff FROM cuts c WHERE c.stratum = j.stratum AND c.rule = '{r}') THEN ',{r}' ELSE '' END"
@@ -286,18 +242,21 @@ b AS (
          len(list_distinct(w)) AS n_distinct, len(l) AS n_lines
   FROM d LEFT JOIN rc ON rc.doc_id = d.doc_id),
 j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATS_PERCENT} * n_words AS base_failed FROM b),
-held AS (SELECT * FROM j WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+held AS (
+  SELECT * FROM j WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+path AS (SELECT * FROM (VALUES {path}) AS q(step, rule, cutoff)),
+first_hit AS (
+  SELECT doc_id, stratum, min(step) FILTER ({case} > cutoff) AS step FROM held, path GROUP BY doc_id, stratum),
 tests AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({case} > cutoff) AS k
-  FROM held, (VALUES {grid}) AS q(rule, cutoff) GROUP BY ALL),
+  SELECT stratum, path.step, count(*) AS n, count(*) FILTER (first_hit.step <= path.step) AS k FROM first_hit, path GROUP BY ALL),
 tails AS (
-  SELECT stratum, rule, cutoff,
+  SELECT stratum, step,
          list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END)
-           - (CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END) + i * ln({rate!r}) + (n - i) * ln({1 - rate!r})))) AS p
+           - (CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END) + i * ln({ALPHA!r}) + (n - i) * ln({1 - ALPHA!r})))) AS p
   FROM tests),
 cuts AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM tails
-  WHERE p <= {DELTA} / ({size} * (SELECT count(DISTINCT stratum) FROM held)) GROUP BY ALL),
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM tails JOIN path USING (step)
+  WHERE p <= {DELTA} / (SELECT count(DISTINCT stratum) FROM held) GROUP BY ALL),
 v AS (SELECT j.*, ltrim('' {rules}, ',') AS rejected_by FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rejected_by = '' AS kept, rejected_by

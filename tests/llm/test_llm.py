@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -376,6 +377,23 @@ def test_secrets(spark, edge, docs):
     assert clean[5].text == "the bearer [secret] is here" and clean[5].n_chars == len(clean[5].text)
 
 
+def test_very_many_spans_take_time_in_proportion():
+    for text in ("token=abcdefgh12 " * 50_000, "secret token" * 50_000, "xxxxxxxxprivate_key\n" * 20_000, "api_key: Ab3xY9kQ2mZ7pL5wRt " * 3_000):
+        began = time.time()
+        base, found = secrets.spans(text)
+        assert time.time() - began < 20 and len(found) >= len(base)
+    assert len(secrets.spans("token=abcdefgh12 " * 50_000)[0]) == 50_000
+
+
+def test_names_with_dots_pass_all_stages(spark, docs, tmp_path):
+    d = docs.withColumn("a.b", F.lit("x")).withColumn("`q`", F.lit(1))
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    for step in (lambda x: quality.keep_good_documents(x, labels), exact_dedup.drop_exact_copies, jaccard_join.keep_one_of_each_group, secrets.redact):
+        d = step(d)
+        assert d.columns[-2:] == ["a.b", "`q`"] and d.count() > 0
+    assert packing.pack_documents(d).count() > 0
+
+
 def test_long_secrets_of_small_alphabets():
     rng = random.Random(5)
     alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
