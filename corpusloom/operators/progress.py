@@ -10,23 +10,35 @@ BLOOM = ("remember", "understand", "apply", "analyze")
 CHECK_TYPES = ("mcq", "true_false", "fill_blank", "short_answer")
 
 
+def millionths(value: Column) -> Column:
+    """value in whole millionths: sums of these don't depend on their order."""
+    return F.round(value * 1_000_000).cast("bigint")
+
+
+def mean(total: Column, n: Column, unit: int = 1) -> Column:
+    """total / (unit * n), both whole, total in millionths: halves at the sixth digit go up, decided by whole numbers."""
+    half = F.lit(unit).cast("bigint") * n
+    whole = 2 * total + half
+    return ((whole - F.pmod(whole, 2 * half)) / (2 * half)).cast("bigint") / 1_000_000
+
+
 def objective_progress(state: DataFrame, objectives: DataFrame) -> DataFrame:
     """(learner, objective, phase, mastery, encounters, struggles) of state (learner, concept, mastery, encounters, struggles) and
     objectives (objective, phase, concept): the mean over all concepts of an objective, unknown ones counting 0."""
     sizes = objectives.groupBy("objective", "phase").agg(F.count(F.lit(1)).alias("n"))
     sums = state.join(objectives, "concept").groupBy("learner", "objective").agg(
-        F.sum("mastery").alias("m"), F.sum("encounters").alias("encounters"), F.sum("struggles").alias("struggles")
+        F.sum(millionths(F.col("mastery"))).alias("m"), F.sum("encounters").alias("encounters"), F.sum("struggles").alias("struggles")
     )
-    return sums.join(sizes, "objective").select("learner", "objective", "phase", F.round(F.col("m") / F.col("n"), 6).alias("mastery"), "encounters", "struggles")
+    return sums.join(sizes, "objective").select("learner", "objective", "phase", mean(F.col("m"), F.col("n")).alias("mastery"), "encounters", "struggles")
 
 
 def phase_progress(progress: DataFrame, objectives: DataFrame) -> DataFrame:
     """(learner, phase, mastery, total, mastered, struggles): the mean over all objectives of a phase."""
     totals = objectives.groupBy("phase").agg(F.countDistinct("objective").alias("total"))
     sums = progress.groupBy("learner", "phase").agg(
-        F.sum("mastery").alias("m"), F.count_if(F.col("mastery") >= MASTERED).alias("mastered"), F.sum("struggles").alias("struggles")
+        F.sum(millionths(F.col("mastery"))).alias("m"), F.count_if(F.col("mastery") >= MASTERED).alias("mastered"), F.sum("struggles").alias("struggles")
     )
-    return sums.join(totals, "phase").select("learner", "phase", F.round(F.col("m") / F.col("total"), 6).alias("mastery"), "total", "mastered", "struggles")
+    return sums.join(totals, "phase").select("learner", "phase", mean(F.col("m"), F.col("total")).alias("mastery"), "total", "mastered", "struggles")
 
 
 def concepts_of_weakest(progress: DataFrame, objectives: DataFrame, n: int) -> DataFrame:

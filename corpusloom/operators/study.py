@@ -75,18 +75,19 @@ def jaccard(a: Column, b: Column) -> Column:
 def node_scores(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, node_id, score) of nodes (node_id, type, text) for queries' terms (query_id, term).
 
-    A term counts 3 as a whole word of the node and 1 more if it has five letters; teaching types add 0.5. Words are joined
-    by equality: a long term inside a longer word is found through that node's distinct words of five letters or more.
+    A term counts 3 as a whole word of the node and 1 more if it has five letters; teaching types add 0.5. Words are joined by
+    equality. A term of five letters or more inside a longer word is found by its first five: a distinct word gives a row for each
+    distinct five letters in it, however long it is, and what meets is checked.
     """
-    words = nodes.select("node_id", "type", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    words = nodes.select("node_id", "type", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).withColumn("named", F.sha2("word", 256))
     asked = terms.distinct()
     exact = words.join(asked.withColumnRenamed("term", "word"), "word").select("query_id", "node_id", "type", F.lit(3.0).alias("s"), F.col("word").alias("term"))
-    # a word's substrings of five letters or more, from one row for each distinct word
-    starts = F.sequence(F.lit(1), F.length("word") - 4)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(5), F.length("word") - i + 1), lambda n: F.substring("word", i, n))))
-    vocabulary = words.where(F.length("word") >= 5).select("word").distinct()
-    inside = vocabulary.select("word", F.explode(F.array_distinct(parts)).alias("term")).join(asked, "term")
-    fuzzy = words.join(inside, "word").select("query_id", "node_id", "type", F.lit(1.0).alias("s"), "term")
+    vocabulary = words.where(F.length("word") >= 5).select("word", "named").distinct()
+    fives = F.array_distinct(F.regexp_extract_all("word", F.lit("(?=(.{5}))"), F.lit(1)))
+    grams = vocabulary.select("named", fives.alias("fives")).select("named", F.explode("fives").alias("five"))
+    long = asked.where(F.length("term") >= 5).withColumn("five", F.left("term", F.lit(5)))
+    met = words.join(grams.join(long, "five").select("named", "query_id", "term"), "named").where(F.contains("word", "term"))
+    fuzzy = met.select("query_id", "node_id", "type", F.lit(1.0).alias("s"), "term")
     once = exact.unionByName(fuzzy).distinct()
     bonus = F.when(F.first("type").isin(*TEACHING_TYPES), 0.5).otherwise(0.0)
     return once.groupBy("query_id", "node_id").agg((F.sum("s") + bonus).alias("score"))

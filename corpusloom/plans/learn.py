@@ -12,19 +12,19 @@ from corpusloom.functions.text import concept_key
 from corpusloom.operators import progress as P
 from corpusloom.plans.registry import query, table
 
-STATE = """st AS (SELECT user_id AS learner, event_id % 25 AS concept, round(avg(value) / 100, 6) AS mastery, count(*) AS encounters,
+STATE = """st AS (SELECT user_id AS learner, event_id % 25 AS concept, (2 * sum(CAST(round(value * 1000000) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) / 1000000 AS mastery, count(*) AS encounters,
   count(*) FILTER (value < 25) AS struggles FROM events GROUP BY ALL),
 ob AS (SELECT n_nationkey // 3 AS objective, (n_nationkey // 3) % 4 AS phase, n_nationkey AS concept FROM nation),
 os AS (SELECT objective, phase, count(*) AS n FROM ob GROUP BY ALL),
-op AS (SELECT learner, objective, phase, round(sum(mastery) / n, 6) AS mastery, CAST(sum(encounters) AS BIGINT) AS encounters, CAST(sum(struggles) AS BIGINT) AS struggles
+op AS (SELECT learner, objective, phase, (2 * sum(CAST(round(mastery * 1000000) AS BIGINT)) + n) // (2 * n) / 1000000 AS mastery, CAST(sum(encounters) AS BIGINT) AS encounters, CAST(sum(struggles) AS BIGINT) AS struggles
   FROM st JOIN ob USING (concept) JOIN os USING (objective, phase) GROUP BY learner, objective, phase, n)"""
 
 
 def _state(spark, sf):
     e = table(spark, sf, "events")
     return e.groupBy(F.col("user_id").alias("learner"), (F.col("event_id") % 25).alias("concept")).agg(
-        F.round(F.avg("value") / 100, 6).alias("mastery"), F.count(F.lit(1)).alias("encounters"), F.count_if(F.col("value") < 25).alias("struggles")
-    )
+        F.sum(P.millionths(F.col("value"))).alias("total"), F.count(F.lit(1)).alias("encounters"), F.count_if(F.col("value") < 25).alias("struggles")
+    ).select("learner", "concept", P.mean(F.col("total"), F.col("encounters"), 100).alias("mastery"), "encounters", "struggles")
 
 
 def _objectives(spark, sf):
@@ -38,7 +38,7 @@ def objective_rollup(spark, sf):
 
 
 PHASES = """pt AS (SELECT phase, count(DISTINCT objective) AS total FROM ob GROUP BY ALL),
-pp AS (SELECT learner, phase, round(sum(mastery) / total, 6) AS mastery, total, count(*) FILTER (mastery >= 0.7) AS mastered, CAST(sum(struggles) AS BIGINT) AS struggles
+pp AS (SELECT learner, phase, (2 * sum(CAST(round(mastery * 1000000) AS BIGINT)) + total) // (2 * total) / 1000000 AS mastery, total, count(*) FILTER (mastery >= 0.7) AS mastered, CAST(sum(struggles) AS BIGINT) AS struggles
   FROM op JOIN pt USING (phase) GROUP BY learner, phase, total)"""
 
 

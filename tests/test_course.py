@@ -249,3 +249,18 @@ def test_course_building_by_hand(spark):
     assert [(r.a, r.b) for r in build.similar_titles(t, "scope", "k", "title").collect()] == [(1, 2)]
     old = spark.createDataFrame([("SVD",)], "name string")
     assert sorted(r.name for r in build.keep_names(spark.createDataFrame([("svd",), ("PCA",)], "name string"), old, "name", "name").collect()) == ["PCA", "SVD"]
+
+
+def test_node_scores_of_very_long_words(spark):
+    nodes = spark.createDataFrame([(1, "concept", "x" * 100_000 + "gradient"), (2, "document", "ungradiented words"), (3, "document", "grad")], "node_id int, type string, text string")
+    terms = spark.createDataFrame([(7, "gradient"), (7, "grad"), (7, "gradient")], "query_id int, term string")
+    got = {(r.node_id, r.score) for r in study.node_scores(nodes, terms).collect()}
+    assert got == {(1, 1.5), (2, 1.0), (3, 3.0)}
+
+
+def test_means_of_halves_go_up_in_any_order(spark):
+    from corpusloom.operators.progress import mean, millionths
+
+    d = spark.createDataFrame([(0.000001, 1), (0.000002, 1), (0.1, 2), (0.2, 2), (0.300001, 2)], "m double, g int")
+    got = d.groupBy("g").agg(mean(F.sum(millionths(F.col("m"))), F.count(F.lit(1))).alias("m")).orderBy("g").collect()
+    assert [r.m for r in got] == [0.000002, 0.2]
