@@ -19,8 +19,9 @@ COMPARED = (
     r"(?i)^(.*?)\b(?:versus|vs\.?)\b(.*)$",
 )
 NAMELESS = (
-    "what whats is are the a an of for in on to with and or vs versus between compare comparison difference differentiate explain course lesson "
-    "document documents explique comparer comparaison difference différence entre et"
+    "what whats is are the a an of for in on to from course material materials explain compare comparison difference differentiate "
+    "between versus vs and with me please quelle quel est sont la le les des du de un une dans pour cours document documents explique "
+    "comparer comparaison difference différence entre et"
 ).split()
 FORMULA = r"(?i)\b(formula|equation|derive|derivation|calculate|compute|symbol|formule|[eé]quation|calculer|calcule)\b|[=+\-*/^_]"
 MATH = r"\$\$|\\(?:frac|sum|sqrt|hat|bar|vec|int|prod)\b|[=∑√∫±×÷≤≥≈∞]|[A-Za-z]\s*[_^]\s*[A-Za-z0-9]"

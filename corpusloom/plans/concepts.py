@@ -114,15 +114,14 @@ def reference_counts(spark, sf):
     return C.reference_counts(one("customer", "c_nationkey"), one("supplier", "s_nationkey"), keys)
 
 
-@query("""WITH d AS (SELECT c_custkey AS id, c_nationkey AS v FROM customer WHERE c_custkey % 4 <> 0), e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_nationkey END AS v FROM customer WHERE c_custkey % 7 <> 0),
-r AS (SELECT o_custkey AS id, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
+@query("""WITH d AS (SELECT o_custkey AS id, count(*) % 5 AS v FROM orders GROUP BY ALL), e AS (SELECT user_id AS id, count(*) % 5 AS v FROM events GROUP BY ALL),
+r AS (SELECT l_suppkey AS id, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT id, CASE WHEN e.id IS NULL THEN 'insert' WHEN d.id IS NULL THEN CASE WHEN coalesce(n, 0) > 0 THEN 'deactivate' ELSE 'delete' END WHEN d.v = e.v THEN 'keep' ELSE 'update' END AS action
 FROM d FULL JOIN e USING (id) LEFT JOIN r USING (id)""")
 def reconcile_with_references(spark, sf):
-    c, key = table(spark, sf, "customer"), F.col("c_custkey")
-    desired = c.where(key % 4 != 0).select(key.alias("id"), F.col("c_nationkey").alias("value"))
-    existing = c.where(key % 7 != 0).select(key.alias("id"), F.when(key % 5 == 0, -1).otherwise(F.col("c_nationkey")).alias("value"))
-    return C.reconcile(desired, existing, C.reference_counts(table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))))
+    counted = lambda name, c: table(spark, sf, name).groupBy(F.col(c).cast("bigint").alias("id")).agg((F.count(F.lit(1)) % 5).alias("value"))
+    used = C.reference_counts(table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("id")))
+    return C.reconcile(counted("orders", "o_custkey"), counted("events", "user_id"), used)
 
 
 @query("""WITH d AS (SELECT l_suppkey AS source, l_partkey AS target, max(l_discount) AS confidence FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL),

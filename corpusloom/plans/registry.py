@@ -12,13 +12,13 @@ from corpusloom.operators import documents as D
 from corpusloom.operators import learning as L
 from corpusloom.operators import ordering as O
 from corpusloom.operators import retrieval as R
-from corpusloom.session import stage
+from corpusloom.session import files_of, stage
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, tuple], DataFrame] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -75,8 +75,8 @@ orr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score D
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    """Written once for each application and folder: every list of a query is ranked from it."""
-    key = (spark.sparkContext.applicationId, sf)
+    """Written once for each application and state of the documents' files: every list of a query is ranked from it."""
+    key = (spark.sparkContext.applicationId, files_of(spark, f"{sf}/documents.parquet"))
     if key not in _WRITTEN:
         _WRITTEN[key] = stage(R.postings(_docs(spark, sf)), "postings")
     return _WRITTEN[key]
@@ -398,12 +398,11 @@ def bfs_prereq_depth2(spark, sf):
     return L.prerequisites(_edges(spark, sf), _seeds(spark, sf), 2)
 
 
-@query("""WITH d AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders GROUP BY ALL), x AS (SELECT c_custkey AS k, c_custkey * 10 AS v FROM customer WHERE c_custkey % 3 <> 0)
+@query("""WITH d AS (SELECT o_custkey AS k, count(*) % 5 AS v FROM orders GROUP BY ALL), x AS (SELECT user_id AS k, count(*) % 5 AS v FROM events GROUP BY ALL)
 SELECT k, CASE WHEN x.k IS NULL THEN 'insert' WHEN d.k IS NULL THEN 'deactivate' WHEN d.v = x.v THEN 'keep' ELSE 'update' END AS action FROM d FULL JOIN x USING (k)""")
 def reconcile_full_outer(spark, sf):
-    desired = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
-    existing = table(spark, sf, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") * 10).alias("v"))
-    return L.reconcile(desired, existing, "k", "v")
+    counted = lambda name, c: table(spark, sf, name).groupBy(F.col(c).cast("bigint").alias("k")).agg((F.count(F.lit(1)) % 5).alias("v"))
+    return L.reconcile(counted("orders", "o_custkey"), counted("events", "user_id"), "k", "v")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -10,7 +10,7 @@ from corpusloom.operators import context as X
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as S
 from corpusloom.plans.course import FEATURES, R as SECT, _sections, path
-from corpusloom.plans.registry import BM25, OVERLAP, TOKENS, _bm25_top, _docs, _overlap_top, _questions, _vectors, query, table
+from corpusloom.plans.registry import BM25, OVERLAP, TOKENS, _bm25, _bm25_top, _docs, _overlap_top, _questions, _vectors, query, table
 
 QUESTIONS = """qs AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'What is the difference between ' || p_name || ' and ' || p_type || '?'
   WHEN 1 THEN 'Compare the ' || p_name || ' with ' || p_brand || ', ' || p_type || ' in this course' WHEN 2 THEN p_name || ' vs. ' || p_type
@@ -114,17 +114,23 @@ DENSE = """dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_co
 dnr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM dn QUALIFY rank <= 10)"""
 
 
-def _dense_top(spark, sf):
+def _dense_top(spark, sf, k=10):
     v = _vectors(spark, sf)
     asked = v.join(_questions(spark, sf).select(F.col("query_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), "embedding")
-    return R.top_k(R.dense(v, asked, 10), 10)
+    return R.top_k(R.dense(v, asked, k), k)
 
 
-@query(f"""WITH {BM25}, {DENSE}, b AS (SELECT query_id, doc_id, rank, 0 AS l FROM dnr UNION ALL SELECT query_id, doc_id, rank, 1 FROM bmr),
+#: Candidates of each list before they are fused.
+CANDIDATES = 80
+
+
+@query(f"""WITH {BM25}, {DENSE},
+b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, 0 AS l FROM dn QUALIFY rank <= {CANDIDATES}
+  UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, 1 FROM bm QUALIFY rank <= {CANDIDATES}),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(l := l, r := rank)) AS m FROM b GROUP BY ALL)
 SELECT query_id, doc_id, score, m.l AS first_list, m.r AS first_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_retrieval(spark, sf):
-    return R.top_k(R.reciprocal_rank_fusion(_dense_top(spark, sf), _bm25_top(spark, sf)), 10)
+    return R.top_k(R.reciprocal_rank_fusion(_dense_top(spark, sf, CANDIDATES), R.top_k(_bm25(spark, sf), CANDIDATES)), 10)
 
 
 @query(f"""WITH {BM25}, {OVERLAP}, {DENSE}, gold AS (SELECT query_id, doc_id FROM orr WHERE rank <= 3),

@@ -27,12 +27,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
         if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -40,6 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """(name, bytes, time of change) of a table's files: what is kept of a table holds as long as they are the same."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(files))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
