@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import acronym, sentences, tokens
 from corpusloom.operators import learning, ordering, retrieval
-from corpusloom.plans import build, concepts, course, generate, learn, registry, retrieve, scalars, sinks, study  # noqa: F401
+from corpusloom.plans import (  # noqa: F401
+    allocate, build, concepts, course, dispatch, generate, intake, learn, maps, registry, retrieve, scalars, segment, sinks, streams, study,
+)
 from corpusloom.streaming.mastery import fold_assessments_stream
 
 FOLDER = "/root/testdata/sf0.001"
