@@ -39,14 +39,17 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(whole, r"!\[[^\]]*\]\([^)]*\)|(?i:<img\b[^>]*>)", " ")
 
 
-def _cleaned(text: Column) -> Column:
-    """Array of (at, line, norm) of the lines that stay."""
+def _cleaned(text: Column, tables: bool = False) -> Column:
+    """Array of (at, line, norm) of the lines that stay. With `tables`, lines between bars stay as they are, and what stands before a footer's
+    counter at the head of a line stays too."""
+    between = lambda line: line.startswith("|") & line.endswith("|")
 
     def clean(line: Column) -> Column:
-        line = F.trim(line)
-        for pattern, by in LINE_RULES:
+        whole = line = F.trim(line)
+        for pattern, by in LINE_RULES[1:] if tables else LINE_RULES:
             line = F.regexp_replace(line, pattern, by)
-        return F.btrim(F.regexp_replace(F.trim(line), r"[ \t]{2,}", " "), F.lit(" |•\t"))
+        line = F.btrim(F.regexp_replace(F.trim(line), r"[ \t]{2,}", " "), F.lit(" |\t" if tables else " |•\t"))
+        return F.when(between(whole), whole).otherwise(line) if tables else line
 
     def stays(line: Column, norm: Column) -> Column:
         noise = F.lit(False)
@@ -57,14 +60,23 @@ def _cleaned(text: Column) -> Column:
             line.rlike(COUNTER) | line.rlike(MONTH_DATE) | (count("|") + count(" - ") + count(" / ") >= 2) | (F.size(F.split(norm, " ")) <= 10)
         )
         thin = (F.length(line) >= 8) & (F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]", "")) < 0.25 * F.length(line))
-        return (norm != "") & ~noise & ~line.rlike(DOT_LEADER) & ~line.rlike(IMAGE_FILE) & ~footer & ~thin
+        good = ~noise & ~line.rlike(DOT_LEADER) & ~line.rlike(IMAGE_FILE) & ~footer & ~thin
+        return (norm != "") & (between(line) | good if tables else good)
 
     lines = F.transform(F.split(_bare(text), "\n"), lambda x, i: F.struct(i.alias("at"), clean(x).alias("line")))
     lines = F.transform(lines, lambda x: F.struct(x["at"], x["line"], F.trim(F.regexp_replace(F.lower(x["line"]), r"\s+", " ")).alias("norm")))
     kept = F.filter(lines, lambda x: stays(x["line"], x["norm"]))
+    if tables:  # (at - place) tells how many lines went before: where that grows between two lines that stay, there is a gap
+        kept = F.transform(kept, lambda x, i: F.struct((x["at"] - i).alias("at"), x["line"], x["norm"]))
     return let(kept, lambda k: F.filter(k, lambda x, i: (i == 0) | (F.get(k, i - 1)["norm"] != x["norm"])))
 
 
+def cleaned_text(text: Column) -> Column:
+    """The lines that stay of a text with tables, one empty line for each gap of empty or dropped ones."""
+    gap = lambda k, i: F.when(i == 0, "").when(F.get(k, i - 1)["at"] < F.get(k, i)["at"], "\n\n").otherwise("\n")
+    return let(_cleaned(text, True), lambda k: F.array_join(F.transform(k, lambda x, i: F.concat(gap(k, i), x["line"])), ""))
+
+
 def clean_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): cleaned lines without empty ones, slide furniture, footers, counters, dates, image names, lines of hardly
     any letters, and lines that repeat the kept line before them. A document's lines are cleaned within its row."""
