@@ -74,7 +74,7 @@ def _cleaned(text: Column, tables: bool = False) -> Column:
 def cleaned_text(text: Column) -> Column:
     """The lines that stay of a text with tables, one empty line for each gap of empty or dropped ones."""
     gap = lambda k, i: F.when(i == 0, "").when(F.get(k, i - 1)["at"] < F.get(k, i)["at"], "\n\n").otherwise("\n")
-    return let(_cleaned(text, True), lambda k: F.array_join(F.transform(k, lambda x, i: F.concat(gap(k, i), x["line"])), ""))
+    return let(let(text, lambda t: _cleaned(t, True)), lambda k: F.array_join(F.transform(k, lambda x, i: F.concat(gap(k, i), x["line"])), ""))
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:

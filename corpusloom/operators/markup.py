@@ -28,6 +28,7 @@ SEPARATOR = r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 
 def unescaped(text: Column) -> Column:
     """A text with its character references as characters; numbers that are no characters become U+FFFD."""
+    frequent = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0"}
     names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})), "map<string,string>")
 
     def character(mark: Column) -> Column:
@@ -35,11 +36,17 @@ def unescaped(text: Column) -> Column:
         number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.regexp_extract(name, r"^#(\d+)$", 1)).try_cast("int")
         good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         decoded = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-        return F.when(name.startswith("#"), decoded).otherwise(F.coalesce(F.try_element_at(names, name), mark))
+        known = F.when(name.startswith("#"), decoded)
+        for k, v in frequent.items():  # the map of all names is looked through from its start
+            known = known.when(name == k, F.lit(v))
+        return known.otherwise(F.coalesce(F.try_element_at(names, name), mark))
 
-    marks = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    parts = let(marks, lambda m: F.array_join(F.transform(F.split(text, REFERENCE), lambda p, i: F.concat(p, F.coalesce(character(F.get(m, i)), F.lit("")))), ""))
-    return F.when(text.contains("&"), parts).otherwise(text)
+    def decoded(t: Column) -> Column:
+        marks = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        parts = let(marks, lambda m: F.array_join(F.transform(F.split(t, REFERENCE), lambda p, i: F.when(F.get(m, i).isNull(), p).otherwise(F.concat(p, character(F.get(m, i))))), ""))
+        return F.when(t.contains("&"), parts).otherwise(t)
+
+    return let(text, decoded)
 
 
 def _replaced(text: Column, opening: str, closing: str, by: Callable[[Column], Column]) -> Column:
@@ -47,17 +54,19 @@ def _replaced(text: Column, opening: str, closing: str, by: Callable[[Column], C
 
     def part(p: Column, end: Column) -> Column:
         before, inside = F.regexp_extract(p, rf"(?s)^(.*?){opening}", 1), F.regexp_extract(p, rf"(?s)^.*?{opening}(.*)$", 1)
-        return F.when(end.isNull(), p).when(p.rlike(opening), F.concat(before, by(inside))).otherwise(F.concat(p, end))
+        return F.when(end.isNull(), p).when(p.rlike(opening), F.concat(before, let(inside, by))).otherwise(F.concat(p, end))
+
+    def whole(t: Column) -> Column:
+        ends = F.regexp_extract_all(t, F.lit(closing), F.lit(0))
+        joined = let(ends, lambda e: F.array_join(F.transform(F.split(t, closing), lambda p, i: part(p, F.get(e, i))), ""))
+        return F.when(t.rlike(closing), joined).otherwise(t)
 
-    ends = F.regexp_extract_all(text, F.lit(closing), F.lit(0))
-    joined = let(ends, lambda e: F.array_join(F.transform(F.split(text, closing), lambda p, i: part(p, F.get(e, i))), ""))
-    return F.when(text.rlike(closing), joined).otherwise(text)
+    return let(text, whole)
 
 
 def _inside(text: Column, opening: str, closing: str) -> Column:
     """What stands inside each element, after its opening tag; the group that `opening` has comes first."""
-    parts = F.split(text, closing)
-    return F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.rlike(opening))
+    return let(F.split(text, closing), lambda parts: F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.rlike(opening)))
 
 
 def table_lines(inside: Column) -> Column:
