@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import acronym, sentences, tokens
 from corpusloom.operators import learning, ordering, retrieval
 from corpusloom.plans import (  # noqa: F401
-    allocate, build, concepts, course, dispatch, generate, intake, learn, maps, markup, player, registry, retrieve, scalars, segment, sinks, streams, study,
+    allocate, architecture, build, concepts, course, dispatch, generate, intake, learn, maps, markup, player, registry, retrieve, scalars, segment, sinks, streams, study,
 )
 from corpusloom.streaming.mastery import fold_assessments_stream
 
