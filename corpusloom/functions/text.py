@@ -109,12 +109,6 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.regexp_replace(F.substring(text, 1, most), r" [^ ]*$", "")).otherwise(text)
 
 
-def distinct_by(values: Column, key: Callable[[Column], Column]) -> Column:
-    """The first of values with equal keys, in their order; those with an empty key go."""
-    keys = F.transform(values, lambda v: key(v))
-    return let(keys, lambda k: F.filter(values, lambda v, i: (F.get(k, i) != "") & (F.array_position(k, F.get(k, i)) == i + 1)))
-
-
 def normalised_vector(v: Column) -> Column:
     """A vector of length one; a zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))

@@ -261,9 +261,12 @@ def examples_first(chunks: DataFrame, scope: str, order: str) -> DataFrame:
 
 
 def without_near_copies(rows: DataFrame, scope: str, order: str, words: str, most: float = 0.55) -> DataFrame:
-    """Rows in order, without those whose words overlap with an earlier row that stays by `most` of the smaller set or more. The fold runs over one
-    scope's bounded list within its row."""
-    lists = rows.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(order, F.array_distinct(words).alias("w")))).alias("l"))
+    """Rows in order, without those whose words overlap with an earlier row that stays by `most` of the smaller set or more; a row without words stays.
+    Of equal sets only the first can stay, so the fold, which runs within a scope's row, sees each set once, whatever the number of rows."""
+    sets = rows.select(scope, order, F.array_sort(F.array_distinct(words)).alias("w"))
+    some = F.coalesce(F.size("w") > 0, F.lit(False))
+    first = sets.where(some).groupBy(scope, "w").agg(F.min(order).alias(order))
+    lists = first.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(order, "w"))).alias("l"))
 
     def step(kept: Column, x: Column) -> Column:
         near = F.exists(
@@ -272,4 +275,4 @@ def without_near_copies(rows: DataFrame, scope: str, order: str, words: str, mos
         return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = F.aggregate("l", F.slice("l", 1, 0), step)
-    return lists.select(scope, F.explode(F.transform(kept, lambda k: k[order])).alias(order))
+    return lists.select(scope, F.explode(F.transform(kept, lambda k: k[order])).alias(order)).unionByName(sets.where(~some).select(scope, order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import broadcast_if_few, stage
@@ -21,6 +21,13 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("r")).select(key, "r.*").select(rows.columns)
 
 
+def distinct_in_order(rows: DataFrame, scope: str, order: str, key: Column) -> DataFrame:
+    """The first row of each scope and key in the given order; those with an empty or null key go. Partial minima are all that is shuffled."""
+    rest = [c for c in rows.columns if c not in (scope, order)]
+    first = rows.withColumn("_key", key).where("_key != ''").groupBy(scope, "_key").agg(F.min(F.struct(order, *rest)).alias("_r"))
+    return first.select(scope, "_r.*").select(rows.columns)
+
+
 def count_windows(rows: DataFrame, key: str, order: str, size: int = 10) -> DataFrame:
     """Full windows of `size` rows of each key: (key, window, first, last, n, pending of the key)."""
     w = Window.partitionBy(key).orderBy(order)

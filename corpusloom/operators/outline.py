@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship
+from corpusloom.session import ship, stage
 
 #: Which words of a title show its part in a course, looked for in this order.
 ROLES = (
@@ -22,10 +22,11 @@ def heading_tree(sections: DataFrame, most_children: int = 7) -> DataFrame:
     steps = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", 1, i))
     each = sections.select("doc_id", "section", F.explode(steps).alias("p"))
     up = F.array_join(F.slice("p", 1, F.size("p") - 1), " > ")
-    nodes = each.groupBy("doc_id", F.array_join("p", " > ").alias("node"), up.alias("parent"), F.element_at("p", -1).alias("label"), F.size("p").alias("depth")).agg(F.min("section").alias("first"))
-    n = nodes.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("first", "node")))
+    nodes = each.groupBy("doc_id", F.array_join("p", " > ").alias("node"), up.alias("parent"), F.element_at("p", -1).alias("label"), F.size("p").alias("depth")).agg(F.min("section").alias("first"), F.min("p").alias("p"))
+    n = stage(nodes.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("first", "node"))), "heading-nodes")
     dropped = n.where(F.col("pos") > most_children).select("doc_id", F.col("node").alias("cut"))
-    under = n.join(dropped, "doc_id").where((F.col("node") == F.col("cut")) | F.startswith("node", F.concat("cut", F.lit(" > ")))).select("doc_id", "node").distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", 1, i), " > "))  # a node and its ancestors
+    under = n.select("doc_id", "node", F.explode(above).alias("cut")).join(dropped, ["doc_id", "cut"], "left_semi").select("doc_id", "node").distinct()
     return n.join(under, ["doc_id", "node"], "left_anti").select("doc_id", "node", "parent", "label", "depth", "pos", "first")
 
 

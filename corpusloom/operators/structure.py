@@ -75,28 +75,33 @@ def sections(docs: DataFrame, infer: bool = True) -> DataFrame:
     """
     lines = F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.rtrim(x))
     parsed = F.transform(lines, lambda x: F.struct(x.alias("line"), heading(x, infer).alias("h"), noise(x).alias("noise")))
-    d = docs.select("doc_id", "filename", parsed.alias("parsed"))
-    d = d.select("doc_id", "filename", F.filter("parsed", lambda x: ~x["noise"]).alias("kept"))
-    marked = F.transform("kept", lambda x, i: F.when(x["h"].isNotNull(), F.struct(i.alias("at"), x["h"]["level"].alias("level"), x["h"]["title"].alias("title"))))
-    d = d.withColumn("heads", F.filter(marked, lambda x: x.isNotNull()))
     stem = F.trim(F.translate(F.regexp_replace("filename", r"\.[^.]*$", ""), "_", " "))
-    d = d.withColumn("doc_title", F.coalesce(F.get(F.col("heads"), F.lit(0))["title"], stem))
     kind = "array<struct<at:int,level:int,title:string>>"
 
     def push(acc: Column, h: Column) -> Column:
         stack = F.concat(F.filter(acc["stack"], lambda s: s["level"] < h["level"]), F.array(h))
         return let(stack, lambda s: F.struct(s.alias("stack"), F.concat(acc["out"], F.array(F.transform(s, lambda x: x["title"]))).alias("out")))
 
-    start = F.struct(F.array().cast(kind).alias("stack"), F.array().cast("array<array<string>>").alias("out"))
-    d = d.withColumn("paths", F.aggregate("heads", start, push, lambda a: a["out"]))
-    first = F.struct(F.lit(-1).alias("at"), F.lit(1).alias("level"), F.col("doc_title").alias("title"))
-    d = d.withColumn("starts", F.concat(F.array(first), F.col("heads"))).withColumn("paths", F.concat(F.array(F.array("doc_title")), F.col("paths")))
-    stop = lambda i: F.coalesce(F.get(F.col("starts"), i + 1)["at"], F.size("kept"))
-    text = lambda s, i: F.array_join(F.transform(F.slice("kept", s["at"] + 2, stop(i) - s["at"] - 1), lambda x: x["line"]), "\n")
-    made = F.transform("starts", lambda s, i: F.struct(
-        s["level"].alias("level"), s["title"].alias("title"), F.get(F.col("paths"), i).alias("path"),
-        F.btrim(text(s, i), F.lit(" \t\n")).alias("text")))
-    found = d.select("doc_id", F.filter(made, lambda s: s["text"] != "").alias("s"))
+    def cut(kept: Column, starts: Column, paths: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get(starts, i + 1)["at"], F.size(kept))
+        text = lambda s, i: F.array_join(F.transform(F.slice(kept, s["at"] + 2, stop(i) - s["at"] - 1), lambda x: x["line"]), "\n")
+        made = F.transform(starts, lambda s, i: F.struct(
+            s["level"].alias("level"), s["title"].alias("title"), F.get(paths, i).alias("path"), F.btrim(text(s, i), F.lit(" \t\n")).alias("text")))
+        return F.filter(made, lambda s: s["text"] != "")
+
+    def headed(kept: Column, heads: Column) -> Column:
+        start = F.struct(F.array().cast(kind).alias("stack"), F.array().cast("array<array<string>>").alias("out"))
+        paths = F.aggregate(heads, start, push, lambda a: a["out"])
+        title = F.coalesce(F.get(heads, F.lit(0))["title"], stem)
+        first = F.struct(F.lit(-1).alias("at"), F.lit(1).alias("level"), title.alias("title"))
+        return let(F.concat(F.array(first), heads), lambda s: let(F.concat(F.array(F.array(title)), paths), lambda p: cut(kept, s, p)))
+
+    def whole(kept: Column) -> Column:
+        marked = F.transform(kept, lambda x, i: F.when(x["h"].isNotNull(), F.struct(i.alias("at"), x["h"]["level"].alias("level"), x["h"]["title"].alias("title"))))
+        return let(F.filter(marked, lambda x: x.isNotNull()), lambda heads: headed(kept, heads))
+
+    # one expression whose parts have names: as columns of their own they would be copied into each other, and worked out again for every section
+    found = docs.select("doc_id", let(F.filter(parsed, lambda x: ~x["noise"]), whole).alias("s"))
     return found.select("doc_id", F.posexplode("s").alias("section", "s")).select("doc_id", "section", "s.*")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import context as X
+from corpusloom.operators import ordering as O
 from corpusloom.operators import structure as S
 from corpusloom.plans.course import FEATURES, R, _sections, path
 from corpusloom.plans.registry import TOKENS, _docs, query, table
@@ -110,20 +111,19 @@ def examples_first(spark, sf):
 
 @query(f"""WITH p AS (SELECT p_brand, p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM part),
 l AS (SELECT p_brand, list(struct_pack(k := p_partkey, w := w) ORDER BY p_partkey) AS l FROM p GROUP BY p_brand),
-f AS (SELECT p_brand, list_reduce(list_prepend([]::STRUCT(k BIGINT, w VARCHAR[])[], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda z: len(list_intersect(z.w, x[1].w)) >= 0.67 * least(len(z.w), len(x[1].w)))) > 0 THEN a ELSE list_concat(a, x) END) AS r FROM l)
+f AS (SELECT p_brand, list_reduce(list_prepend([]::STRUCT(k BIGINT, w VARCHAR[])[], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda z: len(list_intersect(z.w, x[1].w)) >= 0.55 * least(len(z.w), len(x[1].w)))) > 0 THEN a ELSE list_concat(a, x) END) AS r FROM l)
 SELECT p_brand, unnest(list_transform(r, lambda z: z.k)) AS p_partkey FROM f""")
 def near_copy_branches(spark, sf):
     p = table(spark, sf, "part").select("p_brand", "p_partkey", T.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
-    return X.without_near_copies(p, "p_brand", "p_partkey", "w", 0.67)
+    return X.without_near_copies(p, "p_brand", "p_partkey", "w")
 
 
 @query("""WITH t AS (SELECT p_brand, list(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE ' ' || p_name END ORDER BY p_partkey) AS l FROM part GROUP BY p_brand)
 SELECT p_brand, len(list_filter(l, lambda v, i: list_position(list_transform(l, lambda z: trim(lower(z))), trim(lower(v))) = i)) AS n, l[1] AS first FROM t""")
 def ordered_name_dedupe(spark, sf):
     v = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name"))
-    lists = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", v.alias("v")))), lambda x: x["v"])
-    g = table(spark, sf, "part").groupBy("p_brand").agg(lists.alias("l"))
-    return g.select("p_brand", F.size(T.distinct_by(F.col("l"), lambda x: F.trim(F.lower(x)))).alias("n"), F.get("l", F.lit(0)).alias("first"))
+    named = O.distinct_in_order(table(spark, sf, "part").select("p_brand", "p_partkey", v.alias("v")), "p_brand", "p_partkey", F.trim(F.lower("v")))
+    return named.groupBy("p_brand").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min_by("v", "p_partkey").alias("first"))
 
 
 @query("""SELECT user_id, event_id, '{"k":' || (CAST(json_extract(props, '$.k') AS INT) + 1) || ',"source":"' || event_type || '"}' AS merged FROM events""")
