@@ -41,12 +41,10 @@ def _lessons(spark, sf):
     return g.agg(F.concat(F.lit("Part "), F.min("l_partkey").cast("string")).alias("title"), F.bool_and(F.col("l_returnflag") != "N").alias("completed"), F.bool_or(F.col("l_linestatus") == "F").alias("ready"))
 
 
-_WHO = F.element_at(F.array(*map(F.lit, ("early", "late", "local", "large"))), (F.col("l_partkey") % 4 + 1).cast("int"))
-
-
 def _blocks(spark, sf):
     kind = F.when(F.col("l_returnflag") == "R", "definition").when(F.col("l_returnflag") == "A", "example").otherwise("table")
-    said = F.concat(F.lit("The <b>"), _WHO, F.lit("</b> supplier sends every part of this size"), F.when(F.col("l_suppkey") % 3 == 0, ".").otherwise(" to our yard before noon on any last day."))
+    who = F.element_at(F.array(*map(F.lit, ("early", "late", "local", "large"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    said = F.concat(F.lit("The <b>"), who, F.lit("</b> supplier sends every part of this size"), F.when(F.col("l_suppkey") % 3 == 0, ".").otherwise(" to our yard before noon on any last day."))
     block = F.concat_ws("-", *[F.col(c).cast("bigint").cast("string") for c in ("l_partkey", "l_suppkey", "l_quantity")])
     return table(spark, sf, "lineitem").select(_lesson(), block.alias("block"), F.col("l_quantity").cast("bigint").alias("at"), kind.alias("kind"), said.alias("content"))
 
