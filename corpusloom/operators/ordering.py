@@ -98,10 +98,12 @@ def char_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -
 
 
 def largest_remainder(totals: DataFrame, key: str, total: str, shares: dict[str, float]) -> DataFrame:
-    """(key, slot, n): whole numbers in the given shares that add up to the total; remainders to the largest fractions."""
-    slots = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(s).alias("slot"), F.lit(x).alias("share")) for i, (s, x) in enumerate(shares.items())])
+    """(key, slot, n): whole numbers in the given shares that add up to the total; remainders to the largest fractions, equal ones in the order of
+    the shares. Shares are counted as the decimals they are written as, for as doubles equal fractions of different shares differ in their last digits."""
+    share = lambda x: F.lit(repr(x)).cast("decimal(17,16)")
+    slots = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(s).alias("slot"), share(x).alias("share")) for i, (s, x) in enumerate(shares.items())])
     each = totals.select(key, total, F.explode(slots).alias("s")).select(key, total, "s.*")
-    exact = F.round(F.col(total) * F.col("share"), 9)
+    exact = F.round(F.col(total).cast("decimal(20,0)") * F.col("share"), 9)
     each = each.withColumn("low", F.floor(exact)).withColumn("fraction", exact - F.floor(exact))
     w = Window.partitionBy(key)
     left = F.col(total) - F.sum("low").over(w)

@@ -96,6 +96,21 @@ def test_windows_and_picks_by_hand(spark):
     assert {r.slot: r.n for r in shares.collect()} == {"struggling": 5, "review": 2, "stretch": 1}
 
 
+def test_equal_fractions_of_different_shares(spark):
+    t = spark.range(1, 3000).selectExpr("id AS k", "id AS total")
+    got = ordering.largest_remainder(t, "k", "total", {"struggling": 0.6, "review": 0.3, "stretch": 0.1}).collect()
+
+    def want(n):
+        parts = [(n * s // 10, -(n * s % 10), i) for i, s in enumerate((6, 3, 1))]
+        extra = {i for _, _, i in sorted(parts, key=lambda p: p[1:])[: n - sum(p[0] for p in parts)]}
+        return {name: low + (i in extra) for name, (low, _, i) in zip(("struggling", "review", "stretch"), parts)}
+
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.k, {})[r.slot] = r.n
+    assert by_key == {n: want(n) for n in range(1, 3000)}
+
+
 def test_text_functions(spark):
     d = spark.createDataFrame([("Élan vital, one_two! Then 3.5 more. End", "Singular Value Decomposition")], "t string, n string")
     r = d.select(tokens(F.col("t")).alias("t"), sentences(F.col("t")).alias("s"), acronym(F.col("n")).alias("a")).first()
