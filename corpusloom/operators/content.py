@@ -86,6 +86,6 @@ def feature_rows(sections: DataFrame, features: dict[str, Column]) -> DataFrame:
 
 
 def interrupted(jobs: DataFrame, status: str, started: str, now: Column, minutes: int) -> DataFrame:
-    """Jobs that were running and have not moved for so many minutes."""
-    old = F.unix_timestamp(now) - F.unix_timestamp(started) > minutes * 60
+    """Jobs that were running and have not moved for more than so many minutes, to the microsecond."""
+    old = F.unix_micros(now) - F.unix_micros(started) > minutes * 60_000_000
     return jobs.where(F.col(status).isin("parsing", "chunking", "embedding", "running") & old)

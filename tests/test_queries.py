@@ -111,6 +111,21 @@ def test_equal_fractions_of_different_shares(spark):
     assert by_key == {n: want(n) for n in range(1, 3000)}
 
 
+def test_jobs_near_the_bound(spark, tmp_path):
+    """599 to 601 seconds before the last one, in steps of some microseconds."""
+    at = pd.Timestamp("2024-01-31 12:00:00.250000")
+    steps = [pd.Timedelta(microseconds=600_000_000 + x) for x in (-1_000_000, -250_001, -1, 0, 1, 249_999, 250_001, 749_999, 750_001, 1_000_000)]
+    e = pd.DataFrame({"event_id": [4 * i for i in range(len(steps) + 1)], "ts": [at] + [at - x for x in steps]})
+    e["ts"] = e["ts"].astype("datetime64[us]")
+    os.mkdir(tmp_path / "events.parquet")
+    e.to_parquet(tmp_path / "events.parquet" / "a.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(r[0] for r in c.execute(registry.SQL["interrupted_jobs"]).fetchall())
+    got = sorted(r.event_id for r in registry.QUERIES["interrupted_jobs"](spark, str(tmp_path)).collect())
+    assert got == want == [20, 24, 28, 32, 36, 40]
+
+
 def test_text_functions(spark):
     d = spark.createDataFrame([("Élan vital, one_two! Then 3.5 more. End", "Singular Value Decomposition")], "t string, n string")
     r = d.select(tokens(F.col("t")).alias("t"), sentences(F.col("t")).alias("s"), acronym(F.col("n")).alias("a")).first()
