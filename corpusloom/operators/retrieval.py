@@ -65,6 +65,21 @@ def overlap_scores(found: DataFrame, queries: DataFrame) -> DataFrame:
     return common.select("query_id", "doc_id", F.round(F.col("common") / F.sqrt(F.greatest("dl", F.lit(1))), 6).alias("score"))
 
 
+def overlap_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents (doc_id, text) of each query (query_id, text) by overlap_scores; ties by doc_id.
+
+    Equal texts have equal scores, so each text is scored once for each wording of a query. The k best documents are among the k first ones of the k best texts,
+    by score and the first document."""
+    alike = stage(top_k(docs.where("text IS NOT NULL").withColumn("same", F.lit(0)), k, per="text", score="same"), "alike-texts").select("doc_id", "text", "rank")
+    texts = alike.where("rank = 1").select("doc_id", "text")
+    asked = stage(queries.where("text IS NOT NULL").groupBy("text").agg(F.min("query_id").alias("query_id")), "asked-texts")
+    best = top_k(overlap_scores(postings(texts), asked), k).select("query_id", "doc_id", "score")
+    members = texts.select("doc_id", "text").join(alike.select("text", F.col("doc_id").alias("member")), "text").select("doc_id", "member")
+    found = top_k(best.join(members, "doc_id").select("query_id", F.col("member").alias("doc_id"), "score"), k)
+    of = queries.select("query_id", "text").join(asked.select("text", F.col("query_id").alias("first")), "text").select("query_id", "first")
+    return found.withColumnRenamed("query_id", "first").join(of, "first").select("query_id", "doc_id", "score", "rank")
+
+
 #: Vectors that are compared as one matrix; query blocks of up to so many bytes are sent to every task.
 VECTOR_BLOCK, BROADCAST_BYTES = 2048, 64 << 20
 

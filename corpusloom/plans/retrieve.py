@@ -65,11 +65,11 @@ SELECT query_id, doc_id, CAST(f.t AS INT) AS term, CAST(row_number() OVER (PARTI
 def comparison_retrieval(spark, sf):
     asked = _asked_questions(spark, sf).where("id % 20 = 0")
     terms = asked.select(F.col("id").alias("q"), F.posexplode(X.comparison_terms(F.col("q"))).alias("term_no", "text"))
-    found = R.postings(table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")))
-    per = R.top_k(R.overlap_scores(found, terms.select((F.col("q") * 16 + F.col("term_no")).alias("query_id"), "text")), 10)
+    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    per = R.overlap_top(docs, terms.select((F.col("q") * 16 + F.col("term_no")).alias("query_id"), "text"), 10)
     per = per.select(F.floor(F.col("query_id") / 16).alias("query_id"), (F.col("query_id") % 16).cast("int").alias("term_no"), "doc_id", "rank")
     whole = asked.join(terms.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("q").alias("text"))
-    return X.balanced_merge(per, R.top_k(R.overlap_scores(found, whole), 10), 10)
+    return X.balanced_merge(per, R.overlap_top(docs, whole, 10), 10)
 
 
 @query(f"""WITH {QUESTIONS}, n AS (SELECT id, q, trim(regexp_replace(regexp_replace(strip_accents(lower(q)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM qs),
