@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import concept_key
 from corpusloom.operators.structure import SENTENCE_END
+from corpusloom.session import stage
 
 #: Which words make a statement one of a kind, looked for in this order.
 KINDS = (
@@ -17,6 +18,10 @@ KINDS = (
 )
 
 
+#: Parts of the titles of one set of words that meet the others in tasks of their own.
+SALT = 8
+
+
 def edges(rows: DataFrame, source: tuple[str, str], target: tuple[str, str], relation: str, confidence: float = 1.0) -> DataFrame:
     """(source, target, relation, confidence) of rows: nodes are named by their kind and a column's value; rows with an unknown end give none."""
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
@@ -74,12 +79,24 @@ def knowledge_items(sections: DataFrame) -> DataFrame:
 
 
 def similar_titles(titles: DataFrame, scope: str, key: str, title: str, least: float = 0.75) -> DataFrame:
-    """(scope, a, b): pairs of a scope's titles with the same words, or common ones from `least` of the larger set on. Joined by word."""
-    t = titles.select(scope, F.col(key).alias("k"), F.array_distinct(F.split(concept_key(F.col(title)), " ")).alias("w"))
-    each = t.select(scope, "k", F.size("w").alias("n"), F.explode("w").alias("word"))
-    x, y = each.toDF(scope, "a", "n_a", "word"), each.toDF(scope, "b", "n_b", "word")
-    common = x.join(y, [scope, "word"]).where("a < b").groupBy(scope, "a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    return common.where(F.col("c") >= least * F.greatest("n_a", "n_b")).select(scope, "a", "b")
+    """(scope, a, b): pairs of a scope's titles with the same words, or common ones from `least` of the larger set on.
+
+    Equal sets of words are compared once. Two sets that are alike share one of the rarest words of each, as many as may be missing and one more, and meet by
+    those alone; their titles are paired at the end, over SALT parts of a set's titles."""
+    t = titles.select(scope, F.col(key).alias("k"), F.array_sort(F.array_distinct(F.split(concept_key(F.col(title)), " "))).alias("w")).where("w IS NOT NULL")
+    needed = lambda n: F.greatest(F.lit(1), F.ceil(F.lit(least) * n)).cast("int")
+    each = t.select(scope, "w").distinct().select(scope, "w", F.explode("w").alias("word"))
+    rare = each.join(each.groupBy(scope, "word").agg(F.count(F.lit(1)).alias("df")), [scope, "word"])
+    ordered = rare.groupBy(scope, "w").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
+    first = ordered.select(scope, "w", F.explode(F.slice("o", F.lit(1), F.size("w") - needed(F.size("w")) + 1)).alias("x")).select(scope, "w", "x.word")
+    met = first.toDF(scope, "v", "word").join(first, [scope, "word"]).where("v < w").select(scope, "v", "w").distinct()
+    alike = stage(met.where(F.size(F.array_intersect("v", "w")) >= needed(F.greatest(F.size("v"), F.size("w")))), "alike-sets")
+    same = t.select(scope, F.col("w").alias("v"), "w").distinct()
+    links = together(same, alike, alike.select(scope, F.col("w").alias("v"), F.col("v").alias("w")))
+    part = F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")
+    x = t.select(scope, F.col("k").alias("a"), F.col("w").alias("v")).join(links, [scope, "v"]).select(scope, "a", "w", part.alias("part"))
+    y = t.select(scope, F.col("k").alias("b"), "w", F.explode(F.array(*map(F.lit, range(SALT)))).alias("part"))
+    return x.join(y, [scope, "w", "part"]).where("a < b").select(scope, "a", "b")
 
 
 def keep_names(fresh: DataFrame, former: DataFrame, key: str, name: str) -> DataFrame:

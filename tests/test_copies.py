@@ -1,10 +1,11 @@
 """Operators on pairs where many rows are alike: each wording is compared once, and frequent words make no pairs."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import outline, retrieval
+from corpusloom.operators import build, outline, retrieval
 
 
 def test_overlap_of_many_copies(spark):
@@ -25,3 +26,16 @@ def test_best_match_of_many_copies(spark):
     got = outline.best_match(d.withColumnRenamed("id", "item"), d.where("id >= 10").withColumnRenamed("id", "target"))
     assert {tuple(r) for r in got.groupBy((F.col("item") % 3).alias("k"), "target", "overlap").count().collect()} == {(0, 12, 3, 33334), (1, 10, 3, 33333), (2, 11, 3, 33333)}
     assert time.time() - start < 60
+
+
+def test_similar_titles_with_a_frequent_word(spark):
+    rng = random.Random(5)
+    rows = [(i % 2, i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 6)))) for i in range(120)] + [(0, 500, None), (None, 501, "a b")]
+    sets = {i: (k, set(t.split()) or {""}) for k, i, t in rows if t is not None and k is not None}
+    for least in (0.5, 0.75, 1.0):
+        want = {(x, y) for x in sets for y in sets if x < y and sets[x][0] == sets[y][0] and len(sets[x][1] & sets[y][1]) >= least * max(len(sets[x][1]), len(sets[y][1]))}
+        got = [(r.a, r.b) for r in build.similar_titles(spark.createDataFrame(rows, "scope int, k int, title string"), "scope", "k", "title", least).collect()]
+        assert sorted(got) == sorted(want)
+    wide = spark.range(30_000).select(F.lit(1).alias("scope"), F.col("id").alias("k"), F.concat_ws(" ", F.lit("the"), *[F.concat(F.lit(x), "id") for x in "abc"]).alias("title"))
+    start = time.time()
+    assert build.similar_titles(wide, "scope", "k", "title").count() == 0 and time.time() - start < 60
