@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import concept_key
+from corpusloom.functions.text import concept_key, unrolled
 from corpusloom.operators.structure import SENTENCE_END
 from corpusloom.session import stage
 
@@ -59,7 +59,8 @@ def statements_of(text: Column) -> Column:
 def fallback_questions(sections: DataFrame, most: int = 5, least: int = 45) -> DataFrame:
     """(doc_id, section, pos, answer, options): the first long statement of a document's sections, and those of up to three sections after it, or before at the
     end, as distractors; two options at least."""
-    s = sections.select("doc_id", "section", F.get(F.filter(statements_of(F.col("text")), lambda x: F.length(x) >= least), F.lit(0)).alias("answer")).where("answer IS NOT NULL")
+    long = F.filter(statements_of(F.col("text")), lambda x: F.length(x) >= least)
+    s = unrolled(sections.select("doc_id", "section", F.explode_outer(F.slice(long, 1, 1)).alias("answer")), "answer")
     w = Window.partitionBy("doc_id").orderBy("section")
     others = F.filter(F.array(*[F.lead("answer", k).over(w) for k in (1, 2, 3)], *[F.lag("answer", k).over(w) for k in (1, 2, 3)]), lambda x: x.isNotNull())
     s = s.withColumn("pos", F.row_number().over(w)).withColumn("others", others).where(F.col("pos") <= most)
@@ -69,7 +70,7 @@ def fallback_questions(sections: DataFrame, most: int = 5, least: int = 45) -> D
 
 def knowledge_items(sections: DataFrame) -> DataFrame:
     """(doc_id, section, pos, kind, answer): statements by the first kind that fits, "fact" without one; each wording once a document and kind."""
-    s = sections.select("doc_id", "section", F.posexplode(statements_of(F.col("text"))).alias("pos", "answer")).where(F.length("answer") >= 24)
+    s = unrolled(sections.select("doc_id", "section", F.posexplode_outer(statements_of(F.col("text"))).alias("pos", "answer")), "pos").where(F.length("answer") >= 24)
     kind = F.lit("fact")
     for name, pattern in reversed(KINDS):
         kind = F.when(F.lower("answer").rlike(pattern), name).otherwise(kind)

@@ -81,7 +81,7 @@ def progress_log(events: DataFrame, key: str, at: str, percent: str) -> DataFram
 def feature_rows(sections: DataFrame, features: dict[str, Column]) -> DataFrame:
     """(doc_id, section, kind, pos, value): typed features of sections, one row each."""
     each = F.array(*[F.struct(F.lit(kind).alias("kind"), values.alias("v")) for kind, values in features.items()])
-    rows = sections.select("doc_id", "section", F.explode(each).alias("f")).select("doc_id", "section", "f.kind", F.posexplode("f.v").alias("pos", "value"))
+    rows = sections.select("doc_id", "section", F.explode_outer(each).alias("f")).select("doc_id", "section", "f.kind", F.posexplode("f.v").alias("pos", "value"))
     return rows
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import MARKED, PLAIN, without_marks
+from corpusloom.functions.text import MARKED, PLAIN, unrolled, without_marks
 from corpusloom.session import ship, stage
 
 #: Patterns by which units, plans and supplements are known; the lines that are looked through, and the most subchapters.
@@ -79,7 +79,7 @@ def valid_title(text: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, filename, at, line) of documents (doc_id, filename, text)."""
     parts = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
-    return docs.select("doc_id", "filename", F.posexplode(parts).alias("at", "line"))
+    return unrolled(docs.select("doc_id", "filename", F.posexplode_outer(parts).alias("at", "line")), "at")
 
 
 def _number(line: Column) -> Column:
@@ -115,7 +115,7 @@ def course_units(lines: DataFrame) -> DataFrame:
     rows = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("f.at", "number", "k", "f.title", "f.filename"))).alias("rows"))
     kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda done, r: F.when(
         F.exists(done, lambda d: (d["number"] == r["number"]) | (d["k"] == r["k"])), done).otherwise(F.concat(done, F.array(r))))
-    primary = rows.select("doc_id", F.explode(kept).alias("r")).select(
+    primary = unrolled(rows.select("doc_id", F.explode_outer(kept).alias("r")), "r").select(
         "doc_id", "r.filename", "r.at", "r.number", "r.title", F.lit(PRIMARY).alias("role")
     )
     # one boundary after the first unit

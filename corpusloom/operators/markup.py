@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import let, table_cells
+from corpusloom.functions.text import let, table_cells, unrolled
 from corpusloom.operators.documents import cleaned_text
 
 #: Elements that mark pages, and the name of a column without a head.
@@ -139,7 +139,7 @@ def markup_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, table, n_columns, headers, rows) of documents (doc_id, text): every table with a line below its separator, HTML or Markdown."""
     found = F.filter(F.transform(_runs(normalised_markup(F.col("text"))), lambda r: let(_head(r), lambda at: F.when(
         at > 0, F.transform(F.slice(r, at.cast("int"), F.size(r)), lambda x: x["line"])))), lambda t: F.size(t) > 2)
-    each = docs.select("doc_id", F.posexplode(found).alias("table", "lines"))
+    each = unrolled(docs.select("doc_id", F.posexplode_outer(found).alias("table", "lines")), "table")
     inner = F.btrim(F.trim(F.get("lines", F.lit(0))), F.lit("|"))
     each = each.withColumn("n_columns", F.size(F.split(inner, r"(?<!\\)\|")))
     rows = F.transform(F.slice("lines", 3, F.size("lines")), lambda x: table_cells(x, F.col("n_columns")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_tokens, let, sentences, term_counts, tokens
+from corpusloom.functions.text import content_tokens, let, sentences, term_counts, tokens, unrolled
 from corpusloom.session import broadcast_if_few, ship, stage
 
 
@@ -27,7 +27,7 @@ def postings(docs: DataFrame) -> DataFrame:
         tokens(F.col("text")),
         lambda t: F.transform(term_counts(t), lambda c: F.struct(F.size(t).alias("dl"), c["term"].alias("term"), c["n"].alias("tf"))),
     )
-    return docs.select("doc_id", F.explode(counted).alias("c")).select("doc_id", "c.dl", "c.term", "c.tf")
+    return unrolled(docs.select("doc_id", F.explode_outer(counted).alias("c")), "c").select("doc_id", "c.dl", "c.term", "c.tf")
 
 
 def _asked(queries: DataFrame) -> DataFrame:

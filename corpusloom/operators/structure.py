@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import let
+from corpusloom.functions.text import let, unrolled
 from corpusloom.session import ship
 
 #: Patterns by which headings, noise, tables, equations and dates are known.
@@ -44,20 +44,31 @@ def clean_title(text: Column) -> Column:
 def plain_heading(line: Column) -> Column:
     """A line that looks like a title: two to twelve words, no end mark, capitals as titles have them."""
     v = F.btrim(line, F.lit(" \t\r"))
-    words = F.split(v, r"\s+")
-    letters = F.length(F.regexp_replace(v, r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace(v, r"[^\p{Lu}]", ""))
-    titled = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    n = F.size(words)
-    looks = (upper > 0.55 * letters) | (titled >= F.greatest(F.lit(2), F.floor(n / 2))) | ((n <= 8) & v.rlike(r"^\p{Lu}") & ~v.rlike(r"\d"))
-    return ~v.rlike(r"[|$\\]") & (v != "") & ~v.rlike(r"[.:;,!?]$") & n.between(2, 12) & (letters > 0) & looks
+
+    def looks(words: Column) -> Column:
+        letters = F.length(F.regexp_replace(v, r"[^\p{L}]", ""))
+        upper = F.length(F.regexp_replace(v, r"[^\p{Lu}]", ""))
+        titled = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        n = F.size(words)
+        short = (n <= 8) & v.rlike(r"^\p{Lu}") & ~v.rlike(r"\d")
+        return n.between(2, 12) & (letters > 0) & (short | (titled >= F.greatest(F.lit(2), F.floor(n / 2))) | (upper > 0.55 * letters))
+
+    # most lines end like sentences, which is seen before any pattern is looked for
+    may = (v != "") & ~F.substring(v, -1, 1).isin(*".:;,!?") & ~v.rlike(r"[|$\\]") & ~v.rlike(r"[.:;,!?]$")
+    return F.when(may, let(F.split(v, r"\s+"), looks)).otherwise(F.lit(False))
 
 
 def heading(line: Column, infer: bool = True) -> Column:
     """Struct (level, title) of a heading line, else null."""
+    return F.when(noise(line), None).otherwise(_named(line, infer))
+
+
+def _named(line: Column, infer: bool) -> Column:
+    """heading() of a line that is no noise."""
     made = lambda level, title: F.struct(level.cast("int").alias("level"), clean_title(title).alias("title"))
-    known = F.when(noise(line), None).when(
-        line.rlike(MARKDOWN_HEADING), made(F.length(F.regexp_extract(line, MARKDOWN_HEADING, 1)), F.regexp_extract(line, MARKDOWN_HEADING, 2))
+    known = F.when(
+        F.contains(line, F.lit("#")) & line.rlike(MARKDOWN_HEADING),
+        made(F.length(F.regexp_extract(line, MARKDOWN_HEADING, 1)), F.regexp_extract(line, MARKDOWN_HEADING, 2)),
     )
     if not infer:
         return known
@@ -74,7 +85,7 @@ def sections(docs: DataFrame, infer: bool = True) -> DataFrame:
     and not counted; text before the first heading belongs to a section with the document's title.
     """
     lines = F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.rtrim(x))
-    parsed = F.transform(lines, lambda x: F.struct(x.alias("line"), heading(x, infer).alias("h"), noise(x).alias("noise")))
+    parsed = F.transform(F.filter(lines, lambda x: ~noise(x)), lambda x: F.struct(x.alias("line"), _named(x, infer).alias("h")))
     stem = F.trim(F.translate(F.regexp_replace("filename", r"\.[^.]*$", ""), "_", " "))
     kind = "array<struct<at:int,level:int,title:string>>"
 
@@ -101,14 +112,14 @@ def sections(docs: DataFrame, infer: bool = True) -> DataFrame:
         return let(F.filter(marked, lambda x: x.isNotNull()), lambda heads: headed(kept, heads))
 
     # one expression whose parts have names: as columns of their own they would be copied into each other, and worked out again for every section
-    found = docs.select("doc_id", let(F.filter(parsed, lambda x: ~x["noise"]), whole).alias("s"))
-    return found.select("doc_id", F.posexplode("s").alias("section", "s")).select("doc_id", "section", "s.*")
+    found = docs.select("doc_id", let(parsed, whole).alias("s"))
+    return unrolled(found.select("doc_id", F.posexplode_outer("s").alias("section", "s")), "section").select("doc_id", "section", "s.*")
 
 
 def distinct_by_key(values: Column, key) -> Column:
     """The first of values with equal keys, in their order; those with an empty key go."""
-    keys = F.transform(values, key)
-    return let(keys, lambda k: F.filter(values, lambda v, i: (F.get(k, i) != "") & (F.array_position(k, F.get(k, i)) == i + 1)))
+    kept = lambda held, k: F.filter(held, lambda v, i: (F.get(k, i) != "") & (F.array_position(k, F.get(k, i)) == i + 1))
+    return let(values, lambda held: let(F.transform(held, key), lambda k: kept(held, k)))
 
 
 def spaced(text: Column) -> Column:
@@ -161,7 +172,7 @@ def tables(found: DataFrame) -> DataFrame:
     d = d.withColumn("starts", F.filter(F.transform("l", lambda x, i: F.when(edge(i), i)), lambda i: i.isNotNull()))
     runs = F.transform("starts", lambda s, i: F.slice("l", s + 1, F.coalesce(F.get(F.col("starts"), i + 1), F.size("l")) - s))
     runs = F.slice(F.filter(runs, lambda r: F.get(r, F.lit(0))["is"] & (F.size(r) >= 2)), 1, 20)
-    each = d.select("doc_id", "section", F.posexplode(runs).alias("table", "r")).withColumn("r", F.transform("r", lambda x: x["line"]))
+    each = unrolled(d.select("doc_id", "section", F.posexplode_outer(runs).alias("table", "r")), "table").withColumn("r", F.transform("r", lambda x: x["line"]))
     cells = F.transform(F.split(F.btrim(F.get("r", F.lit(0)), F.lit("| ")), r"(?<!\\)\|"), lambda x: F.trim(x))
     body = F.filter("r", lambda x: ~x.rlike(TABLE_RULE))
     return each.select("doc_id", "section", "table", F.size(cells).alias("n_columns"), F.array_join(cells, " / ").alias("header"), (F.size(body) - 1).alias("n_rows"))

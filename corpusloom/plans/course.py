@@ -121,7 +121,7 @@ FEATURES = f"""{R}, fe AS (SELECT *, {first_once(_EQ, _SPACED)}[1:30] AS equatio
 
 @query(f"{FEATURES} SELECT doc_id, section, CAST(unnest(range(0, len(equations))) AS INT) AS pos, unnest(equations) AS equation, 'equation' AS kind FROM fe WHERE len(equations) > 0")
 def section_equations(spark, sf):
-    e = _sections(spark, sf).select("doc_id", "section", F.posexplode(S.equations(F.col("text"))).alias("pos", "equation"))
+    e = T.unrolled(_sections(spark, sf).select("doc_id", "section", F.posexplode_outer(S.equations(F.col("text"))).alias("pos", "equation")), "pos")
     return e.withColumn("kind", S.formula_kind(F.col("equation")))
 
 
@@ -134,7 +134,7 @@ def section_features(spark, sf):
 
 @query(f"{FEATURES} SELECT doc_id, section, CAST(unnest(range(0, len(dated))) AS INT) AS pos, unnest(dated) AS line FROM fe WHERE len(dated) > 0")
 def section_timeline(spark, sf):
-    return _sections(spark, sf).select("doc_id", "section", F.posexplode(S.dated_lines(F.col("text"))).alias("pos", "line"))
+    return T.unrolled(_sections(spark, sf).select("doc_id", "section", F.posexplode_outer(S.dated_lines(F.col("text"))).alias("pos", "line")), "pos")
 
 
 @query(f"{FEATURES} SELECT doc_id, section, CASE WHEN contains(sm, chr(1)) THEN replace(sm, chr(1), ' ') ELSE sm END AS summary FROM fe")

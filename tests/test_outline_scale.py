@@ -38,3 +38,10 @@ def test_sections_of_long_texts(spark):
     assert [(r.doc_id, r.section, r.path) for r in got[:2]] == [(1, 0, ["Part 0"]), (1, 1, ["Part 0", "Piece"])]
     assert (got[-2].section, got[-2].path, got[-2].text) == (1500, ["Part 1499", "Piece"], "It has words number 1499.") and (got[-1].doc_id, got[-1].path) == (4, ["d e"])
     assert len(got) == 1502 and time.time() - start < 30
+
+
+def test_sections_are_worked_out_once(spark):
+    """An explode that is no outer one asks for its array's size below it, where the whole split is worked out again."""
+    d = spark.createDataFrame([(1, "a.md", "# A\nIt is so.")], "doc_id int, filename string, text string")
+    plan = structure.sections(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "Filter (size(" not in plan and plan.count("#{1,6}") == structure.sections(d)._jdf.queryExecution().analyzed().toString().count("#{1,6}")
