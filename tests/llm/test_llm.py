@@ -813,3 +813,14 @@ def test_pipeline(spark, docs):
     assert set(kept["secret scans"].doc_id) == set(kept["n-gram Jaccard join"].doc_id)
     assert not any(brute_base_spans(t) for t in kept["secret scans"].text)
     assert set(kept["best-fit packing"].doc_id) == set(kept["secret scans"].doc_id)
+
+
+def test_every_start_in_a_long_run_is_judged():
+    rng = random.Random(1)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1500))
+    text = "secret " + "token_configuration_" * 150 + "token" + key
+    (start, kind, end), *more = secrets.spans(text)[1]
+    assert not more and kind == 3 and end == len(text) and start < len(text) - 1000
+    # a string that repeats itself over its blocks, or is plain, is no novelty
+    for plain in (key * 8, "x" * 9000 + "Y", "aB1" * 4000, "token_Configuration_" * 500):
+        assert secrets.spans(f"the bearer {plain} is here")[1] == []
