@@ -1,14 +1,17 @@
 """Markdown as courses: headings, sections with their paths, equations, tables, dated lines, outlines and chunks.
 
-What one document gives is worked out within its row by array functions; rows leave it by one explode at the end.
+What one document gives is worked out within its row, sections by Arrow arrays over a batch; rows leave it by one explode at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,52 +33,112 @@ DISPLAY_EQUATION, INLINE_EQUATION = r"(?s)\$\$.*?\$\$|\\\[.*?\\\]", r"\$[^$\n]{2
 DATED = rf"(?i)\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}|{MONTHS})\b"
 BOLD, DEFINITION = r"\*\*([^*\n]{2,80})\*\*", r"^\s*(?:[-*]\s*)?([A-Z0-9][^:]{2,80})\s*:\s+(.{10,})$"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
-
-
-def noise(line: Column) -> Column:
-    """Page counters, lines that are only a date, titles of figures and tables of contents."""
-    return line.rlike(PAGE_COUNTER) | line.rlike(MONTH_DATE) | line.rlike(NOISY_TITLE)
-
-
-def clean_title(text: Column) -> Column:
-    return F.regexp_replace(F.btrim(text, F.lit(" -*\t#")), r"\s+", " ")
-
-
-def plain_heading(line: Column) -> Column:
-    """A line that looks like a title: two to twelve words, no end mark, capitals as titles have them."""
-    v = F.btrim(line, F.lit(" \t\r"))
-
-    def looks(words: Column) -> Column:
-        letters = F.length(F.regexp_replace(v, r"[^\p{L}]", ""))
-        upper = F.length(F.regexp_replace(v, r"[^\p{Lu}]", ""))
-        titled = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-        n = F.size(words)
-        short = (n <= 8) & v.rlike(r"^\p{Lu}") & ~v.rlike(r"\d")
-        return n.between(2, 12) & (letters > 0) & (short | (titled >= F.greatest(F.lit(2), F.floor(n / 2))) | (upper > 0.55 * letters))
-
-    # most lines end like sentences, which is seen before any pattern is looked for
-    may = (v != "") & ~F.substring(v, -1, 1).isin(*".:;,!?") & ~v.rlike(r"[|$\\]") & ~v.rlike(r"[.:;,!?]$")
-    return F.when(may, let(F.split(v, r"\s+"), looks)).otherwise(F.lit(False))
-
-
-def heading(line: Column, infer: bool = True) -> Column:
-    """Struct (level, title) of a heading line, else null."""
-    return F.when(noise(line), None).otherwise(_named(line, infer))
-
-
-def _named(line: Column, infer: bool) -> Column:
-    """heading() of a line that is no noise."""
-    made = lambda level, title: F.struct(level.cast("int").alias("level"), clean_title(title).alias("title"))
-    known = F.when(
-        F.contains(line, F.lit("#")) & line.rlike(MARKDOWN_HEADING),
-        made(F.length(F.regexp_extract(line, MARKDOWN_HEADING, 1)), F.regexp_extract(line, MARKDOWN_HEADING, 2)),
+#: For units of chunks: white space is that of ASCII, lines end as those of Java's patterns.
+WORD, PARAGRAPH, ENDED = re.compile(r"[^ \t\n\x0B\f\r]+"), re.compile(r"\n{2,}"), re.compile(SENTENCE_END, re.ASCII)
+ITEM = re.compile(r"(?:^|(?<=[\n\r\u0085\u2028\u2029]))\s*(?:\||[-*] |1\. )", re.ASCII)
+
+
+#: What split_texts() gives for a text.
+SECTIONS = "array<struct<level:int,title:string,path:array<string>,text:string>>"
+
+
+def _np(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _matches(lines: pa.Array, *patterns: str) -> np.ndarray:
+    """Which lines one of the patterns is found in."""
+    return np.logical_or.reduce([_np(pc.match_substring_regex(lines, p)) for p in patterns])
+
+
+def _groups(lines: pa.Array, pattern: str) -> list[pa.Array]:
+    """The two groups of a pattern, of lines that it matches."""
+    for name in "ab":
+        pattern = re.sub(r"(?<!\\)\((?!\?)", f"(?P<{name}>", pattern, count=1)
+    found = pc.extract_regex(lines, pattern)
+    return [pc.struct_field(found, name) for name in "ab"]
+
+
+def plain_headings(lines: pa.Array) -> np.ndarray:
+    """Places of lines that look like titles: two to twelve words, no end mark, capitals as titles have them."""
+    v = pc.utf8_trim(lines, " \t\r")
+    at = np.flatnonzero(~_matches(v, r"[.:;,!?]$|[|$\\]|^$"))  # most lines end like sentences
+    v = v.take(pa.array(at))
+    words = pc.split_pattern_regex(v, r"\s+")
+    n = _np(pc.list_value_length(words))
+    ends, titles = np.cumsum(n), np.append(0, np.cumsum(_matches(words.flatten(), r"^\p{Lu}")))
+    titled = titles[ends] - titles[ends - n]
+    letters, upper = (_np(pc.utf8_length(pc.replace_substring_regex(v, other, ""))) for other in (r"[^\p{L}]+", r"[^\p{Lu}]+"))
+    short = (n <= 8) & _matches(v, r"^\p{Lu}") & ~_matches(v, r"\d")
+    return at[(n >= 2) & (n <= 12) & (letters > 0) & (short | (titled >= np.maximum(2, n // 2)) | (upper > 0.55 * letters))]
+
+
+def headings(lines: pa.Array, infer: bool = True) -> tuple[np.ndarray, list[int], pa.Array]:
+    """Places of the headings among lines that are no noise, their levels and titles."""
+    known = _matches(lines, MARKDOWN_HEADING)
+    places = [np.flatnonzero(known)]
+    marks, title = _groups(lines.take(pa.array(places[0])), MARKDOWN_HEADING)
+    levels, titles = [_np(pc.utf8_length(marks))], [title]
+    if infer:
+        rest = np.flatnonzero(~known)
+        others = lines.take(pa.array(rest))
+        known = _matches(others, NUMBERED_HEADING)
+        marks, title = _groups(others.take(pa.array(np.flatnonzero(known))), NUMBERED_HEADING)
+        other = np.flatnonzero(~known)
+        plain = other[plain_headings(others.take(pa.array(other)))]
+        places += [rest[known], rest[plain]]
+        levels += [np.maximum(1, _np(pc.count_substring(marks, "."))), np.full(len(plain), 2)]
+        titles += [title, others.take(pa.array(plain))]
+    at = np.concatenate(places)
+    order = np.argsort(at)
+    cleaned = pc.replace_substring_regex(pc.utf8_trim(pa.concat_arrays(titles), " -*\t#"), r"\s+", " ")
+    return at[order], np.concatenate(levels)[order].tolist(), cleaned.take(pa.array(order))
+
+
+def split_texts(texts: pa.Array, stems: pa.Array, infer: bool = True) -> pa.Array:
+    """The sections of each text, by one pass of each test over all lines of a batch; only paths are followed heading by heading."""
+    split = pc.split_pattern(pc.replace_substring_regex(texts.cast(pa.large_string()), "\r\n?", "\n"), "\n")
+    lines, owner = pc.utf8_rtrim(split.flatten(), " "), _np(pc.list_parent_indices(split))
+    kept = np.flatnonzero(~_matches(lines, PAGE_COUNTER, MONTH_DATE, NOISY_TITLE))
+    lines, owner = lines.take(pa.array(kept)), owner[kept]
+    at, levels, titles = headings(lines, infer)
+    opens = np.flatnonzero(np.diff(owner, prepend=-1))  # a text's first line, before which a section with its title begins
+    place = np.concatenate([opens, at])
+    order = np.argsort(place, kind="stable")
+    owners, place = owner[place[order]], place[order]
+
+    pool = pa.concat_arrays([titles.cast(pa.string()), stems.cast(pa.string())])
+    first = np.searchsorted(at, opens)
+    headed = np.append(owner[at], -1)[first] == owner[opens]
+    own = np.where(headed, first, len(at) + owner[opens]).tolist()  # its first heading's title, else that of its name
+    level, name, path, ends, stack = [], [], [], [0], []
+    for k in order.tolist():
+        if k < len(opens):
+            stack = []
+            level.append(1)
+            path.append(own[k])
+        else:
+            k -= len(opens)
+            while stack and levels[stack[-1]] >= levels[k]:
+                stack.pop()
+            stack.append(k)
+            level.append(levels[k])
+            path += stack
+        name.append(path[-1])
+        ends.append(len(path))
+
+    said = np.ones(len(lines), bool)
+    said[at] = False
+    before = np.append(0, np.cumsum(said))
+    bodies = pa.LargeListArray.from_arrays(pa.array(np.append(before[place], before[-1])), lines.filter(pa.array(said)))
+    text = pc.utf8_trim(pc.binary_join(bodies, pa.scalar("\n", pa.large_string())), " \t\n")
+    full = np.flatnonzero(_np(pc.binary_length(text)))
+    rows = pa.array(full)
+    paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pool.take(pa.array(path, pa.int64())))
+    found = pa.StructArray.from_arrays(
+        [pa.array(level, pa.int32()).take(rows), pool.take(pa.array(name, pa.int64()).take(rows)), paths.take(rows), text.take(rows).cast(pa.string())], ["level", "title", "path", "text"]
     )
-    if not infer:
-        return known
-    mark = F.regexp_extract(line, NUMBERED_HEADING, 1)
-    dots = F.length(mark) - F.length(F.translate(mark, ".", ""))
-    known = known.when(line.rlike(NUMBERED_HEADING), made(F.greatest(F.lit(1), dots), F.regexp_extract(line, NUMBERED_HEADING, 2)))
-    return known.when(plain_heading(line), made(F.lit(2), line))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owners[full], minlength=len(texts)))), pa.int32()), found)
 
 
 def sections(docs: DataFrame, infer: bool = True) -> DataFrame:
@@ -84,35 +147,13 @@ def sections(docs: DataFrame, infer: bool = True) -> DataFrame:
     A heading opens a section and closes those of its level or below on the path to it. Sections without text are left out
     and not counted; text before the first heading belongs to a section with the document's title.
     """
-    lines = F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.rtrim(x))
-    parsed = F.transform(F.filter(lines, lambda x: ~noise(x)), lambda x: F.struct(x.alias("line"), _named(x, infer).alias("h")))
     stem = F.trim(F.translate(F.regexp_replace("filename", r"\.[^.]*$", ""), "_", " "))
-    kind = "array<struct<at:int,level:int,title:string>>"
-
-    def push(acc: Column, h: Column) -> Column:
-        stack = F.concat(F.filter(acc["stack"], lambda s: s["level"] < h["level"]), F.array(h))
-        return let(stack, lambda s: F.struct(s.alias("stack"), F.concat(acc["out"], F.array(F.transform(s, lambda x: x["title"]))).alias("out")))
-
-    def cut(kept: Column, starts: Column, paths: Column) -> Column:
-        stop = lambda i: F.coalesce(F.get(starts, i + 1)["at"], F.size(kept))
-        text = lambda s, i: F.array_join(F.transform(F.slice(kept, s["at"] + 2, stop(i) - s["at"] - 1), lambda x: x["line"]), "\n")
-        made = F.transform(starts, lambda s, i: F.struct(
-            s["level"].alias("level"), s["title"].alias("title"), F.get(paths, i).alias("path"), F.btrim(text(s, i), F.lit(" \t\n")).alias("text")))
-        return F.filter(made, lambda s: s["text"] != "")
-
-    def headed(kept: Column, heads: Column) -> Column:
-        start = F.struct(F.array().cast(kind).alias("stack"), F.array().cast("array<array<string>>").alias("out"))
-        paths = F.aggregate(heads, start, push, lambda a: a["out"])
-        title = F.coalesce(F.get(heads, F.lit(0))["title"], stem)
-        first = F.struct(F.lit(-1).alias("at"), F.lit(1).alias("level"), title.alias("title"))
-        return let(F.concat(F.array(first), heads), lambda s: let(F.concat(F.array(F.array(title)), paths), lambda p: cut(kept, s, p)))
-
-    def whole(kept: Column) -> Column:
-        marked = F.transform(kept, lambda x, i: F.when(x["h"].isNotNull(), F.struct(i.alias("at"), x["h"]["level"].alias("level"), x["h"]["title"].alias("title"))))
-        return let(F.filter(marked, lambda x: x.isNotNull()), lambda heads: headed(kept, heads))
-
-    # one expression whose parts have names: as columns of their own they would be copied into each other, and worked out again for every section
-    found = docs.select("doc_id", let(parsed, whole).alias("s"))
+
+    def made(texts: pa.Array, stems: pa.Array) -> pa.Array:
+        return split_texts(texts, stems, infer)
+
+    ship(docs.sparkSession)
+    found = docs.select("doc_id", F.arrow_udf(made, SECTIONS)("text", stem).alias("s"))
     return unrolled(found.select("doc_id", F.posexplode_outer("s").alias("section", "s")), "section").select("doc_id", "section", "s.*")
 
 
@@ -128,9 +169,10 @@ def spaced(text: Column) -> Column:
 
 def equations(text: Column) -> Column:
     """Display equations, then inline ones, each wording once, 30 at most."""
+    none, may = F.array().cast("array<string>"), F.contains(text, F.lit("$")) | F.contains(text, F.lit("\\")) | text.isNull()
     shown = F.regexp_extract_all(text, F.lit(DISPLAY_EQUATION), F.lit(0))
     inside = F.regexp_extract_all(F.regexp_replace(text, DISPLAY_EQUATION, ""), F.lit(INLINE_EQUATION), F.lit(0))
-    return F.slice(distinct_by_key(F.transform(F.concat(shown, inside), lambda x: F.trim(x)), spaced), 1, 30)
+    return F.when(may, F.slice(distinct_by_key(F.transform(F.concat(shown, inside), lambda x: F.trim(x)), spaced), 1, 30)).otherwise(none)
 
 
 def formula_kind(equation: Column) -> Column:
@@ -145,7 +187,7 @@ def key_concepts(text: Column) -> Column:
     """Bold terms, then the terms that lines define, each once, 20 at most."""
     bold = F.transform(F.regexp_extract_all(text, F.lit(BOLD), F.lit(1)), lambda x: F.trim(x))
     defined = F.transform(
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(DEFINITION)), lambda x: F.btrim(F.regexp_extract(x, DEFINITION, 1), F.lit(" -*"))
+        F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":")) & x.rlike(DEFINITION)), lambda x: F.btrim(F.regexp_extract(x, DEFINITION, 1), F.lit(" -*"))
     )
     return F.slice(distinct_by_key(F.filter(F.concat(bold, defined), lambda c: F.length(c).between(2, 90)), spaced), 1, 20)
 
@@ -192,6 +234,20 @@ def units(text: Column) -> Column:
     return F.filter(F.flatten(parts), lambda u: u != "")
 
 
+def tokens_of(text: str) -> int:
+    """approx_tokens() of a string."""
+    return max(1, len(WORD.findall(text)) * 13 // 10) if text else 0
+
+
+def units_of(text: str) -> list[str]:
+    """units() of a string, for tasks that go on with it: as columns, each sentence's split has its pattern compiled again."""
+    found: list[str] = []
+    for p in (p.strip(" \t\n") for p in PARAGRAPH.split(text)):
+        whole = "\n" in p and ("$$" in p or "\\[" in p or ITEM.search(p))
+        found += [p] if whole else [s.strip(" \t\n") for s in ENDED.split(p)]
+    return [u for u in found if u]
+
+
 def pack(sizes: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
     """(first, last) units of each chunk: units in order up to the budget; the next chunk begins with units of the last one that hold
     up to `overlap` tokens, one at least; a unit of the budget or more is a chunk of its own."""
@@ -224,17 +280,16 @@ def pack(sizes: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
 def chunks(found: DataFrame, budget: int = 512, overlap: int = 50) -> DataFrame:
     """(doc_id, section, chunk, chunk_id, n_tokens, text) of sections.
 
-    Ids come from the section's place and the text alone, so another run gives the same. Sizes are counted by Spark; the fold over a
-    section's units runs in Arrow batches, one section at a time.
+    Ids come from the section's place and the text alone, so another run gives the same. Units and the fold over them run in Arrow batches, one section at a time.
     """
-    u = found.select("doc_id", "section", units(F.col("text")).alias("units")).where(F.size("units") > 0)
-    u = u.withColumn("sizes", F.transform("units", approx_tokens))
     schema = "doc_id bigint, section int, chunk int, chunk_id string, n_tokens int, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, section, parts, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "section", "units", "sizes"))):
+            for doc, section, whole in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "section", "text"))):
+                parts = units_of(whole or "")
+                sizes = [tokens_of(u) for u in parts]
                 for k, (a, b) in enumerate(pack(sizes, budget, overlap)):
                     text = "\n\n".join(parts[a : b + 1])
                     name = f"{doc}:{section}:{k}:{hashlib.sha1(text.encode()).hexdigest()[:16]}"
@@ -244,4 +299,4 @@ def chunks(found: DataFrame, budget: int = 512, overlap: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
     ship(found.sparkSession)
-    return u.mapInArrow(run, schema)
+    return found.select("doc_id", "section", "text").mapInArrow(run, schema)

@@ -40,7 +40,7 @@ def course_texts(spark: SparkSession, sf: str) -> DataFrame:
         when(9, lit("Why does the "), F.lower(segment), lit(" plan matter?")),
         lit(""),
     )
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"]), "\n")
+    texts = F.array_join(F.sort_array(F.collect_list(F.struct("k", text.alias("t"))))["t"], "\n")
     name = F.concat(lit("course_"), s(F.col("o_custkey")), lit(".md"))
     return rows.groupBy("o_custkey").agg(texts.alias("text")).select(F.col("o_custkey").alias("doc_id"), name.alias("filename"), "text")
 

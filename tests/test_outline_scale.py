@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.operators import context, ordering, outline, structure
@@ -45,3 +46,35 @@ def test_sections_are_worked_out_once(spark):
     d = spark.createDataFrame([(1, "a.md", "# A\nIt is so.")], "doc_id int, filename string, text string")
     plan = structure.sections(d)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate posexplode" in plan and "Filter (size(" not in plan and plan.count("#{1,6}") == structure.sections(d)._jdf.queryExecution().analyzed().toString().count("#{1,6}")
+
+
+def test_sections_take_time_in_proportion(spark):
+    """The split runs in tests over all lines of a batch, not in a column's functions line by line; odd lines give what the SQL's patterns do."""
+    odd = "\r\n".join(["Before it", " 12 / 40 ", "## B ## ", "1.2.3 Deep part", "x is so.", "IV. Fourth", "Plain Title Here", "y|z", "March 3, 2020", "Ends here:", "# Été", "ok.", "NOT $x$"])
+    rows = [(1, "a_b.c.md", odd), (2, None, "it is so."), (3, "x.md", "Only Title"), (None, "n.md", "# N\nit is.")]
+    d = spark.createDataFrame(rows, "doc_id int, filename string, text string")
+    got = sorted(structure.sections(d).collect(), key=lambda r: (r.doc_id or 9, r.section))
+    want = [
+        (1, 0, 2, "Deep part", ["Deep part"], "x is so."), (1, 1, 2, "Plain Title Here", ["Fourth", "Plain Title Here"], "y|z\nEnds here:"), (1, 2, 1, "Été", ["Été"], "ok.\nNOT $x$"),
+        (2, 0, 1, None, [None], "it is so."), (None, 0, 1, "N", ["N"], "it is."),
+    ]
+    assert [tuple(r) for r in got] == want, got
+    started = time.time()
+    lines = ["# Part", "## Piece", "It has words, and 1 number.", "", "A line that says more of it."] * 200_000
+    assert len(structure.split_texts(pa.array(["\n".join(lines)] + [None]), pa.array(["a", "b"]))[0]) == 200_000 and time.time() - started < 30
+    plan = structure.sections(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
+def test_dependent_steps_work_sections_out_once(spark):
+    s = structure.sections(spark.createDataFrame([(1, "a.md", "# A\nIt is $$x$$ so.\n# B\nAnd so on.")], "doc_id int, filename string, text string"))
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert count(outline.fallback_outline(s)) == 1 and count(context.citations(s, F.contains("text", F.lit("$$")), "doc_id", "section")) == 1
+    assert [tuple(r)[:3] for r in context.citations(s, F.contains("text", F.lit("$$")), "doc_id", "section").collect()] == [(1, 0, 1)]
+
+
+def test_units_of_strings_are_those_of_columns(spark):
+    texts = ["", "a b. C d! e", "One.\n\nTwo (x).  \"Three\"\n\n\n - a\n- b", "x | t\n y", "a\n$$ x $$\nb. C", "a\r- b\nc. D", "1. x\n1. y. Z", " \n\n\t"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in d.select("text", structure.units(F.col("text")).alias("u"), F.transform(structure.units(F.col("text")), structure.approx_tokens).alias("n")).collect():
+        assert structure.units_of(r.text) == r.u and [structure.tokens_of(u) for u in r.u] == r.n
