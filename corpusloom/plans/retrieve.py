@@ -166,7 +166,7 @@ def expanded_context(spark, sf):
 SELECT doc_id, section, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) AS INT) AS pos, md5(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 360)) AS digest FROM n WHERE (n > 0 AND i) OR (n = 0 AND r <= 2) QUALIFY pos <= 4""")
 def section_citations(spark, sf):
     s = _sections(spark, sf).select("doc_id", "section", "text")
-    found = X.citations(s, s.where(F.contains("text", F.lit("$$"))).select("doc_id", "section"), "doc_id", "section")
+    found = X.citations(s, F.contains("text", F.lit("$$")), "doc_id", "section")
     return found.select("doc_id", "section", "pos", F.md5("snippet").alias("digest"))
 
 
