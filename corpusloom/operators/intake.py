@@ -57,7 +57,7 @@ NUMBERS = {str(n): n for n in range(1, 51)} | {f"0{n}": n for n in range(1, 10)}
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), "^ | $", "")
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
 def clean_title(text: Column) -> Column:
@@ -106,8 +106,8 @@ def course_units(lines: DataFrame) -> DataFrame:
     named = stage(_titled(stage(seen.where("number IS NOT NULL"), "unit-lines")), "units")  # few rows
     # a title that ends in the middle goes on in the next line
     open_ = named.withColumn("open", F.lower(without_marks(c("title"))).rlike(OPEN_END))
-    following = open_.where("open").select("doc_id", (c("at") + 1).alias("at")).join(seen.select("doc_id", "at", "line"), ["doc_id", "at"])
-    following = following.select("doc_id", (c("at") - 1).alias("at"), c("line").alias("more"))
+    following = open_.where("open").select("doc_id", (c("at") + 1).alias("at")).join(lines.select("doc_id", "at", "line"), ["doc_id", "at"])
+    following = following.select("doc_id", (c("at") - 1).alias("at"), compact(c("line")).alias("more"))
     longer = clean_title(F.regexp_replace(F.concat_ws(" ", "title", "more"), PAGE_OF, " "))
     named = open_.join(following, ["doc_id", "at"], "left").withColumn("title", F.when(c("more").isNotNull(), longer).otherwise(c("title")))
     # the first of each wording, then those whose number and title are both new
@@ -120,9 +120,9 @@ def course_units(lines: DataFrame) -> DataFrame:
     )
     # one boundary after the first unit
     low, file = F.lower(without_marks(c("line"))), F.lower(without_marks(F.coalesce("filename", F.lit(""))))
-    says = low.rlike(SUPPLEMENT) & (low.rlike(SUPPLEMENT_START) | file.rlike(SUPPLEMENT))
+    says = (low.rlike(SUPPLEMENT_START) | file.rlike(SUPPLEMENT)) & low.rlike(SUPPLEMENT)  # the rarest first
     first = primary.groupBy("doc_id").agg(F.min("at").alias("first"))
-    bounds = seen.where(c("number").isNull() & says).join(first, "doc_id").where("at > first")
+    bounds = seen.where(says & c("number").isNull()).join(first, "doc_id").where("at > first")
     bound = bounds.groupBy("doc_id").agg(F.min(F.struct("at", "line", "filename")).alias("b"))
     title = F.left(clean_title(c("b.line")), F.lit(140))
     extra = bound.select("doc_id", "b.filename", "b.at", F.lit(None).cast("int").alias("number"), F.when(title == "", "Supplemental Material").otherwise(title).alias("title"), F.lit(SUPPLEMENTAL).alias("role"))

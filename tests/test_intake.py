@@ -88,3 +88,12 @@ def test_pools_equal_the_plain_version(spark):
                 chunks.append((scope, scope * 10 + doc, at, unit if role == "primary" else None, f"Unit {unit}" if role == "primary" else None, role))
     got = intake.unit_pools(spark.createDataFrame(chunks, "scope bigint, doc_id bigint, at bigint, unit int, title string, role string")).collect()
     assert {(r.scope, r.chapter, r.doc_id, r.at): r.origin for r in got} == plain_pools(chunks) and len(got) == len(plain_pools(chunks))
+
+
+def test_boundaries_are_looked_for_by_their_rarest_pattern_first(spark):
+    """Few lines begin as a supplement does; only those are asked for a unit's number, and no line is compacted before it meets a title that goes on."""
+    lines = spark.createDataFrame([(1, "a.md", 0, "Chapter 1: Sums of"), (1, "a.md", 1, "  long   things "), (1, "a.md", 2, "Guide for all"), (1, "a.md", 3, None)], "doc_id int, filename string, at int, line string")
+    units = intake.course_units(lines)
+    assert [(r.number, r.title, r.first_line, r.end_line) for r in units.orderBy("unit").collect()] == [(1, "Chapter 1: Sums of long things", 0, 2), (None, "Guide for all", 2, 4)]
+    asked = [x for x in units._jdf.queryExecution().optimizedPlan().toString().split("\n") if "semaine" in x and "^(guide" in x and "Filter" in x]
+    assert asked and all(x.index("^(guide") < x.index("semaine") for x in asked)
