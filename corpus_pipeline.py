@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup, jaccard_join, packing, quality, secrets
-from corpusloom.llm.common import stage
+from corpusloom.llm.common import small_batches, stage
 from corpusloom.session import delete, tracked
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -57,7 +57,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @cleaned_up
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    return secrets.redact(docs)
+    with small_batches(spark):  # the caller's job would send larger ones
+        return stage(secrets.redact(docs), "redacted")
 
 
 @cleaned_up

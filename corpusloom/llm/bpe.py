@@ -22,8 +22,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
-BLOCK_CHARS = 1 << 21
-CACHE_WORDS, CACHE_CHARS = 400_000, 1 << 23
+BLOCK_CHARS = 1 << 20
+CACHE_WORDS, CACHE_CHARS = 200_000, 1 << 22
 MATRIX_BYTES = 64
 NO_RANK = (1 << 31) - 1
 LETTER, NUMBER, SPACE = 1, 2, 3
@@ -84,12 +84,18 @@ def distinct_words(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     """For each word the number of its distinct word, and for each of these the word that shows it first."""
     n = len(cps)
     lengths = np.diff(np.append(starts, n))
-    at = np.arange(n) - np.repeat(starts, lengths)
-    h = np.add.reduceat((cps.astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[at], starts)
+    # in place and in 32 bits: these arrays, of an entry a code point, are most of a block's memory
+    at = np.arange(n, dtype=np.int32)
+    at -= np.repeat(starts.astype(np.int32), lengths)
+    h = cps.astype(np.uint64)
+    h += np.uint64(1)
+    h *= _powers(int(lengths.max()))[at]
+    h = np.add.reduceat(h, starts)
     _, shown, of = np.unique(h, return_index=True, return_inverse=True)
-    same = lengths == lengths[shown[of]]
-    if same.all() and np.array_equal(cps[np.repeat(starts[shown[of]], lengths) + at], cps):
-        return of, shown
+    if np.array_equal(lengths, lengths[shown[of]]):
+        at += np.repeat(starts[shown[of]].astype(np.int32), lengths)
+        if np.array_equal(cps[at], cps):
+            return of, shown
     seen: dict[bytes, int] = {}  # two words share a hash: number them by their characters
     of = np.array([seen.setdefault(cps[s : s + k].tobytes(), len(seen)) for s, k in zip(starts, lengths)])
     _, shown = np.unique(of, return_index=True)

@@ -46,7 +46,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stage, table, without
+from corpusloom.llm.common import slices, small_batches, stage, table, without
 from corpusloom.operators.components import connected_components
 from corpusloom.session import Scratch, ship
 from corpusloom.session import broadcast_if_few as _broadcast_if_few
@@ -250,7 +250,7 @@ def _profiles(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         sent: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             size, group, sketch, cells = [], [], [], []
             for grams in gram_sets(batch.column("text").to_pylist(), n, fold):
                 size.append(len(grams))
@@ -287,7 +287,7 @@ def _sets(docs: DataFrame, n: int, fold: bool) -> DataFrame:
     """(class, grams) of every document that has n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [g for g in gram_sets(batch.column("text").to_pylist(), n, fold) if len(g)]
             grams = pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(map(class_of, found), pa.int64()), grams], ["class", "grams"])
@@ -491,7 +491,8 @@ class Join:
         self.docs, self.n, self.percent, self.fold = docs, n, percent, fold
         self.scratch = Scratch()
         self.bounds = self.tests()
-        self.profiles = self._stage(self.profiled(), "profiles")
+        with small_batches(docs.sparkSession):
+            self.profiles = self._stage(self.profiled(), "profiles")
 
     def profiled(self) -> DataFrame:
         """(doc_id, key, size, class, sketch, cells) of every document."""
@@ -541,7 +542,8 @@ class Join:
         wanted = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
         # an id may stand on several texts, so sets are chosen by class; bucketed: sets are sent once, not in every round
         chosen = self._sent(self.facts.select("class"))
-        self.sets = self.scratch.bucketed(_sets(wanted, self.n, self.fold).join(chosen, "class", "left_semi"), "sets", "class")
+        with small_batches(docs.sparkSession):
+            self.sets = self.scratch.bucketed(_sets(wanted, self.n, self.fold).join(chosen, "class", "left_semi"), "sets", "class")
 
     def _sent(self, classes: DataFrame) -> DataFrame:
         """A table with a row for each class in a region, or fewer; sent to every task if there are few classes."""

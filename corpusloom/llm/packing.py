@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import json_encoder
-from corpusloom.llm.common import stage, table
+from corpusloom.llm.common import slices, small_batches, stage, table
 from corpusloom.session import ship
 
 SEQUENCE_TOKENS = 2048
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, max_tokens: int = SEQUENCE_TOKENS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = json_encoder(raw.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             texts = batch.column("text").to_pylist()
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
@@ -135,7 +135,8 @@ def pack(
             yield packed(pd.concat(held, ignore_index=True))
 
     ship(spark)
-    found = stage(found, "pieces")
+    with small_batches(spark):
+        found = stage(found, "pieces")
     blocks = max(1, -(-found.count() // BLOCK))
     key = F.xxhash64("doc_id", "piece")
     placed = (

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import slices, table
 from corpusloom.session import ship
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -245,7 +245,7 @@ def scan(docs: DataFrame) -> DataFrame:
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for text in _suspects(batch.column("text")):
                 if text is None:
@@ -276,7 +276,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     at, plain = names.index("text"), [f"c{i}" for i in range(len(docs.columns))]  # names with dots are no names for Arrow functions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             for i, text in enumerate(_suspects(batch.column(at))):
                 if text is None:

@@ -90,6 +90,22 @@ def broadcast_if_few(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+#: Rows of a batch with whole texts. Both the executor and its Python worker hold a batch and copies of it.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs that run meanwhile send no more than so many rows to a Python worker at once; all rows go, in more batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(held), rows) if int(held) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 class Scratch:
     """Tables written on the way to a result, deleted when nothing reads them any more."""
 

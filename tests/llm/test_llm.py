@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -13,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, codec, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing, quality, quotations, registry, secrets
+from corpusloom.llm import bpe, codec, common, exact_dedup, html_text, jaccard_join, licenses, line_dedup, packing, quality, quotations, registry, secrets
 from corpusloom.llm.common import binomial_tail_log
 from corpusloom.operators import components
 
@@ -824,3 +825,37 @@ def test_every_start_in_a_long_run_is_judged():
     # a string that repeats itself over its blocks, or is plain, is no novelty
     for plain in (key * 8, "x" * 9000 + "Y", "aB1" * 4000, "token_Configuration_" * 500):
         assert secrets.spans(f"the bearer {plain} is here")[1] == []
+
+
+def test_memory_of_packing_workers(spark, monkeypatch):
+    import pyarrow as pa
+
+    # a block of words: its arrays and their ids, whatever the number of blocks
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3 << 17))
+    coder = bpe.json_encoder(open(tokenizer_files().path("byte_bpe_50k.json"), "rb").read())
+    tracemalloc.start()
+    n = sum(map(len, coder.encode([text[i : i + 5000] for i in range(0, len(text), 5000)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1 << 19 and peak < 80 << 20
+
+    # slices hold all rows, long ones alone
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * k for k in (5, 0, 3, 40, 1, 1)] + [None]})
+    cut = [b.column("text").to_pylist() for b in common.slices([batch, batch.slice(0, 0)], "text", 10)]
+    assert sum(cut, []) == batch.column("text").to_pylist() and max(map(len, cut)) <= 4 and len(cut) > 2
+
+    # tables of texts go to workers in small batches, and the setting is as before afterwards
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, packing.stage
+    before = spark.conf.get(key)
+
+    def stage(df, name):
+        seen[name] = int(spark.conf.get(key))
+        return real(df, name)
+
+    monkeypatch.setattr(packing, "stage", stage)
+    d = spark.range(5000).selectExpr("id AS doc_id", "concat('a b ', id) AS text").coalesce(1)
+    assert packing.pack_documents(d).count() == 5000 and seen["pieces"] <= 1000 and spark.conf.get(key) == before
+    with common.small_batches(spark):
+        sizes = d.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n bigint").collect()
+    assert sum(r.n for r in sizes) == 5000 and max(r.n for r in sizes) <= 1000
