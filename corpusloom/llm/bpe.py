@@ -1,8 +1,9 @@
 """Byte-level BPE over the distinct words of blocks of texts.
 
 A block of texts is cut into words (the matches of the GPT-2 pattern) with array operations over its code points; each
-distinct word is folded once by ranked merges over its bytes, and the words' ids are laid out again in text order. Only
-the vocabulary, a cache of words of bounded size and one block are in memory, whatever the size of the corpus.
+distinct word is folded once by ranked merges over its bytes, and the words' ids are laid out again in text order. Words
+stay positions in arrays throughout, also in the cache, where they are found by a hash and compared by all characters.
+Only the vocabulary, a cache of words of bounded size and one block are in memory, whatever the size of the corpus.
 
 Defined results: a null or empty text has no ids; texts of any length are cut into blocks before white space that
 follows other characters, which is always a border between words; every input row is encoded on its own, so ties and
@@ -24,7 +25,8 @@ import regex
 
 BLOCK_CHARS = 1 << 20
 CACHE_WORDS, CACHE_CHARS = 200_000, 1 << 22
-MATRIX_BYTES = 64
+#: Words of up to so many bytes are folded side by side; longer ones alone.
+MATRIX_BYTES = (4, 8, 12, 16, 24, 32, 64)
 NO_RANK = (1 << 31) - 1
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: Code points with the Unicode property White_Space.
@@ -80,8 +82,8 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def distinct_words(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the number of its distinct word, and for each of these the word that shows it first."""
+def distinct_words(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the number of its distinct word, and for each of these a word that shows it and its hash, ascending."""
     n = len(cps)
     lengths = np.diff(np.append(starts, n))
     # in place and in 32 bits: these arrays, of an entry a code point, are most of a block's memory
@@ -91,15 +93,30 @@ def distinct_words(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     h += np.uint64(1)
     h *= _powers(int(lengths.max()))[at]
     h = np.add.reduceat(h, starts)
-    _, shown, of = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    new = np.append(True, np.diff(h[order]) != 0)
+    shown = order[new]
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(new) - 1
     if np.array_equal(lengths, lengths[shown[of]]):
         at += np.repeat(starts[shown[of]].astype(np.int32), lengths)
         if np.array_equal(cps[at], cps):
-            return of, shown
+            return of, shown, h[shown]
     seen: dict[bytes, int] = {}  # two words share a hash: number them by their characters
     of = np.array([seen.setdefault(cps[s : s + k].tobytes(), len(seen)) for s, k in zip(starts, lengths)])
     _, shown = np.unique(of, return_index=True)
-    return of, shown
+    order = np.argsort(h[shown])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[of], shown[order], h[shown[order]]
+
+
+def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all spans, one after the other."""
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(begins - (ends - lengths), lengths)
+    return at
 
 
 class PairTable:
@@ -154,58 +171,95 @@ class Bpe:
             pairs = {(ranks[a], ranks[b]): (r, ranks[a + b]) for (a, b), r in merges.items()}
         self.pairs = PairTable(pairs)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        top = max((r for r, _ in pairs.values()), default=0) + 1
+        kind = np.int32 if top < 1 << 24 else np.int64
+        self.none = np.iinfo(kind).max
+        self.made = np.zeros(top, np.int32)
+        for r, made in pairs.values():
+            self.made[r] = made
+        # rank of each slot of pairs and of each pair of bytes, shifted so that a row fits below it
+        self.slots = np.where(self.pairs.ranks < NO_RANK, self.pairs.ranks.astype(kind) << 7, self.none)
+        self.of_bytes = self.slots[self.pairs.find(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))]
         self._forget()
 
     def _forget(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.cached_chars = 0
-        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """The cache: for each word its characters and ids, by the number that it got; the hashes in order and whose they are."""
+        self.hashes, self.whose = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.chars, self.char_at, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.id_at, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _rank(self, a: bytes, b: bytes) -> int:
         return self.ranks.get(a + b, NO_RANK) if self.merges is None else self.merges.get((a, b), NO_RANK)
 
-    def _fold_matrix(self, words: list[bytes]) -> list[np.ndarray]:
-        """fold() of many words of up to MATRIX_BYTES at once, a row each: every step merges one pair in each row."""
-        width = max(map(len, words))
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-        sizes = np.array(list(map(len, words)))
-        ids = self.of_byte[raw]
-        rank = self.pairs.ranks[self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel())].reshape(len(words), width - 1)
-        rank[np.arange(width - 1) >= sizes[:, None] - 1] = NO_RANK
-        rows = np.arange(len(words))
-        done: list[np.ndarray | None] = [None] * len(words)
+    def _fold_matrix(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """fold() of many short words at once, a column each: every step merges one pair in each. Their ids, one after the other, and numbers of ids.
+
+        A key holds a pair's rank and, below it, its row, so that the least key is the leftmost pair of the lowest rank. Rows of
+        padding on both sides have no rank with any neighbour.
+        """
+        width, n = int(sizes.max()), len(sizes)
+        row = np.arange(width, dtype=np.int64)[:, None]
+        inside = row < sizes
+        held = raw[np.where(inside, begins + row, 0)]
+        pad = len(self.pieces)
+        ids = np.full((width + 2, n), pad, np.int32)
+        ids[1:-1] = np.where(inside, self.of_byte[held], pad)
+        key = np.full((width + 1, n), self.none, self.slots.dtype)  # of the pair of a row and the next
+        ranks = self.of_bytes[held[:-1].astype(np.int32) << 8 | held[1:]]
+        key[1:-1] = np.where(inside[1:] & (ranks < self.none), ranks | row[1:].astype(key.dtype), self.none)
+        out, left = np.empty((n, width), np.int32), sizes.copy()
+        cols, most = np.arange(n), self.none - 128  # steps lower every key by their number at most
         while True:
-            at = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
-            open_ = rank[np.arange(len(rows)), at] < NO_RANK if rank.shape[1] else np.zeros(len(rows), bool)
-            for r, row, k in zip(rows[~open_].tolist(), ids[~open_], sizes[~open_].tolist()):
-                done[r] = row[:k]
-            if not open_.any():
-                return done
-            rows, ids, rank, at, sizes = rows[open_], ids[open_], rank[open_], at[open_], sizes[open_] - 1
-            here = np.arange(len(rows))
-            made = self.pairs.made[self.pairs.find(ids[here, at], ids[here, at + 1])]
-            column = np.arange(ids.shape[1] - 1)
-            ids = np.where(column <= at[:, None], ids[:, :-1], ids[:, 1:])
-            ids[here, at] = made
-            column = column[:-1]
-            rank = np.where(column < at[:, None], rank[:, :-1], rank[:, 1:])
-            for ok, col, a, b in ((at > 0, at - 1, at - 1, at), (at < sizes - 1, at, at, at + 1)):
-                k, c = here[ok], col[ok]
-                rank[k, c] = self.pairs.ranks[self.pairs.find(ids[k, a[ok]], ids[k, b[ok]])]
+            best = key.min(0)
+            open_ = best < most
+            if not open_.all():
+                shut = np.flatnonzero(~open_)
+                out[cols[shut], : len(ids) - 2] = ids[1:-1, shut].T
+                keep = np.flatnonzero(open_)
+                if not len(keep):
+                    inside = np.arange(width) < left[:, None]
+                    return out[inside].astype(np.uint32), left
+                ids, key, best, cols = ids.take(keep, 1), key.take(keep, 1), best[keep], cols[keep]
+            left[cols] -= 1
+            at, made = best & 127, self.made[best >> 7]
+            row = np.arange(len(key), dtype=key.dtype)[:, None]
+            here = np.arange(len(cols))
+            ids = np.where(row <= at, ids[:-1], ids[1:])
+            ids[at, here] = made
+            key = np.where(row[:-1] < at, key[:-1], key[1:] - 1)
+            slot = self.pairs.find(np.concatenate([ids[at - 1, here], made]), np.concatenate([made, ids[at + 1, here]]))
+            ranks = self.slots[slot].reshape(2, -1)
+            for r, k in ((ranks[0], at - 1), (ranks[1], at)):
+                key[k, here] = np.where(r < self.none, r | k, self.none)
+
+    def _fold_flat(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """fold() of words that stand in an array of bytes: an order of the words, and in it their ids and numbers of ids."""
+        orders, found, counts = [], [], []
+        low = 0
+        for high in MATRIX_BYTES:
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for k in range(0, len(rows), 16_384):
+                part = rows[k : k + 16_384]
+                ids, n = self._fold_matrix(raw, begins[part], sizes[part])
+                orders.append(part)
+                found.append(ids)
+                counts.append(n)
+            low = high
+        for i in np.flatnonzero(sizes > low).tolist():
+            ids = self.fold(raw[begins[i] : begins[i] + sizes[i]].tobytes())
+            orders.append(np.array([i]))
+            found.append(np.array(ids, np.uint32))
+            counts.append(np.array([len(ids)]))
+        if not orders:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate(orders), np.concatenate(found), np.concatenate(counts)
 
     def fold_many(self, words: list[bytes]) -> list[np.ndarray]:
+        sizes = np.array(list(map(len, words)), np.int64)
+        order, ids, counts = self._fold_flat(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
         done: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        by_width: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if 0 < len(w) <= MATRIX_BYTES:
-                by_width.setdefault(-(-len(w) // 4), []).append(i)
-            elif w:
-                done[i] = np.array(self.fold(w), np.uint32)
-        for rows in by_width.values():
-            for k in range(0, len(rows), 16_384):
-                part = rows[k : k + 16_384]
-                for i, ids in zip(part, self._fold_matrix([words[i] for i in part])):
-                    done[i] = ids
+        for i, part in zip(order.tolist(), np.split(ids, np.cumsum(counts)[:-1])):
+            done[i] = part
         return done
 
     def fold(self, word: bytes) -> list[int]:
@@ -245,24 +299,44 @@ class Bpe:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [self.ranks[p] for p in parts if p is not None]
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Where each word stands in the cache; unknown ones are folded and added first."""
-        get = self.cache.get
-        found = [get(w, -1) for w in words]
-        if -1 in found:
-            if len(self.cache) + len(words) > CACHE_WORDS or self.cached_chars > CACHE_CHARS:
-                self._forget()
-                found = [-1] * len(words)
-            missing = [i for i, k in enumerate(found) if k < 0]
-            folded = self.fold_many([words[i].encode() for i in missing])
-            base = len(self.sizes)
-            for k, i in enumerate(missing):
-                found[i] = base + k
-                self.cache[words[i]] = base + k
-                self.cached_chars += len(words[i])
-            self.sizes = np.concatenate([self.sizes, np.array(list(map(len, folded)), np.int64)])
-            self.ids = np.concatenate([self.ids, *folded]).astype(np.uint32)
-        return np.array(found)
+    def _numbers(self, cps: np.ndarray, begins: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Where each of the distinct words, by ascending hashes, stands in the cache; unknown ones are folded and added first."""
+        if len(self.sizes) + len(begins) > CACHE_WORDS or len(self.chars) > CACHE_CHARS:
+            self._forget()
+        slot = np.searchsorted(self.hashes, hashes)
+        taken = slot < len(self.hashes)
+        taken[taken] = self.hashes[slot[taken]] == hashes[taken]
+        found = np.full(len(begins), -1)
+        found[taken] = self.whose[slot[taken]]
+        at = np.flatnonzero(taken)
+        same = lengths[at] == self.lengths[found[at]]
+        found[at[~same]] = -1
+        at = at[same]
+        if len(at):  # equal hashes are not enough: all characters must be
+            equal = cps[_spans(begins[at], lengths[at])] == self.chars[_spans(self.char_at[found[at]], lengths[at])]
+            found[at[~np.logical_and.reduceat(equal, np.cumsum(lengths[at]) - lengths[at])]] = -1
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found
+        chars = cps[_spans(begins[missing], lengths[missing])]
+        wide = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+        first = np.cumsum(lengths[missing]) - lengths[missing]
+        sizes = np.add.reduceat(wide, first)
+        raw = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)
+        order, ids, counts = self._fold_flat(raw, np.cumsum(sizes) - sizes, sizes)
+        base = len(self.sizes)
+        found[missing[order]] = base + np.arange(len(order))
+        self.char_at = np.concatenate([self.char_at, len(self.chars) + first[order]])
+        self.lengths = np.concatenate([self.lengths, lengths[missing[order]]])
+        self.chars = np.concatenate([self.chars, chars])
+        self.id_at = np.concatenate([self.id_at, len(self.ids) + np.cumsum(counts) - counts])
+        self.sizes = np.concatenate([self.sizes, counts])
+        self.ids = np.concatenate([self.ids, ids])
+        # of several words of a hash the first keeps it; the others are folded wherever they are met
+        new = missing[~taken[missing] & np.append(True, hashes[1:] != hashes[:-1])[missing]]
+        self.whose = np.insert(self.whose, slot[new], found[new])
+        self.hashes = np.insert(self.hashes, slot[new], hashes[new])
+        return found
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
@@ -274,13 +348,12 @@ class Bpe:
         begins = np.concatenate([[0], ends[:-1]])
         first[begins[begins < len(cps)]] = True
         starts = word_starts(cps, first)
-        of, shown = distinct_words(cps, starts)
-        stops = np.append(starts, len(cps))
-        numbers = self._numbers([joined[a:b] for a, b in zip(starts[shown].tolist(), stops[shown + 1].tolist())])[of]
+        of, shown, hashes = distinct_words(cps, starts)
+        lengths = np.append(starts, len(cps))[shown + 1] - starts[shown]
+        numbers = self._numbers(cps, starts[shown], lengths, hashes)[of]
         each = self.sizes[numbers]
         done = np.concatenate([[0], np.cumsum(each)])
-        offsets = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])[numbers]
-        ids = self.ids[np.repeat(offsets - done[:-1], each) + np.arange(done[-1])]
+        ids = self.ids[_spans(self.id_at[numbers], each)]
         cuts = done[np.searchsorted(starts, ends)]
         return np.split(ids, cuts[:-1])
 

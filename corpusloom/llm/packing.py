@@ -9,7 +9,7 @@ Texts are tokenised where they are read; only (id, length, checksum) rows are sh
 so that every partition holds the same mix of lengths and no document's pieces meet in one task. The pieces are counted
 and dealt to one task for each BLOCK of them, so a task's memory does not grow with the corpus and the result does not
 depend on the session's partitions. Sequences that are not full are then packed again, as items, in rounds over fewer
-blocks until one block holds them all or a round joins none.
+blocks until one block holds them all or a round joins none; those too long to join even the shortest of them stay out.
 
 Defined results: a null or empty text is the separator alone; a null doc_id is carried along; repeated rows are packed
 each; an empty table gives no rows; ties in length go by the order of hash, doc_id and piece, so a retried task packs the
@@ -73,6 +73,7 @@ def best_fit(
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     cap, w = np.array(capacity, float), np.array(weights, float)
     left = np.empty((n, 3))  # residuals of the open bins, in the first `m` rows
+    room = np.empty(n)  # of tokens alone: few bins have enough, and only they are looked at
     number = np.empty(n, np.int64)
     m = made = 0
     for i in np.argsort(-lengths, kind="stable").tolist():
@@ -80,23 +81,25 @@ def best_fit(
         need = np.array([size, 1.0 if counts is None else counts[i], size * size if attention is None else attention[i]])
         best = -1
         if m:
-            rest = left[:m] - need
+            near = np.flatnonzero(room[:m] >= size)
+            rest = left[near] - need
             fits = (rest >= 0).all(1)
             if fits.any():
                 if score == "norm":
                     value = ((rest / cap) ** 2) @ w
-                    best = int(np.where(fits, value, np.inf).argmin())
+                    best = int(near[np.where(fits, value, np.inf).argmin()])
                 else:
-                    value = (left[:m] / cap) @ (w * need / cap)
-                    best = int(np.where(fits, value, -np.inf).argmax())
+                    value = (left[near] / cap) @ (w * need / cap)
+                    best = int(near[np.where(fits, value, -np.inf).argmax()])
         if best < 0:
             left[m], number[m] = cap, made
             best, m, made = m, m + 1, made + 1
         bins[i], offsets[i] = number[best], cap[0] - left[best, 0]
         left[best] -= need
+        room[best] = left[best, 0]
         if (left[best] < 1).any():  # full under one of the capacities: closed
             m -= 1
-            left[best], number[best] = left[m], number[m]
+            left[best], room[best], number[best] = left[m], room[m], number[m]
     return bins, offsets
 
 
@@ -151,7 +154,11 @@ def pack(
             F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.sum(square).alias("attention")
         )
         items = stage(items.where((F.col("length") < max_tokens) & (F.col("n") < capacity[1])), "unfilled")
+        low = items.agg(F.min("length")).first()[0] or 0
+        items = items.where(F.col("length") <= max_tokens - low)
         n = items.count()
+        if not n:
+            break
         blocks = min(blocks - 1, max(1, -(-n // BLOCK)))
         mixed = F.xxhash64("item")
         again = stage(

@@ -270,6 +270,35 @@ def test_long_texts_are_cut_at_word_borders(monkeypatch):
     assert next(iter(mine.encode([text]))).tolist() == whole
 
 
+def test_words_stay_in_arrays():
+    import cProfile
+    import pstats
+
+    raw = open(tokenizer_files().path("byte_bpe_50k.json"), "rb").read()
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 12))) for _ in range(60_000))
+    mine, profile = bpe.SpecialBpe(raw), cProfile.Profile()
+    profile.enable()
+    n = sum(map(len, mine.encode([text, text[:9000]])))
+    profile.disable()
+    assert n > 60_000 and pstats.Stats(profile).total_calls < 30_000  # fewer than one for two words
+
+
+def test_words_of_equal_hashes(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_files().path("byte_bpe_50k.json")
+    hf, mine = Tokenizer.from_file(path), bpe.SpecialBpe(open(path, "rb").read())
+    monkeypatch.setattr(bpe, "_POWERS", np.ones(1 << 14, np.uint64))  # anagrams meet
+    some = ["abc cab", "bca cab acb abc", "é漢 漢é", "漢é cab", *list(texts.values())[:30]]
+    for _ in range(2):
+        for t in some:
+            assert next(iter(mine.encode([t]))).tolist() == hf.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)  # forgotten for every block
+    for t, ids in zip(some, mine.encode(some)):
+        assert ids.tolist() == hf.encode(t, add_special_tokens=False).ids
+
+
 def test_words_fold_in_higher_order_functions(spark, texts):
     p = tokenizer_files()
     path = p.path("byte_bpe_multi_50k.tiktoken")
@@ -336,6 +365,49 @@ def test_packing_needs_few_sequences_at_any_partitions(spark, monkeypatch, block
     assert made[0] == made[1] <= lower * (1.06 if block > 300 else 1.12)
 
 
+def test_only_sequences_that_can_join_are_packed_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 40)
+    real, again = packing.stage, []
+
+    def stage(df, name):
+        found = real(df, name)
+        if name == "repacked":
+            again.append(found.count())
+        return found
+
+    monkeypatch.setattr(packing, "stage", stage)
+    rows = [(i, 0, 0, 985 + i % 10, 0) for i in range(400)] + [(400 + i, 0, 0, 150 + i, 0) for i in range(12)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE_SCHEMA), 1000).toPandas()
+    assert sorted(got.doc_id) == list(range(412)) and got.groupby("sequence_id").length.sum().max() <= 1000
+    assert got.sequence_id.nunique() <= 403 and max(again) <= 12
+
+    # none can join, or all are full
+    for length, want in ((985, 400), (1000, 400)):
+        alone = spark.createDataFrame([(i, 0, 0, length, 0) for i in range(400)], packing.PIECE_SCHEMA)
+        assert packing.pack(alone, 1000).select("sequence_id").distinct().count() == want
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_equals_a_scan_of_all_bins(score):
+    rng = np.random.default_rng(1)
+    lengths, cap, w = rng.integers(1, 100, 300), np.array([100.0, 5, 6000]), np.array([1.0, 0.5, 0.5])
+    bins, offsets = packing.best_fit(lengths, tuple(cap), tuple(w), score)
+    left, number, want, starts, made = [], [], np.zeros(300, int), np.zeros(300, int), 0
+    for i in np.argsort(-lengths, kind="stable"):
+        need = np.array([lengths[i], 1, lengths[i] ** 2], float)
+        cost = [np.inf if (r < need).any() else (((r - need) / cap) ** 2 @ w if score == "norm" else -(r / cap) @ (w * need / cap)) for r in left]
+        if not cost or min(cost) == np.inf:
+            left, number, cost, made = [*left, cap.copy()], [*number, made], [*cost, -np.inf], made + 1
+        k = int(np.argmin(cost))
+        want[i], starts[i] = number[k], cap[0] - left[k][0]
+        left[k] = left[k] - need
+        if (left[k] < 1).any():
+            left[k], number[k] = left[-1], number[-1]
+            left, number = left[:-1], number[:-1]
+    assert len(set(zip(bins, offsets))) == 300 and made == bins.max() + 1
+    assert (bins == want).all() and (offsets == starts).all()
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     lengths = np.random.default_rng(0).integers(1, 100, 500)
