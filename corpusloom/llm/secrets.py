@@ -237,7 +237,8 @@ def _suspects(column: pa.Array) -> list[str | None]:
         pc.match_substring_regex(column, _MAY_HOLD),
         pc.or_(pc.match_substring(column, "AKIA"), pc.match_substring_regex(column, "[0-9a-f]{32}")),
     )
-    return pc.if_else(may, column, None).to_pylist()
+    held = iter(column.filter(may).to_pylist())  # if_else reads other bytes where a slice's texts don't begin its buffer
+    return [next(held) if m else None for m in may.to_pylist()]
 
 
 def scan(docs: DataFrame) -> DataFrame:

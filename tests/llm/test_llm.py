@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,6 +451,24 @@ def test_secrets(spark, edge, docs):
     assert clean[5].text == "the bearer [secret] is here" and clean[5].n_chars == len(clean[5].text)
 
 
+def test_secrets_in_every_slice_of_a_batch(spark, monkeypatch):
+    rng, batch = random.Random(3), []
+    for i in range(60):
+        word = "".join(rng.choices("äöüéàbcd ", k=rng.randint(5, 80)))
+        batch.append(None if i % 11 == 0 else f"{word} token={i:04d}abcdefgh {word}" if i % 2 else word)
+    column = pa.array(batch)
+    for at in range(0, 60, 7):
+        got = secrets._suspects(column.slice(at, 7))
+        assert got == [t if t and "token" in t else None for t in batch[at : at + 7]]
+    cut = common.slices
+    monkeypatch.setattr(secrets, "slices", lambda batches, column="text": cut(batches, column, 300))
+    d = spark.createDataFrame(list(enumerate(batch)), "doc_id bigint, text string").coalesce(1)
+    want = {i: secrets.written(secrets.spans(t or "")[1]) for i, t in enumerate(batch)}
+    assert {r.doc_id: r.spans for r in secrets.scan(d).collect()} == want and sum(map(bool, want.values())) > 20
+    clean = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert all(clean[i] == (t and re.sub(r"token=\w+", "[secret]", t)) for i, t in enumerate(batch))
+
+
 def test_very_many_spans_take_time_in_proportion():
     for text in ("token=abcdefgh12 " * 50_000, "secret token" * 50_000, "xxxxxxxxprivate_key\n" * 20_000, "api_key: Ab3xY9kQ2mZ7pL5wRt " * 3_000):
         began = time.time()
