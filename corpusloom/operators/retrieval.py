@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -65,15 +66,90 @@ def overlap_scores(found: DataFrame, queries: DataFrame) -> DataFrame:
     return common.select("query_id", "doc_id", F.round(F.col("common") / F.sqrt(F.greatest("dl", F.lit(1))), 6).alias("score"))
 
 
+#: Texts and queries that are scored as one matrix, and the counts of terms beyond which a block has fewer of them.
+TEXT_BLOCK, QUERY_BLOCK, BLOCK_TERMS = 2048, 512, 1 << 18
+
+
+def _term_blocks(texts: DataFrame, key: str, rows: int) -> DataFrame:
+    """(ids, dl, sizes, codes, ns, terms) of blocks of up to `rows` texts (key, text): each has `sizes` codes, places in the block's terms, and their counts."""
+    counted = let(tokens(F.col("text")), lambda t: F.struct(F.size(t).alias("dl"), term_counts(t).alias("c")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ids = batch.column("x"), batch.column("id").to_numpy()
+            dl, each, values = x.field("dl").to_numpy(), x.field("c"), x.field("c").flatten()
+            sizes, terms = each.value_lengths().to_numpy(), values.field("term").dictionary_encode()
+            codes, ns, ends = terms.indices.to_numpy(), values.field("n").to_numpy(), np.cumsum(sizes)
+            a = 0
+            while a < len(ids):
+                low = ends[a] - sizes[a]
+                b = min(a + rows, max(a + 1, int(np.searchsorted(ends, low + BLOCK_TERMS, "right"))), len(ids))
+                used, local = np.unique(codes[low : ends[b - 1]], return_inverse=True)
+                held = [ids[a:b], dl[a:b], sizes[a:b], local, ns[low : ends[b - 1]]]
+                lists = [pa.array([v], pa.list_(t)) for v, t in zip(held, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [*lists, pa.array([terms.dictionary.take(pa.array(used)).to_pylist()], pa.list_(pa.string()))], ["ids", "dl", "sizes", "codes", "ns", "terms"]
+                )
+                a = b
+
+    ship(texts.sparkSession)
+    return texts.select(F.col(key).cast("bigint").alias("id"), counted.alias("x")).where("id IS NOT NULL").mapInArrow(
+        run, "ids array<bigint>, dl array<int>, sizes array<int>, codes array<int>, ns array<bigint>, terms array<string>"
+    )
+
+
+def _millionths(x: np.ndarray) -> np.ndarray:
+    """Whole millionths as SQL's round has them: halves, by the shortest decimal of a number, go up."""
+    y = x * 1e6
+    whole = np.rint(y).astype(np.int64)
+    near = np.abs(y - np.floor(y) - 0.5) < 1e-3
+    if near.any():
+        values, back = np.unique(x[near], return_inverse=True)
+        whole[near] = np.array([int(Decimal(repr(float(v))).scaleb(6).to_integral_value(ROUND_HALF_UP)) for v in values])[back]
+    return whole
+
+
+def _best_overlaps(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): of each pair of blocks of texts and queries (q_ and so on) each query's k best texts by overlap_scores."""
+
+    def by_term(batch: pa.RecordBatch, r: int, sign: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes, codes, ns = (batch.column(sign + c)[r].values.to_numpy() for c in ("ids", "sizes", "codes", "ns"))
+        terms, order = batch.column(sign + "terms")[r].values.to_pylist(), np.argsort(codes, kind="stable")
+        return ids, terms, np.searchsorted(codes[order], np.arange(len(terms) + 1)), np.repeat(np.arange(len(ids)), sizes)[order], ns[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, terms, bound, row, n = by_term(batch, r, "")
+                q_ids, q_terms, q_bound, q_row, q_n = by_term(batch, r, "q_")
+                common, at = np.zeros((len(q_ids), len(ids)), np.int64), {t: i for i, t in enumerate(terms)}
+                for i, j in ((i, at[t]) for i, t in enumerate(q_terms) if t in at):
+                    q, d = slice(q_bound[i], q_bound[i + 1]), slice(bound[j], bound[j + 1])
+                    common[np.ix_(q_row[q], row[d])] += np.minimum(q_n[q, None], n[None, d])
+                score = _millionths(common / np.sqrt(np.maximum(batch.column("dl")[r].values.to_numpy(), 1)))
+                first = np.argsort(np.argsort(-ids))  # of equal scores the smaller id's is larger
+                place = np.where(common > 0, score * len(ids) + first, -1)
+                best = np.argpartition(-place, k - 1, axis=1)[:, :k] if k < len(ids) else np.broadcast_to(np.arange(len(ids)), place.shape)
+                i, j = np.nonzero(np.take_along_axis(place, best, 1) >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[best[i, j]]), pa.array(score[i, best[i, j]] / 1e6)], ["query_id", "doc_id", "score"])
+
+    return pairs.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+
+
 def overlap_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents (doc_id, text) of each query (query_id, text) by overlap_scores; ties by doc_id.
 
     Equal texts have equal scores, so each text is scored once for each wording of a query. The k best documents are among the k first ones of the k best texts,
-    by score and the first document."""
+    by score and the first document. Blocks of texts meet blocks of wordings as matrices, of which each gives k rows a wording at most."""
     alike = stage(top_k(docs.where("text IS NOT NULL").withColumn("same", F.lit(0)), k, per="text", score="same"), "alike-texts").select("doc_id", "text", "rank")
     texts = alike.where("rank = 1").select("doc_id", "text")
     asked = stage(queries.where("text IS NOT NULL").groupBy("text").agg(F.min("query_id").alias("query_id")), "asked-texts")
-    best = top_k(overlap_scores(postings(texts), asked), k).select("query_id", "doc_id", "score")
+    blocks = _term_blocks(asked.coalesce(1) if asked.limit(QUERY_BLOCK * 64).count() < QUERY_BLOCK * 64 else asked, "query_id", QUERY_BLOCK)
+    wanted = stage(blocks.select([F.col(c).alias("q_" + c) for c in blocks.columns]), "asked-blocks")
+    held = wanted.agg(F.coalesce(F.sum(12 * F.size("q_codes") + 16 * F.size("q_ids") + 16 * F.size("q_terms")), F.lit(0))).first()[0]
+    spread = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # each task has its own texts
+    pairs = _term_blocks(spread, "doc_id", TEXT_BLOCK).crossJoin(F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted)
+    best = top_k(_best_overlaps(pairs, k), k).select("query_id", "doc_id", "score")
     members = texts.select("doc_id", "text").join(alike.select("text", F.col("doc_id").alias("member")), "text").select("doc_id", "member")
     found = top_k(best.join(members, "doc_id").select("query_id", F.col("member").alias("doc_id"), "score"), k)
     of = queries.select("query_id", "text").join(asked.select("text", F.col("query_id").alias("first")), "text").select("query_id", "first")

@@ -10,7 +10,7 @@ from corpusloom.operators import context as X
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as S
 from corpusloom.plans.course import FEATURES, R as SECT, _sections, path
-from corpusloom.plans.registry import BM25, OVERLAP, TOKENS, _bm25, _bm25_top, _docs, _overlap_top, _questions, _vectors, query, table
+from corpusloom.plans.registry import BM25, OVERLAP, TOKENS, _bm25, _bm25_top, _docs, _overlap_top, _questions, _vectors, query, stage, table
 
 QUESTIONS = """qs AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'What is the difference between ' || p_name || ' and ' || p_type || '?'
   WHEN 1 THEN 'Compare the ' || p_name || ' with ' || p_brand || ', ' || p_type || ' in this course' WHEN 2 THEN p_name || ' vs. ' || p_type
@@ -50,7 +50,11 @@ def comparison_terms(spark, sf):
     return _asked_questions(spark, sf).select("id", F.posexplode(X.comparison_terms(F.col("q"))).alias("pos", "term"))
 
 
-@query(f"""WITH {TERMS}, tt AS (SELECT id AS query_id, unnest(range(0, len(p))) AS term_no, unnest(p) AS text FROM q5 WHERE len(p) >= 2 AND id % 20 = 0),
+#: A question as a whole, after its terms' numbers.
+WHOLE = (1 << 16) - 1
+
+
+@query(f"""WITH {TERMS}, tt AS (SELECT id AS query_id, unnest(range(0, len(p))) AS term_no, unnest(p) AS text FROM q5 WHERE len(p) >= 2),
 pd AS (SELECT p_partkey AS doc_id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part),
 pw AS (SELECT doc_id, len({TOKENS}) AS dl, unnest({TOKENS}) AS term FROM pd), pt AS (SELECT doc_id, dl, term, count(*) AS tf FROM pw GROUP BY ALL),
 qw AS (SELECT query_id, term_no, term, count(*) AS qtf FROM (SELECT query_id, term_no, unnest({TOKENS}) AS term FROM tt) GROUP BY ALL),
@@ -63,13 +67,17 @@ al AS (SELECT query_id, doc_id, 0 AS part, rank AS r, term_no FROM tr UNION ALL
 fi AS (SELECT query_id, doc_id, min(struct_pack(p := part, r := r, t := term_no)) AS f FROM al GROUP BY ALL)
 SELECT query_id, doc_id, CAST(f.t AS INT) AS term, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, doc_id) AS INT) AS pos FROM fi QUALIFY pos <= 10""")
 def comparison_retrieval(spark, sf):
-    asked = _asked_questions(spark, sf).where("id % 20 = 0")
-    terms = asked.select(F.col("id").alias("q"), F.posexplode(X.comparison_terms(F.col("q"))).alias("term_no", "text"))
+    """Equal questions have equal answers, so each wording is answered once; its terms and the whole of it are looked for together."""
+    asked = _asked_questions(spark, sf)
+    first = stage(asked.where("q IS NOT NULL").groupBy("q").agg(F.min("id").alias("id")), "questions")
+    terms = first.select("id", F.posexplode(X.comparison_terms(F.col("q"))).alias("no", "text"))
+    whole = first.join(terms.select("id").distinct(), "id", "left_semi").select("id", F.lit(WHOLE).alias("no"), F.col("q").alias("text"))
     docs = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
-    per = R.overlap_top(docs, terms.select((F.col("q") * 16 + F.col("term_no")).alias("query_id"), "text"), 10)
-    per = per.select(F.floor(F.col("query_id") / 16).alias("query_id"), (F.col("query_id") % 16).cast("int").alias("term_no"), "doc_id", "rank")
-    whole = asked.join(terms.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("q").alias("text"))
-    return X.balanced_merge(per, R.overlap_top(docs, whole, 10), 10)
+    hits = R.overlap_top(docs, terms.unionByName(whole).select((F.col("id") * (1 << 16) + F.col("no")).alias("query_id"), "text"), 10)
+    no = F.pmod("query_id", F.lit(1 << 16)).cast("int")
+    hits = hits.select(F.shiftright("query_id", 16).alias("query_id"), no.alias("term_no"), "doc_id", "rank")
+    merged = X.balanced_merge(hits.where(F.col("term_no") < WHOLE), hits.where(F.col("term_no") == WHOLE), 10)
+    return asked.join(first.select("q", F.col("id").alias("query_id")), "q").join(merged, "query_id").select(F.col("id").alias("query_id"), "doc_id", "term", "pos")
 
 
 @query(f"""WITH {QUESTIONS}, n AS (SELECT id, q, trim(regexp_replace(regexp_replace(strip_accents(lower(q)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM qs),

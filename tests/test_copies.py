@@ -3,10 +3,14 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corpusloom.operators import build, outline, retrieval
 
+QUERIES = entry.queries()
+
 
 def test_overlap_of_many_copies(spark):
     words = "red ring big plate old bolt".split()
@@ -39,3 +43,26 @@ def test_similar_titles_with_a_frequent_word(spark):
     wide = spark.range(30_000).select(F.lit(1).alias("scope"), F.col("id").alias("k"), F.concat_ws(" ", F.lit("the"), *[F.concat(F.lit(x), "id") for x in "abc"]).alias("title"))
     start = time.time()
     assert build.similar_titles(wide, "scope", "k", "title").count() == 0 and time.time() - start < 60
+
+
+def test_blocks_of_texts_and_queries(spark, monkeypatch):
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choices("red ring big plate old bolt ünï x1 a b c".split(), k=rng.randint(0, n)))
+    d = spark.createDataFrame([(i * 3 - 90, text(40)) for i in range(150)] + [(1000, None), (None, "red ring")], "doc_id bigint, text string")
+    q = spark.createDataFrame([(i, text(6)) for i in range(90)] + [(200, None), (201, "other words")], "query_id bigint, text string")
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 40)
+    want = retrieval.top_k(retrieval.overlap_scores(retrieval.postings(d.where("doc_id IS NOT NULL")), q), 5).select("query_id", "doc_id", "score", "rank")
+    for held in (1 << 20, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", held)
+        assert sorted(retrieval.overlap_top(d, q, 5).collect()) == sorted(want.collect()) != []
+    assert retrieval.overlap_top(d.limit(0), q, 5).count() == retrieval.overlap_top(d, q.limit(0), 5).count() == 0
+    x = [0.0000005, 1 / 128, 0.1234565, 2 / 3]
+    assert retrieval._millionths(np.array(x)).tolist() == [1, 7813, 123457, 666667]
+
+
+def test_every_comparison_is_answered(spark):
+    folder = "/root/testdata/sf0.001"
+    asked = {r.id for r in QUERIES["comparison_terms"](spark, folder).collect()}
+    assert {r.query_id for r in QUERIES["comparison_retrieval"](spark, folder).collect()} == asked and any(i % 20 for i in asked)
