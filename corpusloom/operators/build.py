@@ -18,8 +18,8 @@ KINDS = (
 )
 
 
-#: Parts of the titles of one set of words that meet the others in tasks of their own.
-SALT = 8
+#: Titles of a side that are paired in one group.
+MEMBERS = 2048
 
 
 def edges(rows: DataFrame, source: tuple[str, str], target: tuple[str, str], relation: str, confidence: float = 1.0) -> DataFrame:
@@ -83,21 +83,28 @@ def similar_titles(titles: DataFrame, scope: str, key: str, title: str, least: f
     """(scope, a, b): pairs of a scope's titles with the same words, or common ones from `least` of the larger set on.
 
     Equal sets of words are compared once. Two sets that are alike share one of the rarest words of each, as many as may be missing and one more, and meet by
-    those alone; their titles are paired at the end, over SALT parts of a set's titles."""
-    t = titles.select(scope, F.col(key).alias("k"), F.array_sort(F.array_distinct(F.split(concept_key(F.col(title)), " "))).alias("w")).where("w IS NOT NULL")
+    those alone. Their titles are paired at the end, up to MEMBERS of each side in a group. All is shuffled: a table's file says little of the rows that come of it,
+    so nothing is left to the planner to be sent through the driver."""
+    words, n = lambda c: F.split(c, " "), int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = titles.select(scope, F.col(key).alias("k"), F.array_join(F.array_sort(F.array_distinct(words(concept_key(F.col(title))))), " ").alias("w")).where("w IS NOT NULL")
     needed = lambda n: F.greatest(F.lit(1), F.ceil(F.lit(least) * n)).cast("int")
-    each = t.select(scope, "w").distinct().select(scope, "w", F.explode("w").alias("word"))
-    rare = each.join(each.groupBy(scope, "word").agg(F.count(F.lit(1)).alias("df")), [scope, "word"])
+    sets = stage(t.groupBy(scope, "w").agg(F.count(F.lit(1)).alias("n")), "title-sets")
+    each = sets.select(scope, "w", F.explode(words("w")).alias("word"))
+    rare = each.join(each.groupBy(scope, "word").agg(F.count(F.lit(1)).alias("df")).hint("merge"), [scope, "word"])
     ordered = rare.groupBy(scope, "w").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    first = ordered.select(scope, "w", F.explode(F.slice("o", F.lit(1), F.size("w") - needed(F.size("w")) + 1)).alias("x")).select(scope, "w", "x.word")
-    met = first.toDF(scope, "v", "word").join(first, [scope, "word"]).where("v < w").select(scope, "v", "w").distinct()
-    alike = stage(met.where(F.size(F.array_intersect("v", "w")) >= needed(F.greatest(F.size("v"), F.size("w")))), "alike-sets")
-    same = t.select(scope, F.col("w").alias("v"), "w").distinct()
-    links = together(same, alike, alike.select(scope, F.col("w").alias("v"), F.col("v").alias("w")))
-    part = F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")
-    x = t.select(scope, F.col("k").alias("a"), F.col("w").alias("v")).join(links, [scope, "v"]).select(scope, "a", "w", part.alias("part"))
-    y = t.select(scope, F.col("k").alias("b"), "w", F.explode(F.array(*map(F.lit, range(SALT)))).alias("part"))
-    return x.join(y, [scope, "w", "part"]).where("a < b").select(scope, "a", "b")
+    first = stage(ordered.select(scope, "w", F.explode(F.slice("o", F.lit(1), F.size("o") - needed(F.size("o")) + 1)).alias("x")).select(scope, "w", "x.word"), "rare-words")
+    met = first.toDF(scope, "v", "word").join(first.hint("merge"), [scope, "word"]).where("v < w").select(scope, "v", "w").distinct()
+    alike = stage(met.where(F.size(F.array_intersect(words("v"), words("w"))) >= needed(F.greatest(F.size(words("v")), F.size(words("w"))))), "alike-sets")
+    links = together(sets.select(scope, F.col("w").alias("v"), "w"), alike, alike.select(scope, F.col("w").alias("v"), F.col("v").alias("w")))
+    facing = links.join(sets.withColumnRenamed("w", "v").hint("merge"), [scope, "v"]).groupBy(scope, "w").agg(F.sum("n").alias("m"))
+    groups = lambda c: F.ceil(F.col(c) / MEMBERS).cast("int")
+    shapes = stage(facing.join(sets.hint("merge"), [scope, "w"]).select(scope, "w", groups("m").alias("p"), groups("n").alias("q")), "shapes")
+    some, every = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int"), lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    x = t.select(scope, F.col("k").alias("a"), F.col("w").alias("v")).join(links.join(shapes.hint("merge"), [scope, "w"]).hint("merge"), [scope, "v"])
+    x = x.select(scope, "w", some("a", "p").alias("i"), every("q").alias("j"), "a").repartition(n, scope, "w", "i", "j")
+    y = t.select(scope, F.col("k").alias("b"), "w").join(shapes.hint("merge"), [scope, "w"])
+    y = y.select(scope, "w", every("p").alias("i"), some("b", "q").alias("j"), "b").repartition(n, scope, "w", "i", "j")
+    return x.join(y.hint("merge"), [scope, "w", "i", "j"]).where("a < b").select(scope, "a", "b")
 
 
 def keep_names(fresh: DataFrame, former: DataFrame, key: str, name: str) -> DataFrame:

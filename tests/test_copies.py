@@ -66,3 +66,16 @@ def test_every_comparison_is_answered(spark):
     folder = "/root/testdata/sf0.001"
     asked = {r.id for r in QUERIES["comparison_terms"](spark, folder).collect()}
     assert {r.query_id for r in QUERIES["comparison_retrieval"](spark, folder).collect()} == asked and any(i % 20 for i in asked)
+
+
+def test_similar_titles_send_nothing_through_the_driver(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i % 2, i % 150, " ".join(rng.choices("abcd", k=rng.randint(0, 4)))) for i in range(180)]
+    sets = [(k, i, set(t.split()) or {""}) for k, i, t in rows]
+    want = sorted((k, x, y) for k, x, v in sets for m, y, w in sets if k == m and x < y and len(v & w) >= 0.75 * max(len(v), len(w)))
+    monkeypatch.setattr(build, "MEMBERS", 3, raising=False)
+    got = build.similar_titles(spark.createDataFrame(rows, "scope int, k int, title string"), "scope", "k", "title")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    few = spark.read.parquet("/root/testdata/sf0.001/part.parquet")  # a small file, whose rows the planner would send
+    assert "Broadcast" not in build.similar_titles(few, "p_brand", "p_partkey", "p_name")._jdf.queryExecution().executedPlan().toString()
