@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,9 @@ PAGE_OF, OPEN_END = r"\b\d{1,3}\s*/\s*\d{1,3}\b", r"(?:\b(?:aux|des|de|du|dans|e
 NO_TITLE = r"plan\s+de\s+la\s+seance|agenda|outline|contents?|table\s+des\s+matieres|references?|bibliography|source\s+material"
 FORMULA, PEOPLE = r"[=∈≈Σ∑√^]|\\[a-zA-Z]+|\|[A-Z]\|", r"\b(pr\.?|prof(?:essor)?|dr\.?|ecole|school|master|enseignant)\b"
 NO_PART = r"\b(behavioral finance|bought|jars?|millennial|right table|left table|sales)\b|\b(and|et|or|ou|has|avec)$|^(le probleme|probleme|the problem|problem)$"
+#: Words of which UNIT, PLAN and SUPPLEMENT need one, looked for before them.
+UNIT_WORDS, PLAN_WORDS = ("semaine", "week", "lecture", "chapter", "module", "unit"), ("agenda", "outline", "contents", "eance", "matieres")
+SUPPLEMENT_WORDS = ("guide", "syllabus", "appendix", "annex", "bibliography", "reference", "lecture", "matieres")
 PLAN_LINES, LOOK_AHEAD, AFTER_PLAN, MOST_PARTS = 120, 180, 40, 12
 SUPPLEMENTAL, PRIMARY = "supplemental", "primary"
 #: Lines or chunks of a bin.
@@ -82,6 +87,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return unrolled(docs.select("doc_id", "filename", F.posexplode_outer(parts).alias("at", "line")), "at")
 
 
+def may_hold(line: Column, words: tuple[str, ...]) -> Column:
+    """Whether a line may have one of the words, in any case and with any marks: of ASCII by a plain search, other lines always may."""
+    low = F.lower(line)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words], F.length(line) != F.octet_length(line))
+
+
+def may_bound(line: Column, filename: Column) -> Column:
+    """Whether a line may begin as a supplement does, or its file may be named as one."""
+    return line.rlike(r"^\s*(?i:guide|appendix|annex|syllabus|references|bibliography)") | (F.length(line) != F.octet_length(line)) | may_hold(filename, SUPPLEMENT_WORDS)
+
+
 def _number(line: Column) -> Column:
     """Of a line that names a unit its number, else null."""
     names = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
@@ -101,9 +117,8 @@ def _titled(named: DataFrame) -> DataFrame:
 def course_units(lines: DataFrame) -> DataFrame:
     """(doc_id, filename, unit, number, title, role, first_line, end_line) of lines (doc_id, filename, at, line)."""
     c = F.col
-    seen = lines.select("doc_id", "filename", "at", compact(c("line")).alias("line"))
-    seen = seen.withColumn("number", _number(c("line")))
-    named = stage(_titled(stage(seen.where("number IS NOT NULL"), "unit-lines")), "units")  # few rows
+    seen = lambda may: lines.where(may).select("doc_id", "filename", "at", compact(c("line")).alias("line"))
+    named = stage(_titled(stage(seen(may_hold(c("line"), UNIT_WORDS)).withColumn("number", _number(c("line"))).where("number IS NOT NULL"), "unit-lines")), "units")  # few rows
     # a title that ends in the middle goes on in the next line
     open_ = named.withColumn("open", F.lower(without_marks(c("title"))).rlike(OPEN_END))
     following = open_.where("open").select("doc_id", (c("at") + 1).alias("at")).join(lines.select("doc_id", "at", "line"), ["doc_id", "at"])
@@ -120,9 +135,9 @@ def course_units(lines: DataFrame) -> DataFrame:
     )
     # one boundary after the first unit
     low, file = F.lower(without_marks(c("line"))), F.lower(without_marks(F.coalesce("filename", F.lit(""))))
-    says = (low.rlike(SUPPLEMENT_START) | file.rlike(SUPPLEMENT)) & low.rlike(SUPPLEMENT)  # the rarest first
+    says = (low.rlike(SUPPLEMENT_START) | file.rlike(SUPPLEMENT)) & low.rlike(SUPPLEMENT) & _number(c("line")).isNull()  # the rarest first
     first = primary.groupBy("doc_id").agg(F.min("at").alias("first"))
-    bounds = seen.where(says & c("number").isNull()).join(first, "doc_id").where("at > first")
+    bounds = seen(may_bound(c("line"), c("filename"))).where(says).join(first, "doc_id").where("at > first")
     bound = bounds.groupBy("doc_id").agg(F.min(F.struct("at", "line", "filename")).alias("b"))
     title = F.left(clean_title(c("b.line")), F.lit(140))
     extra = bound.select("doc_id", "b.filename", "b.at", F.lit(None).cast("int").alias("number"), F.when(title == "", "Supplemental Material").otherwise(title).alias("title"), F.lit(SUPPLEMENTAL).alias("role"))
@@ -147,65 +162,94 @@ def inside(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, end
     ).drop("_bin")
 
 
+_BULLETS, _TAG, _PAGE = re.compile(r"^[\-*•▶✓\s]+"), re.compile(r"<[^>]+>"), re.compile(r"\s+\d{1,4}$")
+_NO_TITLE, _PEOPLE, _FORMULA, _NO_PART, _UNIT, _PLAN, _KEY = map(re.compile, (NO_TITLE, PEOPLE, FORMULA, NO_PART, UNIT, PLAN, r"[^a-z0-9]+"))
+_NUMBER = re.compile(r"\d{1,4}|[ivxlcdm]+|page\s+\d{1,4}|slide\s+\d{1,4}")
+_DATE = re.compile(rf"(?:{MONTHS})(?:\s+\d{{1,2}},?\s+\d{{4}}|\s+\d{{4}})?")
+
+
 def part_title(text: str) -> str:
-    text = re.sub(r"\s+", " ", re.sub(r"^[\-*•▶✓\s]+", "", text.strip()))
+    text = " ".join(_BULLETS.sub("", text.strip()).split())
     before, colon, after = text.partition(":")
     if colon and (len(before.split()) >= 3 or len(after) > 80):
         text = before
-    text = re.sub(r"<[^>]+>", " ", re.sub(r"\s+\d{1,4}$", "", text))
+    text = _PAGE.sub("", text) if text[-1:].isdigit() else text
+    text = _TAG.sub(" ", text) if "<" in text else text
     return " ".join(text.split()).strip(" -*•▶✓:;,.#")[:180]
 
 
 def _plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch)).lower()
 
 
 def _part(text: str) -> bool:
+    if not 4 <= len(text) <= 150 or sum(map(str.isalpha, text)) < 3 or "|" in text or "%" in text:
+        return False
     low = _plain(text)
-    known = re.fullmatch(NO_TITLE, low) or re.search(PEOPLE, low) or re.fullmatch(r"\d{1,4}|[ivxlcdm]+|page\s+\d{1,4}|slide\s+\d{1,4}", low)
-    formula = re.search(FORMULA, text) and len(text.split()) <= 8
-    dated = re.fullmatch(rf"(?:{MONTHS})(?:\s+\d{{1,2}},?\s+\d{{4}}|\s+\d{{4}})?", low)
-    odd = "|" in text or "%" in text or re.search(NO_PART, low.strip(" :-"))
-    return 4 <= len(text) <= 150 and sum(ch.isalpha() for ch in text) >= 3 and not (known or formula or dated or odd)
+    if _NO_TITLE.fullmatch(low) or _NUMBER.fullmatch(low) or _DATE.fullmatch(low) or _PEOPLE.search(low):
+        return False
+    return not (_NO_PART.search(low.strip(" :-")) or (_FORMULA.search(text) and len(text.split()) <= 8))
 
 
 def _items(line: str) -> list[str]:
     return [t for t in map(part_title, ITEM.findall(line)) if _part(t)]
 
 
-def _names_unit(line: str) -> bool:
-    m = re.search(UNIT, _plain(line))
+def _may(low: str, words: tuple[str, ...]) -> bool:
+    """Whether a pattern that needs one of the words may hold; letters that are equal but for their case have other forms outside of ASCII."""
+    return not low.isascii() or any(w in low for w in words)
+
+
+def _names_unit(low: str) -> bool:
+    m = _may(low, UNIT_WORDS) and _UNIT.search(low)
     return bool(m and m[2].lower() in NUMBERS)
 
 
+def _plans(low: str) -> bool:
+    return bool(_may(low, PLAN_WORDS) and _PLAN.search(low))
+
+
 def parts_of(lines: list[str]) -> list[str]:
     """Titles of a unit's parts from its first lines: what a plan lists, or else lines that are numbered or look like titles."""
     lines = [" ".join((x or "").split()) for x in lines]
+    lows = [_plain(x) for x in lines]
     found: list[str] = []
-    for k, line in enumerate(lines[:PLAN_LINES]):
-        if found or not re.search(PLAN, _plain(line)):
+    whole = "\n".join(lows)
+    planned, named = _may(whole, PLAN_WORDS), _may(whole, UNIT_WORDS)
+    for k, line in enumerate(lines[:PLAN_LINES] if planned else []):
+        if not _plans(lows[k]):
             continue
         found = _items(line)
-        for more in lines[k + 1 : k + AFTER_PLAN]:
-            new = [] if _names_unit(more) else _items(more)
-            if _names_unit(more) or len(found) >= MOST_PARTS or (found and not new):
+        for more, low in zip(lines[k + 1 : k + AFTER_PLAN], lows[k + 1 : k + AFTER_PLAN]):
+            other = _names_unit(low)
+            new = [] if other else _items(more)
+            if other or len(found) >= MOST_PARTS or (found and not new):
                 break
             found += new
-    for line in lines if not found else []:
+        if found:
+            break
+    for line, low in zip(lines, lows) if not found else []:
         if len(found) >= MOST_PARTS:
             break
-        if not line or re.search(PLAN, _plain(line)) or _names_unit(line):
+        if not line or (planned and _plans(low)) or (named and _names_unit(low)):
             continue
         if new := _items(line):
             found += new
             continue
-        words, letters = line.split(), [ch for ch in line if ch.isalpha()]
-        titled = sum(w[:1].isupper() for w in words) >= max(2, len(words) // 2) or sum(ch.isupper() for ch in letters) > 0.55 * max(1, len(letters))
-        if 2 <= len(words) <= 12 and titled and _part(clean := part_title(line)) and "|" not in line and "%" not in line:
+        words = line.split()
+        if not 2 <= len(words) <= 12 or "|" in line or "%" in line:
+            continue
+        titled = sum(w[:1].isupper() for w in words) >= max(2, len(words) // 2)
+        if not titled:
+            letters = [ch for ch in line if ch.isalpha()]
+            titled = sum(map(str.isupper, letters)) > 0.55 * max(1, len(letters))
+        if titled and _part(clean := part_title(line)):
             found.append(clean)
     first: dict[str, str] = {}
     for title in found:
-        first.setdefault(re.sub(r"[^a-z0-9]+", "", _plain(title)), title)
+        first.setdefault(_KEY.sub("", _plain(title)), title)
     return [t for k, t in first.items() if k][:MOST_PARTS]
 
 
@@ -213,20 +257,35 @@ def subchapters(units: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, unit, part, title): the parts of each unit; a primary one without any is its own part."""
 
     def run(batches):
+        own, held, last = None, [], None  # a unit's key, lines and title; it may go on in the next batch
+
+        def rows():
+            found = parts_of(held) or ([last] if last is not None else [])
+            return [(*own, k, t) for k, t in enumerate(found)]
+
         for batch in batches:
-            rows = []
-            for doc, unit, role, title, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "unit", "role", "title", "lines"))):
-                found = parts_of(own or []) or ([title] if role == PRIMARY else [])
-                rows += [(doc, unit, k, t) for k, t in enumerate(found)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "unit", "part", "title"])
+            docs, units = (batch.column(c).to_numpy() for c in ("doc_id", "unit"))
+            lines, titles, out = batch.column("line").to_pylist(), batch.column("title"), []
+            cuts = (np.flatnonzero((docs[1:] != docs[:-1]) | (units[1:] != units[:-1])) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(lines)] if lines else []):
+                if (key := (int(docs[a]), int(units[a]))) != own:
+                    out += rows() if own else []
+                    own, held, last = key, [], titles[a].as_py()
+                held += lines[a:b]
+            yield made(out)
+        yield made(rows() if own else [])
+
+    def made(rows):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "unit", "part", "title"])
 
     ship(units.sparkSession)
     first = units.withColumn("to", F.least(F.col("end_line"), F.col("first_line") + LOOK_AHEAD))
-    near = inside(lines.select("doc_id", "at", "line"), first, "doc_id", "at", "first_line", "to").groupBy("doc_id", "unit", "role", "title").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines")
-    )
-    return near.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("unit").cast("int").alias("unit"), "role", "title", "lines").mapInArrow(
+    near = inside(lines.select("doc_id", "at", "line"), first, "doc_id", "at", "first_line", "to")
+    named = F.when((F.col("at") == F.col("first_line")) & (F.col("role") == PRIMARY), F.col("title"))  # once, with the unit's first line
+    sent = near.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("unit").cast("int").alias("unit"), "at", "line", named.alias("title"))
+    # a unit's lines are LOOK_AHEAD at most, and come one after another, so that none are gathered before they are read
+    return sent.repartition("doc_id", "unit").sortWithinPartitions("doc_id", "unit", "at").drop("at").mapInArrow(
         run, "doc_id bigint, unit int, part int, title string"
     )
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import intake
 
 MERGED = """Systemes de Recommandation
@@ -97,3 +99,36 @@ def test_boundaries_are_looked_for_by_their_rarest_pattern_first(spark):
     assert [(r.number, r.title, r.first_line, r.end_line) for r in units.orderBy("unit").collect()] == [(1, "Chapter 1: Sums of long things", 0, 2), (None, "Guide for all", 2, 4)]
     asked = [x for x in units._jdf.queryExecution().optimizedPlan().toString().split("\n") if "semaine" in x and "^(guide" in x and "Filter" in x]
     assert asked and all(x.index("^(guide") < x.index("semaine") for x in asked)
+
+
+def test_units_go_on_over_batches_and_lines_are_not_gathered(spark):
+    rng = random.Random(9)
+    words = "Agenda Outline 1. 2) 12 Sums of Things and Professor page 4 WEEK Sémaine Große Wörter problem x²".split()
+    lines = [(d, at, None if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.randint(1, 7)))) for d in range(5) for at in range(400)]
+    units = [(d, u, "primary" if u % 2 else "supplemental", f"Unit {u}", u * 40, (u + 1) * 40 if u < 3 else 400) for d in range(5) for u in range(4)]
+    spans = spark.createDataFrame(units, "doc_id int, unit int, role string, title string, first_line int, end_line int")
+    found = intake.subchapters(spans, spark.createDataFrame(lines, "doc_id int, at int, line string"))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "7")
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set(key, held)
+    text, want = {(d, at): line for d, at, line in lines}, []
+    for d, u, role, title, low, high in units:
+        parts = intake.parts_of([text[d, at] for at in range(low, min(high, low + intake.LOOK_AHEAD))]) or [title] * (role == "primary")
+        want += [(d, u, k, t) for k, t in enumerate(parts)]
+    assert got == sorted(want) and len(want) > 20
+    assert intake.subchapters(spans.limit(0), spark.createDataFrame(lines[:3], "doc_id int, at int, line string")).count() == 0
+
+
+def test_lines_that_name_units_in_any_letters(spark):
+    names = ["WEEK 3: Sums of all", "Sémaine 4 : Les sommes", "Unité 5 - Les unités", "lECTURE IV. More sums", "Ｗeek 9: Other letters", "a weekly 3 note", None, "Module two  Graphs"]
+    lines = spark.createDataFrame([(1, "a.md", i, x) for i, x in enumerate(names)], "doc_id int, filename string, at int, line string")
+    numbered = {r.at: r.n for r in lines.select("at", intake._number(intake.compact(F.col("line"))).alias("n")).where("n IS NOT NULL").collect()}
+    assert numbered == {r.at: r.n for r in lines.where(intake.may_hold(F.col("line"), intake.UNIT_WORDS)).select("at", intake._number(intake.compact(F.col("line"))).alias("n")).where("n IS NOT NULL").collect()}
+    assert {0, 1, 2, 7} <= set(numbered)
+    bounds = spark.createDataFrame([("  Guide for all", "a"), ("the guide", "a"), ("ＡＮＮＥＸ", "a"), ("Références", None), ("GUIDE", None), ("see the guide", "Appendix.md")], "line string, filename string")
+    assert [r[0] for r in bounds.select(intake.may_bound(F.col("line"), F.col("filename"))).collect()] == [True, False, True, True, True, True]
